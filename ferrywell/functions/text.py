@@ -30,18 +30,24 @@ def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
-def is_null_token(c: Column, profile: str) -> Column:
-    """True where the text stands for a missing value under the named profile."""
+def is_null_token(c: Column, profile: str, trimmed: bool = False) -> Column:
+    """True where the text stands for a missing value under the named profile.
+
+    The byte length is known without reading the text, so long texts are not lower-cased.
+    """
     if profile == "strict":
-        return F.lower(stripped(c)).isin(STRICT_NULLS)
+        c = c if trimmed else stripped(c)
+        short = F.octet_length(c) <= max(len(t) for t in STRICT_NULLS)
+        return short & F.lower(c).isin(STRICT_NULLS)
     if profile == "basic":
         return c.isin(BASIC_NULLS)
     raise ValueError(f"unknown cleaning profile: {profile}")
 
 
 def looks_numeric(c: Column) -> Column:
-    # "$" also matches before a final line break, so "12\n" would pass without the second check
-    return c.rlike(NUMBER_PATTERN) & ~c.contains("\n")
+    # the comparisons look at the first character only and spare most texts the pattern;
+    # "$" also matches before a final line break, which the last test excludes
+    return (c >= "+") & (c < ":") & c.rlike(NUMBER_PATTERN) & ~c.contains("\n")
 
 
 def parsed_number(c: Column) -> Column:

@@ -78,24 +78,27 @@ def _last_of_each_name(entries: Column) -> Column:
     )
 
 
+def _read_change(change: Column) -> Column:
+    entries = F.coalesce(change["columns"], change["identity"])
+    nameless = F.coalesce(F.exists(entries, lambda e: e["name"].isNull()), F.lit(False))
+    valid = change["_broken"].isNull() & change["action"].isNotNull() & ~nameless
+    codes = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
+    return F.struct(
+        F.when(valid, change["action"]).alias("action"),
+        F.when(valid, F.try_element_at(codes, change["action"])).alias("op"),
+        F.when(valid, F.map_from_entries(_last_of_each_name(entries))).alias("cells"),
+    )
+
+
 def parse_change_json(log: DataFrame, data: str = "data") -> DataFrame:
     """Add ``action``, ``op`` and ``cells`` (column name to text) to a JSON log; broken lines get nulls.
 
-    A delete carries its key under ``identity``; the other actions carry ``columns``.
+    A delete carries its key under ``identity``; the other actions carry ``columns``. The line
+    is parsed inside a generator with one output row: filters and projections on the result
+    then read what was parsed, where the optimizer would otherwise repeat the parsing in each.
     """
     change = F.from_json(column(data), CHANGE_SCHEMA, {"columnNameOfCorruptRecord": "_broken"})
-    parsed = log.withColumn("__change", change)
-    entries = F.coalesce(F.col("__change.columns"), F.col("__change.identity"))
-    nameless = F.exists(entries, lambda e: e["name"].isNull())
-    valid = F.col("__change._broken").isNull() & F.col("__change.action").isNotNull() & ~F.coalesce(nameless, F.lit(False))
-    codes = F.create_map(*[F.lit(x) for pair in ACTIONS.items() for x in pair])
-    return parsed.withColumns(
-        {
-            "action": F.when(valid, F.col("__change.action")),
-            "op": F.when(valid, F.try_element_at(codes, F.col("__change.action"))),
-            "cells": F.when(valid, F.map_from_entries(_last_of_each_name(entries))),
-        }
-    ).drop("__change")
+    return log.select("*", F.inline(F.transform(F.array(change), _read_change)))
 
 
 def broken_changes(log: DataFrame, data: str = "data") -> DataFrame:

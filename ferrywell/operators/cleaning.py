@@ -47,9 +47,9 @@ def trim_cells(df: DataFrame) -> DataFrame:
     return df.withColumns({c: text.stripped(column(c)) for c in string_columns(df)})
 
 
-def null_tokens(df: DataFrame, profile: str = "strict") -> DataFrame:
+def null_tokens(df: DataFrame, profile: str = "strict", trimmed: bool = False) -> DataFrame:
     return df.withColumns(
-        {c: F.when(~text.is_null_token(column(c), profile), column(c)) for c in string_columns(df)}
+        {c: F.when(~text.is_null_token(column(c), profile, trimmed), column(c)) for c in string_columns(df)}
     )
 
 
@@ -188,7 +188,7 @@ def _changed_cells(raw: DataFrame, profile: str) -> DataFrame:
     for c in names:
         trimmed = text.stripped(column(c))
         counts.append(F.count_if(trimmed != column(c)).alias(f"trimmed {c}"))
-        counts.append(F.count_if(text.is_null_token(trimmed, profile)).alias(f"nulls {c}"))
+        counts.append(F.count_if(text.is_null_token(trimmed, profile, True)).alias(f"nulls {c}"))
     row = raw.agg(*counts)
     cells = [
         F.struct(F.lit(step).alias("step"), F.lit(c).alias("column"), column(f"{key} {c}").alias("rows"))
@@ -206,29 +206,32 @@ def _clean(raw: DataFrame, profile: str, ratio: float, z: float | None) -> Clean
     numbers = numeric_columns(df)
 
     # One shuffle serves empty rows, duplicates and their counts: identical rows meet in one group.
-    staged = Staged(count_copies(null_tokens(trim_cells(df), profile)), "clean")
+    staged = Staged(count_copies(null_tokens(trim_cells(df), profile, trimmed=True)), "clean")
     grouped = staged.df
     copies = F.col(COPIES)
     body = grouped.drop(COPIES)
     filled = grouped.where(~all_null(body))
 
     # One pass over the distinct rows decides the coercion and gives the outlier statistics.
-    measures = [F.sum(F.when(all_null(body), copies)).alias("empty"), F.sum(copies).alias("total")]
-    present = F.when(~all_null(body), F.lit(1))
-    measures += [F.sum(present * (copies - 1)).alias("surplus"), F.sum(present).alias("distinct")]
-    for i, c in enumerate(texts):
-        measures += [
-            F.count(column(c)).alias(f"n{i}"),
-            F.count_if(text.looks_numeric(column(c))).alias(f"p{i}"),
-            F.avg(text.parsed_number(column(c))).alias(f"tm{i}"),
-            F.stddev_pop(text.parsed_number(column(c))).alias(f"ts{i}"),
-        ]
-    for i, c in enumerate(numbers):
-        measures += [
-            F.avg(_as_number(body, c)).alias(f"m{i}"),
-            F.stddev_pop(_as_number(body, c)).alias(f"s{i}"),
-        ]
-    stats = grouped.agg(*measures).first()
+    judged = grouped.select(
+        copies.alias("copies"),
+        all_null(body).alias("empty"),
+        *[column(c).isNotNull().alias(f"has{i}") for i, c in enumerate(texts)],
+        *[text.parsed_number(column(c)).alias(f"t{i}") for i, c in enumerate(texts)],
+        *[_as_number(body, c).alias(f"x{i}") for i, c in enumerate(numbers)],
+    )
+    measures = [
+        F.sum("copies").alias("total"),
+        F.sum(F.when(F.col("empty"), F.col("copies"))).alias("empty"),
+        F.sum(F.when(~F.col("empty"), F.col("copies") - 1)).alias("surplus"),
+        F.count_if(~F.col("empty")).alias("distinct"),
+    ]
+    for i, _ in enumerate(texts):
+        measures += [F.count_if(f"has{i}").alias(f"n{i}"), F.count(f"t{i}").alias(f"p{i}")]
+        measures += [F.avg(f"t{i}").alias(f"tm{i}"), F.stddev_pop(f"t{i}").alias(f"ts{i}")]
+    for i, _ in enumerate(numbers):
+        measures += [F.avg(f"x{i}").alias(f"m{i}"), F.stddev_pop(f"x{i}").alias(f"s{i}")]
+    stats = judged.agg(*measures).first()
 
     chosen = [(i, c) for i, c in enumerate(texts) if stats[f"n{i}"] and stats[f"p{i}"] / stats[f"n{i}"] >= ratio]
     coercion = {c: text.parsed_number(column(c)) for _, c in chosen}

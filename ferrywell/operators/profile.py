@@ -137,7 +137,7 @@ def profile_columns(df: DataFrame, exact: bool = False) -> DataFrame:
 
 def _quality_counts(df: DataFrame) -> DataFrame:
     """Rows, surplus copies and missing cells per column, from one grouping of identical rows."""
-    grouped = count_copies(null_tokens(trim_cells(df), "strict"))
+    grouped = count_copies(null_tokens(trim_cells(df), "strict", trimmed=True))
     body = grouped.drop(COPIES)
     copies = F.col(COPIES)
     return grouped.agg(
@@ -218,7 +218,7 @@ def key_candidates(df: DataFrame, combinations: list[list[str]] = ()) -> DataFra
     """Which single columns and given combinations are unique and free of nulls.
 
     An estimate in one pass rules most of them out; only the rest are grouped exactly. The
-    estimate is off by about 2 %, so 15 % below the row count is a safe cut.
+    estimate has a deviation of 5 %, so a cut at 70 % of the row count loses no key.
     """
     singles = [[f.name] for f in df.schema if _orderable(f.dataType)]
     candidates = singles + [list(c) for c in combinations]
@@ -226,13 +226,13 @@ def key_candidates(df: DataFrame, combinations: list[list[str]] = ()) -> DataFra
     for i, names in enumerate(candidates):
         anything_null = reduce(Column.__or__, [column(c).isNull() for c in names])
         measures.append(F.count_if(anything_null).alias(f"n{i}"))
-        hashed = F.xxhash64(*[column(c) for c in names])
-        measures.append(F.approx_count_distinct(hashed, 0.02).alias(f"d{i}"))
+        value = column(names[0]) if len(names) == 1 else F.xxhash64(*[column(c) for c in names])
+        measures.append(F.approx_count_distinct(value).alias(f"d{i}"))
     row = df.agg(*measures).first()
     spark = df.sparkSession
     schema = "key_columns string, total_rows bigint, null_rows bigint, is_key boolean"
     plausible = {
-        i for i in range(len(candidates)) if row["rows"] and row[f"n{i}"] == 0 and row[f"d{i}"] >= 0.85 * row["rows"]
+        i for i in range(len(candidates)) if row["rows"] and row[f"n{i}"] == 0 and row[f"d{i}"] >= 0.7 * row["rows"]
     }
     rest = [
         (", ".join(names), row["rows"], row[f"n{i}"], False)

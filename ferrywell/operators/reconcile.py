@@ -13,14 +13,27 @@ from ferrywell.operators.cleaning import column, numeric_columns
 TOLERANCE = Decimal("0.01")
 
 
-def _exact(df: DataFrame, name: str) -> Column:
-    """The number as a decimal, so that the sum does not depend on the order of the rows."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.IntegralType):
-        return column(name).cast("decimal(20,0)")
+# Numbers are compared to four decimals. Whole numbers of that unit are summed in two halves of
+# 32 bits: per task two long sums cannot overflow, and long sums are several times faster than
+# decimal ones. The sums of the tasks are then put together as decimals.
+UNIT = 10_000
+HALF = 1 << 32
+
+
+def _halves(df: DataFrame, name: str, i: int) -> list[Column]:
+    """The number as an exact decimal, or as two halves of a whole number of units, plus a loss mark."""
+    c, kind = column(name), df.schema[name].dataType
     if isinstance(kind, T.DecimalType):
-        return column(name)
-    return column(name).try_cast("decimal(28,4)")
+        wide = c.try_cast("decimal(28,4)")
+        nothing = F.lit(None).cast("bigint")
+        parts = [nothing, nothing, wide]
+    else:
+        is_whole = isinstance(kind, T.IntegralType)
+        wide = c.cast("bigint") if is_whole else F.rint(c * UNIT).try_cast("bigint")
+        parts = [F.shiftright(wide, 32), wide.bitwiseAND(HALF - 1), F.lit(None).cast("decimal(28,4)")]
+    # a value that does not fit must not vanish from the comparison
+    lost = F.when(c.isNotNull() & wide.isNull(), 1)
+    return [p.alias(f"{tag}{i}") for tag, p in zip("hlwx", [*parts, lost])]
 
 
 def _compared_columns(source: DataFrame, target: DataFrame) -> list[tuple[str, str]]:
@@ -36,23 +49,30 @@ def _totals(source: DataFrame, target: DataFrame, pairs: list[tuple[str, str]])
     """One row with the counts and sums of both sides: both tables feed a single aggregate."""
 
     def side(df: DataFrame, tag: str, names: list[str]) -> DataFrame:
-        sums = [_exact(df, c).cast("decimal(28,4)").alias(f"v{i}") for i, c in enumerate(names)]
-        # a value that does not fit the decimal must not vanish from the comparison
-        lost = [
-            F.when(column(c).isNotNull() & _exact(df, c).cast("decimal(28,4)").isNull(), 1).alias(f"x{i}")
-            for i, c in enumerate(names)
-        ]
-        return df.select(F.lit(tag).alias("__side"), *sums, *lost)
+        parts = [part for i, c in enumerate(names) for part in _halves(df, c, i)]
+        return df.select(F.lit(tag).alias("__side"), F.spark_partition_id().alias("__task"), *parts)
 
     both = side(source, "s", [a for a, _ in pairs]).unionByName(side(target, "t", [b for _, b in pairs]))
-    measures = []
-    for tag in "st":
-        here = F.col("__side") == tag
-        measures.append(F.count_if(here).alias(f"{tag}_rows"))
-        for i in range(len(pairs)):
-            measures.append(F.try_sum(F.when(here, F.col(f"v{i}"))).alias(f"{tag}_v{i}"))
-            measures.append(F.count(F.when(here, F.col(f"x{i}"))).alias(f"{tag}_x{i}"))
-    return both.agg(*measures)
+    measures = [F.count(F.lit(1)).alias("rows")]
+    for i in range(len(pairs)):
+        measures += [F.sum(f"{tag}{i}").alias(f"{tag}{i}") for tag in "hl"]
+        measures += [F.try_sum(f"w{i}").alias(f"w{i}"), F.count(f"x{i}").alias(f"x{i}")]
+    tasks = both.groupBy("__side", "__task").agg(*measures)
+    totals = []
+    for tag, names in (("s", [a for a, _ in pairs]), ("t", [b for _, b in pairs])):
+        df, here = (source, F.col("__side") == tag) if tag == "s" else (target, F.col("__side") == tag)
+        totals.append(F.coalesce(F.sum(F.when(here, F.col("rows"))), F.lit(0)).alias(f"{tag}_rows"))
+        for i, name in enumerate(names):
+            kind = df.schema[name].dataType
+            if isinstance(kind, T.DecimalType):
+                total = F.try_sum(F.when(here, F.col(f"w{i}"))).cast("decimal(38,4)")
+            else:
+                units = F.col(f"h{i}").cast("decimal(28,0)") * F.lit(HALF) + F.col(f"l{i}")
+                total = F.try_sum(F.when(here, units)).cast("decimal(38,0)")
+                total = (total if isinstance(kind, T.IntegralType) else total / UNIT).cast("decimal(38,4)")
+            totals.append(total.alias(f"{tag}_v{i}"))
+            totals.append(F.coalesce(F.sum(F.when(here, F.col(f"x{i}"))), F.lit(0)).alias(f"{tag}_x{i}"))
+    return tasks.agg(*totals)
 
 
 def _count_checks(totals: DataFrame) -> DataFrame:
