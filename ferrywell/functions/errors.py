@@ -78,17 +78,18 @@ def _matches(text: Column, rule: ErrorRule) -> Column:
     return reduce(Column.__or__, phrases)
 
 
-def _first_match(message: Column, part) -> Column:
+def rule_number(message: Column) -> Column:
+    """Number of the first rule that matches, from 1; null if none does."""
     low = F.lower(message)
-    out = F.lit(None).cast("string")
-    for rule in reversed(ERROR_RULES):
-        out = F.when(_matches(low, rule), F.lit(part(rule))).otherwise(out)
+    out = F.lit(None).cast("int")
+    for number, rule in reversed(list(enumerate(ERROR_RULES, start=1))):
+        out = F.when(_matches(low, rule), F.lit(number)).otherwise(out)
     return out
 
 
-def likely_cause(message: Column) -> Column:
-    return _first_match(message, lambda rule: rule.cause)
+def cause_of(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(rule.cause) for rule in ERROR_RULES]), number - 1)
 
 
-def suggested_fix(message: Column) -> Column:
-    return _first_match(message, lambda rule: rule.fix)
+def fix_of(number: Column) -> Column:
+    return F.get(F.array(*[F.lit(rule.fix) for rule in ERROR_RULES]), number - 1)

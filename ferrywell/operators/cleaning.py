@@ -159,10 +159,10 @@ def preview(df: DataFrame, order: list[str], n: int = 5) -> DataFrame:
 
 def classify_errors(df: DataFrame, message: str = "message") -> DataFrame:
     """How often each likely cause occurs, with its fix; unmatched texts have no cause."""
-    return df.groupBy(
-        errors.likely_cause(column(message)).alias("likely_cause"),
-        errors.suggested_fix(column(message)).alias("fix"),
-    ).agg(F.count(F.lit(1)).alias("errors"))
+    counted = df.groupBy(errors.rule_number(column(message)).alias("rule")).agg(F.count(F.lit(1)).alias("errors"))
+    return counted.select(
+        errors.cause_of(F.col("rule")).alias("likely_cause"), errors.fix_of(F.col("rule")).alias("fix"), "errors"
+    )
 
 
 @dataclass

@@ -13,8 +13,8 @@ from ferrywell.session import Staged
 RANGE_WIDTH = 1_000
 
 
-def schema_snapshot(df: DataFrame, name: str) -> DataFrame:
-    """One row per column with the row count of the table, ready to be appended with its time."""
+def schema_snapshot(df: DataFrame, name: str, captured_at: str | None = None) -> DataFrame:
+    """One row per column with the row count of the table and, if given, the time of the snapshot."""
     fields = [
         F.struct(
             F.lit(i + 1).alias("position"),
@@ -23,9 +23,12 @@ def schema_snapshot(df: DataFrame, name: str) -> DataFrame:
         )
         for i, f in enumerate(df.schema)
     ]
-    return df.agg(F.count(F.lit(1)).alias("row_count")).select(
+    snapshot = df.agg(F.count(F.lit(1)).alias("row_count")).select(
         F.lit(name).alias("table_name"), F.inline(F.array(*fields)), "row_count"
     )
+    if captured_at is None:
+        return snapshot
+    return snapshot.withColumn("captured_at", F.lit(captured_at).cast("timestamp_ntz"))
 
 
 def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ferrywell.operators import cleaning
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
@@ -198,5 +196,4 @@ def preview_rows(spark, sf):
     ["error_log"],
 )
 def classify_errors(spark, sf):
-    found = cleaning.classify_errors(table(spark, sf, "error_log"))
-    return found.groupBy("likely_cause").agg(F.sum("errors").alias("errors"))
+    return cleaning.classify_errors(table(spark, sf, "error_log")).drop("fix")

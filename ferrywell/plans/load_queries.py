@@ -10,6 +10,7 @@ from ferrywell.plans import loads
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
 from ferrywell.session import new_folder
+from ferrywell.sinks.tables import append_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
 
 
@@ -59,7 +60,7 @@ def append_load(spark, sf):
     new = loads.incremental_extract(
         table(spark, sf, "orders_versioned"), table(spark, sf, "target_orders"), "updated_at"
     )
-    loads.append_table(target, loads.prepared(new))
+    append_table(target, loads.prepared(new))
     return target.read()
 
 
@@ -76,7 +77,7 @@ def upsert_load(spark, sf):
     new = loads.incremental_extract(
         table(spark, sf, "orders_versioned"), table(spark, sf, "target_orders"), "updated_at"
     )
-    loads.upsert_table(target, loads.prepared(new), ["UPDATED_AT"])
+    upsert_table(target, loads.prepared(new), ["UPDATED_AT"])
     return target.read()
 
 
@@ -281,7 +282,7 @@ def load_job_run(spark, sf):
     ]
     ledger = _target(spark, "ledger")
     for job in jobs:
-        loads.append_table(ledger, loads.run_job(spark, job))
+        append_table(ledger, loads.run_job(spark, job))
     return loads.explained(ledger.read()).select(
         "job", "mode", "status", "rows_loaded", "row_count_diff", "reconciled", "likely_cause"
     )

@@ -15,7 +15,7 @@ from ferrywell.operators import cdc
 from ferrywell.operators.cleaning import column
 from ferrywell.operators.reconcile import reconcile
 from ferrywell.session import Staged
-from ferrywell.sinks.tables import upsert_table
+from ferrywell.sinks.tables import append_table, replace_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
 
 # Stored as they are; every other type becomes text.
@@ -67,15 +67,11 @@ def load_stats(mode: str, rows: int, started: float) -> dict:
 def full_load(source: DataFrame, target: VersionedTable, state: dict[str, str] | None = None) -> dict:
     """Replace the target by the source; readers see the old rows until all new ones are there."""
     started = time.monotonic()
-    target.replace(prepared(source), state)
+    replace_table(target, prepared(source), state)
     # a count without columns is answered from the file footers
     return load_stats("full_load", target.read().count(), started)
 
 
-def append_table(target: VersionedTable, rows: DataFrame, state: dict[str, str] | None = None) -> int:
-    return target.append(rows, state)
-
-
 def next_watermark(df: DataFrame, watermark: str) -> DataFrame:
     """The resume value for the next run: the highest one seen."""
     return df.agg(F.max(column(watermark)).alias("next_watermark"))
@@ -147,7 +143,7 @@ def incremental_load(
         if rows and target.keys:
             upsert_table(target, batch, [mark], state)
         elif rows or target.commit() is None:
-            target.append(batch, state)
+            append_table(target, batch, state)
         return {**load_stats("incremental", rows, started), "new_watermark": highest}
     finally:
         staged.release()
@@ -228,4 +224,4 @@ def run_job(spark: SparkSession, job: LoadJob) -> DataFrame:
 
 def explained(runs: DataFrame) -> DataFrame:
     """Ledger rows with the likely cause of each error."""
-    return runs.withColumn("likely_cause", errors.likely_cause(F.col("error")))
+    return runs.withColumn("likely_cause", errors.cause_of(errors.rule_number(F.col("error"))))

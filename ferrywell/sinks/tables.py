@@ -23,6 +23,14 @@ def export(df: DataFrame, path: str, fmt: str) -> None:
         raise ValueError(f"unsupported format: {fmt}")
 
 
+def replace_table(target: VersionedTable, rows: DataFrame, state: dict[str, str] | None = None) -> int:
+    return target.replace(rows, state)
+
+
+def append_table(target: VersionedTable, rows: DataFrame, state: dict[str, str] | None = None) -> int:
+    return target.append(rows, state)
+
+
 def write_quarantine(df: DataFrame, path: str) -> None:
     """Removed rows, filed under their reason."""
     df.write.partitionBy("reason").mode("append").parquet(path)
@@ -93,13 +101,12 @@ def pick_cluster_keys(
 def clustered_write(df: DataFrame, path: str, keys: list[str], partitions: int | None = None) -> None:
     """Lay the table out by key ranges so that readers skip files by their column statistics.
 
-    The two columns after the keys let a range boundary fall inside one key value, and inside a
-    group of identical rows, so a hot key is spread over several tasks.
+    The number of the reading task comes after the keys, so a range boundary can fall inside one
+    key value, and a hot key is spread over several tasks. Unlike a random number it is the same
+    when a lost task is repeated.
     """
-    ties = df.withColumn("__hash", F.xxhash64(*[column(c) for c in df.columns])).withColumn(
-        "__task", F.spark_partition_id()
-    )
+    ties = df.withColumn("__task", F.spark_partition_id())
     by = [column(k) for k in keys]
-    order = [*by, F.col("__hash"), F.col("__task")]
+    order = [*by, F.col("__task")]
     ranged = ties.repartitionByRange(partitions, *order) if partitions else ties.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*by).drop("__hash", "__task").write.parquet(path)
+    ranged.sortWithinPartitions(*by).drop("__task").write.parquet(path)

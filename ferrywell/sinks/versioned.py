@@ -81,10 +81,11 @@ class VersionedTable:
                 continue
             wanted = part["buckets"] if only_buckets is None else sorted(set(part["buckets"]) & set(only_buckets))
             if wanted:
-                # a filter on the partition column: other buckets are never listed or opened
-                parts.append(
-                    self.spark.read.schema(stored).parquet(folder).where(F.col(BUCKET).isin(wanted)).drop(BUCKET)
-                )
+                rows = self.spark.read.schema(stored).parquet(folder)
+                if wanted != part["written"]:
+                    # on the partition column: files of other buckets are not opened
+                    rows = rows.where(F.col(BUCKET).isin(wanted))
+                parts.append(rows.drop(BUCKET))
         if not parts:
             return self.spark.createDataFrame([], schema)
         return reduce(DataFrame.unionByName, parts)
@@ -166,7 +167,9 @@ class VersionedTable:
             self.with_bucket(df).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
         else:
             df.write.parquet(folder)
-        part = {"folder": name, "buckets": list(buckets) if self.keys else None}
+        held = list(buckets) if self.keys else None
+        # "written" is what the folder holds, "buckets" what later versions have left valid of it
+        part = {"folder": name, "written": held, "buckets": held}
         self._write_commit(
             {
                 "version": version,

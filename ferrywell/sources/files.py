@@ -44,7 +44,8 @@ def detect_delimiters(files: DataFrame, candidates: str = ",;\t|") -> DataFrame:
         for batch in batches:
             found = []
             for path in batch["path"]:
-                system, plain = fs.FileSystem.from_uri(path)
+                # Spark says s3a, Arrow says s3
+                system, plain = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
                 with system.open_input_stream(plain) as stream:
                     found.append(_delimiter(stream.read(SNIFF_BYTES), candidates))
             yield pd.DataFrame({"path": batch["path"], "delimiter": found})
