@@ -50,6 +50,12 @@ def looks_numeric(c: Column) -> Column:
     return (c >= "+") & (c < ":") & c.rlike(NUMBER_PATTERN) & ~c.contains("\n")
 
 
+def looks_numeric_sql(c: str) -> str:
+    """The condition of ``looks_numeric`` as SQL text."""
+    pattern = NUMBER_PATTERN.replace("\\", "\\\\")
+    return f"({c} >= '+' and {c} < ':' and {c} rlike '{pattern}' and not contains({c}, '\\n'))"
+
+
 def parsed_number(c: Column) -> Column:
     """The text as a double, or null where it is not written as a plain number."""
     return F.when(looks_numeric(c), c.try_cast("double"))

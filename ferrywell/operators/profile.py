@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from ferrywell.functions import text
 from ferrywell.operators.cleaning import (
-    COPIES, all_null, column, count_copies, null_tokens, string_columns, trim_cells,
+    COPIES, all_null, column, count_copies, literal, null_tokens, quoted, trim_cells,
 )
 
 SHARE = 0.85
@@ -30,13 +30,17 @@ def profile_table(df: DataFrame) -> DataFrame:
     )
 
 
-def _as_text(c: Column, kind: T.DataType) -> Column:
+def _as_text(c: str, kind: T.DataType) -> str:
     """Text form that does not depend on the engine's way of printing numbers and times."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return c.try_cast("decimal(28,4)").cast("string")
+        return f"cast(try_cast({c} as decimal(28,4)) as string)"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-        return F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-    return c.cast("string")
+        return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+    return f"cast({c} as string)"
+
+
+def _struct(fields: dict[str, str]) -> str:
+    return "named_struct(" + ", ".join(f"'{name}', {value}" for name, value in fields.items()) + ")"
 
 
 def _orderable(kind: T.DataType) -> bool:
@@ -71,64 +75,55 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _text_tests(c: str) -> dict[str, str]:
+    """Conditions under which a text counts as a datetime, date, boolean or number, in that order."""
+    return {
+        "datetime": f"{c} rlike {literal(text.DATETIME_PATTERN)}",
+        "date": f"{c} rlike {literal(text.DATE_PATTERN)}",
+        "boolean": f"lower({c}) in ({', '.join(literal(w) for w in text.BOOLEAN_WORDS)})",
+        "number": text.looks_numeric_sql(c),
+    }
+
+
 def profile_columns(df: DataFrame, exact: bool = False) -> DataFrame:
     """One row per column: nulls, distinct values, range, shares per kind of text, detected type.
 
     Everything but the exact distinct counts comes from one pass. ``exact=False`` estimates
     them in that pass, which is what a very large table calls for.
     """
-    measures, facts = [F.count(F.lit(1)).alias("rows")], []
+    measures, facts = ["count(1) as rows"], []
     for i, f in enumerate(df.schema):
-        c, kind = column(f.name), f.dataType
-        measures.append(F.count(c).alias(f"n{i}"))
-        low = high = F.lit(None).cast("string")
+        c, kind = quoted(f.name), f.dataType
+        measures.append(f"count({c}) as n{i}")
+        fact = {
+            "column_name": literal(f.name),
+            "declared_type": literal(kind.simpleString()),
+            "total_rows": "rows",
+            "null_rows": f"rows - n{i}",
+            "distinct_values": "cast(null as bigint)",
+            "min_value": "cast(null as string)",
+            "max_value": "cast(null as string)",
+            **{f"{k}_share": "cast(null as decimal(5,4))" for k in _text_tests(c)},
+            "detected_type": literal(_declared(kind)),
+        }
         if _orderable(kind):
-            measures += [F.min(c).alias(f"a{i}"), F.max(c).alias(f"z{i}")]
-            low, high = _as_text(F.col(f"a{i}"), kind), _as_text(F.col(f"z{i}"), kind)
+            measures += [f"min({c}) as a{i}", f"max({c}) as z{i}"]
+            fact |= {"min_value": _as_text(f"a{i}", kind), "max_value": _as_text(f"z{i}", kind)}
             if not exact:
-                measures.append(F.approx_count_distinct(c).alias(f"d{i}"))
-        shares = [F.lit(None).cast("decimal(5,4)")] * 4
-        detected = F.lit(_declared(kind))
+                measures.append(f"approx_count_distinct({c}) as d{i}")
+                fact["distinct_values"] = f"d{i}"
         if isinstance(kind, T.StringType):
-            tests = [
-                c.rlike(text.DATETIME_PATTERN),
-                c.rlike(text.DATE_PATTERN),
-                F.lower(c).isin(text.BOOLEAN_WORDS),
-                text.looks_numeric(c),
-            ]
-            measures += [F.count_if(t).alias(f"t{i}_{k}") for k, t in enumerate(tests)]
-            measures.append(F.count_if(c.isin("0", "1")).alias(f"b{i}"))
-            present = F.col(f"n{i}")
-            shares = [F.try_divide(F.col(f"t{i}_{k}"), present).cast("decimal(5,4)") for k in range(4)]
-            enough = [F.coalesce(F.col(f"t{i}_{k}") >= F.lit(SHARE) * present, F.lit(False)) for k in range(4)]
+            for k, test in _text_tests(c).items():
+                measures.append(f"count_if({test}) as {k}{i}")
+                fact[f"{k}_share"] = f"cast(try_divide({k}{i}, n{i}) as decimal(5,4))"
             # zeros and ones alone are numbers
-            only_digits = F.col(f"b{i}") == F.col(f"t{i}_2")
-            detected = (
-                F.when(present == 0, "string")
-                .when(enough[0], "datetime")
-                .when(enough[1], "date")
-                .when(enough[2] & ~only_digits, "boolean")
-                .when(enough[3], "number")
-                .otherwise("string")
-            )
-        distinct = F.col(f"d{i}") if not exact and _orderable(kind) else F.lit(None).cast("bigint")
-        facts.append(
-            F.struct(
-                F.lit(f.name).alias("column_name"),
-                F.lit(kind.simpleString()).alias("declared_type"),
-                F.col("rows").alias("total_rows"),
-                (F.col("rows") - F.col(f"n{i}")).alias("null_rows"),
-                distinct.alias("distinct_values"),
-                low.alias("min_value"),
-                high.alias("max_value"),
-                shares[0].alias("datetime_share"),
-                shares[1].alias("date_share"),
-                shares[2].alias("boolean_share"),
-                shares[3].alias("number_share"),
-                detected.alias("detected_type"),
-            )
-        )
-    profile = df.agg(*measures).select(F.inline(F.array(*facts)))
+            measures.append(f"count_if({c} in ('0', '1')) as digits{i}")
+            enough = {k: f"n{i} > 0 and {k}{i} >= {SHARE} * n{i}" for k in _text_tests(c)}
+            enough["boolean"] += f" and digits{i} <> boolean{i}"
+            cases = " ".join(f"when {test} then '{k}'" for k, test in enough.items())
+            fact["detected_type"] = f"case {cases} else 'string' end"
+        facts.append(_struct(fact))
+    profile = df.agg(*[F.expr(m) for m in measures]).selectExpr(f"inline(array({', '.join(facts)}))")
     if not exact:
         return profile
     names = profile.columns
@@ -208,7 +203,7 @@ def watermark_candidates(df: DataFrame, top: int = 5) -> DataFrame:
                 F.lit(f.dataType.simpleString()).alias("column_type"),
                 F.lit(score).alias("score"),
                 (F.col("rows") - F.col(f"n{i}")).alias("null_rows"),
-                _as_text(F.col(f"z{i}"), f.dataType).alias("max_value"),
+                F.expr(_as_text(f"z{i}", f.dataType)).alias("max_value"),
             )
         )
     return df.agg(*measures).select(F.inline(F.array(*facts)))
@@ -220,35 +215,26 @@ def key_candidates(df: DataFrame, combinations: list[list[str]] = ()) -> DataFra
     An estimate in one pass rules most of them out; only the rest are grouped exactly. The
     estimate has a deviation of 5 %, so a cut at 70 % of the row count loses no key.
     """
-    singles = [[f.name] for f in df.schema if _orderable(f.dataType)]
-    candidates = singles + [list(c) for c in combinations]
-    measures = [F.count(F.lit(1)).alias("rows")]
+    candidates = [[f.name] for f in df.schema if _orderable(f.dataType)] + [list(c) for c in combinations]
+    measures = ["count(1) as rows"]
     for i, names in enumerate(candidates):
-        anything_null = reduce(Column.__or__, [column(c).isNull() for c in names])
-        measures.append(F.count_if(anything_null).alias(f"n{i}"))
-        value = column(names[0]) if len(names) == 1 else F.xxhash64(*[column(c) for c in names])
-        measures.append(F.approx_count_distinct(value).alias(f"d{i}"))
-    row = df.agg(*measures).first()
-    spark = df.sparkSession
-    schema = "key_columns string, total_rows bigint, null_rows bigint, is_key boolean"
-    plausible = {
-        i for i in range(len(candidates)) if row["rows"] and row[f"n{i}"] == 0 and row[f"d{i}"] >= 0.7 * row["rows"]
-    }
-    rest = [
-        (", ".join(names), row["rows"], row[f"n{i}"], False)
-        for i, names in enumerate(candidates)
-        if i not in plausible
-    ]
-    result = spark.createDataFrame(rest, schema)
-    for i in sorted(plausible):
-        names = candidates[i]
-        groups = df.groupBy(*[column(c) for c in names]).agg(F.count(F.lit(1)).alias("__n"))
-        result = result.unionByName(
-            groups.agg(F.max("__n").alias("__most")).select(
-                F.lit(", ".join(names)).alias("key_columns"),
-                F.lit(row["rows"]).cast("bigint").alias("total_rows"),
-                F.lit(row[f"n{i}"]).cast("bigint").alias("null_rows"),
-                (F.col("__most") == 1).alias("is_key"),
+        columns = [quoted(c) for c in names]
+        value = columns[0] if len(columns) == 1 else f"xxhash64({', '.join(columns)})"
+        measures.append(f"count_if({' or '.join(f'{c} is null' for c in columns)}) as n{i}")
+        measures.append(f"approx_count_distinct({value}) as d{i}")
+    row = df.agg(*[F.expr(m) for m in measures]).first()
+    total = row["rows"]
+    found, ruled_out = [], []
+    for i, names in enumerate(candidates):
+        label = ", ".join(names)
+        if not total or row[f"n{i}"] or row[f"d{i}"] < 0.7 * total:
+            ruled_out.append((label, total, row[f"n{i}"], False))
+            continue
+        groups = df.groupBy(*[column(c) for c in names]).agg(F.expr("count(1) as n"))
+        found.append(
+            groups.agg(F.expr("max(n) as most")).selectExpr(
+                f"{literal(label)} as key_columns", f"{total}L as total_rows", "0L as null_rows", "most = 1 as is_key"
             )
         )
-    return result
+    schema = "key_columns string, total_rows bigint, null_rows bigint, is_key boolean"
+    return reduce(DataFrame.unionByName, found, df.sparkSession.createDataFrame(ruled_out, schema))
