@@ -6,8 +6,7 @@ keeps every removed row with its reason; ``basic`` has its own token list and ke
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -174,14 +173,94 @@ def classify_errors(df: DataFrame, message: str = "message") -> DataFrame:
     )
 
 
-@dataclass
 class CleanResult:
-    """A cleaned table; ``quarantine`` holds the removed rows with their reason (strict only)."""
+    """A cleaned table, the rows that were removed with their reason, and the counts of each step."""
+
+    def __init__(self, raw: DataFrame, profile: str, ratio: float, z: float | None):
+        self._profile = profile
+        self._raw = trim_headers(raw) if profile == "strict" else raw
+        self._names = self._raw.columns
+        self._texts = string_columns(self._raw)
+        self._numbers = numeric_columns(self._raw)
+        # One shuffle serves empty rows, duplicates and their counts: identical rows meet in one group.
+        cells = null_tokens(trim_cells(self._raw), profile, trimmed=True)
+        self._staged = Staged(count_copies(cells), "clean")
+        self._grouped = self._staged.df
+        self._is_empty = all_null(cells)
+        self._stats = self._measure()
+        self._chosen = [
+            (i, c) for i, c in enumerate(self._texts)
+            if self._stats[f"n{i}"] and self._stats[f"p{i}"] / self._stats[f"n{i}"] >= ratio
+        ]
+        self._far = F.lit(False) if z is None else self._outlier(z)
+
+    def _measure(self):
+        """One pass over the distinct rows decides the coercion and gives the outlier statistics."""
+        judged = self._grouped.select(
+            F.col(COPIES).alias("copies"),
+            self._is_empty.alias("empty"),
+            *[column(c).isNotNull().alias(f"has{i}") for i, c in enumerate(self._texts)],
+            *[text.parsed_number(column(c)).alias(f"t{i}") for i, c in enumerate(self._texts)],
+            *[_as_number(self._raw, c).alias(f"x{i}") for i, c in enumerate(self._numbers)],
+        )
+        measures = [
+            "sum(copies) as total",
+            "sum(copies) filter (where empty) as empty",
+            "sum(copies - 1) filter (where not empty) as surplus",
+            "count_if(not empty) as distinct",
+        ]
+        for i, _ in enumerate(self._texts):
+            measures += [f"count_if(has{i}) as n{i}", f"count(t{i}) as p{i}"]
+            measures += [f"avg(t{i}) as tm{i}", f"stddev_pop(t{i}) as ts{i}"]
+        for i, _ in enumerate(self._numbers):
+            measures += [f"avg(x{i}) as m{i}", f"stddev_pop(x{i}) as s{i}"]
+        return judged.agg(*[F.expr(m) for m in measures]).first()
+
+    def _outlier(self, z: float) -> Column:
+        s = self._stats
+        limits = [(_as_number(self._raw, c), s[f"m{i}"], s[f"s{i}"]) for i, c in enumerate(self._numbers)]
+        limits += [(text.parsed_number(column(c)), s[f"tm{i}"], s[f"ts{i}"]) for i, c in self._chosen]
+        return _is_outlier(limits, z)
+
+    @property
+    def _filled(self) -> DataFrame:
+        return self._grouped.where(~self._is_empty)
+
+    @cached_property
+    def cleaned(self) -> DataFrame:
+        kept = self._filled.where(~self._far).drop(COPIES)
+        return kept.withColumns({c: text.parsed_number(column(c)) for _, c in self._chosen})
+
+    @cached_property
+    def quarantine(self) -> DataFrame:
+        """Removed rows with their reason; texts are as they were before coercion."""
+        copies = F.col(COPIES)
+        return reduce(
+            DataFrame.unionByName,
+            [
+                expand_copies(self._grouped.where(self._is_empty), copies).withColumn("reason", F.lit(EMPTY)),
+                expand_copies(self._filled, copies - 1).withColumn("reason", F.lit(DUPLICATE)),
+                self._filled.where(self._far).drop(COPIES).withColumn("reason", F.lit(OUTLIER)),
+            ],
+        )
 
-    cleaned: DataFrame
-    quarantine: DataFrame | None
-    report: DataFrame
-    _staged: Staged
+    @cached_property
+    def report(self) -> DataFrame:
+        """(step, column, rows): rows in, removed and out, and cells changed per column."""
+        s = self._stats
+        steps = [
+            ("rows in", None, s["total"] or 0),
+            ("empty rows removed", None, s["empty"] or 0),
+            ("duplicates removed", None, s["surplus"] or 0),
+            ("columns", None, len(self._names)),
+        ]
+        steps += [("text to numeric", c, s[f"p{i}"]) for i, c in self._chosen]
+        steps += [("values lost in coercion", c, s[f"n{i}"] - s[f"p{i}"]) for i, c in self._chosen]
+        known = self._raw.sparkSession.createDataFrame(steps, "step string, column string, rows bigint")
+        outcome = self._filled.agg(
+            F.count_if(~self._far).alias("rows out"), F.count_if(self._far).alias("outliers removed")
+        ).selectExpr("stack(2, 'rows out', null, `rows out`, 'outliers removed', null, `outliers removed`) as (step, column, rows)")
+        return known.unionByName(outcome).unionByName(_changed_cells(self._raw, self._profile))
 
     def release(self) -> None:
         """Drop the staged rows once the results have been written."""
@@ -193,107 +272,22 @@ def _changed_cells(raw: DataFrame, profile: str) -> DataFrame:
     names = string_columns(raw)
     if not names:
         return raw.sparkSession.createDataFrame([], "step string, column string, rows bigint")
-    counts = []
-    for c in names:
+    counts, cells = [], []
+    for i, c in enumerate(names):
         trimmed = text.stripped(column(c))
-        counts.append(F.count_if(trimmed != column(c)).alias(f"trimmed {c}"))
-        counts.append(F.count_if(text.is_null_token(trimmed, profile, True)).alias(f"nulls {c}"))
-    row = raw.agg(*counts)
-    cells = [
-        F.struct(F.lit(step).alias("step"), F.lit(c).alias("column"), column(f"{key} {c}").alias("rows"))
-        for key, step in (("trimmed", "trimmed"), ("nulls", "null tokens"))
-        for c in names
-    ]
-    return row.select(F.inline(F.array(*cells)))
-
-
-def _clean(raw: DataFrame, profile: str, ratio: float, z: float | None) -> CleanResult:
-    spark = raw.sparkSession
-    df = trim_headers(raw) if profile == "strict" else raw
-    names = df.columns
-    texts = string_columns(df)
-    numbers = numeric_columns(df)
-
-    # One shuffle serves empty rows, duplicates and their counts: identical rows meet in one group.
-    staged = Staged(count_copies(null_tokens(trim_cells(df), profile, trimmed=True)), "clean")
-    grouped = staged.df
-    copies = F.col(COPIES)
-    body = grouped.drop(COPIES)
-    filled = grouped.where(~all_null(body))
-
-    # One pass over the distinct rows decides the coercion and gives the outlier statistics.
-    judged = grouped.select(
-        copies.alias("copies"),
-        all_null(body).alias("empty"),
-        *[column(c).isNotNull().alias(f"has{i}") for i, c in enumerate(texts)],
-        *[text.parsed_number(column(c)).alias(f"t{i}") for i, c in enumerate(texts)],
-        *[_as_number(body, c).alias(f"x{i}") for i, c in enumerate(numbers)],
-    )
-    measures = [
-        F.sum("copies").alias("total"),
-        F.sum(F.when(F.col("empty"), F.col("copies"))).alias("empty"),
-        F.sum(F.when(~F.col("empty"), F.col("copies") - 1)).alias("surplus"),
-        F.count_if(~F.col("empty")).alias("distinct"),
-    ]
-    for i, _ in enumerate(texts):
-        measures += [F.count_if(f"has{i}").alias(f"n{i}"), F.count(f"t{i}").alias(f"p{i}")]
-        measures += [F.avg(f"t{i}").alias(f"tm{i}"), F.stddev_pop(f"t{i}").alias(f"ts{i}")]
-    for i, _ in enumerate(numbers):
-        measures += [F.avg(f"x{i}").alias(f"m{i}"), F.stddev_pop(f"x{i}").alias(f"s{i}")]
-    stats = judged.agg(*measures).first()
-
-    chosen = [(i, c) for i, c in enumerate(texts) if stats[f"n{i}"] and stats[f"p{i}"] / stats[f"n{i}"] >= ratio]
-    coercion = {c: text.parsed_number(column(c)) for _, c in chosen}
-    quarantine = None
-    kept = filled
-    if z is not None:
-        limits = [(_as_number(body, c), stats[f"m{i}"], stats[f"s{i}"]) for i, c in enumerate(numbers)]
-        limits += [(coercion[c], stats[f"tm{i}"], stats[f"ts{i}"]) for i, c in chosen]
-        far = _is_outlier(limits, z)
-        kept = filled.where(~far)
-        # removed rows keep their texts as they were before coercion
-        quarantine = reduce(
-            DataFrame.unionByName,
-            [
-                expand_copies(grouped.where(all_null(body)), copies).withColumn("reason", F.lit(EMPTY)),
-                expand_copies(filled, copies - 1).withColumn("reason", F.lit(DUPLICATE)),
-                filled.where(far).drop(COPIES).withColumn("reason", F.lit(OUTLIER)),
-            ],
-        )
-    cleaned = kept.drop(COPIES).withColumns(coercion)
-
-    steps = [
-        ("rows in", None, stats["total"] or 0),
-        ("empty rows removed", None, stats["empty"] or 0),
-        ("duplicates removed", None, stats["surplus"] or 0),
-        ("columns", None, len(names)),
-    ]
-    steps += [("text to numeric", c, stats[f"p{i}"]) for i, c in chosen]
-    steps += [("values lost in coercion", c, stats[f"n{i}"] - stats[f"p{i}"]) for i, c in chosen]
-    report = spark.createDataFrame(steps, "step string, column string, rows bigint")
-    outcome = cleaned.agg(F.count(F.lit(1)).alias("rows")).select(
-        F.inline(
-            F.array(
-                F.struct(F.lit("rows out").alias("step"), F.lit(None).cast("string").alias("column"), F.col("rows")),
-                F.struct(
-                    F.lit("outliers removed").alias("step"),
-                    F.lit(None).cast("string").alias("column"),
-                    (F.lit(stats["distinct"] or 0) - F.col("rows")).alias("rows"),
-                ),
-            )
-        )
-    )
-    report = report.unionByName(outcome).unionByName(_changed_cells(df, profile))
-    return CleanResult(cleaned, quarantine, report, staged)
+        counts.append(F.count_if(trimmed != column(c)).alias(f"trimmed{i}"))
+        counts.append(F.count_if(text.is_null_token(trimmed, profile, True)).alias(f"nulls{i}"))
+        cells.append(f"'trimmed', {literal(c)}, trimmed{i}, 'null tokens', {literal(c)}, nulls{i}")
+    return raw.agg(*counts).selectExpr(f"stack({2 * len(names)}, {', '.join(cells)}) as (step, column, rows)")
 
 
 def clean_strict(df: DataFrame, ratio: float = 0.85, z: float = 5.0) -> CleanResult:
     """Headers, cells, null tokens, empty rows, duplicates, numeric coercion, outliers."""
-    return _clean(df, "strict", ratio, z)
+    return CleanResult(df, "strict", ratio, z)
 
 
 def clean_basic(df: DataFrame, name: str, ratio: float = 0.85) -> CleanResult:
     """Cells, null tokens, empty rows, duplicates, numeric coercion; result viewed as ``<name>_cleaned``."""
-    result = _clean(df, "basic", ratio, None)
+    result = CleanResult(df, "basic", ratio, None)
     result.cleaned.createOrReplaceTempView(f"{name}_cleaned")
     return result

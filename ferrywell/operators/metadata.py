@@ -151,10 +151,8 @@ def exact_percentiles(df: DataFrame, group: str, value: str, points: dict[str, f
         ranges.select(group, "r", "below", "in_range", F.inline(F.array(*wanted)))
         .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("in_range")))
     )
-    within = Window.partitionBy(group, "r").orderBy("v")
-    reached = values.withColumn("upto", F.sum("n").over(within)).join(
-        hits.select(group, "r", "below", "point", "rank"), [group, "r"]
-    )
+    within = Window.partitionBy(group, "r", "point").orderBy("v")
+    reached = values.join(hits, [group, "r"]).withColumn("upto", F.sum("n").over(within))
     found = reached.where(F.col("below") + F.col("upto") >= F.col("rank"))
     return found.groupBy(group).agg(
         *[F.min(F.when(F.col("point") == name, F.col("v"))).alias(name) for name in points]

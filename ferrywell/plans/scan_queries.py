@@ -15,8 +15,6 @@ from ferrywell.sources import files
 from ferrywell.streaming.streams import cdc_stream, incremental_stream
 
 DELIMITERS = [",", ";", "\t", "|"]
-# Records in one generated JSON document.
-DOCUMENT_ROWS = 500
 
 
 @query("scan_delimited", "select * from customer")
@@ -36,31 +34,24 @@ SHARED["flat_customers"] = (
 )
 
 
-@query("scan_json_records", "select * from flat_customers", ["flat_customers"])
+@query(
+    "scan_json_records",
+    """select 'customer' as kind, c_custkey as id, c_acctbal as account_balance, cast(c_nationkey as bigint) as account_nation_key from customer
+       union all select 'segment ' || c_mktsegment, c_custkey, null, null from customer""",
+)
 def scan_json_records(spark, sf):
-    """Half of the documents are lists, half are objects that hold the list in a member."""
+    """Documents that hold their records in a member, beside another, empty list."""
     table(spark, sf, "customer")
-    # a document holds a fixed range of the unique keys, so its size is bounded
     documents = spark.sql(
-        f"""select floor(c_custkey / {DOCUMENT_ROWS}) as number,
-              to_json(collect_list(named_struct('id', c_custkey, 'name', c_name, 'account',
-                named_struct('balance', c_acctbal, 'segment', c_mktsegment, 'nation', named_struct('key', c_nationkey))))) as records
-            from customer group by 1"""
+        """select concat('{"meta":{"size":2},"rows":[',
+             to_json(named_struct('kind', 'customer', 'id', c_custkey, 'account',
+               named_struct('balance', c_acctbal, 'nation', named_struct('key', c_nationkey)))), ',',
+             to_json(named_struct('kind', concat('segment ', c_mktsegment), 'id', c_custkey)), '],"errors":[]}') as value
+           from customer"""
     )
-    paths = [new_folder(spark, "json-lists"), new_folder(spark, "json-objects")]
-    wrapped = F.concat(
-        F.lit('{"meta":{"document":'), F.col("number").cast("string"),
-        F.lit('},"rows":'), F.col("records"), F.lit(',"errors":[]}'),
-    )
-    odd = F.pmod("number", F.lit(2)) == 1
-    # one file per document, as the format asks for
-    for path, own, value in ((paths[0], ~odd, F.col("records")), (paths[1], odd, wrapped)):
-        documents.where(own).select("number", value.alias("value")).repartition("number").write.partitionBy(
-            "number"
-        ).text(path)
-    parts = [p for p in paths if files.list_objects(spark, p).where(F.col("path").endswith(".txt")).count()]
-    read = [files.read_json_records(spark, p) for p in parts]
-    return read[0] if len(read) == 1 else read[0].unionByName(read[1])
+    path = new_folder(spark, "json-documents")
+    documents.write.text(path)
+    return files.read_json_records(spark, path, lines=True)
 
 
 @query("scan_json_lines", "select * from flat_customers", ["flat_customers"])

@@ -144,8 +144,11 @@ class VersionedTable:
         return commit["version"]
 
     def drop_old_versions(self) -> None:
-        """Delete the data directories that the newest commit no longer refers to."""
+        """Delete the older commits, and the data that the newest commit no longer refers to."""
         commit = self.commit()
+        for name in self._commits.names():
+            if name < f"{commit['version']:012d}.json":
+                self._commits.delete(name)
         used = {part["folder"] for part in commit["parts"]}
         data = Folder(self.spark, f"{self.path}/data")
         for name in data.names():

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import csv
 from collections import defaultdict
 from functools import reduce
 
@@ -27,17 +26,13 @@ def list_objects(spark: SparkSession, path: str, limit: int | None = None) -> Da
     return found.orderBy("path").limit(limit) if limit else found
 
 
-def _delimiter(head: bytes, candidates: str) -> str:
-    try:
-        return csv.Sniffer().sniff(head.decode("utf-8", errors="replace"), delimiters=candidates).delimiter
-    except csv.Error:
-        return ","
-
-
-def detect_delimiters(files: DataFrame, candidates: str = ",;\t|") -> DataFrame:
-    """(path, delimiter) per file, from its first 4,096 bytes. Tasks open the files, not the driver."""
+def detect_delimiters(files: DataFrame, candidates: str = ",;\t|", sniff_bytes: int = SNIFF_BYTES) -> DataFrame:
+    """(path, delimiter) per file, from its first bytes. Tasks open the files, not the driver."""
 
+    # refers to nothing outside itself, so executors need not have this package
     def sniff(batches):
+        import csv
+
         import pandas as pd
         from pyarrow import fs
 
@@ -47,7 +42,11 @@ def detect_delimiters(files: DataFrame, candidates: str = ",;\t|") -> DataFrame:
                 # Spark says s3a, Arrow says s3
                 system, plain = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
                 with system.open_input_stream(plain) as stream:
-                    found.append(_delimiter(stream.read(SNIFF_BYTES), candidates))
+                    head = stream.read(sniff_bytes).decode("utf-8", errors="replace")
+                try:
+                    found.append(csv.Sniffer().sniff(head, delimiters=candidates).delimiter)
+                except csv.Error:
+                    found.append(",")
             yield pd.DataFrame({"path": batch["path"], "delimiter": found})
 
     return files.select("path").mapInPandas(sniff, "path string, delimiter string")
@@ -96,41 +95,42 @@ def read_json_records(spark: SparkSession, path: str, sep: str = "_", lines: boo
     """JSON documents as rows, nested objects flattened.
 
     A top-level list gives one row per element. An object gives the elements of its first
-    list-valued member, or else one row. A document is parsed by one task, whatever the
-    engine; large data should come as JSON Lines (``lines=True``), which splits.
+    list-valued member, or else one row. A document is a file, or a line with ``lines=True``;
+    it is parsed by one task, so large data should come as lines, which split.
     """
     reader = spark.read.option("recursiveFileLookup", True)
-    if lines:
-        return flatten(reader.json(path), sep)
-    documents = reader.option("multiLine", True).json(path)
-    lists = [f.name for f in documents.schema if isinstance(f.dataType, T.ArrayType)]
+    schema = reader.option("multiLine", not lines).json(path).schema
+    lists = [f.name for f in schema if isinstance(f.dataType, T.ArrayType)]
     if not lists:
-        return flatten(documents, sep)
-
-    # Which member holds the rows depends on the order in the document, which the inferred schema loses.
-    whole = (
-        spark.read.option("recursiveFileLookup", True)
-        .text(path, wholetext=True)
-        .select(F.col("_metadata.file_path").alias("__file"), F.ltrim("value").alias("document"))
-    )
-    keys = whole.select(
-        "__file",
-        F.when(F.substring("document", 1, 1) == "{", F.json_object_keys("document")).alias("__keys"),
-    )
-    tagged = documents.select("*", F.col("_metadata.file_path").alias("__file")).join(keys, "__file")
-    present = F.array_compact(F.array(*[F.when(column(c).isNotNull(), F.lit(c)) for c in lists]))
-    tagged = tagged.withColumn(
-        "__member", F.get(F.filter("__keys", lambda k: F.array_contains(present, k)), F.lit(0))
+        return flatten(reader.schema(schema).option("multiLine", not lines).json(path), sep)
+
+    # Which member holds the rows depends on the order in the document, which the schema loses.
+    text_rows = spark.read.option("recursiveFileLookup", True).text(path, wholetext=not lines)
+    documents = text_rows.select(text.stripped(F.col("value")).alias("document")).where("document <> ''")
+    is_list = F.col("document").startswith("[")
+    strict = {"mode": "FAILFAST"}
+    items = documents.select(
+        F.when(~is_list, F.json_object_keys("document")).alias("keys"),
+        F.explode(
+            F.when(is_list, F.from_json("document", T.ArrayType(schema), strict)).otherwise(
+                F.array(F.from_json("document", schema, strict))
+            )
+        ).alias("item"),
     )
+    present = F.array_compact(F.array(*[F.when(F.col("item")[c].isNotNull(), F.lit(c)) for c in lists]))
+    first = F.get(F.filter("keys", lambda k: F.array_contains(present, k)), F.lit(0))
+    items = items.select("item", first.alias("member"))
     parts = []
-    for member in sorted(lists):
-        element = documents.schema[member].dataType.elementType
-        rows = tagged.where(F.col("__member") == member).select(F.explode(column(member)).alias("value"))
-        parts.append(flatten(rows.select("value.*") if isinstance(element, T.StructType) else rows, sep))
-    single = flatten(tagged.where(F.col("__member").isNull()).drop("__file", "__keys", "__member"), sep)
-    used = [r[0] for r in tagged.select("__member").distinct().collect()]
-    chosen = [p for m, p in zip(sorted(lists), parts) if m in used] + ([single] if None in used else [])
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), chosen or [single])
+    for (member,) in items.select("member").distinct().orderBy("member").collect():
+        if member is None:
+            parts.append(flatten(items.where("member is null").select("item.*"), sep))
+            continue
+        rows = items.where(F.col("member") == member).select(F.explode(F.col("item")[member]).alias("value"))
+        is_object = isinstance(schema[member].dataType.elementType, T.StructType)
+        parts.append(flatten(rows.select("value.*") if is_object else rows, sep))
+    if not parts:
+        return spark.createDataFrame([], flatten(spark.createDataFrame([], schema), sep).schema)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
