@@ -288,14 +288,15 @@ def contract_lengths(spark, sf):
     "standard_names",
     """select p_partkey as P_PARTKEY, p_name as "PRODUCT_NAME", p_type as "P_TYPE", p_size as '"p size"',
          case p_size when 1 then 'MATERIAL_MASTER_GENERAL' when 2 then 'SALES_ORDER_HEADER' when 3 then 'UNIVERSAL_JOURNAL'
-           when 4 then 'MATERIAL_TAX' else case when regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') then upper(p_name)
+           when 4 then 'MATERIAL_TAX' when 5 then upper(replace(p_name, ' ', '_')) else case when regexp_full_match(p_name, '[A-Za-z_][A-Za-z0-9_]*') then upper(p_name)
              else '"' || p_name || '"' end end as "STANDARD_NAME"
        from part""",
 )
 def standard_names(spark, sf):
     parts = table(spark, sf, "part").selectExpr(
         "p_partkey", "p_name", "p_type", "p_size as `p size`",
-        "case p_size when 1 then 'MARA' when 2 then 'VBAK' when 3 then 'ACDOCA' when 4 then 'MLAN' else p_name end as technical_name",
+        "case p_size when 1 then 'MARA' when 2 then 'VBAK' when 3 then 'ACDOCA' when 4 then 'MLAN' "
+        "when 5 then replace(p_name, ' ', '_') else p_name end as technical_name",
     )
     named = contracts.business_names(parts, "technical_name", sap_names(spark))
     return contracts.standard_names(named.drop("technical_name"), {"p_name": "product_name"})

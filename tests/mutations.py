@@ -41,9 +41,9 @@ MUTATIONS = [
     ("cdc_window", CDC, 'F.col("lsn") > from_lsn', 'F.col("lsn") >= from_lsn'),
     ("cdc_latest", CDC, 'F.struct("lsn", "seq", "op", *', 'F.struct("op", "lsn", "seq", *'),
     ("cdc_apply", CDC, 'F.col("op") != DELETE', 'F.col("op") != INSERT'),
-    ("cdc_counts", CDC, 'F.col("op") == AFTER).alias("updates")', 'F.col("op") == BEFORE).alias("updates")'),
+    ("cdc_counts", CDC, 'F.col("op") == AFTER).alias("updates")', 'F.col("op") >= AFTER - 1).alias("updates")'),
     ("cdc_apply_json", CDC, 'F.coalesce(change["columns"], change["identity"])', 'change["columns"]'),
-    ("cdc_parse_json", CDC, "F.when(valid, change[\"action\"]).alias", "change[\"action\"].alias"),
+    ("cdc_parse_json", CDC, "identity array<struct<name", "ident array<struct<name"),
     ("reconcile_sums", RECONCILE, "abs({s} - {t}) < {tolerance}", "abs({s} - {t}) < 1e9"),
     ("reconcile_verdict", RECONCILE, "c -> not c.sum_match", "c -> c.sum_match"),
     ("load_job_run", LOADS, '"status": "error", "error"', '"status": "success", "error"'),
@@ -53,7 +53,7 @@ MUTATIONS = [
     ("watermark_candidates", PROFILE, "score += 5", "score += 3"),
     ("key_candidates", PROFILE, "or row[f\"d{i}\"] < 0.7 * total", "or row[f\"d{i}\"] < 1.7 * total"),
     ("map_types", TYPES, "F.lit(0), F.least(F.coalesce(scale", "F.lit(1), F.least(F.coalesce(scale"),
-    ("conform_cast", CONTRACTS, "try_cast(T.DecimalType(*size))", "try_cast(T.DecimalType(size[0] + 2, size[1]))"),
+    ("conform_cast", CONTRACTS, "try_cast(T.DecimalType(*size))", "try_cast(T.DecimalType(size[0], 0))"),
     ("conform_violations", CONTRACTS, "F.length(c) > limit if limit", "F.length(c) >= limit if limit"),
     ("contract_pk", CONTRACTS, '.where("__n > 1")', '.where("__n > 2")'),
     ("standard_names", TEXT, "F.upper(name)", "name"),

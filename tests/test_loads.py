@@ -208,6 +208,11 @@ def test_last_change_wins(spark):
     assert rows(cdc.cdc_apply(base, changes, ["k"])) == [(1, "a2"), (3, "c2")]
 
 
+def test_counts_per_operation(spark):
+    changes = feed(spark, *[(1, "x", op, i, 1) for i, op in enumerate([1, 2, 2, 3, 3, 3, 4, 4, 4, 4])])
+    assert cdc.cdc_counts(changes).first()[:] == (2, 4, 1)
+
+
 def test_window_bounds(spark):
     changes = feed(spark, *[(i, "x", 2, i, 1) for i in range(1, 6)])
     assert sorted(r.k for r in cdc.cdc_window(changes, 2, 4).collect()) == [3, 4]
