@@ -16,6 +16,7 @@ SYSTEM = ["op", "lsn", "seq"]
 
 # Position and tombstone columns that a change-applied target carries besides its data.
 LSN, SEQ, DELETED = "__lsn", "__seq", "__deleted"
+HIGHEST = "highest lsn"
 
 CHANGE_SCHEMA = (
     "action string, "
@@ -53,8 +54,11 @@ def cdc_latest(feed: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def cdc_apply(target: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
-    """The target after the feed: changed keys leave it, their last images enter unless deleted."""
-    latest = cdc_latest(feed, keys)
+    """The target after the feed: changed keys leave it, their last images enter unless deleted.
+
+    The last changes are staged: they are read twice, and a feed can be costly to parse and sort.
+    """
+    latest = Staged(cdc_latest(feed, keys), "changes").df
     kept = target.join(latest.select(*keys), keys, "left_anti")
     images = latest.where(F.col("op") != DELETE).select(*[column(c) for c in target.columns])
     return kept.unionByName(images)
@@ -146,7 +150,8 @@ def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | N
     """Apply a feed to a stored target; late changes lose against what was already applied.
 
     Deletes stay as tombstones, so an older change cannot bring the row back. Only buckets
-    that hold a changed key are read and rewritten.
+    that hold a changed key are read and rewritten. The highest position is committed too: a
+    batch that starts after it cannot be late, and its keys need not be compared with the target.
     """
     keys = target.keys
     latest = cdc_latest(feed, keys)
@@ -162,24 +167,22 @@ def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | N
     )
     try:
         batch = staged.df
-        if not batch.where(" or ".join(f"`{k}` is null" for k in keys)).isEmpty():
-            raise ValueError(f"null key in {keys}")
-        if target.commit() is None:
-            return target.replace(batch, state)
         touched = target.touched_buckets(batch)
         if not touched:
-            return target.set_state(state or {})
+            return target.set_state(state or {}) if target.commit() else target.replace(batch, state)
+        first, last = batch.agg(F.min(LSN), F.max(LSN)).first()
+        applied = target.state.get(HIGHEST)
+        highest = last if applied is None else max(last, int(applied))
+        state = {**(state or {}), HIGHEST: str(highest)}
+        if target.commit() is None:
+            return target.replace(batch, state)
         old = target.read(touched)
-        # both joins may broadcast the batch: Spark decides by its measured size
-        position = old.where(F.col(LSN).isNotNull()).select(
-            *keys, F.struct(LSN, SEQ).alias("__applied")
-        )
-        late = (
-            batch.join(position, keys, "inner")
-            .where(F.col("__applied") >= F.struct(LSN, SEQ))
-            .select(*keys)
-        )
-        newer = batch.join(late, keys, "left_anti")
+        newer = batch
+        # the joins may broadcast the batch: Spark decides by its measured size
+        if applied is not None and first <= int(applied):
+            position = old.where(F.col(LSN).isNotNull()).select(*keys, F.struct(LSN, SEQ).alias("__applied"))
+            late = batch.join(position, keys, "inner").where(F.col("__applied") >= F.struct(LSN, SEQ))
+            newer = batch.join(late.select(*keys), keys, "left_anti")
         kept = old.join(newer.select(*keys), keys, "left_anti")
         return target.replace_buckets(kept.unionByName(newer), touched, state)
     finally:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrywell.operators.cleaning import column
+from ferrywell.operators.cleaning import column, quoted
 from ferrywell.session import Folder
 
 BUCKET = "__bucket"
@@ -98,9 +98,13 @@ class VersionedTable:
         )
 
     def touched_buckets(self, keyed: DataFrame) -> list[int]:
-        """The buckets the rows fall into: at most ``buckets`` numbers reach the driver."""
-        rows = self.with_bucket(keyed.select(*[column(k) for k in self.keys])).select(BUCKET).distinct().collect()
-        return sorted(r[0] for r in rows)
+        """The buckets the rows fall into; a null key is an error. One row per bucket reaches the driver."""
+        some_null = " or ".join(f"{quoted(k)} is null" for k in self.keys)
+        counted = self.with_bucket(keyed).groupBy(BUCKET).agg(F.expr(f"bool_or({some_null}) as lacks_key"))
+        rows = counted.collect()
+        if any(r.lacks_key for r in rows):
+            raise ValueError(f"null key in {self.keys}")
+        return sorted(r[BUCKET] for r in rows)
 
     # -- writing -----------------------------------------------------------------------------
 
