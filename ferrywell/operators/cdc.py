@@ -153,7 +153,7 @@ def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | N
     that hold a changed key are read and rewritten. The highest position is committed too: a
     batch that starts after it cannot be late, and its keys need not be compared with the target.
     """
-    keys = target.keys
+    keys, base = target.keys, target.commit()
     latest = cdc_latest(feed, keys)
     columns = [c for c in latest.columns if c not in SYSTEM]
     staged = Staged(
@@ -167,23 +167,22 @@ def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | N
     )
     try:
         batch = staged.df
-        touched = target.touched_buckets(batch)
-        if not touched:
-            return target.set_state(state or {}) if target.commit() else target.replace(batch, state)
-        first, last = batch.agg(F.min(LSN), F.max(LSN)).first()
-        applied = target.state.get(HIGHEST)
-        highest = last if applied is None else max(last, int(applied))
+        found = target.summary(batch, [f"min({LSN}) as first", f"max({LSN}) as last"])
+        if not found.touched:
+            return target.set_state(state or {}) if base else target.replace(batch, state)
+        applied = base["state"].get(HIGHEST) if base else None
+        highest = found.last if applied is None else max(found.last, int(applied))
         state = {**(state or {}), HIGHEST: str(highest)}
-        if target.commit() is None:
+        if base is None:
             return target.replace(batch, state)
-        old = target.read(touched)
+        old = target.read(found.touched, base)
         newer = batch
         # the joins may broadcast the batch: Spark decides by its measured size
-        if applied is not None and first <= int(applied):
+        if applied is not None and found.first <= int(applied):
             position = old.where(F.col(LSN).isNotNull()).select(*keys, F.struct(LSN, SEQ).alias("__applied"))
             late = batch.join(position, keys, "inner").where(F.col("__applied") >= F.struct(LSN, SEQ))
             newer = batch.join(late.select(*keys), keys, "left_anti")
         kept = old.join(newer.select(*keys), keys, "left_anti")
-        return target.replace_buckets(kept.unionByName(newer), touched, state)
+        return target.replace_buckets(kept.unionByName(newer), found.touched, base, state)
     finally:
         staged.release()

@@ -6,16 +6,15 @@ import datetime as dt
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywell.functions import errors
 from ferrywell.operators import cdc
-from ferrywell.operators.cleaning import column
+from ferrywell.operators.cleaning import column, quoted
 from ferrywell.operators.reconcile import reconcile
-from ferrywell.session import Staged
-from ferrywell.sinks.tables import append_table, replace_table, upsert_table
+from ferrywell.sinks.tables import append_table, replace_table, upsert_rows
 from ferrywell.sinks.versioned import VersionedTable
 
 # Stored as they are; every other type becomes text.
@@ -134,19 +133,29 @@ def incremental_load(
     else:
         resume = stored if known is None else known
     extracted = prepared(rows_after(source, watermark, resume, inclusive))
-    staged = Staged(extracted, "extract")
-    try:
-        batch = staged.df
-        mark = _matching(batch.columns, watermark)
-        rows, highest = batch.agg(F.count(F.lit(1)), F.max(column(mark)).cast("string")).first()
-        state = {} if highest is None else {slot: highest}
-        if rows and target.keys:
-            upsert_table(target, batch, [mark], state)
-        elif rows or target.commit() is None:
-            append_table(target, batch, state)
-        return {**load_stats("incremental", rows, started), "new_watermark": highest}
-    finally:
-        staged.release()
+    mark = _matching(extracted.columns, watermark)
+    highest = f"cast(max({quoted(mark)}) as string) as highest"
+
+    def state_of(found: Row) -> dict:
+        return {} if found.highest is None else {slot: found.highest}
+
+    if target.keys:
+        found = upsert_rows(target, extracted, [mark], [highest], state_of)
+    else:
+        found = _append_extracted(target, extracted, highest, state_of)
+    return {**load_stats("incremental", found.rows, started), "new_watermark": found.highest}
+
+
+def _append_extracted(target: VersionedTable, extracted: DataFrame, highest: str, state_of) -> Row:
+    """Append, with the watermark taken from the rows as written; an empty batch is not published."""
+    found = []
+
+    def state(written: DataFrame) -> dict | None:
+        found.append(written.agg(F.expr("count(1) as rows"), F.expr(highest)).first())
+        return state_of(found[0]) if found[0].rows or target.commit() is None else None
+
+    append_table(target, extracted, state)
+    return found[0]
 
 
 def cdc_load(feed: DataFrame, target: VersionedTable, to_lsn=None, mode: str = "cdc_feed") -> dict:

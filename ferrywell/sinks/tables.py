@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from ferrywell.operators.cleaning import column
+from ferrywell.operators.cleaning import COPIES, column
 from ferrywell.session import Staged
-from ferrywell.sinks.versioned import VersionedTable
+from ferrywell.sinks.versioned import State, VersionedTable
 
 
 def export(df: DataFrame, path: str, fmt: str) -> None:
@@ -27,7 +29,7 @@ def replace_table(target: VersionedTable, rows: DataFrame, state: dict[str, str]
     return target.replace(rows, state)
 
 
-def append_table(target: VersionedTable, rows: DataFrame, state: dict[str, str] | None = None) -> int:
+def append_table(target: VersionedTable, rows: DataFrame, state: State = None) -> int:
     return target.append(rows, state)
 
 
@@ -37,7 +39,7 @@ def write_quarantine(df: DataFrame, path: str) -> None:
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """One row per key: the highest in ``order``, then in the remaining columns.
+    """One row per key, the highest in ``order``, then in the remaining columns; and the rows it stands for.
 
     A max over structs combines on the map side, so a key with very many rows shrinks to one
     row per task before the shuffle.
@@ -46,30 +48,44 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
     ordered = F.struct(*[column(c) for c in [*order, *rest]])
     return (
         df.groupBy(*[column(k) for k in keys])
-        .agg(F.max(ordered).alias("__row"))
-        .select(*[column(k) for k in keys], "__row.*")
-        .select(*[column(c) for c in df.columns])
+        .agg(F.max(ordered).alias("__row"), F.count(F.lit(1)).alias(COPIES))
+        .select(*[column(k) for k in keys], "__row.*", COPIES)
+        .select(*[column(c) for c in df.columns], COPIES)
     )
 
 
+def upsert_rows(
+    target: VersionedTable, changes: DataFrame, order: list[str], measures: list[str], state_of: Callable[[Row], dict]
+) -> Row:
+    """Upsert, and publish what ``state_of`` makes of the batch's measures; returns the measures.
+
+    The rows of the batch are staged once, so that a source is read only once.
+    """
+    base = target.commit()
+    staged = Staged(latest_per_key(changes, target.keys, order), "upsert")
+    try:
+        found = target.summary(staged.df, [f"coalesce(sum({COPIES}), 0L) as rows", *measures])
+        batch = staged.df.drop(COPIES)
+        if base is None:
+            target.replace(batch, state_of(found))
+        elif found.touched:
+            # which side is small enough to broadcast is left to the sizes Spark measures
+            old = target.read(found.touched, base)
+            kept = old.join(batch.select(*target.keys), target.keys, "left_anti")
+            target.replace_buckets(kept.unionByName(batch), found.touched, base, state_of(found))
+        elif state_of(found):
+            target.set_state(state_of(found))
+        return found
+    finally:
+        staged.release()
+
+
 def upsert_table(
     target: VersionedTable, changes: DataFrame, order: list[str], state: dict[str, str] | None = None
 ) -> int:
     """Rows with a key of the batch are replaced, new keys are added; returns the version."""
-    keys = target.keys
-    staged = Staged(latest_per_key(changes, keys, order), "upsert")
-    try:
-        batch = staged.df
-        touched = target.touched_buckets(batch)
-        if target.commit() is None:
-            return target.replace(batch, state)
-        if not touched:
-            return target.set_state(state or {})
-        # which side is small enough to broadcast is left to the sizes Spark measures
-        kept = target.read(touched).join(batch.select(*keys), keys, "left_anti")
-        return target.replace_buckets(kept.unionByName(batch), touched, state)
-    finally:
-        staged.release()
+    upsert_rows(target, changes, order, [], lambda found: state or {})
+    return target.version
 
 
 def pick_cluster_keys(

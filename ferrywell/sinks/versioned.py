@@ -10,9 +10,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +22,9 @@ from ferrywell.session import Folder
 
 BUCKET = "__bucket"
 
+# Values to publish with the rows, or a function that finds them in the rows as written.
+State = dict[str, str] | Callable[[DataFrame], dict[str, str] | None] | None
+
 
 class VersionedTable:
     def __init__(
@@ -67,18 +71,19 @@ class VersionedTable:
 
     # -- reading -----------------------------------------------------------------------------
 
-    def read(self, only_buckets: list[int] | None = None) -> DataFrame:
-        commit = self.commit()
+    def read(self, only_buckets: list[int] | None = None, commit: dict | None = None) -> DataFrame:
+        """The rows of a commit, by default the newest."""
+        commit = commit or self.commit()
         if commit is None:
             raise FileNotFoundError(f"no complete version in {self.path}")
         schema = T.StructType.fromJson(commit["schema"])
         stored = T.StructType([*schema.fields, T.StructField(BUCKET, T.IntegerType())])
-        parts = []
+        whole = [f"{self.path}/data/{part['folder']}" for part in commit["parts"] if part["buckets"] is None]
+        parts = [self.spark.read.schema(schema).parquet(*whole)] if whole else []
         for part in commit["parts"]:
-            folder = f"{self.path}/data/{part['folder']}"
             if part["buckets"] is None:
-                parts.append(self.spark.read.schema(schema).parquet(folder))
                 continue
+            folder = f"{self.path}/data/{part['folder']}"
             wanted = part["buckets"] if only_buckets is None else sorted(set(part["buckets"]) & set(only_buckets))
             if wanted:
                 rows = self.spark.read.schema(stored).parquet(folder)
@@ -97,46 +102,50 @@ class VersionedTable:
             BUCKET, F.pmod(F.xxhash64(*[column(k) for k in self.keys]), F.lit(buckets)).cast("int")
         )
 
-    def touched_buckets(self, keyed: DataFrame) -> list[int]:
-        """The buckets the rows fall into; a null key is an error. One row per bucket reaches the driver."""
+    def summary(self, batch: DataFrame, measures: list[str] = ()) -> Row:
+        """One row about a batch: the ``touched`` buckets, and the given measures. A null key is an error."""
         some_null = " or ".join(f"{quoted(k)} is null" for k in self.keys)
-        counted = self.with_bucket(keyed).groupBy(BUCKET).agg(F.expr(f"bool_or({some_null}) as lacks_key"))
-        rows = counted.collect()
-        if any(r.lacks_key for r in rows):
+        row = (
+            self.with_bucket(batch)
+            .agg(*[F.expr(m) for m in (f"sort_array(collect_set({BUCKET})) as touched", f"bool_or({some_null}) as lacks_key", *measures)])
+            .first()
+        )
+        if row.lacks_key:
             raise ValueError(f"null key in {self.keys}")
-        return sorted(r[BUCKET] for r in rows)
+        return row
 
     # -- writing -----------------------------------------------------------------------------
 
-    def replace(self, df: DataFrame, state: dict[str, str] | None = None) -> int:
+    def replace(self, df: DataFrame, state: State = None) -> int:
         """All rows of the table are now ``df``."""
-        return self._publish(df, keep=lambda commit: [], buckets=range(self._bucket_count()), state=state)
+        return self._publish(df, self.commit(), [], range(self._bucket_count()), state)
 
-    def append(self, df: DataFrame, state: dict[str, str] | None = None) -> int:
-        """Add rows; nothing that is already there is read or rewritten."""
-        commit = self.commit()
-        if commit and len(commit["parts"]) >= self.max_versions:
-            return self.replace(self.read().unionByName(df), state)
-        return self._publish(df, keep=lambda c: c["parts"], buckets=range(self._bucket_count()), state=state)
+    def append(self, df: DataFrame, state: State = None) -> int:
+        """Add rows; nothing that is already there is read or rewritten.
 
-    def replace_buckets(self, df: DataFrame, buckets: list[int], state: dict[str, str] | None = None) -> int:
-        """The rows of the given buckets are now ``df``; other buckets keep their files."""
+        ``state`` can be a function of the rows as written. If it returns None, nothing is published.
+        """
         commit = self.commit()
-        if commit is None:
-            return self.replace(df, state)
+        return self._publish(df, commit, commit["parts"] if commit else [], range(self._bucket_count()), state)
+
+    def replace_buckets(self, df: DataFrame, buckets: list[int], base: dict, state: State = None) -> int:
+        """The rows of the given buckets are now ``df``; other buckets keep their files.
+
+        ``base`` is the commit that ``df`` was made from. If another writer has published since,
+        this write fails instead of undoing the other one.
+        """
+        commit = base
         if any(part["buckets"] is None for part in commit["parts"]):
             raise ValueError("the table was written without keys, so it has no buckets to replace")
         if len(commit["parts"]) >= self.max_versions:
-            # few large parts read faster than many small ones
-            others = sorted(set(range(commit["buckets"])) - set(buckets))
-            return self.replace(self.read(others).unionByName(df), state)
+            # the parts with the fewest buckets are written again together with this one, so that
+            # a reader meets few parts; the large ones stay as they are
+            small = sorted(commit["parts"], key=lambda part: len(part["buckets"]))[: self.max_versions // 2]
+            more = sorted({b for part in small for b in part["buckets"]} - set(buckets))
+            df, buckets = df.unionByName(self.read(more, commit)), sorted([*buckets, *more])
         dropped = set(buckets)
-
-        def keep(commit: dict) -> list[dict]:
-            parts = [{**p, "buckets": sorted(set(p["buckets"]) - dropped)} for p in commit["parts"]]
-            return [p for p in parts if p["buckets"]]
-
-        return self._publish(df, keep=keep, buckets=buckets, state=state)
+        parts = [{**p, "buckets": sorted(set(p["buckets"]) - dropped)} for p in commit["parts"]]
+        return self._publish(df, commit, [p for p in parts if p["buckets"]], buckets, state)
 
     def set_state(self, state: dict[str, str]) -> int:
         """Publish new state values without touching the data."""
@@ -159,13 +168,28 @@ class VersionedTable:
             if name not in used and int(name.partition("-")[0]) <= commit["version"]:
                 data.delete(name)
 
+    def drop_damaged_commits(self) -> None:
+        """Remove commits newer than the newest complete one, left by writers that died while committing.
+
+        Such a commit blocks further writes. Only call this while nothing else writes.
+        """
+        last = self.version
+        for name in self._commits.names():
+            if name > f"{last:012d}.json":
+                self._commits.delete(name)
+
     def _bucket_count(self) -> int:
         commit = self.commit()
         return commit["buckets"] if commit else self.buckets
 
-    def _publish(self, df: DataFrame, keep, buckets, state) -> int:
-        commit = self.commit()
+    def _publish(self, df: DataFrame, commit: dict | None, kept: list[dict], buckets, state: State) -> int:
         version = commit["version"] + 1 if commit else 1
+        if kept:
+            if commit["keys"] != self.keys:
+                raise ValueError(f"the table is keyed by {commit['keys']}, not by {self.keys}")
+            before = {f.name: f.dataType for f in T.StructType.fromJson(commit["schema"])}
+            if before != {f.name: f.dataType for f in df.schema}:
+                raise ValueError(f"columns differ from those of the table: {df.schema.simpleString()}")
         # two writers never share a directory; the second one fails when it commits
         name = f"{version:012d}-{uuid.uuid4().hex}"
         folder = f"{self.path}/data/{name}"
@@ -174,6 +198,11 @@ class VersionedTable:
             self.with_bucket(df).hint("rebalance", BUCKET).write.partitionBy(BUCKET).parquet(folder)
         else:
             df.write.parquet(folder)
+        if callable(state):
+            state = state(self.spark.read.schema(df.schema).parquet(folder))
+            if state is None:
+                Folder(self.spark, folder).delete()
+                return commit["version"] if commit else 0
         held = list(buckets) if self.keys else None
         # "written" is what the folder holds, "buckets" what later versions have left valid of it
         part = {"folder": name, "written": held, "buckets": held}
@@ -183,7 +212,7 @@ class VersionedTable:
                 "schema": df.schema.jsonValue(),
                 "keys": self.keys,
                 "buckets": commit["buckets"] if commit else self.buckets,
-                "parts": (keep(commit) if commit else []) + [part],
+                "parts": [*kept, part],
                 "state": {**(commit["state"] if commit else {}), **(state or {})},
             }
         )

@@ -38,6 +38,12 @@ def test_unfinished_write_is_not_seen(spark, target):
     spark.createDataFrame([(9, "z")], "k int, v string").write.parquet(f"{target.path}/data/000000000002-dead")
     Folder(spark, f"{target.path}/commits").create_text("000000000002.json", '{"version": 2, "sch')
     assert rows(target.read()) == [(1, "a")]
+    more = spark.createDataFrame([(2, "b")], "k int, v string")
+    with pytest.raises(Exception, match="(?i)exist"):
+        target.append(more)
+    target.drop_damaged_commits()
+    target.append(more)
+    assert rows(target.read()) == [(1, "a"), (2, "b")]
 
 
 def test_second_writer_of_a_version_fails(spark, target):
@@ -48,11 +54,29 @@ def test_second_writer_of_a_version_fails(spark, target):
         target._write_commit(commit)
 
 
+def test_write_in_between_is_not_undone(spark, target):
+    target.replace(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"))
+    base = target.commit()
+    kept = target.read(None, base).where("k = 2")
+    tables.upsert_table(target, spark.createDataFrame([(1, "other writer")], "k int, v string"), [])
+    with pytest.raises(Exception, match="(?i)exist"):
+        target.replace_buckets(kept, list(range(4)), base)
+    assert rows(target.read()) == [(1, "other writer"), (2, "b")]
+
+
+def test_other_columns_or_keys_are_refused(spark, target):
+    target.replace(spark.createDataFrame([(1, "a")], "k int, v string"))
+    with pytest.raises(ValueError, match="columns differ"):
+        target.append(spark.createDataFrame([(1, 2)], "k int, v int"))
+    with pytest.raises(ValueError, match="keyed by"):
+        VersionedTable(spark, target.path, ["v"], 4).append(target.read())
+
+
 def test_upsert_rewrites_only_touched_buckets(spark, target):
     target.replace(spark.range(100).selectExpr("cast(id as int) as k", "'old' as v"))
     tables.upsert_table(target, spark.createDataFrame([(7, "new"), (200, "new")], "k int, v string"), [])
     commit = target.commit()
-    touched = target.touched_buckets(spark.createDataFrame([(7,), (200,)], "k int"))
+    touched = target.summary(spark.createDataFrame([(7,), (200,)], "k int")).touched
     assert len(touched) < 4 and commit["parts"][-1]["buckets"] == touched
     assert set(commit["parts"][0]["buckets"]) == set(range(4)) - set(touched)
     assert target.read().count() == 101
@@ -89,6 +113,17 @@ def test_many_versions_are_merged_and_old_ones_dropped(spark):
     assert table.read().count() == 8
 
 
+def test_small_parts_are_merged_and_large_ones_left(spark):
+    table = VersionedTable(spark, new_folder(spark, "test"), keys=["k"], buckets=64, max_versions=4)
+    table.replace(spark.range(500).selectExpr("cast(id as int) as k", "'old' as v"))
+    large = table.commit()["parts"][0]["folder"]
+    for i in range(9):
+        tables.upsert_table(table, spark.createDataFrame([(i, "new")], "k int, v string"), [])
+        assert len(table.commit()["parts"]) <= 5
+    assert large in {p["folder"] for p in table.commit()["parts"]}
+    assert rows(table.read()) == sorted([(i, "new" if i < 9 else "old") for i in range(500)], key=repr)
+
+
 def test_append_leaves_files_alone(spark):
     table = VersionedTable(spark, new_folder(spark, "test"))
     table.append(spark.range(3).toDF("k"))
@@ -179,13 +214,18 @@ def test_incremental_ties(spark):
         loads.incremental_load(late, VersionedTable(spark, new_folder(spark, "test")), "w", inclusive=True)
 
 
-def test_incremental_without_new_rows(spark):
-    table = VersionedTable(spark, new_folder(spark, "test"), keys=["K"], buckets=2)
-    source = spark.createDataFrame([(1, 10)], "k int, w int")
-    loads.incremental_load(source, table, "w")
-    version = table.version
+@pytest.mark.parametrize("keys", [["K"], []])
+def test_incremental_without_new_rows(spark, keys):
+    table = VersionedTable(spark, new_folder(spark, "test"), keys=keys, buckets=2)
+    source = spark.createDataFrame([(1, 10), (2, 10)], "k int, w int")
+    assert loads.incremental_load(source, table, "w")["rows_loaded"] == 2
+    version, files = table.version, data_files(spark, table)
     assert loads.incremental_load(source, table, "w")["rows_loaded"] == 0
-    assert table.version == version
+    assert table.version == version and data_files(spark, table) == files
+    more = source.unionByName(spark.createDataFrame([(3, 11), (1, 12), (1, 13)], source.schema))
+    stats = loads.incremental_load(more, table, "w")
+    assert stats["rows_loaded"] == 3 and stats["new_watermark"] == "13"
+    assert table.read().count() == (3 if keys else 5)
 
 
 def test_job_records_failures(spark):
