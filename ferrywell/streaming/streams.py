@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ferrywell.operators import cdc
 from ferrywell.plans.loads import prepared
-from ferrywell.sinks.tables import upsert_table
+from ferrywell.sinks.tables import append_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
 
 
@@ -39,11 +39,19 @@ def incremental_stream(
     spark: SparkSession, source: str, schema: T.StructType, target: VersionedTable, watermark: str,
     checkpoint: str, files_per_batch: int | None = None, **trigger,
 ) -> StreamingQuery:
-    """Upsert arriving files; in a batch the row with the highest watermark counts for its key."""
+    """Upsert arriving files, or append them if the target has no keys.
+
+    In a batch the row with the highest watermark counts for its key.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        if not _is_applied(target, checkpoint, number):
-            upsert_table(target, prepared(batch), [watermark.upper()], {f"batch:{checkpoint}": str(number)})
+        if _is_applied(target, checkpoint, number):
+            return
+        state = {f"batch:{checkpoint}": str(number)}
+        if target.keys:
+            upsert_table(target, prepared(batch), [watermark.upper()], state)
+        else:
+            append_table(target, prepared(batch), state)
 
     return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)
 

@@ -124,6 +124,23 @@ def test_small_parts_are_merged_and_large_ones_left(spark):
     assert rows(table.read()) == sorted([(i, "new" if i < 9 else "old") for i in range(500)], key=repr)
 
 
+def test_hot_bucket_is_written_by_several_tasks(spark):
+    skewed = spark.range(200_000, numPartitions=8).selectExpr(
+        "case when id % 3 = 0 then 1 else id end as k", "md5(cast(id as string)) as v"
+    )
+    table = VersionedTable(spark, new_folder(spark, "test"), keys=["k"], buckets=8)
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "512KB")
+    try:
+        table.replace(skewed)
+    finally:
+        spark.conf.set(size, before)
+    files = table.read().groupBy(F.input_file_name()).agg(F.count("*").alias("n"), F.count_if(F.col("k") == 1).alias("hot")).collect()
+    assert sum(f.n for f in files) == 200_000
+    assert sum(f.hot > 0 for f in files) > 1 and max(f.n for f in files) < 66_000
+
+
 def test_append_leaves_files_alone(spark):
     table = VersionedTable(spark, new_folder(spark, "test"))
     table.append(spark.range(3).toDF("k"))
@@ -357,6 +374,16 @@ def test_stream_takes_each_file_once_and_replays_change_nothing(spark, target):
     assert rows(table.read()) == [(1, 3), (2, 1)]
 
 
+def test_stream_without_keys_appends(spark):
+    source, checkpoint = new_folder(spark, "in"), new_folder(spark, "cp")
+    table = VersionedTable(spark, new_folder(spark, "out"))
+    df = spark.createDataFrame([(1, 1), (1, 2)], "k int, w int")
+    for i in range(2):
+        df.write.parquet(f"{source}/{i}")
+        incremental_stream(spark, source, df.schema, table, "w", checkpoint).awaitTermination()
+    assert table.read().count() == 4
+
+
 def test_change_stream_in_small_batches(spark, target):
     source, checkpoint = new_folder(spark, "in"), new_folder(spark, "cp")
     changes = [(1, "a", 2, 1, 1), (1, "b", 4, 2, 1), (2, "c", 2, 3, 1), (2, None, 1, 4, 1)]
