@@ -103,3 +103,23 @@ def test_jdbc_options():
     assert ranged["partitionColumn"] == "id" and ranged["numPartitions"] == "8"
     assert (ranged["lowerBound"], ranged["upperBound"], ranged["user"]) == ("1", "800", "u")
     assert "partitionColumn" not in jdbc.read_options("jdbc:x", "empty", "id", 8, None, None)
+
+
+def test_key_ranges_follow_the_rows():
+    # 300 keys in the first bin, a third of all rows in one bin, the rest spread thinly
+    counts = [(0, 300), (40, 5000)] + [(b, 10) for b in range(41, 1000)]
+    predicates = jdbc.balanced_predicates(counts, "id", 100, 7, 8)
+    assert 1 < len(predicates) <= 8
+
+    def holds(predicate, key):
+        if key is None:
+            return "is null" in predicate
+        return eval(predicate.replace("id is null", "False"), {"id": key})
+
+    for key in [None, -5, 99, *range(100, 100 + 7 * 1000), 10**9]:
+        assert sum(holds(p, key) for p in predicates) == 1
+    loads = [sum(n for b, n in counts if holds(p, 100 + 7 * b)) for p in predicates]
+    total = sum(n for _, n in counts)
+    assert sum(loads) == total and max(loads) <= 5000 + total / 8
+    assert sorted(loads)[-2] <= 2 * total / 8
+    assert jdbc.balanced_predicates([(0, 5)], "id", 0, 1, 8) == ["1 = 1"]
