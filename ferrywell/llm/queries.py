@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywell.llm import license_scan, quality
+from ferrywell.llm import language_id, license_scan, packing, quality, token_rollup
 from ferrywell.llm.exact_dedup import ExactDedup
 from ferrywell.session import Staged, new_folder
 
@@ -125,3 +125,27 @@ LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     from b left join hits on hits.r = b.r""")
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
+
+
+@query("op5_language_id")
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = language_id.fold(F.col("doc_id")) == 1
+    model = language_id.fit(docs.where(~held_out))
+    return language_id.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op6_token_counts")
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, which is then sent again and must not count twice."""
+    rollup = token_rollup.TokenRollup(spark, new_folder(spark, "token-rollup"))
+    batch = token_rollup.inserts(token_rollup.count_tokens(documents(spark, sf_dir)))
+    rollup.commit("documents", batch)
+    rollup.commit("documents", batch)
+    return rollup.totals()
+
+
+@query("op10_packing")
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), keep_ids=False)
