@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywell.llm import language_id, license_scan, packing, quality, token_rollup
+from ferrywell.llm import language_id, license_scan, packing, quality, sentencepiece_viterbi, token_rollup
 from ferrywell.llm.exact_dedup import ExactDedup
 from ferrywell.session import Staged, new_folder
 
@@ -146,6 +146,11 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+@query("op9_sentencepiece")
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.encode(documents(spark, sf_dir), keep_ids=False)
+
+
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
