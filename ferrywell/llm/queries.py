@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywell.llm import jaccard_join, language_id, license_scan, packing, quality, sentencepiece_viterbi, token_rollup
+from ferrywell.llm import jaccard_join, language_id, license_scan, packing, quality, sentencepiece_viterbi, suffix_dedup, token_rollup
 from ferrywell.llm.exact_dedup import ExactDedup
 from ferrywell.session import Staged, new_folder
 
@@ -127,6 +127,11 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir))
 
 
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.measured(documents(spark, sf_dir))
+
+
 @query("op2_ngram_jaccard")
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similar_documents(documents(spark, sf_dir), jaccard_join.Setting(width=3, percent=90))
