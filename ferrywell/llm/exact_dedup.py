@@ -21,6 +21,8 @@ STATE_STORE = {
     # one budget for all stores of an executor, so that memory does not grow with their number
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    # a store takes the space it uses, not megabytes ahead for each partition
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 GROUP = "digest binary, keep struct<doc_id: bigint, file: string, row: bigint>, n bigint"
 
@@ -52,7 +54,8 @@ class ExactDedup:
     def ingest(self, path: str, files_per_batch: int | None = None) -> None:
         """Take in the Parquet files below ``path`` that earlier calls have not seen, then return."""
         session = self.spark.newSession()
-        for name, value in STATE_STORE.items():
+        partitions = "spark.sql.shuffle.partitions"
+        for name, value in (STATE_STORE | {partitions: self.spark.conf.get(partitions)}).items():
             session.conf.set(name, value)
         reader = session.readStream.schema(self.spark.read.parquet(path).schema)
         if files_per_batch:
