@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywell.llm import jaccard_join, language_id, license_scan, packing, quality, sentencepiece_viterbi, suffix_dedup, token_rollup
+from ferrywell.llm import jaccard_join, language_id, license_scan, line_dedup, packing, quality, sentencepiece_viterbi, suffix_dedup, token_rollup
 from ferrywell.llm.exact_dedup import ExactDedup
 from ferrywell.session import Staged, new_folder
 
@@ -32,6 +32,34 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+@query("op3_line_dedup", rf"""
+    with l as (
+      select doc_id, line - 1 as line, list_distinct(regexp_extract_all(lines[line], '{WORD}')) as words
+      from (select doc_id, lines, unnest(range(1, len(lines) + 1)) as line
+            from (select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents))
+      where regexp_matches(lines[line], '{WORD}')),
+    s as (select list_sort(words) as words, min((doc_id, line)) as place, len(any_value(words)) as n from l group by 1),
+    t as (select place, n, unnest(words) as word from s),
+    f as (select word, count(*) as f from t group by word),
+    r as (select place, n, t.word, row_number() over (partition by place order by f, t.word) as rk
+          from t join f on f.word = t.word),
+    p as (select * from r where rk <= n - ceil(0.8 * n - 1e-9) + 1),
+    c as (select distinct x.place as later, y.place as earlier from p x join p y on x.word = y.word
+          and x.place > y.place and 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n)),
+    m as (select distinct c.later from c join s a on a.place = c.later join s b on b.place = c.earlier
+          where 100 * len(list_intersect(a.words, b.words)) >= 80 * (a.n + b.n - len(list_intersect(a.words, b.words)))),
+    g as (select l.doc_id, l.line from l join s on s.words = list_sort(l.words)
+          where s.place <> (l.doc_id, l.line) or s.place in (select later from m)),
+    e as (select doc_id, count(*) as n_lines from l group by doc_id),
+    h as (select doc_id, list(cast(line as integer) order by line) as removed from g group by doc_id)
+    select d.doc_id, coalesce(e.n_lines, 0) as n_lines, cast(coalesce(len(h.removed), 0) as bigint) as n_removed,
+      coalesce(array_to_string(h.removed, ','), '') as removed
+    from documents d left join e on e.doc_id = d.doc_id left join h on h.doc_id = d.doc_id""")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.decisions(documents(spark, sf_dir))
+    return found.withColumn("removed", F.array_join("removed", ","))
+
+
 @query("op4_quality_rules", rf"""
     with d as (
       select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as words,
