@@ -22,10 +22,12 @@ from itertools import combinations
 from math import comb
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ferrywell.llm.bit_filter import BITS, BitFilter
 from ferrywell.llm.components import connected_components
 from ferrywell.llm.shingles import mix, shingle_sets
 from ferrywell.session import Staged
@@ -38,7 +40,7 @@ class Setting:
     width: int = 5
     percent: int = 80  # of the union, that two linked sets share at least
     buckets: int = 1 << 18  # counters of the frequency sketch
-    filter_bits: int = 1 << 25  # bits of the filter for documents with candidates
+    filter_bits: int = BITS  # of the filter for documents with candidates
     scan_cost: int = 3  # of reading one inverted list, in enumerated subsets
     block: int = 4096  # longest stretch of a list that one task compares with another
 
@@ -209,30 +211,24 @@ def _postings(docs: DataFrame, classes: np.ndarray, boundary: int, setting: Sett
 def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, setting: Setting) -> DataFrame:
     """The tokens of the sets that stand in some list with another, one row each.
 
-    Which documents to take them from is told to the tasks by a bit filter of fixed size; what it
-    lets through too much is dropped by the join that follows.
+    Which documents to take them from is told to the tasks by a bit filter; what it lets through too
+    much is dropped by the join that follows.
     """
     wanted = lists.select("s").distinct()
     chosen = sets.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
     chosen = Staged(chosen, "jaccard-chosen").df
-    bit = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(setting.filter_bits))
-    rows = (chosen.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).alias("word"))
-            .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("bits")).toPandas())
-    words = np.zeros(setting.filter_bits >> 5, np.uint32)
-    words[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.uint32)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
+    let = BitFilter(chosen.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), ["doc_id"], setting.filter_bits)
     width = setting.width
 
     def start():
-        bits, seen = sent.value, set()
+        seen: set[int] = set()
 
         def work(part: pa.RecordBatch | None):
             if part is None:
                 return None
-            at = part.column(2).to_numpy(zero_copy_only=False)
-            let = np.flatnonzero(bits[at >> 5] >> (at & 31).astype(np.uint32) & 1)
             names, sizes, bodies, maps = [], [], [], []
-            texts = part.column(1).take(pa.array(let)).to_pylist()
+            ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            texts = part.column(1).filter(pa.array(let.lets([ids]))).to_pylist()
             for tokens in shingle_sets(texts, width):
                 name = set_name(tokens)
                 if len(tokens) and name not in seen:
@@ -245,7 +241,7 @@ def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, setting: Setting
 
         return work
 
-    made = _mapped(docs.select("doc_id", "text", bit.alias("bit")), "s bigint, n int, body binary, bitmap binary", start)
+    made = _mapped(docs, "s bigint, n int, body binary, bitmap binary", start)
     return Staged(made.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-bodies").df
 
 
@@ -353,3 +349,30 @@ def _named(sets: DataFrame, groups: DataFrame) -> DataFrame:
     names = full.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     empty = sets.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def distinct_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
+    """The rows without near copies: of each group the one with the smallest doc_id, in its own columns.
+
+    Texts without a word stay. Of rows that share the smallest doc_id of their group one stays. A doc_id
+    that stands for several texts counts as one document, in the group with the smallest name.
+    """
+    found = Staged(similar_documents(docs, setting), "jaccard-documents").df.where("n_shingles > 0")
+    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
+    members = found.join(several, found["component_id"].eqNullSafe(several["component_id"]), "left_semi")
+    members = members.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.min("component_id").alias("group"))
+    members = Staged(members, "jaccard-members").df
+    let = BitFilter(members, ["id"], setting.filter_bits)
+
+    @F.pandas_udf("boolean")
+    def maybe(ids: pd.Series) -> pd.Series:
+        return pd.Series(let.lets([ids.to_numpy(np.int64)]) if len(ids) else [], dtype=bool)
+
+    rows = docs.select(F.struct(F.col("*")).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"))
+    rows = rows.withColumn("maybe", maybe("id"))
+    # only rows that may belong to a group are shuffled
+    joined = rows.where("maybe").join(members.withColumn("member", F.lit(True)), "id", "left")
+    alone = joined.where("member is null or row.text is null").select("row.*")
+    first = joined.where("member and row.text is not null and id = coalesce(group, -1)")
+    first = first.groupBy("group").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
+    return rows.where("not maybe").select("row.*").unionByName(alone).unionByName(first)
