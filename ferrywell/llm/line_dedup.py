@@ -42,12 +42,12 @@ def _byte(table: bytes, at: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines that hold a word: document (id and hash), place, and distinct words."""
+    """Lines: document (id and hash), place, and distinct words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return rows.select("d", "h", "line", F.array_distinct(split_words(F.col("words"))).alias("words")).where(F.size("words") > 0)
+    return rows.select("d", "h", "line", F.array_distinct(split_words(F.col("words"))).alias("words"))
 
 
 def _frequency_table(docs: DataFrame) -> bytes:
@@ -89,7 +89,8 @@ def _sets(docs: DataFrame, table: bytes, percent: int) -> DataFrame:
         _parity(F.col("sig"), 0).alias("b1"), _parity(F.col("sig"), 6).alias("b2"))
     sets = rows.groupBy("s1", "s2").agg(
         F.min(F.struct(*ORDER)).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", "b1", "b2")))
-    sets = sets.select("first.*", "s1", "s2", "n", "prefix", "b1", "b2")
+    # lines without a word match nothing
+    sets = sets.where("n > 0").select("first.*", "s1", "s2", "n", "prefix", "b1", "b2")
     return _freed(Staged(sets.orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id()), "line-sets"))
 
 

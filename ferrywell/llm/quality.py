@@ -104,7 +104,10 @@ def kept(failed: Column, policy: Policy = CURRENT) -> Column:
 
 def filtered(docs: DataFrame, policy: Policy = CURRENT) -> DataFrame:
     """The documents that the policy keeps, with their own columns."""
-    return with_ledger(docs).where(kept(F.col("ledger.failed"), policy)).select("row.*")
+    # the condition needs a column that is not repeatable, so that it is not moved below the
+    # measurements, which would write all of them out again for each use
+    fenced = with_ledger(docs).withColumn("fence", F.monotonically_increasing_id())
+    return fenced.where(kept(F.col("ledger.failed"), policy) & (F.col("fence") >= 0)).select("row.*")
 
 
 def ablations(lines: DataFrame, policy: Policy = CURRENT, by: tuple[str, ...] = ()) -> DataFrame:
