@@ -20,12 +20,22 @@ STRICT_NULLS = ["na", "n/a", "null", "none", "nan", "-", "", "undefined", "nil"]
 BASIC_NULLS = ["NA", "N/A", "null", "NULL", "None", "none", "-", "", "undefined", "nil", "#N/A", "NaN"]
 
 # Text patterns for the detected type of a column.
-NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
-DATE_PATTERN = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"
+NUMBER_PATTERN = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\z"
+DATE_PATTERN = r"^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$"
 DATETIME_PATTERN = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}"
 BOOLEAN_WORDS = ["true", "false", "yes", "no", "1", "0"]
 
 
+# CSV as it is commonly written, with quotes doubled and line breaks inside quotes.
+CSV = {
+    "header": True, "encoding": "UTF-8", "quote": '"', "escape": '"',
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+# An empty text is written in quotes and a null as nothing, and both are read as such.
+CSV_WRITE = CSV | {"emptyValue": '""', "nullValue": ""}
+CSV_READ = CSV | {"emptyValue": "", "nullValue": "\0"}
+
+
 def stripped(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
@@ -45,15 +55,14 @@ def is_null_token(c: Column, profile: str, trimmed: bool = False) -> Column:
 
 
 def looks_numeric(c: Column) -> Column:
-    # the comparisons look at the first character only and spare most texts the pattern;
-    # "$" also matches before a final line break, which the last test excludes
-    return (c >= "+") & (c < ":") & c.rlike(NUMBER_PATTERN) & ~c.contains("\n")
+    # the comparisons look at the first character only and spare most texts the pattern
+    return (c >= "+") & (c < ":") & c.rlike(NUMBER_PATTERN)
 
 
 def looks_numeric_sql(c: str) -> str:
     """The condition of ``looks_numeric`` as SQL text."""
     pattern = NUMBER_PATTERN.replace("\\", "\\\\")
-    return f"({c} >= '+' and {c} < ':' and {c} rlike '{pattern}' and not contains({c}, '\\n'))"
+    return f"({c} >= '+' and {c} < ':' and {c} rlike '{pattern}')"
 
 
 def parsed_number(c: Column) -> Column:

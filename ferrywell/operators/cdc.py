@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,11 +46,13 @@ def cdc_latest(feed: DataFrame, keys: list[str]) -> DataFrame:
     one row per task before the shuffle. Equal positions are settled by operation, then values.
     """
     rest = [c for c in feed.columns if c not in keys and c not in SYSTEM]
-    ordered = F.struct("lsn", "seq", "op", *[column(c) for c in rest])
+    # a map or variant cannot be ordered, but its text can
+    plain = [F.to_json(F.struct(column(c))) if isinstance(feed.schema[c].dataType, (T.MapType, T.VariantType)) else column(c) for c in rest]
+    ordered = F.struct("lsn", "seq", "op", *plain)
     return (
         feed.where(F.col("op") != BEFORE)
         .groupBy(*[column(k) for k in keys])
-        .agg(F.max(ordered).alias("__row"))
+        .agg(F.max_by(F.struct(*[column(c) for c in [*rest, *SYSTEM]]), ordered).alias("__row"))
         .select(*[column(k) for k in keys], *[F.col("__row")[c].alias(c) for c in [*rest, *SYSTEM]])
     )
 
@@ -56,9 +60,12 @@ def cdc_latest(feed: DataFrame, keys: list[str]) -> DataFrame:
 def cdc_apply(target: DataFrame, feed: DataFrame, keys: list[str]) -> DataFrame:
     """The target after the feed: changed keys leave it, their last images enter unless deleted.
 
-    The last changes are staged: they are read twice, and a feed can be costly to parse and sort.
+    The last changes are staged: they are read twice, and a feed can be costly to parse and sort. A
+    change without a key is refused.
     """
     latest = Staged(cdc_latest(feed, keys), "changes").df
+    if not latest.where(reduce(Column.__or__, [column(k).isNull() for k in keys])).isEmpty():
+        raise ValueError(f"a change has no value for one of its keys {keys}")
     kept = target.join(latest.select(*keys), keys, "left_anti")
     images = latest.where(F.col("op") != DELETE).select(*[column(c) for c in target.columns])
     return kept.unionByName(images)
@@ -115,16 +122,39 @@ def broken_changes(log: DataFrame, data: str = "data") -> DataFrame:
     )
 
 
-def log_as_feed(log: DataFrame, schema: T.StructType, data: str = "data") -> DataFrame:
-    """A JSON log as a numbered feed with the target's columns; other actions are ignored."""
-    parsed = parse_change_json(log, data).where(F.col("op").isNotNull())
+def _unreadable(schema: T.StructType, keys: list[str]) -> Column:
+    """A cell that is given but does not fit its column, or a key that is not given."""
+    tests = []
+    for f in schema:
+        cell = F.try_element_at("cells", F.lit(f.name))
+        read = cell.try_cast(f.dataType)
+        tests.append(read.isNull() if f.name in keys else cell.isNotNull() & read.isNull())
+    return reduce(Column.__or__, tests, F.lit(False))
+
+
+def unreadable_changes(log: DataFrame, schema: T.StructType, keys: list[str], data: str = "data") -> DataFrame:
+    """Changes with a cell that does not fit, or without a key, for the quarantine; they are not applied."""
+    return (
+        parse_change_json(log, data)
+        .where(F.col("op").isNotNull() & _unreadable(schema, keys))
+        .drop("action", "op", "cells")
+        .withColumn("reason", F.lit("Unreadable cell or key"))
+    )
+
+
+def log_as_feed(log: DataFrame, schema: T.StructType, data: str = "data", keys: list[str] = ()) -> DataFrame:
+    """A JSON log as a numbered feed with the target's columns; other actions are ignored.
+
+    So are changes that ``unreadable_changes`` reports: a cell that cannot be read must not become a null.
+    """
+    parsed = parse_change_json(log, data).where(F.col("op").isNotNull() & ~_unreadable(schema, keys))
     cells = [F.try_element_at("cells", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in schema]
     seq = F.col("seq") if "seq" in log.columns else F.lit(0)
     return parsed.select(*cells, "op", "lsn", seq.alias("seq"))
 
 
 def cdc_apply_json(target: DataFrame, log: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
-    return cdc_apply(target, log_as_feed(log, target.schema, data), keys)
+    return cdc_apply(target, log_as_feed(log, target.schema, data, keys), keys)
 
 
 # -- applying to a stored target -----------------------------------------------------------------

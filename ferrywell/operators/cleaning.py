@@ -6,7 +6,9 @@ keeps every removed row with its reason; ``basic`` has its own token list and ke
 
 from __future__ import annotations
 
+import math
 from functools import cached_property, reduce
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,9 @@ from pyspark.sql import types as T
 from ferrywell.functions import errors, text
 from ferrywell.session import Staged
 
+if TYPE_CHECKING:
+    from ferrywell.sinks.versioned import VersionedTable
+
 # The reasons given to removed rows.
 EMPTY = "All values missing"
 DUPLICATE = "Duplicate row"
@@ -74,8 +79,15 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.where(~all_null(df))
 
 
+def nan_as_null(df: DataFrame) -> DataFrame:
+    """A missing number is null, however it is written, so that rows with either are equal."""
+    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    return df.withColumns({c: F.when(~F.isnan(column(c)), column(c)) for c in floats})
+
+
 def count_copies(df: DataFrame) -> DataFrame:
     """One row per distinct row with its number of copies; copies merge before the shuffle."""
+    df = nan_as_null(df)
     return df.groupBy(*[column(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(COPIES))
 
 
@@ -99,8 +111,8 @@ def expand_copies(grouped: DataFrame, copies: Column) -> DataFrame:
 
 
 def dedup_rows(df: DataFrame) -> DataFrame:
-    """Keep one of each set of identical rows; nulls equal nulls."""
-    return df.dropDuplicates()
+    """Keep one of each set of identical rows; nulls equal nulls, and NaN is a null."""
+    return nan_as_null(df).dropDuplicates()
 
 
 def duplicates_removed(df: DataFrame) -> DataFrame:
@@ -130,17 +142,25 @@ def coerce_numeric(df: DataFrame, ratio: float = 0.85) -> DataFrame:
     return df.withColumns({c: text.parsed_number(column(c)) for c in chosen})
 
 
+def finite(c: Column) -> Column:
+    """The value where it is an ordinary number, else null. NaN is greater than every number."""
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def _as_number(df: DataFrame, name: str) -> Column:
-    c = column(name).cast("double")
-    return F.when(~F.isnan(c), c)
+    return finite(column(name).cast("double"))
 
 
 def _is_outlier(limits: list[tuple[Column, float | None, float | None]], z: float) -> Column:
-    """True where any of the (value, mean, deviation) triples is further than z deviations off."""
+    """True where any of the (value, mean, deviation) triples is further than z deviations off.
+
+    Values and statistics are of finite numbers only. An infinite value is no outlier by itself: it
+    has no distance in deviations. The deviation of very large numbers can overflow; then none is far.
+    """
     tests = [
         F.coalesce(F.abs((value - F.lit(mean)) / F.lit(deviation + 1e-9)) > z, F.lit(False))
         for value, mean, deviation in limits
-        if mean is not None
+        if mean is not None and math.isfinite(mean) and math.isfinite(deviation)
     ]
     return reduce(Column.__or__, tests, F.lit(False))
 
@@ -201,6 +221,7 @@ class CleanResult:
             self._is_empty.alias("empty"),
             *[column(c).isNotNull().alias(f"has{i}") for i, c in enumerate(self._texts)],
             *[text.parsed_number(column(c)).alias(f"t{i}") for i, c in enumerate(self._texts)],
+            *[finite(text.parsed_number(column(c))).alias(f"u{i}") for i, c in enumerate(self._texts)],
             *[_as_number(self._raw, c).alias(f"x{i}") for i, c in enumerate(self._numbers)],
         )
         measures = [
@@ -211,7 +232,7 @@ class CleanResult:
         ]
         for i, _ in enumerate(self._texts):
             measures += [f"count_if(has{i}) as n{i}", f"count(t{i}) as p{i}"]
-            measures += [f"avg(t{i}) as tm{i}", f"stddev_pop(t{i}) as ts{i}"]
+            measures += [f"avg(u{i}) as tm{i}", f"stddev_pop(u{i}) as ts{i}"]
         for i, _ in enumerate(self._numbers):
             measures += [f"avg(x{i}) as m{i}", f"stddev_pop(x{i}) as s{i}"]
         return judged.agg(*[F.expr(m) for m in measures]).first()
@@ -219,7 +240,7 @@ class CleanResult:
     def _outlier(self, z: float) -> Column:
         s = self._stats
         limits = [(_as_number(self._raw, c), s[f"m{i}"], s[f"s{i}"]) for i, c in enumerate(self._numbers)]
-        limits += [(text.parsed_number(column(c)), s[f"tm{i}"], s[f"ts{i}"]) for i, c in self._chosen]
+        limits += [(finite(text.parsed_number(column(c))), s[f"tm{i}"], s[f"ts{i}"]) for i, c in self._chosen]
         return _is_outlier(limits, z)
 
     @property
@@ -286,8 +307,16 @@ def clean_strict(df: DataFrame, ratio: float = 0.85, z: float = 5.0) -> CleanRes
     return CleanResult(df, "strict", ratio, z)
 
 
-def clean_basic(df: DataFrame, name: str, ratio: float = 0.85) -> CleanResult:
-    """Cells, null tokens, empty rows, duplicates, numeric coercion; result viewed as ``<name>_cleaned``."""
+def clean_basic(df: DataFrame, name: str, ratio: float = 0.85, target: VersionedTable | None = None) -> CleanResult:
+    """Cells, null tokens, empty rows, duplicates, numeric coercion; result viewed as ``<name>_cleaned``.
+
+    With a ``target`` the result is stored there, the view reads the stored table, and nothing stays staged.
+    """
     result = CleanResult(df, "basic", ratio, None)
-    result.cleaned.createOrReplaceTempView(f"{name}_cleaned")
+    if target is None:
+        result.cleaned.createOrReplaceTempView(f"{name}_cleaned")
+    else:
+        target.replace(result.cleaned)
+        target.read().createOrReplaceTempView(f"{name}_cleaned")
+        result.release()
     return result

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,32 +67,26 @@ def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     return columns.unionByName(rows)
 
 
-def lineage_closure(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def lineage_closure(edges: DataFrame) -> DataFrame:
     """(target, upstream): every table that feeds a table, directly or through others.
 
-    Each round extends only the pairs found last and keeps the new ones, so cycles end it. A
-    round's pairs are written to the shared folder: the plan stays short, and a lost executor
-    repeats one round at most.
+    Pairs are joined with pairs, so the longest path that is known doubles with each round, and the
+    number of rounds is the logarithm of the longest path. A round's pairs are written to the shared
+    folder and the ones before are dropped: the plan stays short, and a lost executor repeats one
+    round at most.
     """
-    direct = edges.select(F.col("target"), F.col("source").alias("upstream")).distinct()
-    rounds = [Staged(direct, "lineage")]
-    steps = rounds[0].df.select(F.col("target").alias("upstream"), F.col("upstream").alias("further"))
-    for _ in range(max_rounds):
-        known = rounds[0].df
-        for found in rounds[1:]:
-            known = known.unionByName(found.df)
-        extended = (
-            rounds[-1].df.join(steps, "upstream")
-            .select("target", F.col("further").alias("upstream"))
-            .distinct()
-            .join(known, ["target", "upstream"], "left_anti")
-        )
-        found = Staged(extended, "lineage")
-        if found.df.isEmpty():
-            found.release()
-            return known
-        rounds.append(found)
-    raise RuntimeError(f"lineage still grows after {max_rounds} rounds")
+    known = Staged(edges.select("target", F.col("source").alias("upstream")).distinct(), "lineage")
+    count = known.df.count()
+    while True:
+        pairs = known.df
+        further = pairs.select(F.col("target").alias("upstream"), F.col("upstream").alias("further"))
+        longer = pairs.join(further, "upstream").select("target", F.col("further").alias("upstream"))
+        found = Staged(pairs.unionByName(longer).distinct(), "lineage")
+        now = found.df.count()
+        known.release()
+        if now == count:
+            return found.df
+        known, count = found, now
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -144,7 +138,7 @@ def exact_percentiles(df: DataFrame, group: str, value: str, points: dict[str, f
         }
     )
     wanted = [
-        F.struct(F.lit(name).alias("point"), _rank(F.col("total"), share).alias("rank"))
+        F.struct(F.lit(name).alias("point"), _rank("total", share).alias("rank"))
         for name, share in points.items()
     ]
     hits = (
@@ -159,9 +153,12 @@ def exact_percentiles(df: DataFrame, group: str, value: str, points: dict[str, f
     )
 
 
-def _rank(total, share: float):
-    # shares are given in whole thousandths, so that the rank is exact
-    return F.greatest(F.lit(1), F.ceil(total * math.floor(share * 1000 + 0.5) / 1000)).cast("bigint")
+def _rank(total: str, share: float):
+    """The rank as an exact fraction of the share as it is written."""
+    exact = Fraction(str(share))
+    ranked = f"{total} * {exact.numerator}BD / {exact.denominator}BD"
+    # the quotient is a decimal with digits to spare, and whole where the division goes out evenly
+    return F.expr(f"greatest(1L, cast(ceil({ranked}) as bigint))")
 
 
 def query_history_stats(history: DataFrame) -> DataFrame:

@@ -19,8 +19,16 @@ CHANGE_NAMES = ["updated", "modified", "changed", "last_", "update_dt", "mod_"]
 CREATION_NAMES = ["created", "insert", "added"]
 
 
+SAMPLE_ROWS = 3
+
+
+def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS) -> DataFrame:
+    """A few rows of the table as they come, beside the profile of its columns."""
+    return df.limit(n)
+
+
 def profile_table(df: DataFrame) -> DataFrame:
-    """One row per column with its type, beside the size of the table."""
+    """One row per column with its type, beside the size of the table; ``sample_rows`` shows what is in them."""
     fields = [
         F.struct(F.lit(i + 1).alias("position"), F.lit(f.name).alias("column_name"), F.lit(f.dataType.simpleString()).alias("column_type"))
         for i, f in enumerate(df.schema)
@@ -31,9 +39,13 @@ def profile_table(df: DataFrame) -> DataFrame:
 
 
 def _as_text(c: str, kind: T.DataType) -> str:
-    """Text form that does not depend on the engine's way of printing numbers and times."""
+    """Text form that does not depend on the engine's way of printing numbers and times.
+
+    A float is written in full with at most ten decimals where that is the same number, else as Spark prints it.
+    """
     if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return f"cast(try_cast({c} as decimal(28,4)) as string)"
+        plain = f"try_cast({c} as decimal(38,10))"
+        return f"if(cast({plain} as double) = cast({c} as double), cast({plain} as string), cast({c} as string))"
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return f"date_format({c}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
     return f"cast({c} as string)"
@@ -212,22 +224,20 @@ def watermark_candidates(df: DataFrame, top: int = 5) -> DataFrame:
 def key_candidates(df: DataFrame, combinations: list[list[str]] = ()) -> DataFrame:
     """Which single columns and given combinations are unique and free of nulls.
 
-    An estimate in one pass rules most of them out; only the rest are grouped exactly. The
-    estimate has a deviation of 5 %, so a cut at 70 % of the row count loses no key.
+    Nulls rule a candidate out in the first pass, and so does a repeated value in the groups of the
+    second; no estimate decides.
     """
     candidates = [[f.name] for f in df.schema if _orderable(f.dataType)] + [list(c) for c in combinations]
     measures = ["count(1) as rows"]
     for i, names in enumerate(candidates):
         columns = [quoted(c) for c in names]
-        value = columns[0] if len(columns) == 1 else f"xxhash64({', '.join(columns)})"
         measures.append(f"count_if({' or '.join(f'{c} is null' for c in columns)}) as n{i}")
-        measures.append(f"approx_count_distinct({value}) as d{i}")
     row = df.agg(*[F.expr(m) for m in measures]).first()
     total = row["rows"]
     found, ruled_out = [], []
     for i, names in enumerate(candidates):
         label = ", ".join(names)
-        if not total or row[f"n{i}"] or row[f"d{i}"] < 0.7 * total:
+        if not total or row[f"n{i}"]:
             ruled_out.append((label, total, row[f"n{i}"], False))
             continue
         groups = df.groupBy(*[column(c) for c in names]).agg(F.expr("count(1) as n"))

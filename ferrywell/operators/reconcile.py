@@ -16,11 +16,12 @@ from ferrywell.operators.cleaning import literal, numeric_columns, quoted
 
 TOLERANCE = Decimal("0.01")
 
-# Numbers are compared to four decimals. Whole numbers of that unit are summed in two halves of
-# 32 bits: per task two long sums cannot overflow, and long sums are several times faster than
-# decimal ones. The sums of the tasks are then put together as decimals.
-UNIT = 10_000
+# Whole numbers, and the whole parts of floats, are summed in two halves of 32 bits: per task two
+# long sums cannot overflow, and long sums are several times faster than decimal ones. The rest of a
+# float is summed in billionths. Decimals are summed at their own scale.
 HALF = 1 << 32
+PARTS = 1_000_000_000
+WHOLE = "9.2e18D"  # floats from here on have no long whole part
 
 
 def _compared_columns(source: DataFrame, target: DataFrame) -> list[tuple[str, str]]:
@@ -32,42 +33,50 @@ def _compared_columns(source: DataFrame, target: DataFrame) -> list[tuple[str, s
     return [(c, there[c.lower()]) for c in numeric_columns(source)]
 
 
-def _task_sums(df: DataFrame, tag: str, names: list[str]) -> DataFrame:
-    """Rows, sums and losses of one side: one small row per scanning task."""
-    values, measures, totals = [], ["count(1) as rows"], []
+def _parts(c: str, kind: T.DataType) -> tuple[list[str], str, str]:
+    """Values to sum per row as p0, p1, .., what they add up to, and the test for a value that no sum can hold."""
+    if isinstance(kind, T.DecimalType):
+        return [c], f"try_cast({{0}} as decimal(38,{kind.scale}))", "false"
+    if isinstance(kind, T.IntegralType):
+        whole = f"cast({c} as bigint)"
+        return ([f"shiftright({whole}, 32)", f"{whole} & {HALF - 1}"],
+                f"try_cast(cast({{0}} as decimal(28,0)) * {HALF} + {{1}} as decimal(38,0))", "false")
+    fits = f"abs({c}) < {WHOLE}"  # false for NaN, which is greater than all numbers
+    whole = f"case when {fits} then cast(floor({c}) as bigint) end"
+    rest = f"case when {fits} then cast(rint(({c} - floor({c})) * {PARTS}) as bigint) end"
+    total = (f"try_cast(cast({{0}} as decimal(28,0)) * {HALF} + {{1}} as decimal(27,0)) "
+             f"+ cast(cast({{2}} as decimal(20,0)) / {PARTS} as decimal(27,9))")
+    return [f"shiftright({whole}, 32)", f"{whole} & {HALF - 1}", rest], f"try_cast({total} as decimal(38,9))", f"not ({fits})"
+
+
+def _side(df: DataFrame, tag: str, names: list[str]) -> DataFrame:
+    """One row with the rows of one side, and the sum and the lost values of each column.
+
+    Lost are NaN, infinite and too large floats, and a sum that overflows.
+    """
+    values, measures, totals, found = [], ["count(1) as rows"], [], ["coalesce(sum(rows), 0L) as rows"]
     for i, name in enumerate(names):
-        c, kind = quoted(name), df.schema[name].dataType
-        if isinstance(kind, T.DecimalType):
-            values += [f"try_cast({c} as decimal(28,4)) as w{i}"]
-            measures += [f"try_sum(w{i}) as w{i}"]
-            total, whole = f"w{i}", f"try_cast({c} as decimal(28,4))"
-        else:
-            is_whole = isinstance(kind, T.IntegralType)
-            whole = f"cast({c} as bigint)" if is_whole else f"try_cast(rint({c} * {UNIT}) as bigint)"
-            values += [f"shiftright({whole}, 32) as h{i}", f"{whole} & {HALF - 1} as l{i}"]
-            measures += [f"sum(h{i}) as h{i}", f"sum(l{i}) as l{i}"]
-            total = f"(cast(h{i} as decimal(28,0)) * {HALF} + l{i})" + ("" if is_whole else f" / {UNIT}")
-        # a value that does not fit must not vanish from the comparison
-        values.append(f"case when {c} is not null and {whole} is null then 1 end as x{i}")
-        measures.append(f"count(x{i}) as x{i}")
-        totals += [f"cast({total} as decimal(38,4)) as v{i}", f"x{i}"]
-    tasks = df.selectExpr("spark_partition_id() as __task", *values).groupBy("__task")
-    return tasks.agg(*[F.expr(m) for m in measures]).selectExpr(f"'{tag}' as __side", "rows", *totals)
+        c = quoted(name)
+        parts, total, lost = _parts(c, df.schema[name].dataType)
+        sums = [f"p{i}_{k}" for k in range(len(parts))]
+        values += [f"{part} as {p}" for part, p in zip(parts, sums, strict=True)]
+        values += [f"{c} is not null as n{i}", f"coalesce({lost}, false) as x{i}"]
+        measures += [f"try_sum({p}) as {p}" for p in sums]
+        measures += [f"count_if(n{i}) as n{i}", f"count_if(x{i}) as x{i}"]
+        totals += [f"{total.format(*sums)} as v{i}", f"n{i}", f"x{i}"]
+        found += [f"coalesce(try_sum(v{i}), 0) as {tag}_v{i}",
+                  f"coalesce(sum(x{i} + if(n{i} > x{i} and v{i} is null, 1L, 0L)), 0L) "
+                  f"+ if(count(v{i}) > 0 and try_sum(v{i}) is null, 1L, 0L) as {tag}_x{i}"]
+    found[0] = f"coalesce(sum(rows), 0L) as {tag}_rows"
+    # a small row per scanning task, so that the long sums stay short
+    tasks = df.selectExpr("spark_partition_id() as __task", *values).groupBy("__task").agg(*[F.expr(m) for m in measures])
+    return tasks.selectExpr("rows", *totals).agg(*[F.expr(f) for f in found])
 
 
 def _totals(source: DataFrame, target: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """One row with the counts and sums of both sides."""
-    tasks = _task_sums(source, "s", [a for a, _ in pairs]).unionByName(
-        _task_sums(target, "t", [b for _, b in pairs])
-    )
-    totals = []
-    for tag in "st":
-        here = f"filter (where __side = '{tag}')"
-        totals.append(f"coalesce(sum(rows) {here}, 0L) as {tag}_rows")
-        for i in range(len(pairs)):
-            totals.append(f"try_sum(v{i}) {here} as {tag}_v{i}")
-            totals.append(f"coalesce(sum(x{i}) {here}, 0L) as {tag}_x{i}")
-    return tasks.agg(*[F.expr(t) for t in totals])
+    """One row with the counts, sums and losses of both sides."""
+    here, there = _side(source, "s", [a for a, _ in pairs]), _side(target, "t", [b for _, b in pairs])
+    return here.withColumn("__one", F.lit(1)).join(there.withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 COUNT_CHECKS = [
@@ -79,13 +88,15 @@ COUNT_CHECKS = [
 
 
 def _sum_checks(pairs: list[tuple[str, str]], tolerance: Decimal) -> str:
-    """An array with one struct per compared column."""
+    """An array with one struct per compared column; sums are given as text, since each has its own scale."""
     checks = []
     for i, (name, _) in enumerate(pairs):
-        s, t = (f"coalesce(cast({side}_v{i} as decimal(38,4)), cast(0 as decimal(38,4)))" for side in "st")
+        s, t = f"s_v{i}", f"t_v{i}"
+        # as a double, since a decimal of 38 digits leaves the tolerance no room for its own
+        near = f"coalesce(abs(cast(try_subtract({s}, {t}) as double)) < {tolerance}D, false)"
         checks.append(
-            f"named_struct('column_name', {literal(name)}, 'source_sum', {s}, 'target_sum', {t}, "
-            f"'sum_match', abs({s} - {t}) < {tolerance} and s_x{i} = t_x{i})"
+            f"named_struct('column_name', {literal(name)}, 'source_sum', cast({s} as string), 'target_sum', cast({t} as string), "
+            f"'source_lost', s_x{i}, 'target_lost', t_x{i}, 'sum_match', {near} and s_x{i} = 0 and t_x{i} = 0)"
         )
     return f"array({', '.join(checks)})"
 
@@ -95,7 +106,10 @@ def reconcile_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def reconcile_sums(source: DataFrame, target: DataFrame, tolerance: Decimal = TOLERANCE) -> DataFrame:
-    """Per numeric column the sums of both sides, and whether they differ by less than the tolerance."""
+    """Per numeric column the sums of both sides, the values left out of them, and whether they match.
+
+    They match if they differ by less than the tolerance and no value was left out on either side.
+    """
     pairs = _compared_columns(source, target)
     if not pairs:
         raise ValueError("the source has no numeric column to sum")

@@ -12,7 +12,7 @@ BASIC = "('NA', 'N/A', 'null', 'NULL', 'None', 'none', '-', '', 'undefined', 'ni
 NUMBER = r"[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?"
 TEXTS = ["user_txt", "type_txt", "amount_txt"]
 ALL = "event_id, user_txt, type_txt, amount_txt, value"
-EMPTY = "event_id is null and user_txt is null and type_txt is null and amount_txt is null and value is null"
+EMPTY = "event_id is null and user_txt is null and type_txt is null and amount_txt is null and (value is null or isnan(value))"
 
 
 def _texts(form: str) -> str:
@@ -20,8 +20,8 @@ def _texts(form: str) -> str:
 
 
 SHARED["trimmed"] = (
-    ["dirty_events"],
-    f"select event_id, {_texts('trim({c}, chr(32) || chr(9))')}, value from dirty_events",
+    ["odd_events"],
+    f"select event_id, {_texts('trim({c}, chr(32) || chr(9))')}, value from odd_events",
 )
 SHARED["strict_cells"] = (
     ["trimmed"],
@@ -31,32 +31,42 @@ SHARED["basic_cells"] = (
     ["trimmed"],
     f"select event_id, {_texts('case when {c} in ' + BASIC + ' then null else {c} end')}, value from trimmed",
 )
-SHARED["strict_distinct"] = (["strict_cells"], f"select distinct * from strict_cells where not ({EMPTY})")
-SHARED["basic_distinct"] = (["basic_cells"], f"select distinct * from basic_cells where not ({EMPTY})")
+# a missing number is a null when rows are compared
+NO_NAN = "* replace (case when not isnan(value) then value end as value)"
+SHARED["strict_distinct"] = (["strict_cells"], f"select distinct {NO_NAN} from strict_cells where not ({EMPTY})")
+SHARED["basic_distinct"] = (["basic_cells"], f"select distinct {NO_NAN} from basic_cells where not ({EMPTY})")
 NUMERIC_USER = (
-    f"case when regexp_full_match(user_txt, '{NUMBER}') then cast(user_txt as double) end"
+    f"case when user_txt = '1e999' then cast('Infinity' as double) "
+    f"when regexp_full_match(user_txt, '{NUMBER}') then cast(user_txt as double) end"
 )
+
+
+def _finite(value: str) -> str:
+    return f"(case when isfinite({value}) then {value} end)"
+
+
+FINITE_USER, FINITE_VALUE = _finite(NUMERIC_USER), _finite("value")
 SHARED["strict_judged"] = (
     ["strict_distinct"],
     f"""select d.*, {NUMERIC_USER} as user_number,
           coalesce(abs((event_id - me) / (se + 1e-9)) > 5, false)
-          or coalesce(abs((value - mv) / (sv + 1e-9)) > 5, false)
-          or coalesce(abs(({NUMERIC_USER} - mu) / (su + 1e-9)) > 5, false) as far
+          or coalesce(abs(({FINITE_VALUE} - mv) / (sv + 1e-9)) > 5, false)
+          or coalesce(abs(({FINITE_USER} - mu) / (su + 1e-9)) > 5, false) as far
         from strict_distinct d, (
-          select avg(event_id) as me, stddev_pop(event_id) as se, avg(value) as mv, stddev_pop(value) as sv,
-            avg({NUMERIC_USER}) as mu, stddev_pop({NUMERIC_USER}) as su from strict_distinct) s""",
+          select avg(event_id) as me, stddev_pop(event_id) as se, avg({FINITE_VALUE}) as mv, stddev_pop({FINITE_VALUE}) as sv,
+            avg({FINITE_USER}) as mu, stddev_pop({FINITE_USER}) as su from strict_distinct) s""",
 )
 
 
 def _dirty(spark, sf):
-    return table(spark, sf, "dirty_events")
+    return table(spark, sf, "odd_events")
 
 
 def _strict_cells(spark, sf):
     return cleaning.null_tokens(cleaning.trim_cells(_dirty(spark, sf)), "strict")
 
 
-@query("clean_trim_headers", "select * from dirty_events", ["dirty_events"])
+@query("clean_trim_headers", "select * from odd_events", ["odd_events"])
 def clean_trim_headers(spark, sf):
     dirty = _dirty(spark, sf)
     return cleaning.trim_headers(dirty.toDF(*[f"  {c}\t" for c in dirty.columns]))
@@ -69,8 +79,8 @@ def clean_trim_cells(spark, sf):
 
 @query(
     "clean_null_tokens_strict",
-    f"select event_id, {_texts('case when lower(trim({c}, chr(32) || chr(9))) in ' + STRICT + ' then null else {c} end')}, value from dirty_events",
-    ["dirty_events"],
+    f"select event_id, {_texts('case when lower(trim({c}, chr(32) || chr(9))) in ' + STRICT + ' then null else {c} end')}, value from odd_events",
+    ["odd_events"],
 )
 def clean_null_tokens_strict(spark, sf):
     return cleaning.null_tokens(_dirty(spark, sf), "strict")
@@ -78,8 +88,8 @@ def clean_null_tokens_strict(spark, sf):
 
 @query(
     "clean_null_tokens_basic",
-    f"select event_id, {_texts('case when {c} in ' + BASIC + ' then null else {c} end')}, value from dirty_events",
-    ["dirty_events"],
+    f"select event_id, {_texts('case when {c} in ' + BASIC + ' then null else {c} end')}, value from odd_events",
+    ["odd_events"],
 )
 def clean_null_tokens_basic(spark, sf):
     return cleaning.null_tokens(_dirty(spark, sf), "basic")
@@ -103,7 +113,7 @@ def clean_dedup(spark, sf):
 SURPLUS = f"""
     select {ALL} from (
       select *, row_number() over (partition by {ALL} order by event_id) as copy
-      from strict_cells where not ({EMPTY})) where copy > 1"""
+      from (select {NO_NAN} from strict_cells where not ({EMPTY}))) where copy > 1"""
 
 
 @query("clean_duplicates_removed", SURPLUS, ["strict_cells"])
@@ -113,11 +123,12 @@ def clean_duplicates_removed(spark, sf):
 
 @query(
     "clean_outliers",
-    """select d.* from dirty_events d, (
-         select avg(event_id) as me, stddev_pop(event_id) as se, avg(value) as mv, stddev_pop(value) as sv from dirty_events) s
+    f"""select d.* from odd_events d, (
+         select avg(event_id) as me, stddev_pop(event_id) as se, avg({FINITE_VALUE}) as mv, stddev_pop({FINITE_VALUE}) as sv
+         from odd_events) s
        where not (coalesce(abs((event_id - me) / (se + 1e-9)) > 5, false)
-               or coalesce(abs((value - mv) / (sv + 1e-9)) > 5, false))""",
-    ["dirty_events"],
+               or coalesce(abs(({FINITE_VALUE} - mv) / (sv + 1e-9)) > 5, false))""",
+    ["odd_events"],
 )
 def clean_outliers(spark, sf):
     return cleaning.zscore_outliers(_dirty(spark, sf))
@@ -134,7 +145,7 @@ def clean_strict(spark, sf):
 
 @query(
     "clean_quarantine",
-    f"""select {ALL}, 'All values missing' as reason from strict_cells where {EMPTY}
+    f"""select {ALL}, 'All values missing' as reason from (select {NO_NAN} from strict_cells where {EMPTY})
         union all select {ALL}, 'Duplicate row' from ({SURPLUS})
         union all select {ALL}, 'Statistical outlier (z>5)' from strict_judged where far""",
     ["strict_cells", "strict_judged"],
@@ -149,19 +160,19 @@ def clean_quarantine(spark, sf):
     ["basic_distinct"],
 )
 def clean_basic(spark, sf):
-    cleaning.clean_basic(_dirty(spark, sf), "dirty_events")
-    return spark.table("dirty_events_cleaned")
+    cleaning.clean_basic(_dirty(spark, sf), "odd_events")
+    return spark.table("odd_events_cleaned")
 
 
 def _cell_counts(step: str, test: str) -> str:
     return " union all ".join(
-        f"select '{step}', '{c}', cast(count(*) filter (where {test.format(c=c)}) as bigint) from dirty_events" for c in TEXTS
+        f"select '{step}', '{c}', cast(count(*) filter (where {test.format(c=c)}) as bigint) from odd_events" for c in TEXTS
     )
 
 
 @query(
     "clean_report",
-    f"""select 'rows in' as step, cast(null as varchar) as "column", count(*) as rows from dirty_events
+    f"""select 'rows in' as step, cast(null as varchar) as "column", count(*) as rows from odd_events
         union all select 'empty rows removed', null, count(*) from strict_cells where {EMPTY}
         union all select 'duplicates removed', null, count(*) from ({SURPLUS})
         union all select 'outliers removed', null, count(*) from strict_judged where far
@@ -192,8 +203,15 @@ def preview_rows(spark, sf):
            when message ilike '%database%does not exist%' then 'Database or file not found'
            when message ilike '%tns%' then 'Oracle service name not recognized' end as likely_cause
          from error_log)
-       select likely_cause, cast(count(*) as bigint) as errors from caused group by 1""",
+       select likely_cause, case likely_cause
+           when 'Server unreachable' then 'Use a public endpoint and allow this network in the firewall'
+           when 'Server did not respond' then 'Check that the server is up and not behind a firewall or VPN'
+           when 'Username or password is incorrect' then 'Verify the credentials'
+           when 'SSL/TLS handshake failed' then 'Check the SSL setting and the server certificate'
+           when 'Database or file not found' then 'Verify the name; it may be case-sensitive'
+           when 'Oracle service name not recognized' then 'Verify the service name on the listener' end as fix,
+         cast(count(*) as bigint) as errors from caused group by 1""",
     ["error_log"],
 )
 def classify_errors(spark, sf):
-    return cleaning.classify_errors(table(spark, sf, "error_log")).drop("fix")
+    return cleaning.classify_errors(table(spark, sf, "error_log"))

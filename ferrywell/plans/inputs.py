@@ -31,13 +31,19 @@ DERIVED = {
                else cast(cast(value as decimal(12,2)) as varchar(20)) end as amount_txt,
           case when event_id % 101 = 0 then null else value end as value
         from b""",
+    # the same with numbers that are none, and a text whose number is infinite
+    "odd_events": """
+        select event_id, case when event_id % 211 = 3 then '1e999' else user_txt end as user_txt, type_txt, amount_txt,
+          case when event_id % 307 = 5 then cast('Infinity' as double)
+               when event_id % 120 = 0 then cast('NaN' as double) else value end as value
+        from dirty_events""",
     # the target before the feed, and the feed of changes: together they read all orders
     "cdc_base": """
         select o_orderkey as k, cast(o_totalprice as decimal(12,2)) as price
         from orders where o_orderkey % 2 = 0""",
     "change_feed": """
         select o_orderkey as k, cast(o_totalprice as decimal(12,2)) as price, 2 as op, 1 as lsn, 1 as seq
-          from orders where o_orderkey % 2 = 1 and o_orderkey % 5 = 0
+          from orders where o_orderkey % 2 = 1
         union all select o_orderkey, cast(o_totalprice as decimal(12,2)), 3, 2, 1
           from orders where o_orderkey % 6 = 0
         union all select o_orderkey, cast(o_totalprice + 100 as decimal(12,2)), 4, 2, 2
@@ -58,10 +64,17 @@ DERIVED = {
                     || '","columns":[{"name":"k","value":' || cast(k as varchar(20))
                     || '},{"name":"price","value":' || cast(price as varchar(20)) || '}]}' end as data
         from change_feed where op <> 3""",
+    # two more columns: floats above 1e15, and decimals whose cents do not tell them apart
+    "source_lineitem": """
+        select *, cast(floor(l_extendedprice) as double) * cast(1000000000000 as double) as big_value,
+          cast(l_linenumber * 0.00001 as decimal(18,8)) as small_value
+        from lineitem""",
     "target_lineitem": """
-        select l_orderkey, l_partkey, l_linenumber,
+        select l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
           case when l_orderkey % 500 = 7 then l_extendedprice + 0.5 else l_extendedprice end as l_extendedprice,
-          l_quantity
+          l_discount, case when l_orderkey % 50 = 7 then l_tax + 0.01 else l_tax end as l_tax,
+          l_returnflag, l_linestatus, l_shipdate, cast(floor(l_extendedprice) as double) * cast(1000000000000 as double) as big_value,
+          cast(l_linenumber * 0.00001 as decimal(18,8)) + cast(0.00000400 as decimal(18,8)) as small_value
         from lineitem where l_orderkey % 1000 <> 3""",
     "orders_versioned": """
         select o_orderkey, o_custkey, cast(o_totalprice as decimal(12,2)) as o_totalprice, o_orderdate as created_at,
@@ -134,9 +147,11 @@ DERIVED = {
 # which views each derived view reads
 NEEDS = {
     "dirty_events": ["events"],
+    "odd_events": ["dirty_events"],
     "cdc_base": ["orders"],
     "change_feed": ["orders"],
     "change_log": ["change_feed"],
+    "source_lineitem": ["lineitem"],
     "target_lineitem": ["lineitem"],
     "orders_versioned": ["orders"],
     "target_orders": ["orders_versioned"],

@@ -204,24 +204,35 @@ def cdc_apply_json(spark, sf):
 
 # -- reconciliation --------------------------------------------------------------------------
 
-COMPARED = ["l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "l_quantity"]
+WHOLES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+FLOATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def _sum(column: str, source: str) -> str:
-    return f"(select cast(sum(cast({column} as decimal(18,4))) as decimal(38,4)) from {source})"
+def _sums(column: str, whole: str) -> str:
+    """Sums of both sides; ``whole`` is the exact form of a value."""
+    one = f"(select coalesce(sum({whole}), 0) from {{}})"
+    return (f"select '{column}' as column_name, {one.format('source_lineitem')} as s, {one.format('target_lineitem')} as t")
+
+
+def _listed(kind: str, columns: list[str], whole: str, text: str) -> str:
+    parts = " union all ".join(_sums(c, whole.format(c)) for c in columns)
+    return (f"select column_name, {text.format('s')} as source_sum, {text.format('t')} as target_sum, "
+            f"abs(s - t) < 0.01 as sum_match from ({parts}) {kind}")
 
 
 SHARED["sums"] = (
-    ["target_lineitem"],
-    " union all ".join(
-        f"select '{c}' as column_name, {_sum(c, 'lineitem')} as source_sum, {_sum(c, 'target_lineitem')} as target_sum"
-        for c in COMPARED
-    ),
+    ["source_lineitem", "target_lineitem"],
+    " union all ".join([
+        _listed("whole", WHOLES, "cast({} as hugeint)", "cast({} as varchar)"),
+        _listed("float", FLOATS, "cast({} as decimal(28,9))", "cast({} as varchar)"),
+        _listed("big", ["big_value"], "cast({} as hugeint)", "cast({} as varchar) || '.000000000'"),
+        _listed("small", ["small_value"], "{}", "cast({} as varchar)"),
+    ]),
 )
 
 
 def _sides(spark, sf):
-    return table(spark, sf, "lineitem").select(*COMPARED), table(spark, sf, "target_lineitem")
+    return table(spark, sf, "source_lineitem"), table(spark, sf, "target_lineitem")
 
 
 COUNTS = "(select count(*) as s from lineitem), (select count(*) as t from target_lineitem)"
@@ -239,7 +250,7 @@ def reconcile_counts_query(spark, sf):
 
 @query(
     "reconcile_sums",
-    "select *, abs(source_sum - target_sum) < 0.01 as sum_match from sums",
+    "select *, cast(0 as bigint) as source_lost, cast(0 as bigint) as target_lost from sums",
     ["sums"],
 )
 def reconcile_sums_query(spark, sf):
@@ -249,9 +260,9 @@ def reconcile_sums_query(spark, sf):
 @query(
     "reconcile_verdict",
     f"""select cast(s as bigint) as source_rows, cast(t as bigint) as target_rows, s = t as row_count_match,
-          cast(abs(s - t) as bigint) as row_count_diff, 5 as checked_columns,
+          cast(abs(s - t) as bigint) as row_count_diff, 10 as checked_columns,
           cast(failed as int) as failed_columns, failed = 0 as sums_passed, s = t and failed = 0 as overall_passed
-        from {COUNTS}, (select count(*) as failed from sums where abs(source_sum - target_sum) >= 0.01)""",
+        from {COUNTS}, (select count(*) as failed from sums where not sum_match)""",
     ["target_lineitem", "sums"],
 )
 def reconcile_verdict(spark, sf):
@@ -265,7 +276,8 @@ def reconcile_verdict(spark, sf):
        union all select 'orders', 'incremental', 'success', count(*), 0, true, null from orders_versioned
          where updated_at > (select max(updated_at) from target_orders)
        union all select 'order changes', 'cdc_feed', 'success', count(*), 0, true, null from change_feed where op <> 3
-       union all select 'orders again', 'incremental', 'error', 0, null, null, null""",
+       union all select 'orders again', 'incremental', 'error', 0, null, null, null
+       union all select 'orders far', repeat('far ', 200) || 'connection refused', 'error', 0, null, null, 'Server unreachable'""",
     ["target_orders", "change_feed"],
 )
 def load_job_run(spark, sf):
@@ -279,6 +291,7 @@ def load_job_run(spark, sf):
         loads.LoadJob("orders", "incremental", versions, keyed, "updated_at", auto_reconcile=True),
         loads.LoadJob("order changes", "cdc_feed", feed, base, auto_reconcile=True, reconcile_with=after),
         loads.LoadJob("orders again", "incremental", versions, keyed),  # names no watermark column
+        loads.LoadJob("orders far", "far " * 200 + "connection refused", versions, keyed),  # a long error, its cause at the end
     ]
     ledger = _target(spark, "ledger")
     for job in jobs:

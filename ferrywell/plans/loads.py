@@ -196,6 +196,10 @@ RUN_SCHEMA = (
 )
 
 
+# Fixed value: characters of an error that are shown.
+SHOWN = 500
+
+
 def _load(job: LoadJob) -> dict:
     if job.mode == "full_load":
         return full_load(job.source, job.target)
@@ -209,7 +213,7 @@ def _load(job: LoadJob) -> dict:
         schema = T.StructType(
             [f for f in job.target.read().schema if f.name not in (cdc.LSN, cdc.SEQ, cdc.DELETED)]
         )
-        return cdc_load(cdc.log_as_feed(job.source, schema), job.target, mode="cdc_log", **job.options)
+        return cdc_load(cdc.log_as_feed(job.source, schema, keys=job.target.keys), job.target, mode="cdc_log", **job.options)
     raise ValueError(f"unknown mode: {job.mode}")
 
 
@@ -225,12 +229,13 @@ def run_job(spark: SparkSession, job: LoadJob) -> DataFrame:
             verdict = reconcile(job.reconcile_with if job.reconcile_with is not None else job.source, rows).first()
             run |= {"row_count_diff": verdict.row_count_diff, "reconciled": verdict.overall_passed}
     except Exception as failure:  # the ledger keeps the reason
-        run |= {"status": "error", "error": str(failure)[:500]}
+        run |= {"status": "error", "error": str(failure)}
     run["elapsed_seconds"] = round(time.monotonic() - started, 2)
     run["finished_at"] = dt.datetime.now(dt.timezone.utc).isoformat()
     return spark.createDataFrame([run], RUN_SCHEMA)
 
 
 def explained(runs: DataFrame) -> DataFrame:
-    """Ledger rows with the likely cause of each error."""
-    return runs.withColumn("likely_cause", errors.cause_of(errors.rule_number(F.col("error"))))
+    """Ledger rows with the likely cause of each error, told from its whole text, which is cut for display only."""
+    cause = errors.cause_of(errors.rule_number(F.col("error")))
+    return runs.withColumns({"likely_cause": cause, "error": F.substring("error", 1, SHOWN)})

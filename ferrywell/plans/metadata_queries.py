@@ -44,7 +44,7 @@ TESTS = {
 
 
 def _column_facts(name: str, kind: str, source: str) -> str:
-    as_text = {"double": "cast(cast({} as decimal(28,4)) as varchar)", "timestamp_ntz": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"}.get(
+    as_text = {"double": "cast(cast({} as decimal(38,10)) as varchar)", "timestamp_ntz": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')"}.get(
         kind, "cast({} as varchar)"
     )
     if kind == "string":

@@ -23,7 +23,8 @@ def scan_delimited(spark, sf):
     path = new_folder(spark, "delimited")
     for i, sep in enumerate(DELIMITERS):
         part = customers.where(F.pmod("c_custkey", F.lit(len(DELIMITERS))) == i)
-        part.write.mode("append").option("header", True).option("sep", sep).csv(path)
+        # files of one folder may also list the columns in another order
+        part.select(*part.columns[::-1] if i % 2 else part.columns).write.mode("append").option("header", True).option("sep", sep).csv(path)
     return files.read_delimited(spark, path, schema=customers.schema)
 
 
@@ -102,7 +103,7 @@ def _round_trip(spark, sf, fmt):
     path = new_folder(spark, f"export-{fmt}")
     export(orders, path, fmt)
     reader = spark.read.schema(orders.schema)
-    return reader.option("header", True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
+    return reader.options(**text.CSV_READ, multiLine=True).csv(path) if fmt == "csv" else reader.format(fmt).load(path)
 
 
 @query("export_csv", "select * from orders")
@@ -110,6 +111,15 @@ def export_csv(spark, sf):
     return _round_trip(spark, sf, "csv")
 
 
+@query("export_csv_texts", "select * from documents")
+def export_csv_texts(spark, sf):
+    """Texts with quotes, line breaks and white space at their ends, exported and read by the reader for uploads."""
+    docs = table(spark, sf, "documents")
+    path = new_folder(spark, "export-texts")
+    export(docs, path, "csv")
+    return files.read_delimited(spark, path, schema=docs.schema)
+
+
 @query("export_json", "select * from orders")
 def export_json(spark, sf):
     return _round_trip(spark, sf, "json")
@@ -130,11 +140,11 @@ def export_parquet(spark, sf):
     ["orders_versioned"],
 )
 def stream_incremental(spark, sf):
-    """The old state arrives first, then what changed since; each run sees only the new files."""
+    """The old state arrives first, then what changed since, then the old state once more, late; each run sees only the new files."""
     old, new = table(spark, sf, "target_orders"), table(spark, sf, "orders_versioned")
     arrivals, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "stream")
     target = VersionedTable(spark, new_folder(spark, "stream-target"), ["O_ORDERKEY"])
-    for i, part in enumerate((old, new)):
+    for i, part in enumerate((old, new, old)):
         part.write.parquet(f"{arrivals}/{i}")
         incremental_stream(spark, arrivals, new.schema, target, "updated_at", checkpoint).awaitTermination()
     return target.read()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "ferrywell", cores: str | int = "*") -> SparkSession:
-    """A local session; on a cluster the submitted configuration is used instead."""
+    """A local session. Where a master has been submitted, only the application's name is set here."""
+    if SparkSession.getActiveSession() is None and "spark.master" in _submitted():
+        return SparkSession.builder.appName(app).getOrCreate()
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -24,6 +27,15 @@ def build_session(app: str = "ferrywell", cores: str | int = "*") -> SparkSessio
     )
 
 
+def _submitted() -> dict[str, str]:
+    """Settings that spark-submit or the environment's defaults brought."""
+    from pyspark import SparkConf, SparkContext
+
+    if SparkContext._jvm is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return {}  # not started by spark-submit
+    return dict(SparkConf().getAll())
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
@@ -31,9 +43,12 @@ def shared_folder(spark: SparkSession) -> str:
     setting gets a folder of its own, because there driver and executors share one disk.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    local = spark.sparkContext.master.startswith("local")  # also local-cluster, whose executors share the disk
     if named:
+        if named.startswith("file:") and not local:
+            raise RuntimeError("spark.checkpoint.dir names a folder of one machine")
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not local:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ferrywell-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")

@@ -7,16 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from ferrywell.functions import text
 from ferrywell.operators.cleaning import COPIES, column
 from ferrywell.session import Staged
 from ferrywell.sinks.versioned import State, VersionedTable
 
-
 def export(df: DataFrame, path: str, fmt: str) -> None:
-    """Write a result as csv with header, json (one record per line, nulls kept) or parquet."""
+    """Write a result as csv with header, json (one record per line, nulls kept) or parquet.
+
+    CSV cells are written as they are: white space kept, quotes doubled, line breaks inside quotes. An
+    empty text is written as ``""`` and a null as nothing.
+    """
     writer = df.write
     if fmt == "csv":
-        writer.option("header", True).csv(path)
+        writer.options(**text.CSV_WRITE).csv(path)
     elif fmt == "json":
         writer.option("ignoreNullFields", False).json(path)
     elif fmt == "parquet":

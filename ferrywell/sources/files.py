@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from ferrywell.functions import text
 from ferrywell.operators.cleaning import column
+from ferrywell.session import Staged
 
 SNIFF_BYTES = 4096
 
@@ -27,29 +27,44 @@ def list_objects(spark: SparkSession, path: str, limit: int | None = None) -> Da
 
 
 def detect_delimiters(files: DataFrame, candidates: str = ",;\t|", sniff_bytes: int = SNIFF_BYTES) -> DataFrame:
-    """(path, delimiter) per file, from its first bytes. Tasks open the files, not the driver."""
+    """(path, delimiter, header) per file, from its first bytes and its first record. Tasks open the files, not the driver.
+
+    They do so with Arrow, which knows local, HDFS, S3 and GCS paths.
+    """
 
     # refers to nothing outside itself, so executors need not have this package
     def sniff(batches):
         import csv
+        import io
+        from urllib.parse import quote
 
         import pandas as pd
         from pyarrow import fs
 
+        def record(head, stream, delimiter):
+            # the first record may be longer than the part that was looked at
+            while True:
+                row = next(csv.reader(io.StringIO(head.decode("utf-8", errors="replace"), newline=""), delimiter=delimiter), [])
+                more = stream.read(len(head) or 1)
+                if not more or head.count(b"\n") > sum(cell.count("\n") for cell in row):
+                    return [name.removeprefix("\ufeff") if i == 0 else name for i, name in enumerate(row)]
+                head += more
+
         for batch in batches:
-            found = []
+            found, headers = [], []
             for path in batch["path"]:
-                # Spark says s3a, Arrow says s3
-                system, plain = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+                # Spark says s3a, Arrow says s3; Spark's path is not encoded, Arrow's is
+                system, plain = fs.FileSystem.from_uri(quote(path.replace("s3a://", "s3://", 1), safe=":/@"))
                 with system.open_input_stream(plain) as stream:
-                    head = stream.read(sniff_bytes).decode("utf-8", errors="replace")
-                try:
-                    found.append(csv.Sniffer().sniff(head, delimiters=candidates).delimiter)
-                except csv.Error:
-                    found.append(",")
-            yield pd.DataFrame({"path": batch["path"], "delimiter": found})
+                    head = stream.read(sniff_bytes)
+                    try:
+                        found.append(csv.Sniffer().sniff(head.decode("utf-8", errors="replace"), delimiters=candidates).delimiter)
+                    except csv.Error:
+                        found.append(",")
+                    headers.append(record(head, stream, found[-1]))
+            yield pd.DataFrame({"path": batch["path"], "delimiter": found, "header": headers})
 
-    return files.select("path").mapInPandas(sniff, "path string, delimiter string")
+    return files.select("path").mapInPandas(sniff, "path string, delimiter string, header array<string>")
 
 
 def read_delimited(
@@ -58,23 +73,60 @@ def read_delimited(
     candidates: str = ",;\t|",
     schema: T.StructType | str | None = None,
     infer: bool = False,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Delimited files with a header, each with the delimiter its beginning suggests.
 
-    Without a schema all columns are text; ``infer`` costs another pass over the files.
+    Files with the same delimiter and header are read together, and all are put together by column
+    name. Without a schema all columns are text; ``infer`` costs another pass over the files. A
+    cell may hold line breaks, so a file is read by one task; say ``line_breaks=False`` where none
+    does, and large files are split.
     """
-    groups = defaultdict(list)
-    # one short string per file, as in Spark's own file index
-    for row in detect_delimiters(list_objects(spark, path), candidates).collect():
-        groups[row.delimiter].append(row.path)
-    if not groups:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+        "path", F.col("_metadata.file_path").alias("file"))
+    files = Staged(detect_delimiters(listed, candidates).join(listed, "path"), "delimited").df
+    # as many as there are kinds of files
+    kinds = files.select("delimiter", "header").distinct().orderBy("delimiter", "header").collect()
+    if not kinds:
         raise FileNotFoundError(path)
+    wanted = None if schema is None else T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    known = {f.name: f for f in wanted} if wanted else {}
     parts = []
-    for delimiter, paths in sorted(groups.items()):
-        reader = spark.read.option("header", True).option("sep", delimiter).option("encoding", "UTF-8")
-        reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
-        parts.append(reader.csv(paths))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    for delimiter, header in kinds:
+        names = _unique(header)
+        fields = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
+        reader = spark.read.options(**text.CSV_READ, multiLine=line_breaks, recursiveFileLookup=True).option("sep", delimiter)
+        if len(kinds) == 1:
+            part = (reader.option("inferSchema", True) if infer and wanted is None else reader.schema(fields)).csv(path)
+        else:
+            # the file's own rows are found by its path, so no list of files passes through the driver
+            here = files.where((F.col("delimiter") == delimiter) & (F.col("header") == F.array(*map(F.lit, header))))
+            rows = reader.schema(fields).csv(path).select("*", F.col("_metadata.file_path").alias("__file"))
+            part = rows.join(here.select(F.col("file").alias("__file")), "__file", "left_semi").drop("__file")
+            if infer and wanted is None:
+                part = _inferred(part)
+        parts.append(part if wanted is None else part.select(*[column(f.name) for f in wanted if f.name in part.columns]))
+    found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if wanted is not None:
+        missing = {f.name: F.lit(None).cast(f.dataType) for f in wanted if f.name not in found.columns}
+        found = found.withColumns(missing).select(*[column(f.name) for f in wanted])
+    return found
+
+
+def _unique(header: list[str]) -> list[str]:
+    """Column names of a header; a name that is empty or repeated gets its place, as Spark's reader does."""
+    low = [name.lower() for name in header]
+    return [f"_c{i}" if not name else f"{name}{i}" if low.count(name.lower()) > 1 else name for i, name in enumerate(header)]
+
+
+def _inferred(df: DataFrame) -> DataFrame:
+    """Text columns as whole numbers or numbers where all their values are such."""
+    names = df.columns
+    tests = [F.every(F.coalesce(column(c).try_cast(kind).isNotNull() | column(c).isNull(), F.lit(True))).alias(f"{kind}{i}")
+             for i, c in enumerate(names) for kind in ("bigint", "double")]
+    row = df.agg(*tests).first()
+    return df.withColumns({c: column(c).cast(kind) for i, c in enumerate(names)
+                           for kind in [next((k for k in ("bigint", "double") if row[f"{k}{i}"]), "string")]})
 
 
 def flatten(df: DataFrame, sep: str = "_") -> DataFrame:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ferrywell.operators import cdc
+from ferrywell.operators.cleaning import column
 from ferrywell.plans.loads import prepared
 from ferrywell.sinks.tables import append_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
@@ -41,7 +43,8 @@ def incremental_stream(
 ) -> StreamingQuery:
     """Upsert arriving files, or append them if the target has no keys.
 
-    In a batch the row with the highest watermark counts for its key.
+    The row with the highest watermark counts for its key, in a batch and against what is stored: a file
+    that arrives late does not put an older row back. Rows with an equal watermark replace the stored one.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
@@ -49,13 +52,24 @@ def incremental_stream(
             return
         state = {f"batch:{checkpoint}": str(number)}
         if target.keys:
-            upsert_table(target, prepared(batch), [watermark.upper()], state)
+            rows, mark = prepared(batch), watermark.upper()
+            upsert_table(target, _not_older(rows, target, mark), [mark], state)
         else:
             append_table(target, prepared(batch), state)
 
     return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)
 
 
+def _not_older(rows: DataFrame, target: VersionedTable, mark: str) -> DataFrame:
+    """Rows whose watermark is not below the one stored for their key; a null is below all."""
+    if target.commit() is None:
+        return rows
+    stored = target.read().select(*[column(k) for k in target.keys], column(mark).alias("__stored"))
+    joined = rows.join(stored, target.keys, "left")
+    newer = F.col("__stored").isNull() | (column(mark) >= F.col("__stored"))
+    return joined.where(newer).select(*[column(c) for c in rows.columns])
+
+
 def cdc_stream(
     spark: SparkSession, source: str, schema: T.StructType, target: VersionedTable,
     checkpoint: str, files_per_batch: int | None = None, **trigger,

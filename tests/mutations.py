@@ -44,7 +44,7 @@ MUTATIONS = [
     ("cdc_counts", CDC, 'F.col("op") == AFTER).alias("updates")', 'F.col("op") >= AFTER - 1).alias("updates")'),
     ("cdc_apply_json", CDC, 'F.coalesce(change["columns"], change["identity"])', 'change["columns"]'),
     ("cdc_parse_json", CDC, "identity array<struct<name", "ident array<struct<name"),
-    ("reconcile_sums", RECONCILE, "abs({s} - {t}) < {tolerance}", "abs({s} - {t}) < 1e9"),
+    ("reconcile_sums", RECONCILE, "< {tolerance}D, false)", "< 1e9D, false)"),
     ("reconcile_verdict", RECONCILE, "c -> not c.sum_match", "c -> c.sum_match"),
     ("load_job_run", LOADS, '"status": "error", "error"', '"status": "success", "error"'),
     ("profile_text_columns", PROFILE, '"count_if({test}) as {k}{i}"', '"count({c}) as {k}{i}"'),

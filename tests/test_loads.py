@@ -330,8 +330,24 @@ def test_log_is_parsed_once_per_line(spark):
 def test_sums_are_exact_and_do_not_overflow(spark):
     big = spark.range(1000).selectExpr("9223372036854775807 as n", "0.1D as d", "cast(1e20 as decimal(28,2)) as p", "-5 as m")
     sums = {r.column_name: r.source_sum for r in reconcile_sums(big, big).collect()}
-    assert sums["n"] == 9223372036854775807000 and float(sums["d"]) == 100.0
-    assert sums["p"] == 10**23 and sums["m"] == -5000
+    assert sums["n"] == "9223372036854775807000" and float(sums["d"]) == 100.0
+    assert sums["p"] == "100000000000000000000000.00" and sums["m"] == "-5000"
+
+
+def test_reconcile_never_passes_falsely(spark):
+    def verdict(here, there):
+        return reconcile(spark.sql(f"select {here} as v"), spark.sql(f"select {there} as v")).first().overall_passed
+
+    assert not verdict("1e15D", "5e18D") and verdict("5e18D", "5e18D") and verdict("-0.5D", "-0.5D")
+    assert not verdict("1e25D", "1e25D")  # not summed, so not proven
+    assert not verdict("double('NaN')", "double('NaN')") and not verdict("double('-Infinity')", "double('-Infinity')")
+    small = spark.range(100_000).selectExpr("cast(0.00004 as decimal(18,8)) as v")
+    assert not reconcile(small, small.selectExpr("cast(0 as decimal(18,8)) as v")).first().sums_passed
+    assert reconcile(small, small).first().overall_passed
+    # a sum beyond 38 digits is reported
+    wide = spark.range(20).selectExpr("cast('99999999999999999999999999999999999999' as decimal(38,0)) as v")
+    found = reconcile_sums(wide, wide).first()
+    assert not found.sum_match and found.source_lost > 0
 
 
 def test_reconcile_finds_differences(spark):

@@ -3,6 +3,7 @@ from pathlib import Path
 
 import pytest
 
+from ferrywell.functions import text
 from ferrywell.session import new_folder
 from ferrywell.sinks.tables import export, write_quarantine
 from ferrywell.sources import files, jdbc
@@ -12,6 +13,10 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
+def rows_of(values):
+    return sorted(values, key=repr)
+
+
 def write(tmp_path, name, content):
     path = tmp_path / name
     path.write_bytes(content if isinstance(content, bytes) else content.encode())
@@ -28,6 +33,17 @@ def test_delimiter_of_each_file(spark, tmp_path):
     )
 
 
+def test_cells_as_people_write_them(spark, tmp_path):
+    write(tmp_path, "My File (1).csv", 'id,name,extra\r\n1,"he said ""hi"", ok",\r\n2,"two\nlines", x \r\n')
+    write(tmp_path, "b.csv", "name,id\nann,3\n")
+    write(tmp_path, "ünï+100%.csv", 'id,name,extra\n4,"",z\n')
+    found = files.read_delimited(spark, str(tmp_path)).select("id", "name", "extra")
+    assert rows(found) == rows_of([("1", 'he said "hi", ok', None), ("2", "two\nlines", " x "), ("3", "ann", None), ("4", "", "z")])
+    typed = files.read_delimited(spark, str(tmp_path), schema="name string, id int, more date")
+    assert typed.dtypes == [("name", "string"), ("id", "int"), ("more", "date")] and rows(typed.select("id")) == rows_of([(1,), (2,), (3,), (4,)])
+    assert files.read_delimited(spark, str(tmp_path), infer=True).dtypes[0] == ("id", "bigint")
+
+
 def test_bad_bytes_are_replaced(spark, tmp_path):
     write(tmp_path, "a.csv", b"id;t\n1;caf\xe9\n2;ok\n")
     assert rows(files.read_delimited(spark, str(tmp_path))) == [("1", "caf�"), ("2", "ok")]
@@ -75,7 +91,7 @@ def test_export_keeps_nulls_and_refuses_other_formats(spark):
     for fmt in ("csv", "json", "parquet"):
         path = new_folder(spark, fmt)
         export(df, path, fmt)
-        reader = spark.read.schema(df.schema).option("header", True)
+        reader = spark.read.schema(df.schema).options(**text.CSV_READ)
         assert rows(reader.format(fmt).load(path)) == rows(df)
     path = new_folder(spark, "json")
     export(df, path, "json")
