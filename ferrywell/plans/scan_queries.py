@@ -12,7 +12,7 @@ from ferrywell.session import new_folder
 from ferrywell.sinks.tables import export
 from ferrywell.sinks.versioned import VersionedTable
 from ferrywell.sources import files
-from ferrywell.streaming.streams import cdc_stream, incremental_stream
+from ferrywell.streaming.streams import cdc_log_stream, cdc_stream, incremental_stream
 
 DELIMITERS = [",", ";", "\t", "|"]
 
@@ -161,3 +161,25 @@ def stream_cdc(spark, sf):
         part.write.parquet(f"{arrivals}/{i}")
         cdc_stream(spark, arrivals, feed.schema, target, checkpoint).awaitTermination()
     return cdc.current_rows(target)
+
+
+@query(
+    "stream_cdc_json",
+    """with last_read as (
+         select * exclude (place) from (
+           select *, row_number() over (partition by k order by lsn desc) as place from read_changes) where place = 1)
+       select k, price, cast(null as varchar) as reason from cdc_base b where not exists (select 1 from last_read c where c.k = b.k)
+       union all select k, price, null from last_read where action <> 'D'
+       union all select null, null, 'Malformed change' from change_log where not json_valid(data)""",
+    ["cdc_base", "read_changes"],
+)
+def stream_cdc_json(spark, sf):
+    """A JSON log arrives out of order; the target, and the reasons of what was set aside."""
+    log, base = table(spark, sf, "change_log"), table(spark, sf, "cdc_base")
+    arrivals, checkpoint, aside = new_folder(spark, "log"), new_folder(spark, "stream"), new_folder(spark, "aside")
+    target = VersionedTable(spark, new_folder(spark, "stream-target"), ["k"])
+    target.replace(cdc.with_position(base))
+    for i, part in enumerate((log.where("lsn > 30"), log.where("lsn <= 30"))):
+        part.write.parquet(f"{arrivals}/{i}")
+        cdc_log_stream(spark, arrivals, log.schema, base.schema, target, aside, checkpoint).awaitTermination()
+    return cdc.current_rows(target).unionByName(spark.read.parquet(aside).select("reason"), allowMissingColumns=True)

@@ -81,3 +81,23 @@ def cdc_stream(
             cdc.cdc_merge(target, batch, {f"batch:{checkpoint}": str(number)})
 
     return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)
+
+
+def cdc_log_stream(
+    spark: SparkSession, source: str, schema: T.StructType, rows: T.StructType, target: VersionedTable,
+    quarantine: str, checkpoint: str, files_per_batch: int | None = None, **trigger,
+) -> StreamingQuery:
+    """Apply arriving files of a JSON change log; ``rows`` is the schema of the target's own columns.
+
+    Lines that cannot be read, and changes with a cell or key that does not fit, are filed below
+    ``quarantine`` by batch, so a batch that is delivered again files them once.
+    """
+
+    def apply(batch: DataFrame, number: int) -> None:
+        if _is_applied(target, checkpoint, number):
+            return
+        bad = cdc.broken_changes(batch).unionByName(cdc.unreadable_changes(batch, rows, target.keys))
+        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+        cdc.cdc_merge(target, cdc.log_as_feed(batch, rows, keys=target.keys), {f"batch:{checkpoint}": str(number)})
+
+    return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)
