@@ -64,13 +64,15 @@ def conform(df: DataFrame, contract: list[Field]) -> DataFrame:
 
 
 def conform_violations(df: DataFrame, contract: list[Field]) -> DataFrame:
-    """Per column: values of the wrong kind, numbers too large for it, texts too long for it."""
+    """Per column: values of the wrong kind, numbers too large for it, texts too long for it, numbers it rounds."""
     measures, facts = [], []
     for i, f in enumerate(contract):
         c, kind = column(f.name), df.schema[f.name].dataType
         size, limit = number_size(f.type), max_length(f.type)
-        overflow = F.lit(False)
+        overflow = rounded = F.lit(False)
         if size is not None:
+            exact = T.DecimalType(38, 18)
+            rounded = F.coalesce(conformed(c, kind, f.type).cast(exact) != _as_number(c, kind).try_cast(exact), F.lit(False))
             is_number = _as_number(c, kind).try_cast("double").isNotNull()
             overflow = is_number & conformed(c, kind, f.type).isNull()
             failed = c.isNotNull() & ~is_number
@@ -81,6 +83,7 @@ def conform_violations(df: DataFrame, contract: list[Field]) -> DataFrame:
             F.count_if(failed).alias(f"f{i}"),
             F.count_if(overflow).alias(f"o{i}"),
             F.count_if(too_long).alias(f"l{i}"),
+            F.count_if(rounded).alias(f"r{i}"),
         ]
         facts.append(
             F.struct(
@@ -89,6 +92,7 @@ def conform_violations(df: DataFrame, contract: list[Field]) -> DataFrame:
                 F.col(f"f{i}").alias("cast_failures"),
                 F.col(f"o{i}").alias("overflows"),
                 F.col(f"l{i}").alias("over_length"),
+                F.col(f"r{i}").alias("lost_fractions"),
             )
         )
     return df.agg(*measures).select(F.inline(F.array(*facts)))

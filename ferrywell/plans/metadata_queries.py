@@ -231,12 +231,12 @@ def conform_cast(spark, sf):
 
 @query(
     "conform_violations",
-    """select 'o_orderkey' as column_name, 'NUMBER(19,0)' as target_type, 0 as cast_failures, 0 as overflows, 0 as over_length
-       union all select 'o_custkey', 'NUMBER(10,0)', count(*) filter (where o_custkey like 'cust-%'), 0, 0 from order_texts
+    """select 'o_orderkey' as column_name, 'NUMBER(19,0)' as target_type, 0 as cast_failures, 0 as overflows, 0 as over_length, cast(0 as bigint) as lost_fractions
+       union all select 'o_custkey', 'NUMBER(10,0)', count(*) filter (where o_custkey like 'cust-%'), 0, 0, 0 from order_texts
        union all select 'o_totalprice', 'NUMBER(7,2)', count(*) filter (where o_totalprice = 'twelve'),
-         count(*) filter (where try_cast(o_totalprice as double) >= 100000), 0 from order_texts
-       union all select 'o_orderpriority', 'VARCHAR(8)', 0, 0, count(*) filter (where length(o_orderpriority) > 8) from order_texts
-       union all select 'o_orderdate', 'DATE', count(*) filter (where o_orderdate like '31/02/%'), 0, 0 from order_texts""",
+         count(*) filter (where try_cast(o_totalprice as double) >= 100000), 0, 0 from order_texts
+       union all select 'o_orderpriority', 'VARCHAR(8)', 0, 0, count(*) filter (where length(o_orderpriority) > 8), 0 from order_texts
+       union all select 'o_orderdate', 'DATE', count(*) filter (where o_orderdate like '31/02/%'), 0, 0, 0 from order_texts""",
     ["order_texts"],
 )
 def conform_violations(spark, sf):

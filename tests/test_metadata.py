@@ -71,7 +71,7 @@ def test_conform_and_its_violations(spark):
     assert [t for _, t in out.dtypes] == ["decimal(10,0)", "decimal(5,2)", "string", "date"]
     assert out.where("b is not null").first().b == Decimal("12.35")
     found = {r.column_name: r[2:] for r in contracts.conform_violations(df, contract).collect()}
-    assert found == {"a": (1, 0, 0), "b": (0, 1, 0), "c": (0, 0, 1), "d": (1, 0, 0)}
+    assert found == {"a": (1, 0, 0, 0), "b": (0, 1, 0, 1), "c": (0, 0, 1, 0), "d": (1, 0, 0, 0)}
 
 
 def test_contract_check(spark):
