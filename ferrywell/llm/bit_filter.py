@@ -35,9 +35,9 @@ class BitFilter:
                 yield pa.RecordBatch.from_arrays([pa.array(bit >> 5), pa.array(1 << (bit & 31))], ["word", "bit"])
 
         words = (rows.select(*columns).mapInArrow(run, "word bigint, bit bigint")
-                 .groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas())
+                 .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
         table = np.zeros(bits >> 5, np.uint32)
-        table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.uint32)
+        table[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
         self._bits, self._sent = bits, rows.sparkSession.sparkContext.broadcast(table)
 
     def lets(self, columns: list[np.ndarray]) -> np.ndarray:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywell.session import Staged
+from ferrywell.llm.staging import staged
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -16,8 +16,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     component. Each turn is written to the shared folder, so the plan stays short and a lost
     executor costs one turn at most.
     """
-    links = Staged(edges.where("a != b").select(
-        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components").df
+    links = staged(edges.where("a != b").select(
+        F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     before = None
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = large.where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = Staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components").df
+        links = staged(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -6,11 +6,12 @@ with it; similar small sets meet in such a subset. A *large* set is posted in in
 the first tokens of a global order, rare tokens first, as many as a similar set cannot avoid.
 The boundary between both is the one with the least cost for the sizes at hand.
 
-Groups of near copies would make long lists and squares of pairs. Therefore lists are scanned twice.
-First each set is compared with one leader, the smallest set of the lists it shares most. The links
-found form components. Then only lists that still hold several components are scanned, and only
-for pairs across components, and bitmaps of the sets rule out most of those without their tokens.
-All that is skipped is a pair whose sets are connected already, or that is too different by a bound.
+Groups of near copies would make long lists and squares of pairs. Therefore lists are scanned three
+times. First each set is compared with one leader, the smallest set of the lists it shares most. The
+links found form components. Then only lists that still hold several components are scanned, and only
+for pairs across components: first each set with its nearest in every list, in the end all that are left.
+Bitmaps of the sets rule out most pairs without their tokens. All that is skipped is a pair whose sets
+are connected already, or that is too different by a bound.
 """
 
 from __future__ import annotations
@@ -30,9 +31,10 @@ from pyspark.sql import functions as F
 from ferrywell.llm.bit_filter import BITS, BitFilter
 from ferrywell.llm.components import connected_components
 from ferrywell.llm.shingles import mix, shingle_sets
-from ferrywell.session import Staged
+from ferrywell.llm.staging import staged
 
 SLICE = 512
+MARKS = [f"b{i}" for i in range(8)]
 
 
 @dataclass(frozen=True)
@@ -64,22 +66,24 @@ def similar_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFram
     sets, tokens = _described(docs, setting)
     classes = _frequency_classes(tokens, setting)
     boundary = _boundary(sets, setting)
-    postings = Staged(_postings(docs, classes, boundary, setting), "jaccard-postings").df
+    marks = staged(sets.where("n > 0").select("s", "n", *MARKS).dropDuplicates(["s"]), "jaccard-marks")
+    postings = staged(_postings(docs, classes, boundary, setting), "jaccard-postings")
     ends = postings.groupBy("key").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi")
     # copies in different tasks post the same set
-    lists = Staged(postings.join(ends.select("key", "lo"), "key").dropDuplicates(["key", "s"]), "jaccard-lists").df
+    lists = staged(postings.join(ends.select("key", "lo"), "key").dropDuplicates(["key", "s"]), "jaccard-lists")
 
-    bodies = _bodies(docs, sets, lists, setting)
     votes = lists.where("s != lo").groupBy("s", "lo").count()
     leaders = votes.groupBy("s").agg(F.max_by("lo", F.struct("count", "lo")).alias("lo"))
-    first = Staged(_linked(leaders.select(F.col("lo").alias("a"), F.col("s").alias("b")), bodies, setting), "jaccard-links").df
+    near = leaders.select(F.col("lo").alias("a"), F.col("s").alias("b"))
+    first = _linked(near, docs, sets, marks, setting)
     groups = connected_components(first)
 
-    rest = _across(lists, groups, bodies, setting)
-    second = Staged(_linked(rest, bodies, setting), "jaccard-links").df
-    if not second.isEmpty():
-        known = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
-        groups = connected_components(known.unionByName(second))
+    for nearest in (True, False):
+        rest = _across(lists, groups, marks, setting, nearest)
+        links = _linked(rest, docs, sets, marks, setting)
+        if not links.isEmpty():
+            known = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+            groups = connected_components(known.unionByName(links))
     return _named(sets, groups)
 
 
@@ -123,28 +127,31 @@ def _described(docs: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame]
             nonlocal counts
             if part is None:
                 held = np.flatnonzero(counts)
-                return [None] * len(held), [None] * len(held), counts[held], held
-            ids, names, sizes = part.column(0).to_pylist(), [], []
+                none = [None] * len(held)
+                return none, none, counts[held], held, *([none] * len(MARKS))
+            ids, names, sizes, maps = part.column(0).to_pylist(), [], [], []
             found = list(shingle_sets(part.column(1).to_pylist(), width))
             for tokens in found:
                 names.append(set_name(tokens))
                 sizes.append(len(tokens))
+                maps.append(_marks(tokens))
             if found:
                 counts += np.bincount(_bucket(np.concatenate(found), buckets), minlength=buckets)
-            return ids, names, sizes, [None] * len(ids)
+            return ids, names, sizes, [None] * len(ids), *np.array(maps, np.int64).reshape(-1, len(MARKS)).T
 
         return work
 
-    both = Staged(_mapped(docs, "doc_id bigint, s bigint, n bigint, bucket bigint", start), "jaccard-sets").df
-    return (both.where("bucket is null").select("doc_id", "s", "n"),
+    schema = "doc_id bigint, s bigint, n bigint, bucket bigint" + "".join(f", {m} bigint" for m in MARKS)
+    both = staged(_mapped(docs, schema, start), "jaccard-sets")
+    return (both.where("bucket is null").select("doc_id", "s", "n", *MARKS),
             both.where("bucket is not null").select("bucket", "n"))
 
 
 def _frequency_classes(tokens: DataFrame, setting: Setting) -> np.ndarray:
     """How frequent the tokens of each bucket are, as a power of two. Its size is fixed by the setting."""
-    counts = tokens.groupBy("bucket").agg(F.ceil(F.log2(F.sum("n"))).cast("int").alias("power")).toPandas()
+    counts = tokens.groupBy("bucket").agg(F.ceil(F.log2(F.sum("n"))).cast("int").alias("power")).toArrow()
     classes = np.zeros(setting.buckets, np.uint8)
-    classes[counts["bucket"].to_numpy(np.int64)] = counts["power"].to_numpy(np.uint8)
+    classes[counts["bucket"].to_numpy()] = counts["power"].to_numpy().astype(np.uint8)
     return classes
 
 
@@ -208,15 +215,23 @@ def _postings(docs: DataFrame, classes: np.ndarray, boundary: int, setting: Sett
     return _mapped(docs, "key bigint, s bigint, n int, place int", start)
 
 
-def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, setting: Setting) -> DataFrame:
-    """The tokens of the sets that stand in some list with another, one row each.
+def _parities(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bits that each hold the parity of the tokens that hash to it: two sets differ in at least as many tokens as bits."""
+    odd = np.bincount((tokens >> np.uint64(64 - bits.bit_length() + 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8))
+
+
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    return _parities(tokens, 64 * len(MARKS)).view(np.int64)
+
+
+def _bodies(docs: DataFrame, sets: DataFrame, wanted: DataFrame, setting: Setting) -> DataFrame:
+    """The tokens of the wanted sets, one row each.
 
     Which documents to take them from is told to the tasks by a bit filter; what it lets through too
     much is dropped by the join that follows.
     """
-    wanted = lists.select("s").distinct()
     chosen = sets.join(wanted, "s").groupBy("s").agg(F.min("doc_id").alias("doc_id"))
-    chosen = Staged(chosen, "jaccard-chosen").df
     let = BitFilter(chosen.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id")), ["doc_id"], setting.filter_bits)
     width = setting.width
 
@@ -226,7 +241,7 @@ def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, setting: Setting
         def work(part: pa.RecordBatch | None):
             if part is None:
                 return None
-            names, sizes, bodies, maps = [], [], [], []
+            names, fine, bodies = [], [], []
             ids = part.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
             texts = part.column(1).filter(pa.array(let.lets([ids]))).to_pylist()
             for tokens in shingle_sets(texts, width):
@@ -234,61 +249,73 @@ def _bodies(docs: DataFrame, sets: DataFrame, lists: DataFrame, setting: Setting
                 if len(tokens) and name not in seen:
                     seen.add(name)
                     names.append(name)
-                    sizes.append(len(tokens))
+                    fine.append(_parities(tokens, 4096).tobytes())
                     bodies.append(tokens.tobytes())
-                    maps.append(_bitmap(tokens))
-            return names, sizes, bodies, maps
+            return names, fine, bodies
 
         return work
 
-    made = _mapped(docs, "s bigint, n int, body binary, bitmap binary", start)
-    return Staged(made.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-bodies").df
+    made = _mapped(docs, "s bigint, fine binary, body binary", start)
+    return staged(made.join(wanted, "s", "left_semi").dropDuplicates(["s"]), "jaccard-bodies")
 
 
-def _bitmap(tokens: np.ndarray) -> bytes:
-    """512 bits, each the parity of the tokens that hash to it: two maps differ in no more bits than their sets in tokens."""
-    odd = np.bincount((tokens >> np.uint64(55)).astype(np.int64), minlength=512) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _linked(pairs: DataFrame, bodies: DataFrame, setting: Setting) -> DataFrame:
-    """The pairs ``a``, ``b`` whose sets are similar."""
+def _linked(pairs: DataFrame, docs: DataFrame, sets: DataFrame, marks: DataFrame, setting: Setting) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets are similar. Sizes and marks rule out most others before any tokens are read."""
     percent = setting.percent
-    left = bodies.select(F.col("s").alias("a"), F.col("body").alias("x"))
-    right = bodies.select(F.col("s").alias("b"), F.col("body").alias("y"))
-    # sizes first, so that hopeless pairs do not carry their tokens on
-    sized = pairs.join(bodies.select(F.col("s").alias("a"), F.col("n").alias("na")), "a").join(
-        bodies.select(F.col("s").alias("b"), F.col("n").alias("nb")), "b")
-    sized = sized.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
+    x, y = marks.alias("x"), marks.alias("y")
+    both = pairs.join(x, F.col("a") == F.col("x.s")).join(y, F.col("b") == F.col("y.s"))
+    n, m = F.col("x.n"), F.col("y.n")
+    differ = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in MARKS), F.lit(0))
+    apart = n + m - 2 * F.ceil((n + m) * percent / (100 + percent))
+    possible = both.where((100 * F.least(n, m) >= percent * F.greatest(n, m)) & (differ <= apart))
+    possible = staged(possible.select("a", "b", n.alias("n"), m.alias("m")), "jaccard-pairs")
+    wanted = possible.select(F.col("a").alias("s")).union(possible.select("b")).distinct()
+    bodies = _bodies(docs, sets, wanted, setting)
+    def finer(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+        return int(np.bitwise_count(a ^ b).sum()) <= setting.apart(n, m)
+
+    def similar(a: np.ndarray, b: np.ndarray, n: int, m: int) -> bool:
+        both = np.sort(np.concatenate([a, b]))
+        common = int((both[1:] == both[:-1]).sum())
+        return 100 * common >= percent * (n + m - common)
+
+    # finer bits first, then the tokens of what is left
+    close = staged(_tested(possible, bodies, "fine", finer), "jaccard-close")
+    return staged(_tested(close, bodies, "body", similar).select("a", "b"), "jaccard-links")
+
+
+def _tested(pairs: DataFrame, bodies: DataFrame, what: str, test) -> DataFrame:
+    """The pairs whose sets pass a test on the given column."""
+    left = bodies.select(F.col("s").alias("a"), F.col(what).alias("x"))
+    right = bodies.select(F.col("s").alias("b"), F.col(what).alias("y"))
+    names = ["a", "b", "n", "m"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                if 100 * common >= percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            sizes = zip(batch.column("n").to_pylist(), batch.column("m").to_pylist(), strict=True)
+            values = zip(batch.column("x"), batch.column("y"), sizes, strict=True)
+            keep = [i for i, (x, y, (n, m)) in enumerate(values)
+                    if test(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), n, m)]
+            yield batch.select(names).take(pa.array(keep, pa.int64()))
 
-    return sized.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    joined = pairs.join(left, "a").join(right, "b").select(*names, "x", "y")
+    return joined.mapInArrow(run, "a bigint, b bigint, n bigint, m bigint")
 
 
-def _across(lists: DataFrame, groups: DataFrame, bodies: DataFrame, setting: Setting) -> DataFrame:
-    """Distinct pairs of sets that stand in a list together, are not connected yet and may be similar."""
+def _across(lists: DataFrame, groups: DataFrame, marks: DataFrame, setting: Setting, nearest: bool) -> DataFrame:
+    """Distinct pairs of sets that stand in a list together, are not connected yet and may be similar; or just the nearest of each."""
     rows = lists.join(groups.withColumnRenamed("node", "s"), "s", "left").select(
         "key", "s", "n", "place", F.coalesce("component", "s").alias("component"))
-    rows = Staged(rows, "jaccard-rows").df
+    rows = staged(rows, "jaccard-rows")
     open_lists = rows.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo != hi")
-    rows = rows.join(open_lists.select("key", "m"), "key").join(bodies.select("s", "bitmap"), "s")
+    rows = rows.join(open_lists.select("key", "m"), "key").join(marks.select("s", *MARKS), "s")
     # a list longer than a block is compared block by block, each pair of blocks on its own
     blocks = F.ceil(F.col("m") / setting.block).cast("int")
     own = F.pmod(F.xxhash64("s"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     rows = rows.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"),
-                       "own", "s", "n", "place", "component", "bitmap")
+                       "own", "s", "n", "place", "component", *MARKS)
     spread = rows.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "s")
     size = setting.block
 
@@ -300,11 +327,11 @@ def _across(lists: DataFrame, groups: DataFrame, bodies: DataFrame, setting: Set
                 continue
             table = pa.Table.from_batches(held)
             bounds = _bounds(table)
-            yield from _compared(table, bounds[:-1], setting)
+            yield from _compared(table, bounds[:-1], setting, nearest)
             held = table.slice(bounds[-2]).combine_chunks().to_batches()
         if held:
             table = pa.Table.from_batches(held)
-            yield from _compared(table, _bounds(table), setting)
+            yield from _compared(table, _bounds(table), setting, nearest)
 
     return spread.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -316,31 +343,42 @@ def _bounds(table: pa.Table) -> list[int]:
     return [0, *(np.flatnonzero(new) + 1).tolist(), table.num_rows]
 
 
-def _compared(table: pa.Table, bounds: list[int], setting: Setting) -> Iterator[pa.RecordBatch]:
-    columns = {c: table.column(c).to_numpy() for c in ("p", "q", "own", "s", "n", "place", "component")}
-    maps = np.frombuffer(b"".join(table.column("bitmap").to_pylist()), np.uint64).reshape(-1, 8)
-    found: set[tuple[int, int]] = set()
-    for begin, end in zip(bounds[:-1], bounds[1:], strict=True):
-        c = {name: values[begin:end] for name, values in columns.items()}
-        bits, whole = maps[begin:end], c["p"][0] == c["q"][0]
-        for i in range(end - begin):
-            # within a block each pair once; across blocks only pairs of one row from either
-            others = np.arange(i + 1, end - begin) if whole else np.flatnonzero(c["own"] != c["own"][i])
-            if not whole and c["own"][i] != c["p"][0]:
-                continue
-            others = others[c["component"][others] != c["component"][i]]
-            n, m = c["n"][i].astype(np.int64), c["n"][others].astype(np.int64)
-            apart = setting.apart(n, m)
-            # what lies before this token in either order cannot be shared in full
-            before = np.abs(c["place"][others] - c["place"][i])
-            ok = (np.maximum(np.abs(n - m), 0) <= apart) & (before <= apart)
-            others, apart = others[ok], apart[ok]
-            if len(others):
-                near = others[np.bitwise_count(bits[others] ^ bits[i]).sum(axis=1) <= apart]
-                found.update((min(a, b), max(a, b)) for a in [int(c["s"][i])] for b in c["s"][near].tolist() if a != b)
+def _compared(table: pa.Table, bounds: list[int], setting: Setting, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Each row against the rows one, two, three .. places further in its list, all lists at once."""
+    c = {name: table.column(name).to_numpy() for name in ("p", "q", "own", "s", "n", "place", "component")}
+    maps = np.stack([table.column(m).to_numpy() for m in MARKS], axis=1).view(np.uint64)
+    sizes = np.diff(bounds)
+    last = np.repeat(np.asarray(bounds[1:]), sizes)
+    rows = np.arange(len(last))
+    whole, n = c["p"] == c["q"], c["n"].astype(np.int64)
+    best, partner = np.full(len(last), 2.0), np.full(len(last), -1)
+    found: list[np.ndarray] = []
+    for step in range(1, int(sizes.max(initial=0))):
+        rows = rows[rows + step < last[rows]]
+        i, j = rows, rows + step
+        # within a block each pair; across two blocks only pairs of one row from either
+        ok = (c["component"][i] != c["component"][j]) & (c["s"][i] != c["s"][j]) & (whole[i] | (c["own"][i] != c["own"][j]))
+        # what lies before the shared token in one order only is not shared
+        apart = setting.apart(n[i], n[j])
+        ok &= (np.abs(n[i] - n[j]) <= apart) & (np.abs(c["place"][i] - c["place"][j]) <= apart)
+        i, j, apart = i[ok], j[ok], apart[ok]
+        differ = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64)
+        near = differ <= apart
+        i, j = i[near], j[near]
+        if not nearest:
+            found.append(np.stack([i, j]))
+            continue
+        far = differ[near] / (n[i] + n[j])
+        for one, other in ((i, j), (j, i)):
+            better = far < best[one]
+            best[one[better]], partner[one[better]] = far[better], other[better]
+    if nearest:
+        i = np.flatnonzero(partner >= 0)
+        found.append(np.stack([i, partner[i]]))
     if found:
-        a, b = zip(*sorted(found), strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        i, j = np.concatenate(found, axis=1)
+        pairs = np.unique(np.sort(np.stack([c["s"][i], c["s"][j]]), axis=0), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
 
 def _named(sets: DataFrame, groups: DataFrame) -> DataFrame:
@@ -357,11 +395,11 @@ def distinct_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFra
     Texts without a word stay. Of rows that share the smallest doc_id of their group one stays. A doc_id
     that stands for several texts counts as one document, in the group with the smallest name.
     """
-    found = Staged(similar_documents(docs, setting), "jaccard-documents").df.where("n_shingles > 0")
+    found = staged(similar_documents(docs, setting), "jaccard-documents").where("n_shingles > 0")
     several = found.groupBy("component_id").count().where("count > 1").select("component_id")
     members = found.join(several, found["component_id"].eqNullSafe(several["component_id"]), "left_semi")
     members = members.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.min("component_id").alias("group"))
-    members = Staged(members, "jaccard-members").df
+    members = staged(members, "jaccard-members")
     let = BitFilter(members, ["id"], setting.filter_bits)
 
     @F.pandas_udf("boolean")
