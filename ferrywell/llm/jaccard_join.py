@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ferrywell.llm.bit_filter import BITS, BitFilter
 from ferrywell.llm.components import connected_components
+from ferrywell.llm.packed import PACKED, PARTS, dealt, packed, unpacked
 from ferrywell.llm.shingles import mix, shingle_sets
 from ferrywell.llm.staging import staged
 
@@ -333,7 +334,13 @@ def _across(lists: DataFrame, groups: DataFrame, marks: DataFrame, setting: Sett
             table = pa.Table.from_batches(held)
             yield from _compared(table, _bounds(table), setting, nearest)
 
-    return spread.mapInArrow(run, "a bigint, b bigint").distinct()
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for a, b in unpacked(batches, [np.int64, np.int64]):
+            once = np.unique(np.stack([a, b]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(once[0]), pa.array(once[1])], ["a", "b"])
+
+    # a pair that many lists hold becomes one row
+    return dealt(spread.mapInArrow(run, PACKED)).mapInArrow(pairs, "a bigint, b bigint")
 
 
 def _bounds(table: pa.Table) -> list[int]:
@@ -377,8 +384,8 @@ def _compared(table: pa.Table, bounds: list[int], setting: Setting, nearest: boo
         found.append(np.stack([i, partner[i]]))
     if found:
         i, j = np.concatenate(found, axis=1)
-        pairs = np.unique(np.sort(np.stack([c["s"][i], c["s"][j]]), axis=0), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        a, b = np.unique(np.sort(np.stack([c["s"][i], c["s"][j]]), axis=0), axis=1)
+        yield packed((mix(a.view(np.uint64) ^ mix(b.view(np.uint64))) % np.uint64(PARTS)).astype(np.int64), [a, b])
 
 
 def _named(sets: DataFrame, groups: DataFrame) -> DataFrame:
