@@ -2,7 +2,7 @@
 
 A line is the set of its words. Two lines match when their sets' Jaccard similarity reaches the
 threshold; of matching lines the later one goes, by (doc_id, line). Lines with the same set are
-one entry from the start. The rest follows from a global order of words, rare ones first:
+one entry from the start. The rest follows from a global order of words, rare ones first (64-bit hashes stand for words):
 
 * prefix: matching sets share one of the first ``n - ceil(t * n) + 1`` words of either;
 * length: the smaller set has at least ``t`` times the words of the larger one;
@@ -19,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrywell.llm.columns import split_words
+from ferrywell.llm.columns import SPACE
+from ferrywell.llm.staging import staged
 from ferrywell.session import Staged
 
 #: Counters of word frequencies, and bits of the filter for documents with candidates: fixed, whatever the data.
@@ -27,48 +28,41 @@ BUCKETS, BITS = 1 << 18, 1 << 20
 ORDER = ["d", "h", "line"]
 
 
-def _freed(staged: Staged) -> DataFrame:
-    """The staged rows, after Spark has been told to drop the shuffle files that made them.
-
-    It drops them when the driver's JVM collects garbage, which a driver with little to do puts off.
-    """
-    staged.spark.sparkContext._jvm.System.gc()
-    return staged.df
-
-
 def _byte(table: bytes, at: Column) -> Column:
     """Entry of a table of values below 128."""
     return F.ascii(F.substr(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines: document (id and hash), place, and distinct words."""
+    """Lines: document (id and hash), place, and 64-bit hashes of the distinct words."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
     rows = rows.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    return rows.select("d", "h", "line", F.array_distinct(split_words(F.col("words"))).alias("words"))
+    words = F.array_remove(F.split("words", SPACE), "")
+    return rows.select("d", "h", "line", F.array_distinct(F.transform(words, lambda word: F.xxhash64(word))).alias("words"))
 
 
 def _frequency_table(docs: DataFrame) -> bytes:
     """How many lines hold the words of each bucket, as a power of two."""
     words = _lines(docs).select(F.explode("words").alias("word"))
-    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().collect()
+    counts = words.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).count().toArrow()
     table = bytearray(BUCKETS)
-    for row in counts:
-        table[row["bucket"]] = row["count"].bit_length()
+    for bucket, count in zip(*(c.to_pylist() for c in counts.columns), strict=True):
+        table[bucket] = count.bit_length()
     return bytes(table)
 
 
-def _signed(lines: DataFrame, table: bytes) -> DataFrame:
-    """``sig``: the words as sorted numbers, frequency first, then 56 bits of a hash; and two hashes of that set."""
-    def number(word: Column) -> Column:
-        hashed = F.xxhash64(word)
-        power = _byte(table, F.pmod(hashed, F.lit(BUCKETS)))
-        return F.shiftleft(power.cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(hashed, 8))
+def _named(lines: DataFrame) -> DataFrame:
+    """Lines with two hashes that name their set."""
+    ordered = lines.withColumn("words", F.sort_array("words"))
+    return ordered.withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), F.col("words"))})
+
 
-    sig = lines.select(*ORDER, F.sort_array(F.transform("words", number)).alias("sig"))
-    return sig.select(*ORDER, "sig", F.xxhash64("sig").alias("s1"), F.xxhash64(F.lit(1), F.col("sig")).alias("s2"))
+def _ranked(words: Column, table: bytes) -> Column:
+    """The words as sorted numbers: frequency first, then 56 bits of the hash."""
+    return F.sort_array(F.transform(words, lambda word: F.shiftleft(
+        _byte(table, F.pmod(word, F.lit(BUCKETS))).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(word, 8))))
 
 
 def _shared(n: Column, percent: int) -> Column:
@@ -82,16 +76,17 @@ def _parity(sig: Column, shift: int) -> Column:
 
 def _sets(docs: DataFrame, table: bytes, percent: int) -> DataFrame:
     """One row per distinct set: its first line, size, prefix, parity bits, and a number that follows the order of lines."""
-    rows = _signed(_lines(docs), table)
-    n = F.size("sig")
+    rows = _named(_lines(docs))
+    n = F.size("words")
     rows = rows.select(
-        *ORDER, "s1", "s2", n.alias("n"), F.slice("sig", 1, n - _shared(n, percent) + 1).alias("prefix"),
-        _parity(F.col("sig"), 0).alias("b1"), _parity(F.col("sig"), 6).alias("b2"))
+        *ORDER, "s1", "s2", n.alias("n"),
+        F.slice(_ranked(F.col("words"), table), 1, n - _shared(n, percent) + 1).alias("prefix"),
+        _parity(F.col("words"), 0).alias("b1"), _parity(F.col("words"), 6).alias("b2"))
     sets = rows.groupBy("s1", "s2").agg(
         F.min(F.struct(*ORDER)).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", "b1", "b2")))
     # lines without a word match nothing
     sets = sets.where("n > 0").select("first.*", "s1", "s2", "n", "prefix", "b1", "b2")
-    return _freed(Staged(sets.orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id()), "line-sets"))
+    return staged(sets.orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id()), "line-sets")
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -106,63 +101,63 @@ def _apart(n: Column, m: Column, percent: int) -> Column:
     return n + m - 2 * F.ceil((n + m) * percent / (100 + percent))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, table: bytes, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The numbers ``x`` of sets that match their partner ``y``, compared word by word.
 
     The words are taken from the texts again. A bit table of fixed size leaves out most documents that have no
     candidate; the join decides.
     """
-    pairs = Staged(pairs, "line-pairs").df
+    pairs = staged(pairs, "line-pairs")
     numbers = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    places = _freed(Staged(sets.join(numbers, "id").select(*ORDER, "id"), "line-places"))
+    places = staged(sets.join(numbers, "id").select(*ORDER, "id"), "line-places")
     bit = F.pmod(F.xxhash64("d"), F.lit(BITS))
     found = places.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 4).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(bit % 4 as int))")).alias("bits")).collect()
+        F.bit_or(F.expr("shiftleft(1, cast(bit % 4 as int))")).alias("bits")).toArrow()
     held = bytearray(BITS // 4)
-    for row in found:
-        held[row["at"]] = row["bits"]
+    for at, bits in zip(*(c.to_pylist() for c in found.columns), strict=True):
+        held[at] = bits
     d = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))), F.lit(BITS))
     may = F.call_function("shiftright", _byte(bytes(held), F.floor(d / 4)), (d % 4).cast("int")).bitwiseAND(1) == 1
-    sigs = _signed(_lines(docs.where(may)), table).join(places, ORDER).dropDuplicates(["id"]).select("id", "sig")
-    sigs = _freed(Staged(sigs, "line-words"))
-    both = pairs.join(sigs.select(F.col("id").alias("x"), F.col("sig").alias("sx")), "x").join(
-        sigs.select(F.col("id").alias("y"), F.col("sig").alias("sy")), "y")
+    words = _lines(docs.where(may)).join(places, ORDER).dropDuplicates(["id"]).select("id", "words")
+    words = staged(words, "line-words")
+    both = pairs.join(words.select(F.col("id").alias("x"), F.col("words").alias("sx")), "x").join(
+        words.select(F.col("id").alias("y"), F.col("words").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     return both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent).select("x").distinct()
 
 
-def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, bytes]:
-    """All sets, the numbers ``x`` of those that match an earlier one, and the word table."""
+def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """All sets, and the numbers ``x`` of those that match an earlier one."""
     docs = docs.select("doc_id", "text")
-    table = _frequency_table(docs)
-    sets = _sets(docs, table, percent)
+    sets = _sets(docs, _frequency_table(docs), percent)
     slim = sets.select("id", "n", "b1", "b2")
-    posted = sets.select("id", "n", "b1", "b2", F.posexplode("prefix").alias("place", "word"))
-    lists = posted.groupBy("word").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
-    posted = _freed(Staged(posted.join(lists.select("word", "lead"), "word"), "line-lists"))
+    posted = sets.select("id", F.posexplode("prefix").alias("place", "word"))
+    several = posted.groupBy("word").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
+    lists = Staged(posted.join(several.select("word", "lead"), "word"), "line-lists")
 
-    votes = posted.where("id != lead").groupBy("id", "lead").count()
+    votes = lists.df.where("id != lead").groupBy("id", "lead").count()
     leaders = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     near = leaders.join(slim.alias("x"), "id").join(slim.withColumnRenamed("id", "lead").alias("y"), "lead")
     near = near.where(_possible("x", "y", percent)).select(F.col("id").alias("x"), F.col("lead").alias("y"))
-    first = _freed(Staged(_verified(near, docs, sets, table, percent), "line-matched"))
+    first = staged(_verified(near, docs, sets, percent), "line-matched")
 
-    open_sets = posted.join(first.withColumnRenamed("x", "id"), "id", "left_anti").alias("x")
-    every = posted.alias("y")
+    known = slim.join(first.select(F.col("x").alias("id"), F.lit(True).alias("known")), "id", "left")
+    marked = staged(lists.df.select("word", "place", "id").join(known, "id"), "line-marked")
+    lists.release()
+    x, y = marked.where("known is null").drop("known").alias("x"), marked.drop("known").alias("y")
     later = F.col("x.id") > F.col("y.id")
     place = F.abs(F.col("x.place") - F.col("y.place")) <= _apart(F.col("x.n"), F.col("y.n"), percent)
-    pairs = open_sets.join(every, (F.col("x.word") == F.col("y.word")) & later & place & _possible("x", "y", percent))
+    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & later & place & _possible("x", "y", percent))
     pairs = pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    second = Staged(_verified(pairs, docs, sets, table, percent), "line-matched").df
-    return sets, first.union(second), table
+    return sets, first.union(staged(_verified(pairs, docs, sets, percent), "line-matched"))
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``d``, ``h`` (a document) and ``removed``, the sorted places of its lines that go; documents that lose none have no row."""
-    sets, matched, table = matched_sets(docs, percent)
-    fate = sets.join(matched.withColumnRenamed("x", "id"), "id", "left_semi").select("s1", "s2", F.lit(True).alias("gone"))
-    firsts = sets.select("s1", "s2", F.struct(*ORDER).alias("first")).join(fate, ["s1", "s2"], "left")
-    lines = _signed(_lines(docs), table).select(*ORDER, "s1", "s2").distinct()
+    sets, matched = matched_sets(docs, percent)
+    fate = matched.select(F.col("x").alias("id"), F.lit(True).alias("gone"))
+    firsts = sets.select("id", "s1", "s2", F.struct(*ORDER).alias("first")).join(fate, "id", "left").drop("id")
+    lines = _named(_lines(docs)).select(*ORDER, "s1", "s2").distinct()
     gone = lines.join(firsts, ["s1", "s2"]).where((F.struct(*ORDER) != F.col("first")) | F.col("gone"))
     return gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
