@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 
 from ferrywell.llm.bit_filter import BitFilter
 from ferrywell.llm.columns import nested
+from ferrywell.llm.packed import PACKED, PARTS, dealt, packed, unpacked
 from ferrywell.llm.shingles import VALUES, _powers, mix
-from ferrywell.session import Folder, Staged, new_folder
+from ferrywell.llm.staging import staged
+from ferrywell.session import Folder, new_folder
 
 LENGTH, GRAM = 400, 64
 SPAN = LENGTH - GRAM + 1  # 64-byte strings in 400 bytes
@@ -47,7 +49,7 @@ ENTRY = "key bigint, context bigint, t string, pos bigint, before int, after int
 @dataclass(frozen=True)
 class Setting:
     batches: int = 4  # runs that a whole table is dealt into
-    block: int = 4096  # most contexts of one key that a task compares
+    block: int = 4096  # most contexts of one key that one task compares
 
 
 def name_of(raw: bytes) -> str:
@@ -162,7 +164,7 @@ def _entries(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
                 key, context, pos, before, after, until = (np.concatenate(c) for c in zip(*parts, strict=True))
                 yield _table(schema, [key, context, names, pos, before.astype(np.int32), after.astype(np.int32), until])
 
-    both = Staged(texts.mapInArrow(run, schema), "suffix-entries").df
+    both = staged(texts.mapInArrow(run, schema), "suffix-entries")
     return both.where("until < 0").drop("until"), both.where("until >= 0").selectExpr("t", "pos as begin", "until as end")
 
 
@@ -199,14 +201,18 @@ class SuffixIndex:
         for level in levels:
             again = again.unionByName(keys.select("key").join(self._read(level).select("key").distinct(), "key"))
         again.distinct().write.mode("overwrite").parquet(f"{self.path}/again-{number}")
+        replaced = []
         while equal := [level for level, s in levels.items() if s == size]:
             merged = f"run-{number}-{size + 1}"
             self._write(self._read(run).unionByName(self._read(equal[0])), merged)
             del levels[equal[0]]
+            replaced += [run, equal[0]]
             run, size = merged, size + 1
         levels[run] = size
         # a batch that failed halfway is not in the list and is written again
         self.folder.create_text(f"levels={number}", "\n".join(f"{r} {s}" for r, s in levels.items()))
+        for old in replaced:
+            self.folder.delete(old)
 
     def repeated(self) -> DataFrame:
         """All entries whose key occurs more than once."""
@@ -218,27 +224,32 @@ class SuffixIndex:
         return self.spark.read.schema(ENTRY).parquet(*(f"{self.path}/{run}" for run in levels)).join(keys, "key")
 
 
-def _contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes around an anchor, once for each of the wanted contexts."""
-    let = BitFilter(wanted, ["key", "context"])
-    schema = "key bigint, context bigint, before int, body binary"
+CONTEXT = "key bigint, context bigint, before int, body binary"
 
+
+def _contexts(texts: DataFrame, wanted: BitFilter, hot: BitFilter | None, take_hot: bool) -> DataFrame:
+    """The bytes around the anchors of the wanted contexts, once for each in a task; either of hot keys or of the others.
+
+    The filter of hot keys may count others among them, but then all contexts of such a key.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         given: set[int] = set()
         for fresh in _texts(batches):
             rows = []
             for raw in fresh:
                 a = anchors(np.frombuffer(raw, np.uint8))
-                for i in np.flatnonzero(let.lets([a.key, a.context])).tolist():
+                let = wanted.lets([a.key, a.context])
+                if hot is not None:
+                    let &= hot.lets([a.key]) == take_hot
+                for i in np.flatnonzero(let).tolist():
                     context, pos, before = int(a.context[i]), int(a.pos[i]), int(a.before[i])
                     if context not in given:
                         given.add(context)
                         rows.append((int(a.key[i]), context, before, raw[pos - before:pos + int(a.after[i])]))
             if rows:
-                yield _table(schema, list(zip(*rows, strict=True)))
+                yield _table(CONTEXT, list(zip(*rows, strict=True)))
 
-    found = texts.mapInArrow(run, schema).join(wanted, ["key", "context"])
-    return found.dropDuplicates(["key", "context"])
+    return texts.mapInArrow(run, CONTEXT)
 
 
 def _string_hashes(before: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -266,22 +277,32 @@ def _extent(again: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 RESOLVED = "key bigint, context bigint, least int, most int"
 
 
-def _compared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
-    """Contexts in order of their keys; strings equal to one of another context of the key."""
+def _again(values: np.ndarray) -> np.ndarray:
+    """Which values of each row occur in it more than once."""
+    order = np.argsort(values, axis=1)
+    ranked = np.take_along_axis(values, order, axis=1)
+    same = ranked[:, 1:] == ranked[:, :-1]
+    edge = np.zeros((len(values), 1), bool)
+    again = np.zeros(values.shape, bool)
+    np.put_along_axis(again, order, np.hstack([edge, same]) | np.hstack([same, edge]), axis=1)
+    return again
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts in order of key and context; strings equal to one of another context of the key."""
     held: list[pa.RecordBatch] = []
 
     def resolve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, context = (table.column(c).to_numpy() for c in ("key", "context"))
+        # several tasks may have given the same context; keys with one context are not compared
+        new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1])]))
+        key = key[new]
+        several = np.concatenate([[False], key[1:] == key[:-1]]) | np.concatenate([key[1:] == key[:-1], [False]])
+        table = table.take(pa.array(new[several]))
         if not table.num_rows:
             return
-        before = table.column("before").to_numpy()
-        hashes, valid = _string_hashes(before, table.column("body").to_pylist())
-        order = np.argsort(hashes, axis=1)
-        ranked = np.take_along_axis(hashes, order, axis=1)
-        same = ranked[:, 1:] == ranked[:, :-1]
-        edge = np.zeros((SPAN, 1), bool)
-        again = np.zeros_like(valid)
-        np.put_along_axis(again, order, np.hstack([edge, same]) | np.hstack([same, edge]), axis=1)
-        rows, least, most = _extent(again & valid)
+        hashes, valid = _string_hashes(table.column("before").to_numpy(), table.column("body").to_pylist())
+        rows, least, most = _extent(_again(hashes) & valid)
         picked = table.select(["key", "context"]).take(pa.array(rows))
         yield _table(RESOLVED, [picked.column(0).to_numpy(), picked.column(1).to_numpy(), least.astype(np.int32), most.astype(np.int32)])
 
@@ -293,59 +314,62 @@ def _compared(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Reco
             table = pa.Table.from_batches(held)
             keys = table.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1]))  # the last key may go on
-            yield from resolve(table.slice(0, cut))
+            if cut:
+                yield from resolve(table.slice(0, cut))
             held = table.slice(cut).combine_chunks().to_batches()
     if held:
         yield from resolve(pa.Table.from_batches(held))
 
 
 def _dealt(hot: DataFrame) -> DataFrame:
-    """The same for keys with very many contexts: hashes go by their value to whoever compares them."""
-    parts = 256
-    packed = "part int, hashes binary, keys binary, contexts binary, offsets binary"
+    """Context and extent for keys with very many contexts: hashes go by their value to whoever compares them.
 
+    What is found comes back packed by context, so that each context makes one row.
+    """
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                piece = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                piece = batch.slice(at, 1024)
+                once = np.unique(piece.column("context").to_numpy(), return_index=True)[1]
+                piece = piece.take(pa.array(once))
                 hashes, valid = _string_hashes(piece.column("before").to_numpy(), piece.column("body").to_pylist())
                 offsets, rows = np.nonzero(valid)
                 values = mix(hashes[offsets, rows] + offsets.astype(np.uint64))
-                part = (values >> np.uint64(56)).astype(np.int64)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                keys, contexts = (piece.column(c).to_numpy()[rows] for c in ("key", "context"))
-                blobs = [[c[order[a:b]].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True) if b > a]
-                         for c in (values, keys, contexts, offsets.astype(np.int16))]
-                yield _table(packed, [np.unique(part).astype(np.int32), *blobs])
+                contexts = piece.column("context").to_numpy()[rows]
+                yield packed((values >> np.uint64(56)).astype(np.int64), [values, contexts, (LEFT - offsets).astype(np.int16)])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        for values, contexts, befores in unpacked(batches, [np.uint64, np.int64, np.int16]):
+            # a context that several batches gave is one context
+            order = np.lexsort((contexts, values))
+            values, contexts, befores = values[order], contexts[order], befores[order]
+            new = np.concatenate([[True], (values[1:] != values[:-1]) | (contexts[1:] != contexts[:-1])])
+            values, contexts, befores = values[new], contexts[new], befores[new]
+            same = values[1:] == values[:-1]
+            again = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            found = _extents(contexts[again], befores[again], befores[again])
+            if len(found[0]):
+                yield packed(found[0].view(np.uint64).astype(np.uint64) % np.uint64(PARTS), found)
 
-        def resolve() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            values, keys, contexts, offsets = (
-                np.concatenate([np.frombuffer(v, kind) for v in table.column(c).to_pylist()])
-                for c, kind in (("hashes", np.uint64), ("keys", np.int64), ("contexts", np.int64), ("offsets", np.int16)))
-            order = np.argsort(values, kind="stable")
-            same = values[order][1:] == values[order][:-1]
-            again = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-            found = pd.DataFrame({"key": keys[again], "context": contexts[again], "o": LEFT - offsets[again].astype(np.int32)})
-            found = found.groupby(["key", "context"], sort=False)["o"].agg(["min", "max"]).reset_index()
-            yield _table(RESOLVED, [found[c].to_numpy() for c in ("key", "context", "min", "max")])
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for contexts, least, most in unpacked(batches, [np.int64, np.int16, np.int16]):
+            yield _table(EXTENT, [c if i == 0 else c.astype(np.int32) for i, c in enumerate(_extents(contexts, least, most))])
+
+    found = dealt(dealt(hot.mapInArrow(deal, PACKED)).mapInArrow(compare, PACKED))
+    return found.mapInArrow(gather, EXTENT)
+
+
+EXTENT = "context bigint, least int, most int"
 
-        for batch in batches:
-            for row in range(batch.num_rows):
-                one = batch.slice(row, 1)
-                if held and held[-1].column("part")[0].as_py() != one.column("part")[0].as_py():
-                    yield from resolve()
-                    held = []
-                held.append(one)
-        if held:
-            yield from resolve()
 
-    return (hot.select("key", "context", "before", "body").mapInArrow(deal, packed)
-            .repartition("part").sortWithinPartitions("part").mapInArrow(compare, RESOLVED))
+def _extents(contexts: np.ndarray, least: np.ndarray, most: np.ndarray) -> list[np.ndarray]:
+    """The least and the most of each context."""
+    order = np.argsort(contexts, kind="stable")
+    contexts, least, most = contexts[order], least[order], most[order]
+    if not len(contexts):
+        return [contexts, least, most]
+    begins = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]]))
+    return [contexts[begins], np.minimum.reduceat(least, begins), np.maximum.reduceat(most, begins)]
 
 
 def repeated_spans(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
@@ -362,20 +386,23 @@ def repeated_spans(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     for batch in range(setting.batches):
         index.add(entries.where(F.pmod(F.xxhash64("t"), F.lit(setting.batches)) == batch))
 
-    repeated = Staged(index.repeated(), "suffix-repeated").df
-    contexts = Staged(repeated.groupBy("key", "context").agg(
-        F.count("*").alias("n"), F.min("before").alias("before"), F.min("after").alias("after")), "suffix-contexts").df
-    several = contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    bodies = Staged(_contexts(texts, contexts.join(several, "key").select("key", "context", "m")), "suffix-bodies").df
-    block = setting.block
-    cold = bodies.where(F.col("m") <= block).select("key", "context", "before", "body")
-    cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _compared(b, block), RESOLVED)
-    hot = _dealt(bodies.where(F.col("m") > block))
+    repeated = staged(index.repeated(), "suffix-repeated")
+    contexts = staged(repeated.groupBy("key", "context").agg(
+        F.count("*").alias("n"), F.min("before").alias("before"), F.min("after").alias("after")), "suffix-contexts")
+    several = staged(contexts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-several")
+    wanted = BitFilter(contexts.join(several, "key"), ["key", "context"])
+    hot_keys = several.where(F.col("m") > setting.block)
+    hot = None if hot_keys.isEmpty() else BitFilter(hot_keys, ["key"])
+    cold = _contexts(texts, wanted, hot, False).repartition("key").sortWithinPartitions("key", "context")
+    cold = cold.mapInArrow(_compared, RESOLVED)
     # equal contexts: every string around the anchor that lies within the text repeats
     equal = contexts.where("n > 1").select(
         "key", "context", (F.lit(LENGTH) - F.col("after")).alias("least"), F.col("before").alias("most")).where("least <= most")
-    found = equal.unionByName(cold).unionByName(hot).groupBy("key", "context").agg(
-        F.min("least").alias("least"), F.max("most").alias("most"))
+    found = equal.unionByName(cold)
+    if hot is not None:
+        extents = staged(_dealt(_contexts(texts, wanted, hot, True)), "suffix-hot")
+        found = found.unionByName(contexts.join(extents, "context").select("key", "context", "least", "most"))
+    found = staged(found.groupBy("key", "context").agg(F.min("least").alias("least"), F.max("most").alias("most")), "suffix-found")
     spans = repeated.join(found, ["key", "context"]).select(
         "t", (F.col("pos") - F.col("most")).alias("begin"), (F.col("pos") - F.col("least") + LENGTH).alias("end"))
     spans = spans.unionByName(own).groupBy("t").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
@@ -389,7 +416,7 @@ def repeated_spans(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
         return pd.Series(made)
 
     spans = spans.join(copies.select("t"), "t", "left_anti").select("t", F.lit(False).alias("whole"), joined("spans").alias("spans"))
-    return Staged(spans.unionByName(copies, allowMissingColumns=True), "suffix-spans").df
+    return staged(spans.unionByName(copies, allowMissingColumns=True), "suffix-spans")
 
 
 def _kept(text: str, spans) -> bytes:
