@@ -20,7 +20,7 @@ SAFE_CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 20
 #: Pieces a worker remembers, about 150 bytes each; beyond that it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 
 
 def default_path() -> str:
