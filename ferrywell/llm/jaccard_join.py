@@ -25,7 +25,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrywell.llm.bit_filter import BITS, BitFilter
@@ -63,6 +63,11 @@ def similar_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFram
     doc_id. Repeated rows are linked with each other like any equal sets. Rows without doc_id take
     part, but do not name a component. An empty table gives an empty result.
     """
+    return _named(*_grouped(docs, setting))
+
+
+def _grouped(docs: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame]:
+    """A row per document (its id, the hash of its text, the name and size of its set), and the component of each linked set."""
     docs = docs.selectExpr("cast(doc_id as bigint) as doc_id", "cast(text as string) as text")
     sets, tokens = _described(docs, setting)
     classes = _frequency_classes(tokens, setting)
@@ -85,7 +90,7 @@ def similar_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFram
         if not links.isEmpty():
             known = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
             groups = connected_components(known.unionByName(links))
-    return _named(sets, groups)
+    return sets, groups
 
 
 def _mapped(docs: DataFrame, schema: str, start) -> DataFrame:
@@ -113,12 +118,16 @@ def _bucket(tokens: np.ndarray, buckets: int) -> np.ndarray:
     return (tokens & np.uint64(buckets - 1)).astype(np.int64)
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def set_name(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
 def _described(docs: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame]:
-    """One pass over the texts: a row per document (name and size of its set), and each task's counts of hashed tokens."""
+    """One pass over the texts: a row per document (hash of its text, name and size of its set), and each task's counts of hashed tokens."""
     width, buckets = setting.width, setting.buckets
 
     def start():
@@ -129,7 +138,7 @@ def _described(docs: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame]
             if part is None:
                 held = np.flatnonzero(counts)
                 none = [None] * len(held)
-                return none, none, counts[held], held, *([none] * len(MARKS))
+                return none, none, none, counts[held], held, *([none] * len(MARKS))
             ids, names, sizes, maps = part.column(0).to_pylist(), [], [], []
             found = list(shingle_sets(part.column(1).to_pylist(), width))
             for tokens in found:
@@ -138,13 +147,13 @@ def _described(docs: DataFrame, setting: Setting) -> tuple[DataFrame, DataFrame]
                 maps.append(_marks(tokens))
             if found:
                 counts += np.bincount(_bucket(np.concatenate(found), buckets), minlength=buckets)
-            return ids, names, sizes, [None] * len(ids), *np.array(maps, np.int64).reshape(-1, len(MARKS)).T
+            return ids, part.column(2), names, sizes, [None] * len(ids), *np.array(maps, np.int64).reshape(-1, len(MARKS)).T
 
         return work
 
-    schema = "doc_id bigint, s bigint, n bigint, bucket bigint" + "".join(f", {m} bigint" for m in MARKS)
-    both = staged(_mapped(docs, schema, start), "jaccard-sets")
-    return (both.where("bucket is null").select("doc_id", "s", "n", *MARKS),
+    schema = "doc_id bigint, h bigint, s bigint, n bigint, bucket bigint" + "".join(f", {m} bigint" for m in MARKS)
+    both = staged(_mapped(docs.select("doc_id", "text", _text_hash().alias("h")), schema, start), "jaccard-sets")
+    return (both.where("bucket is null").select("doc_id", "h", "s", "n", *MARKS),
             both.where("bucket is not null").select("bucket", "n"))
 
 
@@ -399,25 +408,29 @@ def _named(sets: DataFrame, groups: DataFrame) -> DataFrame:
 def distinct_documents(docs: DataFrame, setting: Setting = Setting()) -> DataFrame:
     """The rows without near copies: of each group the one with the smallest doc_id, in its own columns.
 
-    Texts without a word stay. Of rows that share the smallest doc_id of their group one stays. A doc_id
-    that stands for several texts counts as one document, in the group with the smallest name.
+    Each row is judged by its own text, so rows that share a doc_id, or have none, need not share a group.
+    Texts without a word stay. A row without doc_id stays only if its group has no row with one. Of several
+    rows that share the smallest doc_id of their group one stays.
     """
-    found = staged(similar_documents(docs, setting), "jaccard-documents").where("n_shingles > 0")
-    several = found.groupBy("component_id").count().where("count > 1").select("component_id")
-    members = found.join(several, found["component_id"].eqNullSafe(several["component_id"]), "left_semi")
-    members = members.groupBy(F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.min("component_id").alias("group"))
-    members = staged(members, "jaccard-members")
-    let = BitFilter(members, ["id"], setting.filter_bits)
+    sets, groups = _grouped(docs, setting)
+    found = sets.where("n > 0").join(groups.withColumnRenamed("node", "s"), "s", "left").select(
+        F.col("doc_id").alias("id"), "h", F.coalesce("component", "s").alias("group"))
+    found = staged(found, "jaccard-documents")
+    name = F.struct(F.col("id").isNull().alias("none"), "id", "h")
+    several = found.groupBy("group").agg(F.count("*").alias("n"), F.min(name).alias("first")).where("n > 1")
+    members = found.join(several, "group").select("id", "h", "group", name.eqNullSafe(F.col("first")).alias("stays"))
+    members = staged(members.dropDuplicates(["id", "h"]), "jaccard-members")
+    let = BitFilter(members.select(F.coalesce("id", F.lit(-1)).alias("id"), "h"), ["id", "h"], setting.filter_bits)
 
     @F.pandas_udf("boolean")
-    def maybe(ids: pd.Series) -> pd.Series:
-        return pd.Series(let.lets([ids.to_numpy(np.int64)]) if len(ids) else [], dtype=bool)
+    def maybe(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series(let.lets([ids.to_numpy(np.int64), hashes.to_numpy(np.int64)]) if len(ids) else [], dtype=bool)
 
-    rows = docs.select(F.struct(F.col("*")).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)).alias("id"))
-    rows = rows.withColumn("maybe", maybe("id"))
+    rows = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").cast("bigint").alias("own_id"), _text_hash().alias("own_h"))
+    rows = rows.withColumn("maybe", maybe(F.coalesce("own_id", F.lit(-1)), "own_h"))
     # only rows that may belong to a group are shuffled
-    joined = rows.where("maybe").join(members.withColumn("member", F.lit(True)), "id", "left")
-    alone = joined.where("member is null or row.text is null").select("row.*")
-    first = joined.where("member and row.text is not null and id = coalesce(group, -1)")
-    first = first.groupBy("group").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
+    same = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_h") == F.col("h"))
+    joined = rows.where("maybe").join(members, same, "left")
+    alone = joined.where("group is null").select("row.*")
+    first = joined.where("stays").groupBy("group").agg(F.min_by("row", "row.text").alias("row")).select("row.*")
     return rows.where("not maybe").select("row.*").unionByName(alone).unionByName(first)

@@ -216,6 +216,23 @@ def test_near_copies(spark, width=5, percent=80, block=2):
     assert found == plain_components(pairs, width, percent)
 
 
+def test_near_copies_are_judged_by_their_own_text(spark):
+    a, b, c, d, e = (prose(40 + i, 200) for i in range(5))
+    rows = [(None, a), (None, b), (5, c), (None, c + " more"), (None, d), (7, e), (7, prose(50, 90)), (3, e + " more"),
+            (-1, prose(51, 90)), (None, prose(52, 90)), (None, prose(52, 90)), (-1, prose(53, 90)), (8, d + " more"),
+            (9, prose(54, 90)), (9, prose(54, 90)), (6, prose(54, 90) + " x"), (None, None), (None, ""), (4, None), (4, None)]
+    groups = plain_components([(at, t) for at, (_, t) in enumerate(rows)], 5, 80)
+    expected, best = [], {}
+    for at, (i, t) in enumerate(rows):
+        size, group = groups[at]
+        if not size:
+            expected.append((i, t))
+        elif group not in best or (i is None, i or 0, t) < best[group][0]:
+            best[group] = ((i is None, i or 0, t), (i, t))
+    found = jaccard_join.distinct_documents(frame(spark, rows)).select("doc_id", "text").collect()
+    assert Counter(map(tuple, found)) == Counter(expected + [row for _, row in best.values()])
+
+
 def test_enumerated_sets_meet_posted_ones(spark, monkeypatch):
     pairs = [(i, prose(7, n)) for i, n in enumerate(range(3, 40))] + [(50 + i, prose(7, n) + " more") for i, n in enumerate(range(3, 40))]
     monkeypatch.setattr(jaccard_join, "_boundary", lambda sets, setting: 20)
