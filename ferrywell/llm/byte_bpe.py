@@ -2,7 +2,8 @@
 
 Texts are cut where white space begins, which no token crosses; the few hundred thousand pieces
 that fill most texts are then looked up, and only new ones are merged. The file is in the format
-of the ``tokenizers`` library, and the ids are the ones that library gives.
+of the ``tokenizers`` library, and the ids are the ones that library gives; ``load`` also gives
+the markers in a text (``added_tokens``) their own ids, as the library does by itself.
 """
 
 from __future__ import annotations
@@ -37,7 +38,8 @@ def _byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str):
+    def __init__(self, path: str, markers: bool = False):
+        """Without ``markers`` a marker is text like any other, as with the library's ``encode_special_tokens``."""
         import tiktoken
 
         with open(path, encoding="utf-8") as file:
@@ -51,8 +53,26 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
         self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._marker_ids: dict[str, bytes] = {}
+        for token in spec["added_tokens"] if markers else []:
+            if token["single_word"] or token["lstrip"] or token["rstrip"]:
+                raise ValueError(f"the marker {token['content']} takes more than its own letters")
+            self._marker_ids[token["content"]] = array("I", [token["id"]]).tobytes()
+        longest_first = sorted(self._marker_ids, key=len, reverse=True)
+        self._marker = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
 
     def _pieces(self, text: str) -> Iterator[tuple[list[str], list[bytes]]]:
+        """Pieces and their ids; what lies between two markers is a text of its own."""
+        if self._marker is None or not any(m in text for m in self._marker_ids):
+            yield from self._plain_pieces(text)
+            return
+        for i, part in enumerate(self._marker.split(text)):
+            if i % 2:
+                yield [part], [self._marker_ids[part]]
+            elif part:
+                yield from self._plain_pieces(part)
+
+    def _plain_pieces(self, text: str) -> Iterator[tuple[list[str], list[bytes]]]:
         known, at = self._known, 0
         while at < len(text):
             cut = None if len(text) - at <= SEGMENT else SAFE_CUT.search(text, at + SEGMENT)
@@ -94,4 +114,4 @@ class ByteBpe:
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:
     """One per worker process, so what it remembers serves all its tasks."""
-    return ByteBpe(path)
+    return ByteBpe(path, markers=True)

@@ -380,6 +380,25 @@ def test_ids_are_those_of_the_libraries(monkeypatch):
         assert vocabulary.decode(ids) == text.replace("▁", " ")
 
 
+def test_markers_have_their_own_ids(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(byte_bpe, "SEGMENT", 50)
+    theirs = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    mine, mark = byte_bpe.ByteBpe(byte_bpe.default_path(), markers=True), "<|endoftext|>"
+    marked = [f"a{mark}b", mark, f"{mark}{mark} x", f"one. {mark}\n two  {mark}  ", f"<|endoftext{mark}|>", "<|ENDOFTEXT|>"]
+    marked += [t[:k] + mark + t[k:] for k, t in enumerate(texts())]
+    for text in marked + texts():
+        ids = theirs.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(mine.ids(text), "<u4").tolist() == ids and mine.count(text) == len(ids)
+        assert mine.ids_and_sentences(text)[0] == mine.ids(text)
+    assert theirs.encode(marked[0], add_special_tokens=False).ids == [64, 50256, 65]
+    docs = frame(spark, [(1, marked[0])])
+    assert token_rollup.count_tokens(docs).first().n_tokens == 3
+    assert np.frombuffer(packing.pack(docs).first().ids, "<u4").tolist() == [64, 50256, 65, 1]
+
+
 def test_unigram_segmentation_is_the_best(spark):
     pick = random.Random(4)
     scores = {c: -5.0 for c in "▁abc"} | {"".join(pick.choices("abc", k=n)): -pick.random() * 8 for n in (2, 2, 3, 3, 4) for _ in range(4)}
