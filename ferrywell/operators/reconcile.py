@@ -18,7 +18,8 @@ TOLERANCE = Decimal("0.01")
 
 # Whole numbers, and the whole parts of floats, are summed in two halves of 32 bits: per task two
 # long sums cannot overflow, and long sums are several times faster than decimal ones. The rest of a
-# float is summed in billionths. Decimals are summed at their own scale.
+# float is summed in billionths, and what rounding to them loses is summed as a double, which the
+# verdict takes into account. Decimals are summed at their own scale.
 HALF = 1 << 32
 PARTS = 1_000_000_000
 WHOLE = "9.2e18D"  # floats from here on have no long whole part
@@ -33,38 +34,45 @@ def _compared_columns(source: DataFrame, target: DataFrame) -> list[tuple[str, s
     return [(c, there[c.lower()]) for c in numeric_columns(source)]
 
 
-def _parts(c: str, kind: T.DataType) -> tuple[list[str], str, str]:
-    """Values to sum per row as p0, p1, .., what they add up to, and the test for a value that no sum can hold."""
+def _parts(c: str, kind: T.DataType) -> tuple[list[str], str, str, str | None]:
+    """Values to sum per row as p0, p1, .., what they add up to, the test for a value that no sum can hold, and what rounding loses."""
     if isinstance(kind, T.DecimalType):
-        return [c], f"try_cast({{0}} as decimal(38,{kind.scale}))", "false"
+        return [c], f"try_cast({{0}} as decimal(38,{kind.scale}))", "false", None
     if isinstance(kind, T.IntegralType):
         whole = f"cast({c} as bigint)"
         return ([f"shiftright({whole}, 32)", f"{whole} & {HALF - 1}"],
-                f"try_cast(cast({{0}} as decimal(28,0)) * {HALF} + {{1}} as decimal(38,0))", "false")
+                f"try_cast(cast({{0}} as decimal(28,0)) * {HALF} + {{1}} as decimal(38,0))", "false", None)
     fits = f"abs({c}) < {WHOLE}"  # false for NaN, which is greater than all numbers
     whole = f"case when {fits} then cast(floor({c}) as bigint) end"
-    rest = f"case when {fits} then cast(rint(({c} - floor({c})) * {PARTS}) as bigint) end"
+    fraction = f"(cast({c} as double) - floor({c}))"
+    rest = f"case when {fits} then cast(rint({fraction} * {PARTS}) as bigint) end"
+    residue = f"case when {fits} then {fraction} - rint({fraction} * {PARTS}) / {PARTS}D end"
     total = (f"try_cast(cast({{0}} as decimal(28,0)) * {HALF} + {{1}} as decimal(27,0)) "
              f"+ cast(cast({{2}} as decimal(20,0)) / {PARTS} as decimal(27,9))")
-    return [f"shiftright({whole}, 32)", f"{whole} & {HALF - 1}", rest], f"try_cast({total} as decimal(38,9))", f"not ({fits})"
+    return [f"shiftright({whole}, 32)", f"{whole} & {HALF - 1}", rest], f"try_cast({total} as decimal(38,9))", f"not ({fits})", residue
 
 
 def _side(df: DataFrame, tag: str, names: list[str]) -> DataFrame:
-    """One row with the rows of one side, and the sum and the lost values of each column.
+    """One row with the rows of one side, and of each column the sum, the lost values and the residue of rounding.
 
     Lost are NaN, infinite and too large floats, and a sum that overflows.
     """
     values, measures, totals, found = [], ["count(1) as rows"], [], ["coalesce(sum(rows), 0L) as rows"]
     for i, name in enumerate(names):
         c = quoted(name)
-        parts, total, lost = _parts(c, df.schema[name].dataType)
+        parts, total, lost, residue = _parts(c, df.schema[name].dataType)
         sums = [f"p{i}_{k}" for k in range(len(parts))]
         values += [f"{part} as {p}" for part, p in zip(parts, sums, strict=True)]
         values += [f"{c} is not null as n{i}", f"coalesce({lost}, false) as x{i}"]
         measures += [f"try_sum({p}) as {p}" for p in sums]
         measures += [f"count_if(n{i}) as n{i}", f"count_if(x{i}) as x{i}"]
         totals += [f"{total.format(*sums)} as v{i}", f"n{i}", f"x{i}"]
-        found += [f"coalesce(try_sum(v{i}), 0) as {tag}_v{i}",
+        if residue:
+            values.append(f"{residue} as r{i}")
+            measures.append(f"sum(r{i}) as r{i}")
+            totals.append(f"r{i}")
+        found += [f"{f'coalesce(sum(r{i}), 0D)' if residue else '0D'} as {tag}_r{i}",
+                  f"coalesce(try_sum(v{i}), 0) as {tag}_v{i}",
                   f"coalesce(sum(x{i} + if(n{i} > x{i} and v{i} is null, 1L, 0L)), 0L) "
                   f"+ if(count(v{i}) > 0 and try_sum(v{i}) is null, 1L, 0L) as {tag}_x{i}"]
     found[0] = f"coalesce(sum(rows), 0L) as {tag}_rows"
@@ -93,7 +101,7 @@ def _sum_checks(pairs: list[tuple[str, str]], tolerance: Decimal) -> str:
     for i, (name, _) in enumerate(pairs):
         s, t = f"s_v{i}", f"t_v{i}"
         # as a double, since a decimal of 38 digits leaves the tolerance no room for its own
-        near = f"coalesce(abs(cast(try_subtract({s}, {t}) as double)) < {tolerance}D, false)"
+        near = f"coalesce(abs(cast(try_subtract({s}, {t}) as double) + (s_r{i} - t_r{i})) < {tolerance}D, false)"
         checks.append(
             f"named_struct('column_name', {literal(name)}, 'source_sum', cast({s} as string), 'target_sum', cast({t} as string), "
             f"'source_lost', s_x{i}, 'target_lost', t_x{i}, 'sum_match', {near} and s_x{i} = 0 and t_x{i} = 0)"
@@ -108,7 +116,8 @@ def reconcile_counts(source: DataFrame, target: DataFrame) -> DataFrame:
 def reconcile_sums(source: DataFrame, target: DataFrame, tolerance: Decimal = TOLERANCE) -> DataFrame:
     """Per numeric column the sums of both sides, the values left out of them, and whether they match.
 
-    They match if they differ by less than the tolerance and no value was left out on either side.
+    They match if they differ by less than the tolerance and no value was left out on either side. The sums of
+    floats are shown in billionths; what each row loses by that is not shown, but counts towards the difference.
     """
     pairs = _compared_columns(source, target)
     if not pairs:

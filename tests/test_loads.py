@@ -1,4 +1,5 @@
 import datetime as dt
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -350,6 +351,15 @@ def test_reconcile_never_passes_falsely(spark):
     assert not found.sum_match and found.source_lost > 0
 
 
+def test_reconcile_counts_what_rounding_loses(spark):
+    fine = Decimal("0.0001")
+    rows, dealt = spark.range(0, 1_000_000, 1, 8), spark.range(0, 1_000_000, 1, 3)
+    for value, other in (("4e-10D", "0D"), ("-4e-10D", "0D"), ("7.0000000004D", "7D"), ("cast(4e-10 as float)", "cast(0 as float)")):
+        here = rows.selectExpr(f"{value} as v")
+        assert not reconcile(here, rows.selectExpr(f"{other} as v"), fine).first().sums_passed
+        assert reconcile(here, dealt.selectExpr(f"{value} as v"), fine).first().overall_passed
+
+
 def test_reconcile_finds_differences(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
     assert reconcile(a, a.toDF("K", "V")).first().overall_passed
