@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ferrywell.llm import jaccard_join, language_id, license_scan, line_dedup, packing, quality, sentencepiece_viterbi, suffix_dedup, token_rollup
+from ferrywell.llm import (
+    jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs, phrase_graph, quality,
+    sentencepiece_viterbi, suffix_dedup, token_rollup,
+)
 from ferrywell.llm.exact_dedup import ExactDedup
 from ferrywell.session import Staged, new_folder
 
@@ -192,3 +195,40 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.detect(documents(spark, sf_dir))
+
+
+@query("op13_phrase_graph", rf"""
+    with p as (
+      select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), '[.,;:!?\x0A-\x0D]')) as piece
+      from documents),
+    w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as words from p),
+    o as (select lang, words, unnest(range(1, len(words) + 1)) as i from w),
+    g as (
+      select lang, size, array_to_string(words[i:i + size - 1], ' ') as phrase, cast(count(*) as hugeint) as f
+      from (select *, unnest([1, 2, 3]) as size from o) where i + size - 1 <= len(words) group by 1, 2, 3),
+    total as (select lang, sum(f) as n from g where size = 1 group by 1),
+    c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as words from g where size > 1 and f >= 10),
+    longer as (
+      select lang, array_to_string(words[1:2], ' ') as phrase, a from c where size = 3
+      union all select lang, array_to_string(words[2:3], ' '), a from c where size = 3),
+    free as (
+      select * from c where not exists (
+        select 1 from longer x where x.lang = c.lang and x.phrase = c.phrase and 100 * x.a >= 50 * c.a)),
+    cuts as (
+      select free.lang, free.phrase, a, k, l.f as l, r.f as r, (1000000 * a * a) // (l.f * r.f) as score
+      from (select *, unnest(range(1, size)) as k from free) free
+      join g l on l.lang = free.lang and l.phrase = array_to_string(words[1:k], ' ')
+      join g r on r.lang = free.lang and r.phrase = array_to_string(words[k + 1:free.size], ' ')),
+    weakest as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+    ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from weakest)
+    select ranked.lang, cast(rank as bigint) as rank, phrase, cast(a as bigint) as a, cast(l as bigint) as l,
+      cast(r as bigint) as r, cast(n as bigint) as n, cast(score as bigint) as score
+    from ranked join total on total.lang = ranked.lang where rank <= 2000""")
+def op13_phrase_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(documents(spark, sf_dir))
