@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrywell.llm import (
-    jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs, phrase_graph, quality,
+    html_wrapper, jaccard_join, language_id, license_scan, line_dedup, packing, periodic_runs, phrase_graph, quality,
     sentencepiece_viterbi, suffix_dedup, token_rollup,
 )
 from ferrywell.llm.exact_dedup import ExactDedup
@@ -197,6 +197,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
 
 
+@query("op11_html_wrapper")
+def op11_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.detect(documents(spark, sf_dir))
