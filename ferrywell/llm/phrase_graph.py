@@ -2,13 +2,14 @@
 
 Every place in a piece of text starts one gram of up to three words: an edge from the node of its first
 two words to the node of its last two, or, near the end of a piece, what is left there. Only these are
-counted. The count of two words is then the flow through their node, that of one word the flow out of
+counted, and edges that are rare for certain just as flow out of their first node. The count of two words is then the flow through their node, that of one word the flow out of
 all nodes that begin with it; grams cut short by the end of a piece are the correction in both.
 Chains of edges whose inner nodes let the whole flow through are compacted to paths.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,10 @@ from ferrywell.llm.staging import staged
 
 #: Ends of pieces; they become the sign ``;``, which no word can hold.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-#: Places that a task counts at a time, and the words that its own numbering of words may hold.
-PLACES, NUMBERED = 1 << 21, 1 << 21
+#: Places that a task counts at a time, and the words that its own numbering of words holds.
+PLACES, NUMBERED = 1 << 19, 1 << 18
+#: Counters of the sketch of pairs (as a power of two), and of one block of them. A full sketch only lets more through.
+COUNTER_BITS, BLOCK_BITS = 24, 12
 #: In how many parts a language's phrases are ranked first.
 PARTS = 64
 
@@ -45,13 +48,19 @@ def pieces(text: str) -> list[bytes]:
     return (text.encode().translate(LETTERS) + b"\n").replace(b"\n", b" ; ").split()
 
 
-class _Counter:
-    """Counts the longest grams of the texts of one language."""
+class _Places:
+    """Texts as numbers of words, 0 at the ends of pieces, some at a time and by language."""
 
-    def __init__(self, lang: str):
-        self.lang, self.numbers, self.parts, self.places = lang, {b";": 0}, [], 0
+    def __init__(self) -> None:
+        self.clear()
 
-    def add(self, text: str) -> bool:
+    def clear(self) -> None:
+        self.numbers: dict[bytes, int] = {b";": 0}
+        self.parts: dict[str, list[np.ndarray]] = {}
+        self.held = 0
+
+    def add(self, lang: str, text: str) -> bool:
+        """Whether it is time to take what is held."""
         words, numbers = pieces(text), self.numbers
         try:
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
@@ -59,55 +68,108 @@ class _Counter:
             for word in words:
                 numbers.setdefault(word, len(numbers))
             ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        self.parts.append(ids)
-        self.places += len(ids)
-        return self.places >= PLACES or len(numbers) >= NUMBERED // 2
-
-    def flush(self) -> Iterator[pa.RecordBatch]:
-        ids = np.concatenate([*self.parts, np.zeros(2, np.int64)])
-        one, two, three = ids[:-2], ids[1:-1], ids[2:]
-        two = np.where(one > 0, two, 0)
-        three = np.where(two > 0, three, 0)
-        width = len(self.numbers)
-        if width < NUMBERED:
-            codes = (one * width + two) * width + three
-        else:  # one text alone can bring so many words
-            codes = np.unique(one * width + two, return_inverse=True)[1] * width + three
-        _, first, counts = np.unique(codes[one > 0], return_index=True, return_counts=True)
-        at = np.flatnonzero(one > 0)[first]
-        names = pa.array(list(self.numbers), pa.string())
-        size = 1 + (two[at] > 0) + (three[at] > 0)
-        for k in (1, 2, 3):
-            for begin in range(0, int((size == k).sum()), 1 << 18):
-                chosen = at[size == k][begin:begin + (1 << 18)]
-                grams = pc.binary_join_element_wise(*(names.take(pa.array(c[chosen])) for c in (one, two, three)[:k]), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([self.lang] * len(chosen), pa.string()), grams.cast(pa.string()), pa.array(counts[size == k][begin:begin + (1 << 18)])],
-                    ["lang", "gram", "n"])
-        self.numbers, self.parts, self.places = {b";": 0}, [], 0
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counters: dict[str, _Counter] = {}
+        self.parts.setdefault(lang, []).append(ids)
+        self.held += len(ids)
+        return self.held >= PLACES or len(numbers) >= NUMBERED
+
+    def take(self) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """By language: each place's word and the next two (0: none in its piece), and the hash of its pair (0: none)."""
+        hashes = np.fromiter(map(zlib.crc32, self.numbers), np.uint64, len(self.numbers))
+        for lang, parts in self.parts.items():
+            ids = np.concatenate([*parts, np.zeros(2, np.int64)])
+            one, two, three = ids[:-2], ids[1:-1], ids[2:]
+            two = np.where(one > 0, two, 0)
+            three = np.where(two > 0, three, 0)
+            mixed = (hashes[one] + np.uint64(zlib.crc32(lang.encode()))) * np.uint64(0x9E3779B97F4A7C15) + hashes[two]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield lang, one, two, three, mixed >> np.uint64(64 - COUNTER_BITS)
+
+
+def _taken(batches: Iterator[pa.RecordBatch]) -> Iterator[_Places]:
+    places = _Places()
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counter = counters.get(lang) or counters.setdefault(lang, _Counter(lang))
-            if counter.add(text.as_py()):
-                yield from counter.flush()
-            elif len(counters) > 64 or sum(c.places for c in counters.values()) >= 2 * PLACES:
-                for counter in counters.values():
-                    yield from counter.flush()
-                counters.clear()
-    for counter in counters.values():
-        if counter.parts:
-            yield from counter.flush()
-
-
-def edges(docs: DataFrame) -> DataFrame:
-    """lang, gram, n: how often each longest gram occurs; shorter ones stand at the end of a piece."""
+            if places.add(lang, text.as_py()):
+                yield places
+                places.clear()
+    if places.held:
+        yield places
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's counts of hashed pairs, none above 255, in blocks."""
+    counters = np.zeros(1 << COUNTER_BITS, np.uint8)
+    for places in _taken(batches):
+        for _, _, two, _, pair in places.take():
+            at, n = np.unique(pair[two > 0], return_counts=True)
+            counters[at] = np.minimum(counters[at] + n, 255)
+    blocks = [(i, part) for i, part in enumerate(counters.reshape(-1, 1 << BLOCK_BITS)) if part.any()]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array([i for i, _ in blocks], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1) for _, part in blocks], pa.binary())],
+        ["block", "counts"])
+
+
+def _summed(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                more = np.frombuffer(zlib.decompress(counts.as_py()), np.uint8)
+                held[block] = np.minimum(held.get(block, 0) + more.astype(np.int64), 255)
+        bits = [np.packbits(counts >= min(least, 255)).tobytes() for counts in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(bits, pa.binary())], ["block", "bits"])
+
+    return run
+
+
+def frequent_pairs(texts: DataFrame, least: int) -> np.ndarray:
+    """One bit for each hash of a pair: set wherever a pair may occur ``least`` times; of fixed size."""
+    blocks = texts.mapInArrow(_sketched, "block int, counts binary").repartition("block")
+    packed = np.zeros((1 << (COUNTER_BITS - BLOCK_BITS), 1 << (BLOCK_BITS - 3)), np.uint8)
+    for row in blocks.mapInArrow(_summed(least), "block int, bits binary").collect():
+        packed[row["block"]] = np.frombuffer(row["bits"], np.uint8)
+    return packed.reshape(-1)
+
+
+def _counted(frequent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = frequent.value if frequent else None
+        for places in _taken(batches):
+            names = pa.array(list(places.numbers), pa.string())
+            for lang, one, two, three, pair in places.take():
+                if bits is not None:
+                    known = (bits[pair >> np.uint64(3)] >> (7 - (pair & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    two = np.where(known, two, 0)
+                    three = np.where(known & np.append(known[1:], False), three, 0)
+                width = len(names)
+                if width ** 3 < 1 << 62:
+                    codes = (one * width + two) * width + three
+                else:
+                    codes = np.unique(one * width + two, return_inverse=True)[1] * width + three
+                begun = np.flatnonzero(one)
+                _, first, counts = np.unique(codes[begun], return_index=True, return_counts=True)
+                at = begun[first]
+                size = 1 + (two[at] > 0) + (three[at] > 0)
+                for k in (1, 2, 3):
+                    chosen = at[size == k]
+                    grams = pc.binary_join_element_wise(*(names.take(pa.array(c[chosen])) for c in (one, two, three)[:k]), " ")
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(chosen), pa.string()), grams.cast(pa.string()), pa.array(counts[size == k])],
+                        ["lang", "gram", "n"])
+
+    return run
+
+
+def edges(docs: DataFrame, least: int = 1) -> DataFrame:
+    """lang, gram, n: how often each longest gram occurs; shorter ones stand at the end of a piece.
+
+    Where an edge occurs less than ``least`` times, as its pairs already show, only what flows through
+    its first node counts, and it appears as that; in the same way a rare pair appears as its first word.
+    """
     texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.mapInArrow(_counted, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(texts, least)) if least > 1 else None
+    return texts.mapInArrow(_counted(frequent), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def _front(gram: str | Column, k: int) -> Column:
@@ -189,7 +251,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     count each; long texts are counted in parts of a task without cutting a gram. An empty table gives
     no rows, and other columns, whatever their names, are not read.
     """
-    graph = staged(edges(docs), "phrase-edges")
+    graph = staged(edges(docs, least), "phrase-edges")
     triples = staged(graph.where((F.col("n") >= least) & (_size("gram") == 3)), "phrase-triples")
     pairs = staged(node_flows(graph).where(F.col("n") >= least), "phrase-pairs")
     words = staged(word_flows(graph), "phrase-words")
