@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ferrywell.functions.positions import bound, is_number, position
 from ferrywell.operators.cleaning import column
 from ferrywell.session import Staged
 from ferrywell.sinks.versioned import VersionedTable
@@ -17,8 +18,12 @@ DELETE, INSERT, BEFORE, AFTER = 1, 2, 3, 4
 SYSTEM = ["op", "lsn", "seq"]
 
 # Position and tombstone columns that a change-applied target carries besides its data.
-LSN, SEQ, DELETED = "__lsn", "__seq", "__deleted"
-HIGHEST = "highest lsn"
+POSITION, DELETED = "__position", "__deleted"
+HIGHEST = "highest position"
+# Where a row began anew, and where each of its values comes from (targets of partial changes).
+CUT, PLACES = "__cut", "__places"
+# Which columns a change gives; null or no such column: all.
+NAMED = "__named"
 
 CHANGE_SCHEMA = (
     "action string, "
@@ -31,14 +36,29 @@ ACTIONS = {"I": INSERT, "insert": INSERT, "U": AFTER, "update": AFTER, "D": DELE
 
 
 def cdc_window(feed: DataFrame, from_lsn=None, to_lsn=None) -> DataFrame:
-    """Changes after ``from_lsn`` (exclusive, it was applied by the last run) up to ``to_lsn``."""
+    """Changes after ``from_lsn`` (exclusive, it was applied by the last run) up to ``to_lsn``.
+
+    Whole numbers are compared as they are, so that the scan can skip files; other positions by their bytes.
+    """
+    kind = feed.schema["lsn"].dataType
+    place = F.col("lsn") if is_number(kind) else position(F.col("lsn"), kind)
+
+    def given(value) -> Column:
+        return F.lit(int(value)) if is_number(kind) else bound(value, kind)
+
     if from_lsn is not None:
-        feed = feed.where(F.col("lsn") > from_lsn)
+        feed = feed.where(place > given(from_lsn))
     if to_lsn is not None:
-        feed = feed.where(F.col("lsn") <= to_lsn)
+        feed = feed.where(place <= given(to_lsn))
     return feed
 
 
+def _places(feed: DataFrame) -> list[Column]:
+    """Position and sequence number in a form that compares."""
+    kinds = [feed.schema[c].dataType for c in ("lsn", "seq")]
+    return [F.col(c) if is_number(kind) else position(F.col(c), kind) for c, kind in zip(("lsn", "seq"), kinds, strict=True)]
+
+
 def cdc_latest(feed: DataFrame, keys: list[str]) -> DataFrame:
     """The last change of every key, with its operation and position; before-images are dropped.
 
@@ -48,7 +68,7 @@ def cdc_latest(feed: DataFrame, keys: list[str]) -> DataFrame:
     rest = [c for c in feed.columns if c not in keys and c not in SYSTEM]
     # a map or variant cannot be ordered, but its text can
     plain = [F.to_json(F.struct(column(c))) if isinstance(feed.schema[c].dataType, (T.MapType, T.VariantType)) else column(c) for c in rest]
-    ordered = F.struct("lsn", "seq", "op", *plain)
+    ordered = F.struct(*_places(feed), "op", *plain)
     return (
         feed.where(F.col("op") != BEFORE)
         .groupBy(*[column(k) for k in keys])
@@ -153,8 +173,32 @@ def log_as_feed(log: DataFrame, schema: T.StructType, data: str = "data", keys:
     return parsed.select(*cells, "op", "lsn", seq.alias("seq"))
 
 
+def log_as_cells(log: DataFrame, schema: T.StructType, data: str = "data", keys: list[str] = ()) -> DataFrame:
+    """Like ``log_as_feed``, with the names of the columns that each change gives."""
+    parsed = parse_change_json(log, data).where(F.col("op").isNotNull() & ~_unreadable(schema, keys))
+    return parsed_as_cells(parsed, schema)
+
+
+def parsed_as_cells(parsed: DataFrame, schema: T.StructType) -> DataFrame:
+    cells = [F.try_element_at("cells", F.lit(f.name)).try_cast(f.dataType).alias(f.name) for f in schema]
+    seq = F.col("seq") if "seq" in parsed.columns else F.lit(0)
+    return parsed.select(*cells, F.map_keys("cells").alias(NAMED), "op", "lsn", seq.alias("seq"))
+
+
+def judged_changes(log: DataFrame, schema: T.StructType, keys: list[str], data: str = "data") -> DataFrame:
+    """Every line parsed once, with the ``reason`` why it is set aside, or null."""
+    parsed = parse_change_json(log, data)
+    return parsed.withColumn(
+        "reason",
+        F.when(F.col("action").isNull(), "Malformed change")
+        .when(F.col("op").isNotNull() & _unreadable(schema, keys), "Unreadable cell or key"))
+
+
 def cdc_apply_json(target: DataFrame, log: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
-    return cdc_apply(target, log_as_feed(log, target.schema, data, keys), keys)
+    """The target after a JSON log; a column that a change leaves out keeps its value."""
+    from ferrywell.operators import cells
+
+    return cells.apply(target, log_as_cells(log, target.schema, data, keys), keys)
 
 
 # -- applying to a stored target -----------------------------------------------------------------
@@ -162,18 +206,12 @@ def cdc_apply_json(target: DataFrame, log: DataFrame, keys: list[str], data: str
 
 def with_position(df: DataFrame) -> DataFrame:
     """Rows of a full load, as they are kept in a change-applied target: older than any change."""
-    return df.withColumns(
-        {
-            LSN: F.lit(None).cast("bigint"),
-            SEQ: F.lit(None).cast("bigint"),
-            DELETED: F.lit(False),
-        }
-    )
+    return df.withColumns({POSITION: F.lit(None).cast("binary"), DELETED: F.lit(False)})
 
 
 def current_rows(target: VersionedTable) -> DataFrame:
     """The rows of a change-applied target, without tombstones and positions."""
-    return target.read().where(~F.col(DELETED)).drop(LSN, SEQ, DELETED)
+    return target.read().where(~F.col(DELETED)).drop(PLACES, CUT, POSITION, DELETED)
 
 
 def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | None = None) -> int:
@@ -189,28 +227,27 @@ def cdc_merge(target: VersionedTable, feed: DataFrame, state: dict[str, str] | N
     staged = Staged(
         latest.select(
             *[column(c) for c in columns],
-            F.col("lsn").cast("bigint").alias(LSN),
-            F.col("seq").cast("bigint").alias(SEQ),
+            F.concat(*[position(F.col(c), latest.schema[c].dataType) for c in ("lsn", "seq")]).alias(POSITION),
             (F.col("op") == DELETE).alias(DELETED),
         ),
         "changes",
     )
     try:
         batch = staged.df
-        found = target.summary(batch, [f"min({LSN}) as first", f"max({LSN}) as last"])
+        found = target.summary(batch, [f"hex(min({POSITION})) as first", f"hex(max({POSITION})) as last"])
         if not found.touched:
             return target.set_state(state or {}) if base else target.replace(batch, state)
         applied = base["state"].get(HIGHEST) if base else None
-        highest = found.last if applied is None else max(found.last, int(applied))
-        state = {**(state or {}), HIGHEST: str(highest)}
+        highest = found.last if applied is None else max(found.last, applied)  # hex of one width
+        state = {**(state or {}), HIGHEST: highest}
         if base is None:
             return target.replace(batch, state)
         old = target.read(found.touched, base)
         newer = batch
         # the joins may broadcast the batch: Spark decides by its measured size
-        if applied is not None and found.first <= int(applied):
-            position = old.where(F.col(LSN).isNotNull()).select(*keys, F.struct(LSN, SEQ).alias("__applied"))
-            late = batch.join(position, keys, "inner").where(F.col("__applied") >= F.struct(LSN, SEQ))
+        if applied is not None and found.first <= applied:
+            stored = old.where(F.col(POSITION).isNotNull()).select(*keys, F.col(POSITION).alias("__applied"))
+            late = batch.join(stored, keys, "inner").where(F.col("__applied") >= F.col(POSITION))
             newer = batch.join(late.select(*keys), keys, "left_anti")
         kept = old.join(newer.select(*keys), keys, "left_anti")
         return target.replace_buckets(kept.unionByName(newer), found.touched, base, state)

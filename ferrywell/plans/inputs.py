@@ -64,6 +64,31 @@ DERIVED = {
                     || '","columns":[{"name":"k","value":' || cast(k as varchar(20))
                     || '},{"name":"price","value":' || cast(price as varchar(20)) || '}]}' end as data
         from change_feed where op <> 3""",
+    # changes that give only some columns: inserts without a priority, updates of one column, deletes, rows that return,
+    # and a status set to null; has_ says whether the change gives the column
+    "partial_base": """
+        select o_orderkey as k, cast(o_totalprice as decimal(12,2)) as price, o_orderstatus as status, o_orderpriority as priority
+        from orders where o_orderkey % 2 = 0""",
+    "partial_changes": """
+        select o_orderkey as k, 1 as lsn, 'I' as action, true as has_price, cast(o_totalprice as decimal(12,2)) as price,
+            true as has_status, o_orderstatus as status, false as has_priority, cast(null as varchar(20)) as priority
+          from orders where o_orderkey % 2 = 1
+        union all select o_orderkey, 2, 'U', true, cast(o_totalprice + 100 as decimal(12,2)), false, null, false, null
+          from orders where o_orderkey % 3 = 0
+        union all select o_orderkey, 3, 'U', false, null, true, 'X', false, null from orders where o_orderkey % 5 = 0
+        union all select o_orderkey, 4, 'D', false, null, false, null, false, null from orders where o_orderkey % 7 = 0
+        union all select o_orderkey, 5, 'I', false, null, false, null, true, o_orderpriority from orders where o_orderkey % 14 = 0
+        union all select o_orderkey, 6, 'U', false, null, true, null, false, null from orders where o_orderkey % 21 = 0
+        union all select o_orderkey, 7, 'U', true, cast(o_totalprice as decimal(12,2)), false, null, true, null
+          from orders where o_orderkey % 4 = 0""",
+    "partial_log": """
+        select lsn, case when action = 'D' then '{"action":"D","identity":[{"name":"k","value":' || cast(k as varchar(20)) || '}]}'
+          else '{"action":"' || action || '","columns":[{"name":"k","value":' || cast(k as varchar(20)) || '}'
+            || case when has_price then ',{"name":"price","value":' || cast(price as varchar(20)) || '}' else '' end
+            || case when has_status then ',{"name":"status","value":' || coalesce('"' || status || '"', 'null') || '}' else '' end
+            || case when has_priority then ',{"name":"priority","value":' || coalesce('"' || priority || '"', 'null') || '}' else '' end
+            || ']}' end as data
+        from partial_changes""",
     # two more columns: floats above 1e15, and decimals whose cents do not tell them apart
     "source_lineitem": """
         select *, cast(floor(l_extendedprice) as double) * cast(1000000000000 as double) as big_value,
@@ -151,6 +176,9 @@ NEEDS = {
     "cdc_base": ["orders"],
     "change_feed": ["orders"],
     "change_log": ["change_feed"],
+    "partial_base": ["orders"],
+    "partial_changes": ["orders"],
+    "partial_log": ["partial_changes"],
     "source_lineitem": ["lineitem"],
     "target_lineitem": ["lineitem"],
     "orders_versioned": ["orders"],

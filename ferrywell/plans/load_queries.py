@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrywell.operators import cdc
+from ferrywell.operators import cdc, cells
 from ferrywell.operators.reconcile import reconcile, reconcile_counts, reconcile_sums
 from ferrywell.plans import loads
 from ferrywell.plans.inputs import table
@@ -202,6 +205,72 @@ def cdc_apply_json(spark, sf):
     return cdc.cdc_apply_json(table(spark, sf, "cdc_base"), table(spark, sf, "change_log"), ["k"])
 
 
+SHARED["partial_rows"] = (
+    ["partial_changes"],
+    """select k, max(lsn) filter (where action in ('D', 'I')) as cut, max_by(action, lsn) = 'D' as gone,
+         max(lsn) filter (where has_price) as at_price, max(lsn) filter (where has_status) as at_status,
+         max(lsn) filter (where has_priority) as at_priority
+       from partial_changes group by k""",
+)
+SHARED["partial_applied"] = (
+    ["partial_base", "partial_changes", "partial_rows"],
+    """select k, price, status, priority from partial_base b where not exists (select 1 from partial_rows r where r.k = b.k)
+       union all
+       select r.k,
+         case when at_price >= coalesce(cut, 0) then p.price when cut is null then b.price end,
+         case when at_status >= coalesce(cut, 0) then s.status when cut is null then b.status end,
+         case when at_priority >= coalesce(cut, 0) then o.priority when cut is null then b.priority end
+       from partial_rows r left join partial_base b on b.k = r.k
+       left join partial_changes p on p.k = r.k and p.lsn = at_price
+       left join partial_changes s on s.k = r.k and s.lsn = at_status
+       left join partial_changes o on o.k = r.k and o.lsn = at_priority
+       where not gone""",
+)
+
+
+@query("cdc_apply_partial", "select * from partial_applied", ["partial_applied"])
+def cdc_apply_partial(spark, sf):
+    """Changes that give only some columns; the others keep their values, unless the row begins anew."""
+    return cdc.cdc_apply_json(table(spark, sf, "partial_base"), table(spark, sf, "partial_log"), ["k"])
+
+
+@query("cdc_merge_partial", "select * from partial_applied", ["partial_applied"])
+def cdc_merge_partial(spark, sf):
+    """The same into a stored target, the late changes last: each cell is decided by itself."""
+    base, log = table(spark, sf, "partial_base"), table(spark, sf, "partial_log")
+    target = _target(spark, "partial", ["k"])
+    target.replace(cells.with_places(base, ["k"]))
+    changes = cdc.log_as_cells(log, base.schema, keys=["k"])
+    for part in (changes.where("lsn in (3, 4, 7)"), changes.where("lsn not in (3, 4, 7)")):
+        cells.merge(target, part)
+    return cdc.current_rows(target)
+
+
+FAR = 3_000_000_000  # positions over 32 bits, of different lengths in hex
+
+
+@query(
+    "cdc_positions",
+    "select spelling, k, price from applied, (values ('binary'), ('halves'), ('hex'), ('number')) t(spelling)",
+    ["applied"],
+)
+def cdc_positions(spark, sf):
+    """One feed with its positions as whole numbers, binary values, hex text and hex halves."""
+    base, feed, far = table(spark, sf, "cdc_base"), _feed(spark, sf), F.col("lsn").cast("bigint") * FAR
+    plain = F.hex(far)
+    spellings = {
+        "number": (far, 0, 5 * FAR),
+        "hex": (F.concat(F.lit("0x"), F.lower(plain)), "0x00", hex(5 * FAR)),
+        "binary": (F.unhex(F.lpad(plain, 20, "0")), bytes(10), (5 * FAR).to_bytes(10)),
+        "halves": (F.concat(F.hex(F.shiftright(far, 32)), F.lit("/"), F.hex(far.bitwiseAND(0xFFFFFFFF))), "0/0", f"{5 * FAR >> 32:X}/{5 * FAR & 0xFFFFFFFF:X}"),
+    }
+    parts = []
+    for name, (lsn, first, last) in spellings.items():
+        changes = cdc.cdc_window(feed.withColumn("lsn", lsn), first, last)
+        parts.append(cdc.cdc_apply(base, changes, ["k"]).select(F.lit(name).alias("spelling"), "k", "price"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # -- reconciliation --------------------------------------------------------------------------
 
 WHOLES = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]

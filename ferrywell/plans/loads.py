@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ferrywell.functions import errors
-from ferrywell.operators import cdc
+from ferrywell.functions.positions import is_number, position
+from ferrywell.operators import cdc, cells
 from ferrywell.operators.cleaning import column, quoted
 from ferrywell.operators.reconcile import reconcile
 from ferrywell.sinks.tables import append_table, replace_table, upsert_rows
@@ -159,19 +160,25 @@ def _append_extracted(target: VersionedTable, extracted: DataFrame, highest: str
 
 
 def cdc_load(feed: DataFrame, target: VersionedTable, to_lsn=None, mode: str = "cdc_feed") -> dict:
-    """Apply the changes after the stored position; the position moves only with the data."""
+    """Apply the changes after the stored position; the position moves only with the data.
+
+    Whole numbers are stored as such, other positions as hex text of their bytes. A feed that says
+    which columns a change gives goes to a target of cells.
+    """
     started = time.monotonic()
-    last = target.state.get("lsn")
-    window = cdc.cdc_window(feed, None if last is None else int(last), to_lsn)
+    kind = feed.schema["lsn"].dataType
+    window = cdc.cdc_window(feed, target.state.get("lsn"), to_lsn)
+    lsn = F.max("lsn") if is_number(kind) else F.hex(F.max(position(F.col("lsn"), kind)))
     row = window.agg(
-        F.max("lsn").alias("lsn"),
+        lsn.alias("lsn"),
         F.count_if(F.col("op") == cdc.INSERT).alias("inserts"),
         F.count_if(F.col("op") == cdc.AFTER).alias("updates"),
         F.count_if(F.col("op") == cdc.DELETE).alias("deletes"),
     ).first()
     if row.lsn is not None:
         # the upper bound is fixed here, so changes arriving meanwhile wait for the next run
-        cdc.cdc_merge(target, cdc.cdc_window(window, to_lsn=row.lsn), {"lsn": str(row.lsn)})
+        merge = cells.merge if cdc.NAMED in feed.columns else cdc.cdc_merge
+        merge(target, cdc.cdc_window(window, to_lsn=row.lsn), {"lsn": str(row.lsn)})
     counts = {"inserts": row.inserts, "updates": row.updates, "deletes": row.deletes}
     return {**load_stats(mode, sum(counts.values()), started), **counts}
 
@@ -211,9 +218,9 @@ def _load(job: LoadJob) -> dict:
         return cdc_load(job.source, job.target, **job.options)
     if job.mode == "cdc_log":
         schema = T.StructType(
-            [f for f in job.target.read().schema if f.name not in (cdc.LSN, cdc.SEQ, cdc.DELETED)]
+            [f for f in job.target.read().schema if f.name not in (cdc.PLACES, cdc.CUT, cdc.POSITION, cdc.DELETED)]
         )
-        return cdc_load(cdc.log_as_feed(job.source, schema, keys=job.target.keys), job.target, mode="cdc_log", **job.options)
+        return cdc_load(cdc.log_as_cells(job.source, schema, keys=job.target.keys), job.target, mode="cdc_log", **job.options)
     raise ValueError(f"unknown mode: {job.mode}")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ferrywell.functions import text
-from ferrywell.operators import cdc
+from ferrywell.operators import cdc, cells
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
 from ferrywell.session import new_folder
@@ -178,7 +178,7 @@ def stream_cdc_json(spark, sf):
     log, base = table(spark, sf, "change_log"), table(spark, sf, "cdc_base")
     arrivals, checkpoint, aside = new_folder(spark, "log"), new_folder(spark, "stream"), new_folder(spark, "aside")
     target = VersionedTable(spark, new_folder(spark, "stream-target"), ["k"])
-    target.replace(cdc.with_position(base))
+    target.replace(cells.with_places(base, ["k"]))
     for i, part in enumerate((log.where("lsn > 30"), log.where("lsn <= 30"))):
         part.write.parquet(f"{arrivals}/{i}")
         cdc_log_stream(spark, arrivals, log.schema, base.schema, target, aside, checkpoint).awaitTermination()

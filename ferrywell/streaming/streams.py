@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ferrywell.operators import cdc
+from ferrywell.operators import cdc, cells
 from ferrywell.operators.cleaning import column
 from ferrywell.plans.loads import prepared
+from ferrywell.session import Staged
 from ferrywell.sinks.tables import append_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
 
@@ -89,15 +90,21 @@ def cdc_log_stream(
 ) -> StreamingQuery:
     """Apply arriving files of a JSON change log; ``rows`` is the schema of the target's own columns.
 
-    Lines that cannot be read, and changes with a cell or key that does not fit, are filed below
-    ``quarantine`` by batch, so a batch that is delivered again files them once.
+    A column that a change leaves out keeps its value. Each batch is parsed once and staged; lines that
+    cannot be read, and changes with a cell or key that does not fit, are filed below ``quarantine`` by
+    batch, so a batch that is delivered again files them once.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         if _is_applied(target, checkpoint, number):
             return
-        bad = cdc.broken_changes(batch).unionByName(cdc.unreadable_changes(batch, rows, target.keys))
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
-        cdc.cdc_merge(target, cdc.log_as_feed(batch, rows, keys=target.keys), {f"batch:{checkpoint}": str(number)})
+        lines = Staged(cdc.judged_changes(batch, rows, target.keys), "log-batch")
+        try:
+            aside = lines.df.where("reason is not null").drop("action", "op", "cells")
+            aside.write.mode("overwrite").parquet(f"{quarantine}/batch={number}")
+            changes = cdc.parsed_as_cells(lines.df.where("reason is null and op is not null"), rows)
+            cells.merge(target, changes, {f"batch:{checkpoint}": str(number)})
+        finally:
+            lines.release()
 
     return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)

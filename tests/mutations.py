@@ -12,6 +12,7 @@ import tempfile
 from pathlib import Path
 
 ROOT = Path(__file__).resolve().parent.parent
+CELLS, POSITIONS = "operators/cells.py", "functions/positions.py"
 CLEANING, CDC, LOADS = "operators/cleaning.py", "operators/cdc.py", "plans/loads.py"
 PROFILE, CONTRACTS, META = "operators/profile.py", "operators/contracts.py", "operators/metadata.py"
 RECONCILE, TABLES, TEXT = "operators/reconcile.py", "sinks/tables.py", "functions/text.py"
@@ -38,8 +39,11 @@ MUTATIONS = [
     ("upsert_load", TABLES, 'keys, "left_anti")', 'keys, "left_semi")'),
     ("next_watermark", LOADS, 'F.max(column(watermark)).alias', 'F.min(column(watermark)).alias'),
     ("coerce_for_target", LOADS, "c = F.to_json(c)", 'c = c.cast("string")'),
-    ("cdc_window", CDC, 'F.col("lsn") > from_lsn', 'F.col("lsn") >= from_lsn'),
-    ("cdc_latest", CDC, 'F.struct("lsn", "seq", "op", *', 'F.struct("op", "lsn", "seq", *'),
+    ("cdc_window", CDC, 'place > given(from_lsn)', 'place >= given(from_lsn)'),
+    ("cdc_latest", CDC, 'F.struct(*_places(feed), "op", *', 'F.struct("op", *_places(feed), *'),
+    ("cdc_apply_partial", CELLS, 'F.col("op").isin(DELETE, INSERT), place', 'F.col("op").isin(DELETE), place'),
+    ("cdc_merge_partial", CELLS, "later = pb.isNotNull() & (pa.isNull() | (pb >= pa))", "later = pb.isNotNull()"),
+    ("cdc_positions", POSITIONS, 'F.lpad(F.split_part(plain, F.lit("/"), F.lit(i)), 8, "0")', 'F.split_part(plain, F.lit("/"), F.lit(i))'),
     ("cdc_apply", CDC, 'F.col("op") != DELETE', 'F.col("op") != INSERT'),
     ("cdc_counts", CDC, 'F.col("op") == AFTER).alias("updates")', 'F.col("op") >= AFTER - 1).alias("updates")'),
     ("cdc_apply_json", CDC, 'F.coalesce(change["columns"], change["identity"])', 'change["columns"]'),
@@ -64,7 +68,7 @@ MUTATIONS = [
     ("scan_delimited", FILES, "csv.Sniffer().sniff(head.decode(\"utf-8\", errors=\"replace\"), delimiters=candidates).delimiter", '","'),
     ("scan_json_records", FILES, "F.array_contains(present, k)), F.lit(0))", "F.array_contains(present, k)), F.lit(1))"),
     ("register_view", TEXT, '"[-. ]", "_"), r"[^a-z0-9_]"', '"[-.]", "_"), r"[^a-z0-9_]"'),
-    ("stream_cdc", CDC, 'F.col("__applied") >= F.struct(LSN, SEQ)', 'F.col("__applied") > F.struct(F.lit(99999).cast("bigint"), SEQ)'),
+    ("stream_cdc", CDC, 'F.col("__applied") >= F.col(POSITION)', 'F.col("__applied").isNull()'),
     ("stream_incremental", VERSIONED, "dropped = set(buckets)", "dropped = set()"),
 ]
 

@@ -1,10 +1,14 @@
 import datetime as dt
+import json
+import random
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ferrywell.operators import cdc
+from ferrywell.functions import positions
+from ferrywell.operators import cdc, cells
 from ferrywell.operators.reconcile import reconcile, reconcile_sums
 from ferrywell.plans import loads
 from ferrywell.session import Folder, new_folder, shared_folder
@@ -325,6 +329,82 @@ def test_log_is_parsed_once_per_line(spark):
     assert plan.count("from_json(") == 1
 
 
+def partial_log(spark, *changes):
+    lines = []
+    for lsn, (action, given) in changes:
+        entries = [{"name": n, "value": v} for n, v in given.items()]
+        lines.append((lsn, json.dumps({"action": action, ("identity" if action == "D" else "columns"): entries})))
+    return spark.createDataFrame(lines, "lsn int, data string")
+
+
+PARTIAL = list(enumerate([
+    ("U", {"k": 1, "a": "new"}), ("U", {"k": 1, "b": None}), ("D", {"k": 2}), ("U", {"k": 2, "b": "back"}), ("I", {"k": 3, "b": "b3"}),
+    ("I", {"k": 4, "a": "a4", "b": "b4"}), ("U", {"k": 4, "a": "a5"}), ("D", {"k": 5}), ("U", {"k": 6, "a": "x"}), ("U", {"k": 6, "a": "y", "b": "z"}),
+], 1))
+PARTIAL_BASE = [(1, "a1", "b1"), (2, "a2", "b2"), (3, "a3", "b3"), (5, "a5", "b5"), (6, "a6", "b6"), (7, "a7", None)]
+PARTIAL_AFTER = [(1, "new", None), (2, None, "back"), (3, None, "b3"), (4, "a5", "b4"), (6, "y", "z"), (7, "a7", None)]
+
+
+def test_cells_that_a_change_leaves_out_keep_their_value(spark):
+    base = spark.createDataFrame(PARTIAL_BASE, "k int, a string, b string")
+    assert rows(cdc.cdc_apply_json(base, partial_log(spark, *PARTIAL), ["k"])) == PARTIAL_AFTER
+    with pytest.raises(ValueError, match="no value for one of its keys"):
+        cells.apply(base, spark.createDataFrame([(None, "a", "b", 4, 1, 1)], "k int, a string, b string, op int, lsn int, seq int"), ["k"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_partial_changes_late_and_repeated(spark, target, seed):
+    """Batches in any order, some twice: the same target, cell by cell."""
+    order = PARTIAL * 2
+    random.Random(seed).shuffle(order)
+    base = spark.createDataFrame(PARTIAL_BASE, "k int, a string, b string")
+    target.replace(cells.with_places(base, ["k"]))
+    for part in (order[:5], order[5:11], order[11:]):
+        cells.merge(target, cdc.log_as_cells(partial_log(spark, *part), base.schema, keys=["k"]))
+    assert rows(cdc.current_rows(target)) == PARTIAL_AFTER
+
+
+def test_log_job_moves_its_position(spark, target):
+    base = spark.createDataFrame(PARTIAL_BASE, "k int, a string, b string")
+    target.replace(cells.with_places(base, ["k"]))
+    for part in (PARTIAL[:4], PARTIAL):
+        job = loads.LoadJob("log", "cdc_log", partial_log(spark, *part), target)
+        assert loads.run_job(spark, job).first().status == "success"
+    assert rows(cdc.current_rows(target)) == PARTIAL_AFTER and target.state["lsn"] == "10"
+
+
+SPELLINGS = {
+    "int": ([9, 10, 255, 4096], "int"),
+    "hex": (["0x09", "a", "\\xFF", "0X1000"], "string"),
+    "halves": (["0/9", "0/A", "0/ff", "0/1000"], "string"),
+    "binary": ([b"\x09", b"\x00\x0a", b"\xff", b"\x10\x00"], "binary"),
+}
+
+
+@pytest.mark.parametrize("spelling", SPELLINGS)
+def test_positions_in_their_own_spelling(spark, target, spelling):
+    places, kind = SPELLINGS[spelling]
+    changes = [(1, "a", 4, places[0], 1), (1, "b", 4, places[1], 1), (2, None, 1, places[2], 1), (1, "c", 4, places[3], 1)]
+    schema = f"k int, v string, op int, lsn {kind}, seq int"
+    target.replace(cdc.with_position(spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")))
+    feed = spark.createDataFrame(changes, schema)
+    assert loads.cdc_load(feed, target, to_lsn=places[1])["rows_loaded"] == 2
+    assert rows(cdc.current_rows(target)) == [(1, "b"), (2, "y")]
+    assert loads.cdc_load(feed, target)["rows_loaded"] == 2
+    assert loads.cdc_load(feed, target)["rows_loaded"] == 0
+    cdc.cdc_merge(target, spark.createDataFrame(changes[:2], schema))  # late
+    assert rows(cdc.current_rows(target)) == [(1, "c")]
+
+
+def test_positions_that_cannot_be_read_are_refused(spark):
+    for text in ("12/34/5", "0xG1", "", "1" * 33):
+        feed = spark.createDataFrame([(1, "a", 4, text, 1)], "k int, v string, op int, lsn string, seq int")
+        with pytest.raises(Exception, match="not a change position"):
+            cdc.cdc_latest(feed, ["k"]).collect()
+    numbers = spark.createDataFrame([(-5,), (3,), (None,)], "n bigint").select(positions.position(F.col("n"), T.LongType()).alias("p"), "n")
+    assert [r.n for r in numbers.orderBy("p").collect()] == [None, -5, 3]
+
+
 # -- reconciliation --------------------------------------------------------------------------
 
 
