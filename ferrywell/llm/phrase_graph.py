@@ -26,7 +26,7 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 #: Places that a task counts at a time, and the words that its own numbering of words holds.
 PLACES, NUMBERED = 1 << 19, 1 << 18
 #: Counters of the sketch of pairs (as a power of two), and of one block of them. A full sketch only lets more through.
-COUNTER_BITS, BLOCK_BITS = 24, 12
+COUNTER_BITS, BLOCK_BITS = 26, 14
 #: In how many parts a language's phrases are ranked first.
 PARTS = 64
 
