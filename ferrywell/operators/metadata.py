@@ -4,14 +4,11 @@ from __future__ import annotations
 
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ferrywell.session import Staged
 
-# Width of a value range when exact percentiles are counted.
-RANGE_WIDTH = 1_000
-
 
 def schema_snapshot(df: DataFrame, name: str, captured_at: str | None = None) -> DataFrame:
     """One row per column with the row count of the table and, if given, the time of the snapshot."""
@@ -120,39 +117,46 @@ def run_summary(runs: DataFrame) -> DataFrame:
 def exact_percentiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
     """Per group the smallest whole-number value that at least the given share does not exceed.
 
-    Values are counted per range of values first. A group's ranks are then looked up in the
-    few ranges that contain them, so no task ever sees all values of a busy group.
+    Equal values are counted first. The counts are then dealt out by ranges of group and value, so that a
+    busy group lies in many partitions, in order, and written once. Which partition holds a rank follows
+    from what each holds of the group, a short list of numbers; only in that one the rank is looked up. No
+    step sorts a whole group.
     """
     values = (
         df.where(F.col(value).isNotNull())
         .groupBy(F.col(group), F.col(value).cast("bigint").alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("r", F.floor(F.col("v") / RANGE_WIDTH))
-    )
-    before = Window.partitionBy(group).orderBy("r").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = values.groupBy(group, "r").agg(F.sum("n").alias("in_range"))
-    ranges = ranges.withColumns(
-        {
-            "below": F.coalesce(F.sum("in_range").over(before), F.lit(0)),
-            "total": F.sum("in_range").over(Window.partitionBy(group)),
-        }
-    )
-    wanted = [
-        F.struct(F.lit(name).alias("point"), _rank("total", share).alias("rank"))
-        for name, share in points.items()
-    ]
-    hits = (
-        ranges.select(group, "r", "below", "in_range", F.inline(F.array(*wanted)))
-        .where((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("below") + F.col("in_range")))
     )
-    within = Window.partitionBy(group, "r", "point").orderBy("v")
-    reached = values.join(hits, [group, "r"]).withColumn("upto", F.sum("n").over(within))
+    ranged = Staged(values.repartitionByRange(F.col(group), F.col("v")).withColumn("part", F.spark_partition_id()), "ranks").df
+    held = ranged.groupBy(group, "part").agg(F.sum("n").alias("held"))
+    parts = held.groupBy(group).agg(
+        F.sort_array(F.collect_list(F.struct("part", "held"))).alias("parts"), F.sum("held").alias("total"))
+    wanted = [F.struct(F.lit(name).alias("point"), _rank("total", share).alias("rank")) for name, share in points.items()]
+    hits = parts.select(group, "parts", F.inline(F.array(*wanted))).select(
+        group, "point", "rank", _part_of_rank("parts", "rank").alias("__hit")).select(
+        group, "point", "rank", "__hit.part", "__hit.below")
+    within = Window.partitionBy(group, "part", "point").orderBy("v")
+    reached = ranged.join(hits, [group, "part"]).withColumn("upto", F.sum("n").over(within))
     found = reached.where(F.col("below") + F.col("upto") >= F.col("rank"))
     return found.groupBy(group).agg(
         *[F.min(F.when(F.col("point") == name, F.col("v"))).alias(name) for name in points]
     )
 
 
+def _part_of_rank(parts: str, rank: str) -> Column:
+    """The partition in which a rank falls, and how many values lie in those before."""
+    start = F.struct(F.lit(0).cast("bigint").alias("upto"), F.lit(None).cast("int").alias("part"), F.lit(None).cast("bigint").alias("below"))
+
+    def step(seen: Column, part: Column) -> Column:
+        upto = seen["upto"] + part["held"]
+        here = seen["part"].isNull() & (F.col(rank) <= upto)
+        return F.struct(
+            upto.alias("upto"), F.when(here, part["part"]).otherwise(seen["part"]).alias("part"),
+            F.when(here, seen["upto"]).otherwise(seen["below"]).alias("below"))
+
+    return F.aggregate(parts, start, step)
+
+
 def _rank(total: str, share: float):
     """The rank as an exact fraction of the share as it is written."""
     exact = Fraction(str(share))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -221,30 +222,93 @@ def watermark_candidates(df: DataFrame, top: int = 5) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*facts)))
 
 
-def key_candidates(df: DataFrame, combinations: list[list[str]] = ()) -> DataFrame:
-    """Which single columns and given combinations are unique and free of nulls.
+#: One value in so many, chosen by its hash, is looked at before the full test: a repeat there already refutes a key.
+PROBED = 16
+Candidate = tuple[str, ...]
+
 
-    Nulls rule a candidate out in the first pass, and so does a repeated value in the groups of the
-    second; no estimate decides.
+def _repeats(df: DataFrame, candidates: list[Candidate], probed_by: dict[Candidate, str] | None = None) -> dict[Candidate, tuple[int, bool]]:
+    """Of each candidate the number of different tuples, and whether none repeats; one scan and one shuffle for all.
+
+    Every column is hashed once with each of two seeds, a tuple by the hashes of its columns; equal tuples
+    meet in a group of 128 bits, most of them before the shuffle. With ``probed_by`` a candidate sees only
+    some values of that column of its own. All copies of a tuple are then there or none, so a repeat is certain.
     """
-    candidates = [[f.name] for f in df.schema if _orderable(f.dataType)] + [list(c) for c in combinations]
-    measures = ["count(1) as rows"]
-    for i, names in enumerate(candidates):
-        columns = [quoted(c) for c in names]
-        measures.append(f"count_if({' or '.join(f'{c} is null' for c in columns)}) as n{i}")
+    if not candidates:
+        return {}
+    names = sorted({c for chosen in candidates for c in chosen})
+    number = {c: i for i, c in enumerate(names)}
+    hashes = [f"xxhash64({seed}{quoted(c)}) as {kind}{i}" for c, i in number.items() for kind, seed in (("x", ""), ("y", "1, "))]
+    sets: dict[str, list[str]] = {}
+    for k, chosen in enumerate(candidates):
+        x, y = (", ".join(f"{kind}{number[c]}" for c in chosen) for kind in "xy")
+        test = f"pmod(x{number[probed_by[chosen]]}, {PROBED}) = 0" if probed_by else "true"
+        sets.setdefault(test, []).append(f"named_struct('candidate', {k}, 'h1', xxhash64({x}), 'h2', xxhash64({y}))")
+    nothing = "cast(array() as array<struct<candidate: int, h1: bigint, h2: bigint>>)"
+    tuples = ", ".join(f"if({test}, array({', '.join(each)}), {nothing})" for test, each in sets.items())
+    groups = df.selectExpr(*hashes).selectExpr(f"inline(concat({tuples}))").groupBy("candidate", "h1", "h2").agg(F.expr("count(1) as n"))
+    found = groups.groupBy("candidate").agg(F.expr("count(1) as tuples"), F.expr("max(n) = 1 as is_key")).collect()
+    return {candidates[r["candidate"]]: (r["tuples"], r["is_key"]) for r in found}
+
+
+def _screened(df: DataFrame, candidates: list[Candidate]) -> tuple[int, list[int], dict[str, int]]:
+    """Rows, the nulls of each candidate, and an estimate of each column's values, which decides cost only."""
+    names = sorted({c for chosen in candidates for c in chosen})
+    measures = ["count(1) as rows"] + [f"approx_count_distinct({quoted(c)}) as d{i}" for i, c in enumerate(names)]
+    for i, chosen in enumerate(candidates):
+        measures.append(f"count_if({' or '.join(f'{quoted(c)} is null' for c in chosen)}) as n{i}")
     row = df.agg(*[F.expr(m) for m in measures]).first()
-    total = row["rows"]
-    found, ruled_out = [], []
-    for i, names in enumerate(candidates):
-        label = ", ".join(names)
-        if not total or row[f"n{i}"]:
-            ruled_out.append((label, total, row[f"n{i}"], False))
-            continue
-        groups = df.groupBy(*[column(c) for c in names]).agg(F.expr("count(1) as n"))
-        found.append(
-            groups.agg(F.expr("max(n) as most")).selectExpr(
-                f"{literal(label)} as key_columns", f"{total}L as total_rows", "0L as null_rows", "most = 1 as is_key"
-            )
-        )
-    schema = "key_columns string, total_rows bigint, null_rows bigint, is_key boolean"
-    return reduce(DataFrame.unionByName, found, df.sparkSession.createDataFrame(ruled_out, schema))
+    many = {c: row[f"d{i}"] for i, c in enumerate(names)}
+    return row["rows"], [row[f"n{i}"] for i in range(len(candidates))], many
+
+
+def _refuted(df: DataFrame, candidates: list[Candidate], many: dict[str, int]) -> set[Candidate]:
+    """Candidates for which two rows agree."""
+    widest = {chosen: max(chosen, key=lambda c: many[c]) for chosen in candidates}
+    return {c for c, (_, unique) in _repeats(df, candidates, widest).items() if not unique}
+
+
+def key_candidates(df: DataFrame, given: list[list[str]] = ()) -> DataFrame:
+    """Which single columns and given combinations are unique and free of nulls.
+
+    Nulls rule a candidate out in the first pass, a repeat among a share of the tuples in the second; what
+    is left is tested in full, all in one pass. No estimate decides.
+    """
+    candidates = [(f.name,) for f in df.schema if _orderable(f.dataType)] + [tuple(c) for c in given]
+    total, nulls, many = _screened(df, candidates)
+    filled = [c for c, n in zip(candidates, nulls, strict=True) if total and not n]
+    refuted = _refuted(df, filled, many)
+    tested = _repeats(df, [c for c in filled if c not in refuted])
+    rows = [(", ".join(c), total, n, c in tested and tested[c][1]) for c, n in zip(candidates, nulls, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "key_columns string, total_rows bigint, null_rows bigint, is_key boolean")
+
+
+def key_lattice(df: DataFrame, up_to: int = 3) -> DataFrame:
+    """The smallest sets of up to so many columns that are unique and free of nulls.
+
+    The largest sets are probed first: what repeats there repeats in all subsets too, so most of the
+    lattice needs no test. Then each level is tested in one pass, without supersets of a key, which need
+    none, and without sets whose columns have too few values between them to tell all rows apart. At most
+    ``up_to`` + 2 scans serve all candidates; their number grows with the columns, not with the rows.
+    """
+    names = [f.name for f in df.schema if _orderable(f.dataType)]
+    total, nulls, many = _screened(df, [(c,) for c in names])
+    filled = [c for c, n in zip(names, nulls, strict=True) if total and not n]
+    up_to = min(up_to, len(filled))
+    refuted = [set(c) for c in _refuted(df, list(combinations(filled, up_to)), many)] if up_to else []
+    keys: list[set[str]] = []
+    values: dict[frozenset, int] = {}
+    for size in range(1, up_to + 1):
+        open_ = []
+        for c in combinations(filled, size):
+            if not any(key < set(c) for key in keys) and not any(set(c) <= wide for wide in refuted):
+                most = min((values[frozenset(c[:i])] * values[frozenset(c[i:])] for i in range(1, size)
+                            if frozenset(c[:i]) in values and frozenset(c[i:]) in values), default=total)
+                if most >= total:
+                    open_.append(c)
+        for c, (n, unique) in _repeats(df, open_).items():
+            values[frozenset(c)] = n
+            if unique:
+                keys.append(set(c))
+    rows = [(", ".join(c for c in filled if c in key), len(key), total) for key in keys]
+    return df.sparkSession.createDataFrame(rows, "key_columns string, n_columns int, total_rows bigint")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywell.functions.names import sap_names
@@ -165,6 +169,31 @@ def key_candidates(spark, sf):
     )
 
 
+def _lattice_sql(name: str, columns: list[str], up_to: int) -> str:
+    """All sets of columns with their test, the smallest of those that pass."""
+    sets = [c for size in range(1, up_to + 1) for c in combinations(columns, size)]
+    tests = " union all ".join(
+        f"select [{', '.join(repr(n) for n in c)}] as s, (select count(*) = (select count(*) from {name}) from (select distinct {', '.join(c)} from {name}"
+        f" where {' and '.join(f'{n} is not null' for n in c)})) as is_key" for c in sets)
+    return (f"select '{name}' as table_name, array_to_string(s, ', ') as key_columns, cast(len(s) as integer) as n_columns, "
+            f"(select count(*) from {name}) as total_rows from (select s from ({tests}) where is_key) k where not exists ("
+            f"select 1 from ({tests}) o where o.is_key and len(o.s) < len(k.s) and len(list_intersect(o.s, k.s)) = len(o.s))")
+
+
+LATTICE = {
+    "customer": CUSTOMER_COLUMNS,
+    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
+    "lineitem": [n for n, _ in LINEITEM],
+}
+
+
+@query("key_lattice", " union all ".join(_lattice_sql(name, columns, 3) for name, columns in LATTICE.items()))
+def key_lattice(spark, sf):
+    """Keys of up to three columns that the search finds by itself."""
+    found = [profile.key_lattice(table(spark, sf, name)).withColumn("table_name", F.lit(name)) for name in LATTICE]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query("clustered_write", "select * from lineitem")
 def clustered_write_query(spark, sf):
     lines = table(spark, sf, "lineitem")

@@ -55,7 +55,8 @@ MUTATIONS = [
     ("quality_issues", PROFILE, "share >= 0.05", "share >= 0.15"),
     ("quality_score", PROFILE, "otherwise(copies - 1)", "otherwise(copies)"),
     ("watermark_candidates", PROFILE, "score += 5", "score += 3"),
-    ("key_candidates", PROFILE, "most = 1 as is_key", "most = 2 as is_key"),
+    ("key_candidates", PROFILE, '"max(n) = 1 as is_key"', '"max(n) = 2 as is_key"'),
+    ("key_lattice", PROFILE, "if not any(key < set(c) for key in keys)", "if True"),
     ("map_types", TYPES, "F.lit(0), F.least(F.coalesce(scale", "F.lit(1), F.least(F.coalesce(scale"),
     ("conform_cast", CONTRACTS, "try_cast(T.DecimalType(*size))", "try_cast(T.DecimalType(size[0], 0))"),
     ("conform_violations", CONTRACTS, "F.length(c) > limit if limit", "F.length(c) >= limit if limit"),
@@ -64,7 +65,7 @@ MUTATIONS = [
     ("schema_drift", META, '"full_outer"', '"left"'),
     ("lineage_closure", META, 'F.col("further").alias("upstream"))', 'F.col("upstream"))'),
     ("run_summary", META, 'F.struct("started_at", "run_id", "status")', 'F.struct("status", "started_at", "run_id")'),
-    ("query_history_stats", META, 'F.col("rank") <= F.col("below") + F.col("in_range")', 'F.col("rank") < F.col("below") + F.col("in_range")'),
+    ("query_history_stats", META, "(F.col(rank) <= upto)", "(F.col(rank) < upto)"),
     ("scan_delimited", FILES, "csv.Sniffer().sniff(head.decode(\"utf-8\", errors=\"replace\"), delimiters=candidates).delimiter", '","'),
     ("scan_json_records", FILES, "F.array_contains(present, k)), F.lit(0))", "F.array_contains(present, k)), F.lit(1))"),
     ("register_view", TEXT, '"[-. ]", "_"), r"[^a-z0-9_]"', '"[-.]", "_"), r"[^a-z0-9_]"'),

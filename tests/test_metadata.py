@@ -1,3 +1,5 @@
+import itertools
+import random
 from decimal import Decimal
 
 import numpy as np
@@ -151,6 +153,34 @@ def test_key_candidates(spark):
     assert found == {"id": True, "nearly": False, "holey": False, "a": False, "b": False, "a, b": True, "a, nearly": True}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_smallest_keys_equal_brute_force(spark, seed):
+    pick = random.Random(seed)
+    data = [(i, pick.randrange(60), pick.randrange(60), i % 30, i // 30, None if i == 7 else i) for i in range(300)]
+    df = spark.createDataFrame(data, "id int, a int, b int, c int, d int, holey int").drop(*([] if seed % 2 else ["id"]))
+    names = [c for c in df.columns if c != "holey"]
+    place = {c: i for i, c in enumerate(["id", "a", "b", "c", "d"])}
+    keys = []
+    for size in (1, 2, 3):
+        for chosen in itertools.combinations(names, size):
+            unique = len({tuple(row[place[c]] for c in chosen) for row in data}) == len(data)
+            if unique and not any(set(k) < set(chosen) for k in keys):
+                keys.append(chosen)
+    found = profile.key_lattice(df).collect()
+    assert sorted(r.key_columns for r in found) == sorted(", ".join(k) for k in keys)
+
+
+def test_one_scan_serves_all_candidates(spark, monkeypatch):
+    """A level of the lattice is one plan with one scan and one shuffle by tuples, however many candidates it has."""
+    scans = []
+    real = profile._repeats
+    monkeypatch.setattr(profile, "_repeats", lambda df, candidates, *rest: scans.append(len(candidates)) or real(df, candidates, *rest))
+    df = spark.range(500).selectExpr("id % 7 as a", "id % 11 as b", "id % 13 as c", "id % 5 as d", "id % 3 as e")
+    assert profile.key_lattice(df).select("key_columns").collect() != []
+    assert len(scans) <= 4 and sum(scans) > len(scans)
+    assert profile.key_lattice(df.limit(0)).isEmpty()
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", 1), ("a ", 1), ("NULL", 2), ("", None)], "t string, n int")
     score = profile.quality_score(df).first()
@@ -199,3 +229,20 @@ def test_percentiles_equal_brute_force(spark):
     for group in ("hot", "flat", "one"):
         values = np.sort([v for g, v in data if g == group])
         assert found[group] == tuple(values[int(np.ceil(len(values) * round(p * 1000) / 1000)) - 1] for p in points.values())
+
+
+def test_percentiles_of_one_group_with_all_rows(spark):
+    """The group lies in several partitions, and no window or sort covers more than one of them."""
+    df = spark.range(20_000).selectExpr("'all' as g", "(id * 7919) % 15013 as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        plan = metadata.exact_percentiles(df, "g", "v", {"p50": 0.5, "p99": 0.99})
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    values = np.sort((np.arange(20_000) * 7919) % 15013)
+    assert plan.first()[1:] == (values[9_999], values[19_799])
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "Window" in line]
+    assert windows and all("part#" in line for line in windows)
+    folder = [line for line in plan.inputFiles() if "ranks-" in line]
+    assert len(folder) > 1
