@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,23 +68,24 @@ def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
 def lineage_closure(edges: DataFrame) -> DataFrame:
     """(target, upstream): every table that feeds a table, directly or through others.
 
-    Pairs are joined with pairs, so the longest path that is known doubles with each round, and the
-    number of rounds is the logarithm of the longest path. A round's pairs are written to the shared
-    folder and the ones before are dropped: the plan stays short, and a lost executor repeats one
-    round at most.
+    Each round joins only the pairs that the last one found with all that are known. The shortest path
+    of a new pair begins with one of those, so the longest known path doubles with each round, and
+    cycles end the search like anything else: they bring no new pair. What a round finds is written to
+    the shared folder once and never again, so a lost executor repeats one round at most.
     """
-    known = Staged(edges.select("target", F.col("source").alias("upstream")).distinct(), "lineage")
-    count = known.df.count()
+    def found(pairs: DataFrame) -> DataFrame:
+        return Staged(pairs, "lineage").df
+
+    newest = found(edges.select("target", F.col("source").alias("upstream")).distinct())
+    known = [newest]
     while True:
-        pairs = known.df
+        pairs = reduce(DataFrame.unionByName, known)
         further = pairs.select(F.col("target").alias("upstream"), F.col("upstream").alias("further"))
-        longer = pairs.join(further, "upstream").select("target", F.col("further").alias("upstream"))
-        found = Staged(pairs.unionByName(longer).distinct(), "lineage")
-        now = found.df.count()
-        known.release()
-        if now == count:
-            return found.df
-        known, count = found, now
+        longer = newest.join(further, "upstream").select("target", F.col("further").alias("upstream")).distinct()
+        newest = found(longer.join(pairs, ["target", "upstream"], "left_anti"))
+        if newest.isEmpty():
+            return pairs
+        known.append(newest)
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ferrywell.operators import cdc, cells
-from ferrywell.operators.reconcile import reconcile, reconcile_counts, reconcile_sums
+from ferrywell.operators.reconcile import changed_buckets, reconcile, reconcile_counts, reconcile_sums
 from ferrywell.plans import loads
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
@@ -330,14 +330,41 @@ def reconcile_sums_query(spark, sf):
     "reconcile_verdict",
     f"""select cast(s as bigint) as source_rows, cast(t as bigint) as target_rows, s = t as row_count_match,
           cast(abs(s - t) as bigint) as row_count_diff, 10 as checked_columns,
-          cast(failed as int) as failed_columns, failed = 0 as sums_passed, s = t and failed = 0 as overall_passed
-        from {COUNTS}, (select count(*) as failed from sums where not sum_match)""",
-    ["target_lineitem", "sums"],
+          cast(failed as int) as failed_columns, 3 as content_columns, changed = 0 as content_match,
+          failed = 0 as sums_passed, s = t and failed = 0 and changed = 0 as overall_passed
+        from {COUNTS}, (select count(*) as failed from sums where not sum_match),
+          (select count(*) as changed from (
+            (select l_returnflag, l_linestatus, l_shipdate from source_lineitem
+             except all select l_returnflag, l_linestatus, l_shipdate from target_lineitem)
+            union all (select l_returnflag, l_linestatus, l_shipdate from target_lineitem
+             except all select l_returnflag, l_linestatus, l_shipdate from source_lineitem)))""",
+    ["source_lineitem", "target_lineitem", "sums"],
 )
 def reconcile_verdict(spark, sf):
     return reconcile(*_sides(spark, sf))
 
 
+@query(
+    "reconcile_buckets",
+    """with s as (select l_orderkey % 97 as bucket, l_orderkey, l_linenumber, l_returnflag, l_linestatus, l_shipdate from lineitem),
+       t as (select l_orderkey % 97 as bucket, l_orderkey, l_linenumber,
+               case when l_orderkey % 1000 = 11 then 'X' else l_returnflag end as l_returnflag, l_linestatus,
+               case when l_orderkey % 1400 = 13 then l_shipdate + interval '1' day else l_shipdate end as l_shipdate
+             from lineitem where l_orderkey % 1000 <> 3),
+       different as (
+         select bucket from ((select * from s except all select * from t) union all (select * from t except all select * from s)) group by bucket)
+       select bucket, (select count(*) from s where s.bucket = d.bucket) as source_rows,
+         (select count(*) from t where t.bucket = d.bucket) as target_rows from different d""",
+)
+def reconcile_buckets(spark, sf):
+    """Lost rows, changed texts and changed times are found, and in which buckets of keys."""
+    lines = table(spark, sf, "lineitem")
+    after = lines.where("l_orderkey % 1000 <> 3").withColumns({
+        "l_returnflag": F.expr("case when l_orderkey % 1000 = 11 then 'X' else l_returnflag end"),
+        "l_shipdate": F.expr("case when l_orderkey % 1400 = 13 then l_shipdate + interval '1' day else l_shipdate end")})
+    return changed_buckets(lines, after, ["l_orderkey", "l_linenumber"], bucket="l_orderkey % 97")
+
+
 @query(
     "load_job_run",
     """select 'lineitem' as job, 'full_load' as mode, 'success' as status, count(*) as rows_loaded, cast(0 as bigint) as row_count_diff,

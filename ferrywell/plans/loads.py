@@ -233,7 +233,9 @@ def run_job(spark: SparkSession, job: LoadJob) -> DataFrame:
         run["rows_loaded"] = _load(job)["rows_loaded"]
         if job.auto_reconcile:
             rows = cdc.current_rows(job.target) if job.mode.startswith("cdc") else job.target.read()
-            verdict = reconcile(job.reconcile_with if job.reconcile_with is not None else job.source, rows).first()
+            # what a load turns into text has to be compared as text
+            expected = job.reconcile_with if job.reconcile_with is not None else coerce_for_target(job.source)
+            verdict = reconcile(expected, rows).first()
             run |= {"row_count_diff": verdict.row_count_diff, "reconciled": verdict.overall_passed}
     except Exception as failure:  # the ledger keeps the reason
         run |= {"status": "error", "error": str(failure)}

@@ -7,30 +7,30 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamReader, DataStreamWriter, StreamingQuery
 
 from ferrywell.operators import cdc, cells
 from ferrywell.operators.cleaning import column
 from ferrywell.plans.loads import prepared
-from ferrywell.session import Staged
+from ferrywell.session import Folder, Staged
 from ferrywell.sinks.tables import append_table, upsert_table
 from ferrywell.sinks.versioned import VersionedTable
 
 
+def _reader(spark: SparkSession, schema: T.StructType, files_per_batch: int | None) -> DataStreamReader:
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
+
+
+def _start(writer: DataStreamWriter, apply: Callable[[DataFrame, int], None], checkpoint: str, trigger: dict) -> StreamingQuery:
+    return writer.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
 def _run(
     spark: SparkSession, source: str, schema: T.StructType, checkpoint: str, files_per_batch: int | None,
     apply: Callable[[DataFrame, int], None], trigger: dict,
 ) -> StreamingQuery:
-    reader = spark.readStream.schema(schema).option("recursiveFileLookup", True)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return (
-        reader.parquet(source)
-        .writeStream.foreachBatch(apply)
-        .option("checkpointLocation", checkpoint)
-        .trigger(**(trigger or {"availableNow": True}))
-        .start()
-    )
+    return _start(_reader(spark, schema, files_per_batch).parquet(source).writeStream, apply, checkpoint, trigger)
 
 
 def _is_applied(target: VersionedTable, stream: str, batch: int) -> bool:
@@ -38,37 +38,58 @@ def _is_applied(target: VersionedTable, stream: str, batch: int) -> bool:
     return int(target.state.get(f"batch:{stream}", -1)) >= batch
 
 
+#: Where a row of the keyed stream comes from: when its file was written, or the target as the stream found it.
+ARRIVED, STORED = "__arrived", "__stored"
+
+
 def incremental_stream(
     spark: SparkSession, source: str, schema: T.StructType, target: VersionedTable, watermark: str,
     checkpoint: str, files_per_batch: int | None = None, **trigger,
 ) -> StreamingQuery:
     """Upsert arriving files, or append them if the target has no keys.
 
-    The row with the highest watermark counts for its key, in a batch and against what is stored: a file
-    that arrives late does not put an older row back. Rows with an equal watermark replace the stored one.
+    The row with the highest watermark counts for its key, a null being below all; of equal ones the row
+    whose file is newest. The newest row of each key is the stream's state, so a late row is known from
+    that, and no batch reads the target to find out. A target that was loaded by other means before the
+    stream's first run is taken into the state once.
     """
-
-    def apply(batch: DataFrame, number: int) -> None:
+    files = _reader(spark, schema, files_per_batch)
+    if not target.keys:
+        def add(batch: DataFrame, number: int) -> None:
+            if not _is_applied(target, checkpoint, number):
+                append_table(target, prepared(batch), {f"batch:{checkpoint}": str(number)})
+
+        return _start(files.parquet(source).writeStream, add, checkpoint, trigger)
+
+    arriving = files.parquet(source)
+    arrived = prepared(arriving.select("*")).columns
+    rows = prepared(arriving.select("*", F.col("_metadata.file_modification_time").cast("timestamp_ntz").alias(ARRIVED)))
+    rows = rows.toDF(*arrived, ARRIVED).withColumn(STORED, F.lit(False))
+    before = _taken_over(spark, target, checkpoint)
+    if before is not None:
+        rows = rows.unionByName(before.select(*map(column, arrived), F.lit(None).cast("timestamp_ntz").alias(ARRIVED), F.lit(True).alias(STORED)))
+    rest = [c for c in arrived if c not in target.keys]
+    order = F.struct(column(watermark.upper()), F.col(ARRIVED), *map(column, rest))
+    newest = rows.groupBy(*map(column, target.keys)).agg(F.max_by(F.struct(*map(column, rest), STORED), order).alias("__row"))
+
+    def put(batch: DataFrame, number: int) -> None:
         if _is_applied(target, checkpoint, number):
             return
-        state = {f"batch:{checkpoint}": str(number)}
-        if target.keys:
-            rows, mark = prepared(batch), watermark.upper()
-            upsert_table(target, _not_older(rows, target, mark), [mark], state)
-        else:
-            append_table(target, prepared(batch), state)
+        changed = batch.where(~F.col("__row")[STORED]).select(
+            *map(column, target.keys), *[F.col("__row")[c].alias(c) for c in rest]).select(*map(column, arrived))
+        upsert_table(target, changed, [watermark.upper()], {f"batch:{checkpoint}": str(number)})
 
-    return _run(spark, source, schema, checkpoint, files_per_batch, apply, trigger)
+    return _start(newest.writeStream.outputMode("update"), put, checkpoint, trigger)
 
 
-def _not_older(rows: DataFrame, target: VersionedTable, mark: str) -> DataFrame:
-    """Rows whose watermark is not below the one stored for their key; a null is below all."""
-    if target.commit() is None:
-        return rows
-    stored = target.read().select(*[column(k) for k in target.keys], column(mark).alias("__stored"))
-    joined = rows.join(stored, target.keys, "left")
-    newer = F.col("__stored").isNull() | (column(mark) >= F.col("__stored"))
-    return joined.where(newer).select(*[column(c) for c in rows.columns])
+def _taken_over(spark: SparkSession, target: VersionedTable, checkpoint: str) -> DataFrame | None:
+    """The target as the stream first found it, as a stream of its own that the checkpoint reads once."""
+    folder = Folder(spark, f"{checkpoint}/taken-over")
+    if "rows" not in folder.names():
+        if target.commit() is None or "offsets" in Folder(spark, checkpoint).names():
+            return None
+        target.read().write.mode("overwrite").parquet(f"{checkpoint}/taken-over/rows")
+    return spark.readStream.schema(target.read().schema).parquet(f"{checkpoint}/taken-over/rows")
 
 
 def cdc_stream(

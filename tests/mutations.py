@@ -63,7 +63,7 @@ MUTATIONS = [
     ("contract_pk", CONTRACTS, '.where("__n > 1")', '.where("__n > 2")'),
     ("standard_names", TEXT, "F.upper(name)", "name"),
     ("schema_drift", META, '"full_outer"', '"left"'),
-    ("lineage_closure", META, 'F.col("further").alias("upstream"))', 'F.col("upstream"))'),
+    ("lineage_closure", META, "known.append(newest)", "known[:] = [newest]"),
     ("run_summary", META, 'F.struct("started_at", "run_id", "status")', 'F.struct("status", "started_at", "run_id")'),
     ("query_history_stats", META, "(F.col(rank) <= upto)", "(F.col(rank) < upto)"),
     ("scan_delimited", FILES, "csv.Sniffer().sniff(head.decode(\"utf-8\", errors=\"replace\"), delimiters=candidates).delimiter", '","'),
