@@ -102,20 +102,19 @@ def _unfit(c: str, kind: T.DataType) -> str | None:
     return f"case when not (abs({c}) < {WHOLE}) then xxhash64(cast({c} as double)) & {HALF - 1} else 0L end"
 
 
-def _side(df: DataFrame, tag: str, names: list[str], content: list[str]) -> DataFrame:
-    """One row with the rows of one side, and of each column the sum, the lost values and the residue of rounding.
+def _per_task(raw: DataFrame, kinds: list[T.DataType], hashed: int, by: list[str]) -> DataFrame:
+    """A small row per scanning task, so that the long sums stay short: sums, filled cells, lost values, residues, checksums.
 
-    Lost are NaN, infinite and too large floats, and a sum that overflows. ``content`` has the forms of the columns to be hashed.
+    The raw rows hold the columns to sum as c0, c1, .. and the forms to be hashed as f0, f1, ..
     """
-    values, measures, totals, found = [], ["count(1) as rows"], [], ["coalesce(sum(rows), 0L) as rows"]
-    if content:
-        values += [f"{h} as {n}" for h, n in zip(_row_hashes(content), ("ha", "hb"), strict=True)]
+    values, measures, totals = ["spark_partition_id() as __task"], ["count(1) as rows"], ["rows"]
+    if hashed:
+        values += [f"{h} as {n}" for h, n in zip(_row_hashes([f"f{j}" for j in range(hashed)]), ("ha", "hb"), strict=True)]
         measures += [f"sum({part.partition(' as ')[0]}) as {part.partition(' as ')[2]}" for part in CHECKSUMS]
         totals += [f"cast({c} as decimal(38,0)) as {c}" for c in SUMS]
-        found.append(f"array({', '.join(f'coalesce(sum({c}), 0)' for c in SUMS)}) as {tag}_content")
-    for i, name in enumerate(names):
-        c = quoted(name)
-        parts, total, lost, residue = _parts(c, df.schema[name].dataType)
+    for i, kind in enumerate(kinds):
+        c = f"c{i}"
+        parts, total, lost, residue = _parts(c, kind)
         sums = [f"p{i}_{k}" for k in range(len(parts))]
         values += [f"{part} as {p}" for part, p in zip(parts, sums, strict=True)]
         values += [f"{c} is not null as n{i}", f"coalesce({lost}, false) as x{i}"]
@@ -123,22 +122,36 @@ def _side(df: DataFrame, tag: str, names: list[str], content: list[str]) -> Data
         measures += [f"count_if(n{i}) as n{i}", f"count_if(x{i}) as x{i}"]
         totals += [f"{total.format(*sums)} as v{i}", f"n{i}", f"x{i}"]
         if residue:
-            values.append(f"{residue} as r{i}")
-            measures.append(f"sum(r{i}) as r{i}")
-            totals.append(f"r{i}")
-        if unfit := _unfit(c, df.schema[name].dataType):
-            values.append(f"{unfit} as u{i}")
-            measures.append(f"sum(u{i}) as u{i}")
-            totals.append(f"cast(u{i} as decimal(38,0)) as u{i}")
-        found += [f"{f'coalesce(sum(r{i}), 0D)' if residue else '0D'} as {tag}_r{i}",
-                  f"{f'coalesce(sum(u{i}), 0)' if residue else '0'} as {tag}_u{i}",
-                  f"coalesce(try_sum(v{i}), 0) as {tag}_v{i}",
-                  f"coalesce(sum(x{i} + if(n{i} > x{i} and v{i} is null, 1L, 0L)), 0L) "
-                  f"+ if(count(v{i}) > 0 and try_sum(v{i}) is null, 1L, 0L) as {tag}_x{i}"]
-    found[0] = f"coalesce(sum(rows), 0L) as {tag}_rows"
-    # a small row per scanning task, so that the long sums stay short
-    tasks = df.selectExpr("spark_partition_id() as __task", *values).groupBy("__task").agg(*[F.expr(m) for m in measures])
-    return tasks.selectExpr("rows", *totals).agg(*[F.expr(f) for f in found])
+            values += [f"{residue} as r{i}", f"{_unfit(c, kind)} as u{i}"]
+            measures += [f"sum(r{i}) as r{i}", f"sum(u{i}) as u{i}"]
+            totals += [f"r{i}", f"cast(u{i} as decimal(38,0)) as u{i}"]
+    return raw.selectExpr(*by, *values).groupBy(*by, "__task").agg(*[F.expr(m) for m in measures]).selectExpr(*by, *totals)
+
+
+def _found(tag: str, kinds: list[T.DataType], hashed: int, only: str = "") -> list[str]:
+    """What the tasks of one side add up to. Lost are NaN, infinite and too large floats, and a sum that overflows."""
+    found = [f"coalesce(sum(rows){only}, 0L) as {tag}_rows"]
+    if hashed:
+        found.append(f"array({', '.join(f'coalesce(sum({c}){only}, 0)' for c in SUMS)}) as {tag}_content")
+    for i, kind in enumerate(kinds):
+        rounded = isinstance(kind, (T.FloatType, T.DoubleType))
+        found += [f"{f'coalesce(sum(r{i}){only}, 0D)' if rounded else '0D'} as {tag}_r{i}",
+                  f"{f'coalesce(sum(u{i}){only}, 0)' if rounded else '0'} as {tag}_u{i}",
+                  f"coalesce(try_sum(v{i}){only}, 0) as {tag}_v{i}",
+                  f"coalesce(sum(x{i} + if(n{i} > x{i} and v{i} is null, 1L, 0L)){only}, 0L) "
+                  f"+ if(count(v{i}){only} > 0 and try_sum(v{i}){only} is null, 1L, 0L) as {tag}_x{i}"]
+    return found
+
+
+def _shape(kind: T.DataType) -> tuple:
+    """How a column is summed."""
+    if isinstance(kind, T.DecimalType):
+        return "decimal", kind.scale
+    return ("whole",) if isinstance(kind, T.IntegralType) else ("float",)
+
+
+def _raw(df: DataFrame, names: list[str], forms: list[str]) -> DataFrame:
+    return df.selectExpr(*[f"{quoted(c)} as c{i}" for i, c in enumerate(names)], *[f"{form} as f{j}" for j, form in enumerate(forms)])
 
 
 def _forms(source: DataFrame, target: DataFrame, names: list[tuple[str, str]]) -> tuple[list[str], list[str]]:
@@ -150,10 +163,22 @@ def _forms(source: DataFrame, target: DataFrame, names: list[tuple[str, str]]) -
 def _totals(
     source: DataFrame, target: DataFrame, pairs: list[tuple[str, str]], content: list[tuple[str, str]] = ()
 ) -> DataFrame:
-    """One row with the counts, sums, losses and checksums of both sides."""
+    """One row with the counts, sums, losses and checksums of both sides.
+
+    Columns of like types are summed side by side in one plan, which is built and compiled once.
+    """
     a, b = _forms(source, target, list(content))
-    here, there = _side(source, "s", [x for x, _ in pairs], a), _side(target, "t", [y for _, y in pairs], b)
-    return here.withColumn("__one", F.lit(1)).join(there.withColumn("__one", F.lit(1)), "__one").drop("__one")
+    here, there = _raw(source, [x for x, _ in pairs], a), _raw(target, [y for _, y in pairs], b)
+    kinds, others = ([df.schema[f"c{i}"].dataType for i in range(len(pairs))] for df in (here, there))
+    if list(map(_shape, kinds)) == list(map(_shape, others)):
+        both = here.withColumn("side", F.lit("s")).union(there.withColumn("side", F.lit("t")))
+        kinds = [both.schema[f"c{i}"].dataType for i in range(len(pairs))]
+        tasks = _per_task(both, kinds, len(a), ["side"])
+        found = _found("s", kinds, len(a), " filter (where side = 's')") + _found("t", kinds, len(a), " filter (where side = 't')")
+        return tasks.agg(*[F.expr(f) for f in found])
+    sides = [_per_task(df, k, len(a), []).agg(*[F.expr(f) for f in _found(tag, k, len(a))])
+             for df, k, tag in ((here, kinds, "s"), (there, others, "t"))]
+    return sides[0].withColumn("__one", F.lit(1)).join(sides[1].withColumn("__one", F.lit(1)), "__one").drop("__one")
 
 
 COUNT_CHECKS = [
