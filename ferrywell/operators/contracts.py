@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql import types as T
 from ferrywell.functions import text
 from ferrywell.functions.types import spark_type
 from ferrywell.operators.cleaning import column
+from ferrywell.session import Staged
 
 
 @dataclass(frozen=True)
@@ -98,7 +100,13 @@ def conform_violations(df: DataFrame, contract: list[Field]) -> DataFrame:
     return df.agg(*measures).select(F.inline(F.array(*facts)))
 
 
-def _per_column(df: DataFrame, tests: list[tuple[str, str, Column]]) -> DataFrame:
+#: A rule: its column, its name, and the test of a row that breaks it.
+Rule = tuple[str, str, Column]
+#: Rules that one word of a mask holds.
+WORD = 63
+
+
+def _per_column(df: DataFrame, tests: list[Rule]) -> DataFrame:
     """(column_name, rule, violations) for row tests, all counted in one pass."""
     if not tests:
         return df.sparkSession.createDataFrame([], "column_name string, rule string, violations bigint")
@@ -111,13 +119,11 @@ def _per_column(df: DataFrame, tests: list[tuple[str, str, Column]]) -> DataFram
     )
 
 
-def contract_nulls(df: DataFrame, contract: list[Field]) -> DataFrame:
-    required = [f for f in contract if not f.nullable or f.pk]
-    return _per_column(df, [(f.name, "NOT NULL", column(f.name).isNull()) for f in required])
+def _null_rules(contract: list[Field]) -> list[Rule]:
+    return [(f.name, "NOT NULL", column(f.name).isNull()) for f in contract if not f.nullable or f.pk]
 
 
-def contract_lengths(df: DataFrame, contract: list[Field]) -> DataFrame:
-    """Texts longer than VARCHAR(n), and numbers that do not fit NUMBER(p,s)."""
+def _size_rules(df: DataFrame, contract: list[Field]) -> list[Rule]:
     tests = []
     for f in contract:
         limit, size = max_length(f.type), number_size(f.type)
@@ -127,7 +133,74 @@ def contract_lengths(df: DataFrame, contract: list[Field]) -> DataFrame:
         if size is not None:
             fits = conformed(c, df.schema[f.name].dataType, f.type).isNotNull()
             tests.append((f.name, f.type, c.isNotNull() & ~fits))
-    return _per_column(df, tests)
+    return tests
+
+
+def contract_nulls(df: DataFrame, contract: list[Field]) -> DataFrame:
+    return _per_column(df, _null_rules(contract))
+
+
+def contract_lengths(df: DataFrame, contract: list[Field]) -> DataFrame:
+    """Texts longer than VARCHAR(n), and numbers that do not fit NUMBER(p,s)."""
+    return _per_column(df, _size_rules(df, contract))
+
+
+class ContractLedger:
+    """Every row with a mask of the rules that it breaks, one bit a rule; written once, read by all its views.
+
+    The key rule marks all rows of a repeated key. Repeated keys are counted on the map side and joined
+    back, so a key with very many rows stays one row on that side.
+    """
+
+    REPEATED = "__repeated"
+    BROKEN = "__broken"
+
+    def __init__(self, df: DataFrame, contract: list[Field]):
+        self.columns = df.columns
+        self.rules = _null_rules(contract) + _size_rules(df, contract)
+        keys = [f.name for f in contract if f.pk]
+        marked = df
+        if keys:
+            self.rules.append((", ".join(keys), "PRIMARY KEY", F.col(self.REPEATED)))
+            repeats = df.groupBy(*[column(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"))
+            same = reduce(Column.__and__, [column(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+            marked = df.join(repeats.where("__n > 1"), same, "left").withColumn(self.REPEATED, F.col("__n").isNotNull())
+        words = []
+        for at in range(0, len(self.rules), WORD):
+            bits = [F.when(F.coalesce(test, F.lit(False)), F.lit(1 << i)).otherwise(0).cast("bigint")
+                    for i, (_, _, test) in enumerate(self.rules[at:at + WORD])]
+            words.append(reduce(Column.bitwiseOR, bits))
+        none = F.array().cast("array<bigint>")
+        mask = F.array(*words) if words else none
+        self.staged = Staged(marked.select(*map(column, df.columns), mask.alias(self.BROKEN)), "contract-ledger")
+
+    def _bit(self, i: int) -> Column:
+        return F.col(self.BROKEN)[i // WORD].bitwiseAND(F.lit(1 << i % WORD)) != 0
+
+    @property
+    def _whole(self) -> Column:
+        return F.forall(self.BROKEN, lambda word: word == 0)
+
+    def kept(self) -> DataFrame:
+        """The rows that keep all rules."""
+        return self.staged.df.where(self._whole).drop(self.BROKEN)
+
+    def quarantine(self) -> DataFrame:
+        """The other rows, with their mask and the rules they break as ``reason``."""
+        names = [F.when(self._bit(i), f"{name}: {rule}") for i, (name, rule, _) in enumerate(self.rules)]
+        broken = self.staged.df.where(~self._whole)
+        return broken.select(*map(column, self.columns), F.col(self.BROKEN).alias("broken"), F.concat_ws("; ", *names).alias("reason"))
+
+    def counts(self) -> DataFrame:
+        """(column_name, rule, violations): rows are counted by mask, and the few masks by their bits."""
+        masks = self.staged.df.groupBy(self.BROKEN).agg(F.count(F.lit(1)).alias("__n"))
+        facts = [
+            F.struct(F.lit(name).alias("column_name"), F.lit(rule).alias("rule"), F.when(self._bit(i), F.col("__n")).otherwise(0).alias("n"))
+            for i, (name, rule, _) in enumerate(self.rules)
+        ]
+        if not facts:
+            return self.staged.spark.createDataFrame([], "column_name string, rule string, violations bigint")
+        return masks.select(F.inline(F.array(*facts))).groupBy("column_name", "rule").agg(F.sum("n").alias("violations"))
 
 
 def contract_pk(df: DataFrame, contract: list[Field]) -> DataFrame:

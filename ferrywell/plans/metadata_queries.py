@@ -313,6 +313,55 @@ def contract_lengths(spark, sf):
     return customers.withColumn("table_name", F.lit("customer")).unionByName(orders.withColumn("table_name", F.lit("orders")))
 
 
+BROKEN_ORDERS = """
+    case when o_orderkey is null then 1 else 0 end + case when o_custkey is null then 2 else 0 end
+    + case when o_orderdate is null then 4 else 0 end
+    + case when o_custkey like 'cust-%' then 16 else 0 end
+    + case when o_totalprice = 'twelve' or try_cast(o_totalprice as double) >= 100000 then 32 else 0 end
+    + case when length(o_orderpriority) > 8 then 64 else 0 end"""
+
+
+@query(
+    "contract_quarantine",
+    f"""select o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderdate, cast(broken as bigint) as broken,
+         array_to_string(list_filter([
+           case when broken & 2 > 0 then 'o_custkey: NOT NULL' end, case when broken & 16 > 0 then 'o_custkey: NUMBER(10,0)' end,
+           case when broken & 32 > 0 then 'o_totalprice: NUMBER(7,2)' end,
+           case when broken & 64 > 0 then 'o_orderpriority: VARCHAR(8)' end], lambda r: r is not null), '; ') as reason
+       from (select *, {BROKEN_ORDERS} as broken from order_texts) where broken > 0""",
+    ["order_texts"],
+)
+def contract_quarantine(spark, sf):
+    """The rows that break a rule, each with all of its reasons."""
+    ledger = contracts.ContractLedger(table(spark, sf, "order_texts"), ORDER_CONTRACT)
+    return ledger.quarantine().withColumn("broken", F.col("broken")[0])
+
+
+@query(
+    "contract_kept",
+    f"select o_orderkey, o_custkey, o_totalprice, o_orderpriority, o_orderdate from (select *, {BROKEN_ORDERS} as broken from order_texts) where broken = 0",
+    ["order_texts"],
+)
+def contract_kept(spark, sf):
+    return contracts.ContractLedger(table(spark, sf, "order_texts"), ORDER_CONTRACT).kept()
+
+
+@query(
+    "contract_mask_counts",
+    """with k as (select *, count(*) over (partition by l_orderkey, l_linenumber) as n from lineitem)
+       select 'l_orderkey' as column_name, 'NOT NULL' as rule, cast(count(*) filter (where l_orderkey is null) as bigint) as violations from k
+       union all select 'l_linenumber', 'NOT NULL', count(*) filter (where l_linenumber is null) from k
+       union all select 'l_returnflag', 'VARCHAR(1)', count(*) filter (where length(l_returnflag) > 1) from k
+       union all select 'l_extendedprice', 'NUMBER(6,2)', count(*) filter (where try_cast(l_extendedprice as decimal(6,2)) is null) from k
+       union all select 'l_orderkey, l_linenumber', 'PRIMARY KEY', count(*) filter (where n > 1) from k""",
+)
+def contract_mask_counts(spark, sf):
+    """Counts of broken rules from the rows' masks, repeated keys included."""
+    contract = [Field("l_orderkey", "BIGINT", False, True), Field("l_linenumber", "INT", False, True),
+                Field("l_returnflag", "VARCHAR(1)"), Field("l_extendedprice", "NUMBER(6,2)")]
+    return contracts.ContractLedger(table(spark, sf, "lineitem"), contract).counts()
+
+
 @query(
     "standard_names",
     """select p_partkey as P_PARTKEY, p_name as "PRODUCT_NAME", p_type as "P_TYPE", p_size as '"p size"',

@@ -181,6 +181,26 @@ def test_one_scan_serves_all_candidates(spark, monkeypatch):
     assert profile.key_lattice(df.limit(0)).isEmpty()
 
 
+def test_contract_ledger(spark):
+    """Masks give the counts of the separate checks; rows are kept or set aside, never both; more rules than one word holds."""
+    df = spark.createDataFrame(
+        [(1, "a", "10"), (1, "bb", "x"), (2, None, "1000"), (None, "c", None), (None, "d", "5"), (3, "e", "7")], "k int, t string, n string")
+    contract = [Field("k", "INT", False, True), Field("t", "VARCHAR(1)", False), Field("n", "NUMBER(3,0)")]
+    ledger = contracts.ContractLedger(df, contract)
+    assert rows(ledger.kept()) == [(3, "e", "7")]
+    found = {(r.k, r.t): (r.broken[0], r.reason) for r in ledger.quarantine().collect()}
+    assert found == {
+        (1, "a"): (16, "k: PRIMARY KEY"), (1, "bb"): (16 + 8 + 4, "t: VARCHAR(1); n: NUMBER(3,0); k: PRIMARY KEY"),
+        (2, None): (2 + 8, "t: NOT NULL; n: NUMBER(3,0)"), (None, "c"): (1 + 16, "k: NOT NULL; k: PRIMARY KEY"),
+        (None, "d"): (1 + 16, "k: NOT NULL; k: PRIMARY KEY")}
+    assert rows(ledger.counts().where("violations > 0")) == rows(contracts.check_contract(df, contract))
+    wide = spark.range(4).selectExpr(*[f"if(id = {i % 4}, null, id) as c{i}" for i in range(130)])
+    counts = contracts.ContractLedger(wide, [Field(c, "INT", False) for c in wide.columns]).counts().collect()
+    assert len(counts) == 130 and all(r.violations == 1 for r in counts)
+    nothing = contracts.ContractLedger(df, [Field("t", "TEXT")])
+    assert nothing.kept().count() == 6 and nothing.quarantine().isEmpty() and nothing.counts().isEmpty()
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", 1), ("a ", 1), ("NULL", 2), ("", None)], "t string, n int")
     score = profile.quality_score(df).first()
