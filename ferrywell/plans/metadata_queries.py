@@ -16,7 +16,7 @@ from ferrywell.plans import clean_queries  # noqa: F401  (its cleaned cells are
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
 from ferrywell.session import new_folder
-from ferrywell.sinks.tables import clustered_write, pick_cluster_keys
+from ferrywell.sinks.tables import clustered_write, files_met, pick_cluster_keys
 from ferrywell.sinks.versioned import VersionedTable
 
 # -- profiling -------------------------------------------------------------------------------
@@ -203,6 +203,24 @@ def clustered_write_query(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "clustered_curve",
+    "select true as later_keys_skip_too, count(*) as rows, cast(sum(l_orderkey) as bigint) as keys, cast(sum(l_partkey) as bigint) as parts from lineitem",
+)
+def clustered_curve(spark, sf):
+    """Along the curve a filter on the second and third key skips files, which in the order of keys it does not; all rows are there."""
+    lines, keys = table(spark, sf, "lineitem"), ["l_shipdate", "l_partkey", "l_extendedprice"]
+    met = {}
+    for curve in (False, True):
+        path = new_folder(spark, "layout")
+        clustered_write(lines, path, keys, 64, curve)
+        laid = spark.read.schema(lines.schema).parquet(path)
+        at = laid.agg(*[F.expr(f"percentile_approx({k}, 0.5)") for k in keys[1:]]).first()
+        met[curve] = [files_met(laid, k, v, v).first().met for k, v in zip(keys[1:], at, strict=True)]
+    fewer = all(a < b for a, b in zip(met[True], met[False], strict=True))
+    return laid.agg(F.lit(fewer).alias("later_keys_skip_too"), F.count("*").alias("rows"), F.sum("l_orderkey").alias("keys"), F.sum("l_partkey").alias("parts"))
+
+
 # -- types and contracts ---------------------------------------------------------------------
 
 SHARED["known_types"] = (

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrywell.functions import text
 from ferrywell.operators.cleaning import COPIES, column
@@ -116,15 +117,62 @@ def pick_cluster_keys(
     return primary_key[:3]
 
 
-def clustered_write(df: DataFrame, path: str, keys: list[str], partitions: int | None = None) -> None:
+#: Ranks that the curve tells apart in each column, as a power of two.
+CURVE_BITS = 8
+
+
+def _as_number(df: DataFrame, name: str) -> Column:
+    """A number in the column's order; of texts the first seven bytes."""
+    kind, c = df.schema[name].dataType, column(name)
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        start = F.rpad(F.substring(F.encode(c.cast("string"), "utf-8"), 1, 7), 7, F.lit(b"\0"))
+        return F.conv(F.hex(start), 16, 10).cast("bigint")
+    if isinstance(kind, T.BooleanType):
+        return c.cast("int")
+    return c
+
+
+def curve_place(df: DataFrame, keys: list[str]) -> Column:
+    """A row's place on a space-filling curve through its keys: the bits of their ranks in turn.
+
+    Ranks come from each column's quantiles, of which there are a fixed number however large the table
+    is, so skewed columns are told apart as well as even ones. Nulls come first.
+    """
+    shares = ", ".join(f"{i / (1 << CURVE_BITS)}D" for i in range(1, 1 << CURVE_BITS))
+    numbers = df.select(*[_as_number(df, k).alias(f"k{i}") for i, k in enumerate(keys)])
+    bounds = numbers.agg(*[F.expr(f"percentile_approx(k{i}, array({shares}))").alias(f"k{i}") for i in range(len(keys))]).first()
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(CURVE_BITS))])
+    place = F.lit(0).cast("bigint")
+    for i, key in enumerate(keys):
+        if bounds[i] is None:
+            continue  # nothing but nulls
+        number, limits = _as_number(df, key), F.lit(list(bounds[i])).cast(T.ArrayType(numbers.schema[i].dataType))
+        rank = F.aggregate(steps, F.lit(0), lambda r, step: r + F.when(number >= F.get(limits, r + step - 1), step).otherwise(0))
+        for b in range(CURVE_BITS):
+            bit = F.shiftright(rank, b).bitwiseAND(1).cast("bigint")
+            place = place.bitwiseOR(F.shiftleft(bit, b * len(keys) + len(keys) - 1 - i))
+    return place
+
+
+def clustered_write(df: DataFrame, path: str, keys: list[str], partitions: int | None = None, curve: bool = False) -> None:
     """Lay the table out by key ranges so that readers skip files by their column statistics.
 
-    The number of the reading task comes after the keys, so a range boundary can fall inside one
+    In the order of the keys only a filter on the first one skips files; along the ``curve`` a filter on
+    any of them skips some. The number of the reading task comes after the keys, so a range boundary can fall inside one
     key value, and a hot key is spread over several tasks. Unlike a random number it is the same
     when a lost task is repeated.
     """
     ties = df.withColumn("__task", F.spark_partition_id())
     by = [column(k) for k in keys]
-    order = [*by, F.col("__task")]
+    if curve:
+        ties = ties.withColumn("__place", curve_place(df, keys))
+        by = [F.col("__place"), *by]
+    order = [by[0], F.col("__task")] if curve else [*by, F.col("__task")]
     ranged = ties.repartitionByRange(partitions, *order) if partitions else ties.repartitionByRange(*order)
-    ranged.sortWithinPartitions(*by).drop("__task").write.parquet(path)
+    ranged.sortWithinPartitions(*by).drop("__task", "__place").write.parquet(path)
+
+
+def files_met(df: DataFrame, condition_on: str, low, high) -> DataFrame:
+    """(files, met): how many files a written table has, and how many a filter on a range of a column cannot skip."""
+    files = df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min(column(condition_on)).alias("a"), F.max(column(condition_on)).alias("z"))
+    return files.agg(F.count("*").alias("files"), F.count_if((F.col("a") <= high) & (F.col("z") >= low)).alias("met"))

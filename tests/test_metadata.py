@@ -1,3 +1,4 @@
+import datetime as dt
 import itertools
 import random
 from decimal import Decimal
@@ -11,7 +12,7 @@ from ferrywell.functions.types import map_types, spark_type, type_rows
 from ferrywell.operators import contracts, metadata, profile
 from ferrywell.operators.contracts import Field
 from ferrywell.session import new_folder
-from ferrywell.sinks.tables import clustered_write, pick_cluster_keys
+from ferrywell.sinks.tables import clustered_write, files_met, pick_cluster_keys
 
 
 def rows(df):
@@ -201,6 +202,21 @@ def test_contract_ledger(spark):
     assert nothing.kept().count() == 6 and nothing.quarantine().isEmpty() and nothing.counts().isEmpty()
 
 
+def test_the_curve_skips_files_by_every_key(spark):
+    df = spark.range(40_000).selectExpr(
+        "id", "(id * 7919) % 40009 as a", "cast((id * 104729) % 40009 as string) as b", "timestamp_ntz '2024-01-01' + make_interval(0, 0, 0, 0, 0, id * 31 % 997) as t",
+        "cast(null as int) as nothing")
+    skipped = {}
+    for curve in (False, True):
+        path = new_folder(spark, "curve")
+        clustered_write(df, path, ["a", "b", "t", "nothing"], 64, curve)
+        laid = spark.read.parquet(path)
+        assert laid.exceptAll(df).isEmpty() and laid.count() == 40_000 and laid.columns == df.columns
+        skipped[curve] = [files_met(laid, k, v, v).first() for k, v in (("a", 20_000), ("b", "25"), ("t", dt.datetime(2024, 1, 1, 8)))]
+    assert [r.met == r.files for r in skipped[False]] == [False, True, True]
+    assert all(r.met <= r.files / 2 for r in skipped[True])
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", 1), ("a ", 1), ("NULL", 2), ("", None)], "t string, n int")
     score = profile.quality_score(df).first()
