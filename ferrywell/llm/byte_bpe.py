@@ -53,6 +53,7 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
         self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
+        self._closing: set[str] = set()  # the known pieces that end a sentence
         self._marker_ids: dict[str, bytes] = {}
         for token in spec["added_tokens"] if markers else []:
             if token["single_word"] or token["lstrip"] or token["rstrip"]:
@@ -86,8 +87,11 @@ class ByteBpe:
                 pass
             if len(known) > REMEMBERED:
                 known.clear()
-            for piece in set(pieces).difference(known):
+                self._closing.clear()
+            new = set(pieces).difference(known)
+            for piece in new:
                 known[piece] = array("I", self._encode(piece)).tobytes()
+            self._closing.update(piece for piece in new if piece[-1] in ".!?\n。")
             yield pieces, list(map(known.__getitem__, pieces))
 
     def count(self, text: str) -> int:
@@ -104,7 +108,7 @@ class ByteBpe:
         parts, ends, before = [], [], 0
         for pieces, ids in self._pieces(text):
             lengths = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4 + before
-            last = np.fromiter((p[-1] in ".!?\n。" for p in pieces), bool, len(pieces))
+            last = np.fromiter(map(self._closing.__contains__, pieces), bool, len(pieces))
             ends.append(lengths[last])
             parts.append(b"".join(ids))
             before = int(lengths[-1])

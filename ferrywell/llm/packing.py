@@ -39,15 +39,30 @@ class Costs:
     least_power: int = 128  # shorter windows are only used at the end of a partition
 
 
+def _whole_powers(places: np.ndarray, costs: Costs, end: int) -> Iterator[tuple[int, int]]:
+    """Pairs (later, earlier) of cuts that lie a power of two apart, by the later one; short windows only beyond ``end``."""
+    found = []
+    for k in range(costs.window.bit_length() - 1):
+        power = 1 << k
+        wanted = places - power
+        earlier = np.minimum(np.searchsorted(places, wanted), len(places) - 1)
+        hit = places[earlier] == wanted
+        if power < costs.least_power:
+            hit &= places > end
+        later = np.flatnonzero(hit)
+        found.append((later, earlier[later]))
+    later, earlier = (np.concatenate(part) for part in zip(*found, strict=True))
+    order = np.argsort(later, kind="stable")
+    return zip(later[order].tolist(), earlier[order].tolist(), strict=True)
+
+
 def choose_cuts(places: np.ndarray, penalties: np.ndarray, costs: Costs, last: bool) -> list[int]:
     """Indexes of the cheapest cuts among ``places`` (ascending, first 0); neighbours are at most a window apart."""
     window, at, fine = costs.window, places.tolist(), penalties.tolist()
     # a window's cost is window - (place[j] - place[i]) + each, so the queue orders best[i] + place[i]
     best, back = [0] * len(at), [0] * len(at)
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(window.bit_length()) if costs.least_power <= 1 << k < window]
-    all_powers = [1 << k for k in range(window.bit_length() - 1)]
-    end = at[-1] - window if last else at[-1]
+    exact = _whole_powers(places, costs, at[-1] - window if last else at[-1])
+    later, earlier = next(exact, (len(at), 0))
     queue: deque[tuple[int, int, int]] = deque([(0, 0, 0)])  # (best + place, place, index)
     for j in range(1, len(at)):
         place = at[j]
@@ -55,10 +70,10 @@ def choose_cuts(places: np.ndarray, penalties: np.ndarray, costs: Costs, last: b
             queue.popleft()
         low, _, i = queue[0]
         cost = low + window - place
-        for power in powers if place <= end else all_powers:
-            k = index.get(place - power)
-            if k is not None and best[k] < cost:
-                cost, i = best[k], k
+        while later == j:
+            if best[earlier] < cost:
+                cost, i = best[earlier], earlier
+            later, earlier = next(exact, (len(at), 0))
         best[j], back[j] = cost + costs.each + fine[j], i
         value = best[j] + place
         while queue and queue[-1][0] >= value:
