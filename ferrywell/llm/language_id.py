@@ -29,25 +29,32 @@ class Model:
     margin: float = 0.01
 
 
+#: Parts of a language in which the lowest hashes are found first, so that no task sees all rows of one.
+PARTS = 64
+
+
 def fit(labelled: DataFrame, per_language: int = 512, dictionary_bytes: int = 112_640) -> Model:
     """Learn from rows with text and lang: at most ``per_language`` rows of each, the ones whose
-    identifiers hash lowest, and from each an equal share of the dictionary, taken at a place that
+    identifiers hash lowest, and from each an equal share of the dictionary's bytes, taken at a place that
     the hash decides. The languages are those of all rows.
     """
     hashed = F.xxhash64(F.col("doc_id").cast("string"))
     rows = labelled.where("text is not null and lang is not null")
-    order = Window.partitionBy("lang").orderBy("h", "doc_id")
-    chosen = (rows.select("lang", "doc_id", hashed.alias("h")).withColumn("place", F.row_number().over(order))
-              .where(F.col("place") <= per_language).select("lang", "doc_id").distinct())
-    share = max(1, dictionary_bytes // per_language)
-    sample = rows.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    candidates = rows.select("lang", "doc_id", hashed.alias("h")).distinct()
+    for by in (["lang", F.pmod("h", F.lit(PARTS))], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h", "doc_id"))
+        candidates = candidates.withColumn("place", place).where(F.col("place") <= per_language).drop("place")
+    share = max(1, dictionary_bytes // per_language - 1)  # one byte parts them
+    sample = rows.join(F.broadcast(candidates.select("lang", "doc_id")), ["lang", "doc_id"], "left_semi")
     start = F.pmod(hashed, F.greatest(F.lit(1), F.length("text") - share + 1)) + 1
     found = (sample.select("lang", "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(share)).alias("part"))
              .groupBy("lang", "doc_id").agg(F.min("part").alias("part")).orderBy("lang", "doc_id").collect())
     parts: dict[str, list[bytes]] = {}
     for row in found:
-        parts.setdefault(row["lang"], []).append(row["part"].lower().encode())
-    return Model(tuple((lang, b"\n".join(texts)[-dictionary_bytes:]) for lang, texts in sorted(parts.items())))
+        # letters of several bytes: whole ones, as many as fit
+        part = row["part"].lower().encode()[:share].decode(errors="ignore").encode()
+        parts.setdefault(row["lang"], []).append(part)
+    return Model(tuple((lang, b"\n".join(texts)) for lang, texts in sorted(parts.items())))
 
 
 @lru_cache(maxsize=2)
