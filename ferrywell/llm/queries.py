@@ -179,11 +179,21 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_token_counts")
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, which is then sent again and must not count twice."""
+    """All documents enter with an estimate, which the measured counts then revise; all leave and enter again; two batches come twice."""
+    counts = Staged(token_rollup.count_tokens(documents(spark, sf_dir)), "token-counts").df
+    estimates = documents(spark, sf_dir).select(
+        "doc_id", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        F.lit("estimate").alias("tokenizer"), F.ceil(F.length(F.coalesce("text", F.lit(""))) / 4).alias("n_tokens"))
     rollup = token_rollup.TokenRollup(spark, new_folder(spark, "token-rollup"))
-    batch = token_rollup.inserts(token_rollup.count_tokens(documents(spark, sf_dir)))
-    rollup.commit("documents", batch)
-    rollup.commit("documents", batch)
+    batches = {
+        "estimates": token_rollup.inserts(estimates),
+        "measured": token_rollup.revisions(estimates, counts),
+        "out": token_rollup.deletes(counts),
+        "in again": token_rollup.inserts(counts),
+    }
+    for name in ("estimates", "measured", "measured", "out", "in again", "out"):
+        rollup.commit(name, batches[name])
+    rollup.merge()
     return rollup.totals()
 
 

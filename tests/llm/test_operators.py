@@ -333,6 +333,60 @@ def test_undetermined_and_narrow(spark):
 # -- token counts ---------------------------------------------------------------------------------
 
 
+def test_every_chosen_row_has_its_share_of_the_dictionary(spark):
+    """Letters of two bytes take no more room than others."""
+    rows = [(i, lang, " ".join(f"{word}{i}" for _ in range(80))) for i, (lang, word) in enumerate([("en", "word"), ("ru", "слово")] * 60)]
+    fitted = dict(language_id.fit(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), 40, 4000).dictionaries)
+    for lang in ("en", "ru"):
+        parts = fitted[lang].split(b"\n")
+        assert len(parts) == 40 and len(fitted[lang]) <= 4000
+        assert all(97 <= len(part) <= 99 and part.decode() for part in parts)
+
+
+def test_languages_equal_plain_compression(spark):
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(100)
+    fitted = language_id.fit(docs.where("doc_id % 2 = 0"), 20, 8000)
+
+    def size(text, content):
+        raw, size = text.lower().encode(), 0
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        for at in range(0, len(raw), fitted.chunk):
+            compressor = zstandard.ZstdCompressor(fitted.level, dict_data=made, write_content_size=False, write_dict_id=False)
+            size += len(compressor.compress(raw[at:at + fitted.chunk]))
+        return size
+
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = answer(language_id.predict(docs, fitted), "lang_pred", "score")
+    assert len(found) == len(texts) == 100
+    for doc_id, text in texts.items():
+        if not text or not any(map(str.isalpha, text)):
+            assert found[doc_id] == ("und", 0.0)
+            continue
+        (least, lang), (second, _) = sorted((size(text, content), lang) for lang, content in fitted.dictionaries)[:2]
+        assert found[doc_id] == (lang, pytest.approx(min(1.0, 0.5 + 5 * (second - least) / second)))
+
+
+def test_totals_equal_a_plain_sum(spark):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    from ferrywell.llm import queries
+
+    small = "/root/testdata/sf0.001"
+    tokenizer, wanted = Tokenizer.from_file(path("byte_bpe_50k.json")), Counter()
+    for r in spark.read.parquet(f"{small}/documents.parquet").collect():
+        n = len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
+        wanted[r["source"], r["lang"], "byte_bpe_50k", "n"] += n
+        wanted[r["source"], r["lang"], "byte_bpe_50k", "docs"] += 1
+    found = Counter()
+    for r in queries.QUERIES["op6_token_counts"](spark, small).collect():
+        found[r["source"], r["lang"], r["tokenizer"], "n"] += r["n_tokens"]
+        found[r["source"], r["lang"], r["tokenizer"], "docs"] += r["n_docs"]
+    assert found == wanted
+
+
 def test_rollup_adds_signed_batches_once(spark):
     def counts(rows):
         return spark.createDataFrame(rows, "doc_id bigint, source string, lang string, tokenizer string, n_tokens bigint")
