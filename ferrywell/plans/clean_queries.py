@@ -5,6 +5,8 @@ from __future__ import annotations
 from ferrywell.operators import cleaning
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
+from ferrywell.session import new_folder
+from ferrywell.sinks.versioned import VersionedTable
 
 # The token lists, written out for the SQL side.
 STRICT = "('na', 'n/a', 'null', 'none', 'nan', '-', '', 'undefined', 'nil')"
@@ -164,6 +166,17 @@ def clean_basic(spark, sf):
     return spark.table("odd_events_cleaned")
 
 
+@query(
+    "clean_basic_stored",
+    f"select * replace ({NUMERIC_USER} as user_txt) from basic_distinct",
+    ["basic_distinct"],
+)
+def clean_basic_stored(spark, sf):
+    """The cleaned rows as a stored table, which the view reads."""
+    cleaning.clean_basic(_dirty(spark, sf), "stored_events", target=VersionedTable(spark, new_folder(spark, "cleaned")))
+    return spark.table("stored_events_cleaned")
+
+
 def _cell_counts(step: str, test: str) -> str:
     return " union all ".join(
         f"select '{step}', '{c}', cast(count(*) filter (where {test.format(c=c)}) as bigint) from odd_events" for c in TEXTS

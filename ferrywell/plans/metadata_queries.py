@@ -15,7 +15,7 @@ from ferrywell.operators.contracts import Field
 from ferrywell.plans import clean_queries  # noqa: F401  (its cleaned cells are read below)
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
-from ferrywell.session import new_folder
+from ferrywell.session import Staged, new_folder
 from ferrywell.sinks.tables import clustered_write, files_met, pick_cluster_keys
 from ferrywell.sinks.versioned import VersionedTable
 
@@ -35,6 +35,15 @@ def profile_table(spark, sf):
     return profile.profile_table(table(spark, sf, "dirty_events"))
 
 
+@query("profile_sample", "select cast(3 as bigint) as shown, cast(3 as bigint) as found")
+def profile_sample(spark, sf):
+    """Sample rows beside the profile: so many are shown, and each is a row of the table."""
+    lines = table(spark, sf, "lineitem")
+    shown = Staged(profile.sample_rows(lines), "sample").df
+    there = lines.distinct().withColumn("there", F.lit(True))
+    return shown.join(there, lines.columns, "left").agg(F.count("*").alias("shown"), F.count("there").alias("found"))
+
+
 def _share(test: str) -> str:
     return f"cast(count(*) filter (where {test}) / nullif(count(c), 0) as decimal(5,4))"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from ferrywell.operators.cleaning import column
 from ferrywell.session import Staged
 
 SNIFF_BYTES = 4096
+#: Signs that a reader would take for a pattern of names.
+GLOB = re.compile(r"([\\\[\]{}*?,])")
 
 
 def list_objects(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
@@ -77,32 +80,30 @@ def read_delimited(
 ) -> DataFrame:
     """Delimited files with a header, each with the delimiter its beginning suggests.
 
-    Files with the same delimiter and header are read together, and all are put together by column
-    name. Without a schema all columns are text; ``infer`` costs another pass over the files. A
+    Files with the same delimiter and header are read together, each file once, and all are put together by
+    column name. Without a schema all columns are text; ``infer`` costs another pass over the files. A
     cell may hold line breaks, so a file is read by one task; say ``line_breaks=False`` where none
     does, and large files are split.
     """
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
-        "path", F.col("_metadata.file_path").alias("file"))
-    files = Staged(detect_delimiters(listed, candidates).join(listed, "path"), "delimited").df
-    # as many as there are kinds of files
-    kinds = files.select("delimiter", "header").distinct().orderBy("delimiter", "header").collect()
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path")
+    files = Staged(detect_delimiters(listed, candidates), "delimited").df
+    # as many as there are kinds of files; where there are several, with their paths, which Spark's list of files holds anyway
+    kinds = [(*kind, ()) for kind in files.select("delimiter", "header").distinct().orderBy("delimiter", "header").collect()]
     if not kinds:
         raise FileNotFoundError(path)
+    if len(kinds) > 1:
+        kinds = files.groupBy("delimiter", "header").agg(F.sort_array(F.collect_list("path"))).orderBy("delimiter", "header").collect()
     wanted = None if schema is None else T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     known = {f.name: f for f in wanted} if wanted else {}
     parts = []
-    for delimiter, header in kinds:
+    for delimiter, header, paths in kinds:
         names = _unique(header)
         fields = T.StructType([known.get(n, T.StructField(n, T.StringType())) for n in names])
         reader = spark.read.options(**text.CSV_READ, multiLine=line_breaks, recursiveFileLookup=True).option("sep", delimiter)
         if len(kinds) == 1:
             part = (reader.option("inferSchema", True) if infer and wanted is None else reader.schema(fields)).csv(path)
         else:
-            # the file's own rows are found by its path, so no list of files passes through the driver
-            here = files.where((F.col("delimiter") == delimiter) & (F.col("header") == F.array(*map(F.lit, header))))
-            rows = reader.schema(fields).csv(path).select("*", F.col("_metadata.file_path").alias("__file"))
-            part = rows.join(here.select(F.col("file").alias("__file")), "__file", "left_semi").drop("__file")
+            part = reader.schema(fields).csv([GLOB.sub(r"\\\1", one) for one in paths])
             if infer and wanted is None:
                 part = _inferred(part)
         parts.append(part if wanted is None else part.select(*[column(f.name) for f in wanted if f.name in part.columns]))

@@ -23,6 +23,15 @@ def write(tmp_path, name, content):
     return str(path)
 
 
+def test_each_file_is_read_once_whatever_its_name(spark, tmp_path):
+    for i, (name, sep) in enumerate([("a[1].csv", ","), ("b{x,y} z.csv", ";"), ("c*?.csv", "|"), ("d%20.csv", ";"), ("sub/e.csv", ",")]):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(f"id{sep}v\n{i}{sep}x\n{i}{sep}y\n")
+    found = files.read_delimited(spark, str(tmp_path))
+    assert rows(found) == sorted((str(i), v) for i in range(5) for v in "xy")
+    assert len(found.inputFiles()) == 5  # a file appears in no other kind's scan
+
+
 def test_delimiter_of_each_file(spark, tmp_path):
     for name, sep in (("a.csv", ","), ("b.csv", ";"), ("c.csv", "\t"), ("d.csv", "|")):
         write(tmp_path, name, "".join(sep.join(r) + "\n" for r in (["id", "name"], [name, "x y"], [name, "z"])))
