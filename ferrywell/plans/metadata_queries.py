@@ -99,6 +99,22 @@ def profile_text_columns(spark, sf):
     return profile.profile_columns(table(spark, sf, "dirty_events"), exact=True)
 
 
+@query(
+    "profile_states",
+    "select column_name, total_rows, null_rows, min_value, max_value, detected_type, distinct_values, true as estimate_close from ("
+    + " union all ".join(_column_facts(n, k, "lineitem") for n, k in LINEITEM) + ")",
+)
+def profile_states(spark, sf):
+    """The profile of a table that grew by batches, from their stored states, beside the exact number of distinct values."""
+    lines, path = table(spark, sf, "lineitem"), new_folder(spark, "profile-states")
+    for number in (0, 1, 1):  # one batch comes twice
+        profile.add_state(lines.where(F.pmod("l_orderkey", F.lit(2)) == number), path, str(number))
+    stored = profile.stored_profile(spark, path, lines.schema).withColumnRenamed("distinct_values", "estimate")
+    close = F.abs(F.col("estimate") - F.col("distinct_values")) <= 0.06 * F.col("distinct_values")
+    return stored.join(profile.distinct_counts(lines), "column_name").select(
+        "column_name", "total_rows", "null_rows", "min_value", "max_value", "detected_type", "distinct_values", close.alias("estimate_close"))
+
+
 NULL_COUNTS = " union all ".join(
     f"select 'missing values' as issue, '{c}' as column_name, count(*) filter (where {c} is null) as affected_rows, count(*) as total from strict_cells"
     for c, _ in DIRTY

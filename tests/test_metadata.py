@@ -217,6 +217,25 @@ def test_the_curve_skips_files_by_every_key(spark):
     assert all(r.met <= r.files / 2 for r in skipped[True])
 
 
+def test_profile_of_a_grown_table_equals_a_full_pass(spark):
+    df = spark.range(6000).selectExpr(
+        "id", "cast(id % 700 as string) as t", "if(id % 5 = 0, null, id / 7) as f", "date '2024-01-01' + cast(id % 90 as int) as d",
+        "map(1, id) as m", "case when id % 3 = 0 then 'yes' else '0' end as b", "cast(null as string) as nothing")
+    path = new_folder(spark, "states")
+    for name, part in {"x": "id < 1000", "y": "id >= 1000 and id < 5990", "z": "id >= 5990", "none": "id < 0"}.items():
+        profile.add_state(df.where(part), path, name)
+    profile.add_state(df.where("id < 1000"), path, "x")  # sent again
+    found = {r.column_name: r for r in profile.stored_profile(spark, path, df.schema).collect()}
+    for row in profile.profile_columns(df, exact=True).collect():
+        other = found[row.column_name]
+        for field in row.asDict():
+            if field != "distinct_values":
+                assert row[field] == other[field], (row.column_name, field)
+        if row.distinct_values:
+            assert abs(other.distinct_values - row.distinct_values) <= 0.05 * row.distinct_values
+        assert row.column_name != "nothing" or other.distinct_values == 0
+
+
 def test_quality(spark):
     df = spark.createDataFrame([("a", 1), ("a ", 1), ("NULL", 2), ("", None)], "t string, n int")
     score = profile.quality_score(df).first()
