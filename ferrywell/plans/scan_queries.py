@@ -85,6 +85,22 @@ def list_objects(spark, sf):
     return files.list_objects(spark, sf)
 
 
+@query(
+    "list_table_objects",
+    "select l_returnflag, count(*) as rows, true as all_listed from lineitem group by l_returnflag",
+)
+def list_table_objects(spark, sf):
+    """The inventory of a stored table: every file that holds its rows is listed, with its size."""
+    path = new_folder(spark, "inventory")
+    table(spark, sf, "lineitem").write.partitionBy("l_returnflag").parquet(path)
+    name = "regexp_replace({}, '^([a-z0-9]+):/+', '$1:/')"  # one or three strokes after the scheme
+    listed = files.list_objects(spark, path).selectExpr(f"{name.format('path')} as file", "length")
+    held = spark.read.parquet(path).groupBy("l_returnflag", "_metadata.file_path", "_metadata.file_size").count()
+    held = held.selectExpr("l_returnflag", f"{name.format('file_path')} as file", "file_size", "count")
+    return held.join(listed, "file", "left").groupBy("l_returnflag").agg(
+        F.sum("count").alias("rows"), F.every(F.coalesce(F.col("length") == F.col("file_size"), F.lit(False))).alias("all_listed"))
+
+
 @query(
     "register_view",
     r"""with named as (

@@ -172,7 +172,8 @@ def read_json_records(spark: SparkSession, path: str, sep: str = "_", lines: boo
     )
     present = F.array_compact(F.array(*[F.when(F.col("item")[c].isNotNull(), F.lit(c)) for c in lists]))
     first = F.get(F.filter("keys", lambda k: F.array_contains(present, k)), F.lit(0))
-    items = items.select("item", first.alias("member"))
+    # parsed once and written; the members' rows below are then read column by column
+    items = Staged(items.select("item", first.alias("member")), "json-items").df
     parts = []
     for (member,) in items.select("member").distinct().orderBy("member").collect():
         if member is None:

@@ -515,6 +515,24 @@ def test_stream_takes_each_file_once_and_replays_change_nothing(spark, target):
     assert rows(table.read()) == [(1, 3), (2, 1)]
 
 
+def test_stream_knows_late_rows_from_its_state(spark, target):
+    """Also against rows that were loaded before the stream began; no batch reads the target to find out."""
+    source, checkpoint = new_folder(spark, "arrivals"), new_folder(spark, "checkpoint")
+    schema = "k int, w int, v string"
+    table = VersionedTable(spark, target.path, keys=["K"], buckets=4)
+    loads.full_load(spark.createDataFrame([(1, 5, "loaded"), (2, 5, "loaded"), (3, None, "loaded")], schema), table)
+    arrivals = [
+        [(1, 4, "late"), (2, 6, "newer"), (3, 1, "first mark"), (4, 1, "new")],
+        [(2, 5, "late"), (4, None, "no mark"), (1, 5, "equal")],
+        [(4, 2, "newer"), (1, 5, "equal again")],
+    ]
+    for i, batch in enumerate(arrivals):
+        df = spark.createDataFrame(batch, schema)
+        df.write.parquet(f"{source}/{i}")
+        incremental_stream(spark, source, df.schema, table, "w", checkpoint).awaitTermination()
+    assert rows(table.read()) == [(1, 5, "equal again"), (2, 6, "newer"), (3, 1, "first mark"), (4, 2, "newer")]
+
+
 def test_stream_without_keys_appends(spark):
     source, checkpoint = new_folder(spark, "in"), new_folder(spark, "cp")
     table = VersionedTable(spark, new_folder(spark, "out"))
