@@ -1,6 +1,7 @@
 """License notices: an exact join of text blocks with templates by token containment.
 
-A block is a line of a text. It matches a template when it holds at least ``threshold`` of the
+A block is a run of up to four neighbouring lines, so that a notice is found however it is wrapped. A longer
+block holds all that a shorter one inside it holds, so only the longest ones are compared. A block matches a template when it holds at least ``threshold`` of the
 template's distinct tokens. Tokens are ordered by how many documents hold them, rarest first. A
 block that reaches the threshold must hold one of the first ``n - needed + 1`` tokens of the
 template, so only blocks with such a token are compared. The templates are a fixed list; the few
@@ -30,6 +31,8 @@ TEMPLATES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
 )
 THRESHOLD = 0.8
+#: Lines of a block.
+LINES = 4
 
 
 def tokens(text: Column) -> Column:
@@ -48,11 +51,12 @@ def _template_rows(spark: SparkSession, templates, threshold: float, frequency:
         rows, "template int, label string, wanted array<string>, needed int, place int, token string")
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD, lines: int = LINES) -> DataFrame:
     """One row per input row: the places of the phrases, the labels, and the best containment.
 
     Null and empty texts have no words and no labels. Repeated rows each get the result. Ties
-    between templates do not matter, as all labels are kept.
+    between templates do not matter, as all labels are kept. Long texts are taken whole, a block at a time;
+    an empty table gives no rows, and other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -88,9 +92,11 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold: float
 
     # a block's tokens in the templates' order; tokens of no template cannot count towards any
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
-    blocks = found.where("maybe").select(
-        document_key(F.col("doc_id"), F.col("text")).alias("key"), F.explode(F.split("text", "\n")).alias("block"))
-    held = blocks.select("key", F.array_intersect(F.lit(order), tokens(F.col("block"))).alias("held"))
+    of_lines = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(F.lit(order), tokens(line)))
+    blocks = found.where("maybe").select(document_key(F.col("doc_id"), F.col("text")).alias("key"), of_lines.alias("lines"))
+    starts_of = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("lines") - (lines - 1)))
+    blocks = blocks.select("key", "lines", F.explode(starts_of).alias("first"))
+    held = blocks.select("key", F.array_intersect(F.lit(order), F.flatten(F.expr(f"slice(lines, first, {lines})"))).alias("held"))
     held = held.select("key", "held", F.posexplode("held").alias("at", "token"))
     # around a shared token, no more than the shorter side can be shared before it and after it
     most = (F.least("at", "place") + 1

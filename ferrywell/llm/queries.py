@@ -139,8 +139,9 @@ LICENSE_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
       from w),
     t as ({_templates_sql()}),
     l as (
-      select r, list_distinct(regexp_extract_all(line, '{LICENSE_WORD}')) as held
-      from (select r, unnest(string_split(text, chr(10))) as line from d)),
+      select r, list_distinct(regexp_extract_all(array_to_string(lines[i:i + {license_scan.LINES - 1}], chr(10)), '{LICENSE_WORD}')) as held
+      from (select r, lines, unnest(range(1, greatest(1, len(lines) - {license_scan.LINES - 1}) + 1)) as i
+            from (select r, string_split(text, chr(10)) as lines from d))),
     hits as (
       select r, list(distinct label) as more, max(len(list_intersect(held, wanted)) / len(wanted)) as best
       from l join t on len(list_intersect(held, wanted)) >= ceil(0.8 * len(wanted) - 1e-9) group by r),

@@ -313,6 +313,16 @@ def test_cut_characters_go_whole(spark):
     assert answer(made, "text")[1] == ("xy",) and answer(made, "text")[3] == (None,)
 
 
+def test_wrapped_license_notices(spark):
+    bsd = license_scan.TEMPLATES[5][1].split()
+    pairs = [(n, "Some file.\n" + "\n".join(" # " + " ".join(bsd[i::1][:len(bsd) // n + 1]) for i in range(0, len(bsd), len(bsd) // n + 1)) + "\nMore.")
+             for n in (1, 2, 3, 4)]
+    pairs += [(9, "\n".join(bsd)), (10, "\n\n".join([" ".join(bsd[:7]), "other words here", " ".join(bsd[7:])]))]
+    found = answer(license_scan.scan(frame(spark, pairs)), "labels", "score")
+    assert all(found[n] == ("bsd", 1.0) for n in (1, 2, 3, 4))
+    assert found[9] == ("", 0.0) and found[10] == ("", 0.0)  # over more lines than a block has
+
+
 # -- languages ------------------------------------------------------------------------------------
 
 
