@@ -45,7 +45,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages in turn; what a stage read goes once its result is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}").df
+        step = Staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before:
+            before.release()
+        docs, before = step.df, step
     return docs

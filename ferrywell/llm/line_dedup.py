@@ -6,12 +6,13 @@ one entry from the start. The rest follows from a global order of words, rare on
 
 * prefix: matching sets share one of the first ``n - ceil(t * n) + 1`` words of either;
 * length: the smaller set has at least ``t`` times the words of the larger one;
-* position: words that stand before the shared one in one set only are lost to the overlap;
+* position: of the first shared word; what stands before it in either set is lost to the overlap;
 * parity bits: hashing all words to bits, sets differ in at least as many words as bits.
 
 Near copies of one line come in groups, which must not become squares of pairs. So each set is
-first compared with one leader, the earliest set of the lists it shares most; only sets that are still
-unmatched are then joined with all earlier ones. Everything runs as DataFrame operations.
+first compared with the earliest set that has the same two least, or the same two largest, word hashes; only sets
+that are still unmatched are then joined with all earlier ones. Lists of words are joined in ``PORTIONS`` of the
+words, so that the shuffle files of one portion can go before the next comes. Everything runs as DataFrame operations.
 """
 
 from __future__ import annotations
@@ -20,73 +21,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrywell.llm.columns import SPACE
-from ferrywell.llm.staging import staged
-from ferrywell.session import Staged
+from ferrywell.llm.staging import Step
 
-#: Counters of word frequencies, and bits of the filter for documents with candidates: fixed, whatever the data.
-BUCKETS, BITS = 1 << 18, 1 << 20
+#: Counters of word frequencies, and bits of the filter for lines with candidates: fixed, whatever the data.
+BUCKETS, BITS = 1 << 18, 1 << 23
+#: Parts that the words are joined in, and entries of one word that are compared in one task.
+PORTIONS, BLOCK = 3, 1 << 12
 ORDER = ["d", "h", "line"]
 
 
-def _byte(table: bytes, at: Column) -> Column:
-    """Entry of a table of values below 128."""
-    return F.ascii(F.substr(F.lit(table), at.cast("int") + 1, F.lit(1)).cast("string"))
+def _literal(values: list[int], kind: str) -> Column:
+    """A constant array."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Lines: document (id and hash), place, and 64-bit hashes of the distinct words."""
+    """Lines: document (id and hash), place and text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint")).alias("d"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = rows.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "words"))
-    words = F.array_remove(F.split("words", SPACE), "")
-    return rows.select("d", "h", "line", F.array_distinct(F.transform(words, lambda word: F.xxhash64(word))).alias("words"))
+    return rows.select("d", "h", F.posexplode(F.split("text", "\n")).alias("line", "t"))
 
 
-def _frequency_table(docs: DataFrame) -> bytes:
-    """How many lines hold the words of each bucket, as a power of two."""
-    words = _lines(docs).select(F.explode("words").alias("word"))
-    counts = words.groupBy(F.pmod("word", F.lit(BUCKETS)).alias("bucket")).count().toArrow()
-    table = bytearray(BUCKETS)
-    for bucket, count in zip(*(c.to_pylist() for c in counts.columns), strict=True):
-        table[bucket] = count.bit_length()
-    return bytes(table)
+def _words(text: str) -> Column:
+    """64-bit hashes of the distinct words."""
+    return F.array_distinct(F.transform(F.array_remove(F.split(text, SPACE), ""), lambda word: F.xxhash64(word)))
 
 
-def _named(lines: DataFrame) -> DataFrame:
-    """Lines with two hashes that name their set."""
-    ordered = lines.withColumn("words", F.sort_array("words"))
-    return ordered.withColumns({"s1": F.xxhash64("words"), "s2": F.xxhash64(F.lit(1), F.col("words"))})
+def _frequency_table(docs: DataFrame) -> list[int]:
+    """How often the words of each bucket occur, as a power of two; never less than their lists are long."""
+    words = docs.select(F.explode(F.split(F.col("text").cast("string"), SPACE)).alias("word"))
+    counts = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).count().toArrow()
+    table = [0] * BUCKETS
+    for bucket, count in zip(*(c.to_pylist() for c in counts.columns), strict=True):
+        table[bucket] = count.bit_length()
+    return table
 
 
-def _ranked(words: Column, table: bytes) -> Column:
+def _ranked(words: Column, table: list[int]) -> Column:
     """The words as sorted numbers: frequency first, then 56 bits of the hash."""
+    counts = _literal(table, "tinyint")
     return F.sort_array(F.transform(words, lambda word: F.shiftleft(
-        _byte(table, F.pmod(word, F.lit(BUCKETS))).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(word, 8))))
+        F.get(counts, F.pmod(word, F.lit(BUCKETS)).cast("int")).cast("bigint"), 56).bitwiseOR(F.shiftrightunsigned(word, 8))))
 
 
 def _shared(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
-def _parity(sig: Column, shift: int) -> Column:
-    return F.aggregate(sig, F.lit(0).cast("bigint"), lambda bits, word: bits.bitwiseXOR(
+def _parity(words: str, shift: int) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, word: bits.bitwiseXOR(
         F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(word, shift).bitwiseAND(63).cast("int"))))
 
 
-def _sets(docs: DataFrame, table: bytes, percent: int) -> DataFrame:
-    """One row per distinct set: its first line, size, prefix, parity bits, and a number that follows the order of lines."""
-    rows = _named(_lines(docs))
+def _measured(docs: DataFrame, table: list[int], percent: int) -> DataFrame:
+    """One row per line with a word: two hashes that name its set, size, prefix, parity bits, and keys for leaders."""
+    rows = _lines(docs).select(*ORDER, _words("t").alias("words")).select(*ORDER, F.sort_array("words").alias("words"))
     n = F.size("words")
-    rows = rows.select(
-        *ORDER, "s1", "s2", n.alias("n"),
+    return rows.where(n > 0).select(
+        *ORDER, F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(1), F.col("words")).alias("s2"), n.alias("n"),
         F.slice(_ranked(F.col("words"), table), 1, n - _shared(n, percent) + 1).alias("prefix"),
-        _parity(F.col("words"), 0).alias("b1"), _parity(F.col("words"), 6).alias("b2"))
-    sets = rows.groupBy("s1", "s2").agg(
-        F.min(F.struct(*ORDER)).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", "b1", "b2")))
-    # lines without a word match nothing
-    sets = sets.where("n > 0").select("first.*", "s1", "s2", "n", "prefix", "b1", "b2")
-    return staged(sets.orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id()), "line-sets")
+        _parity("words", 0).alias("b1"), _parity("words", 6).alias("b2"),
+        F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("least"),
+        F.xxhash64(F.get("words", n - 1), F.get("words", n - 2)).alias("largest"))
+
+
+def _sets(lines: DataFrame) -> DataFrame:
+    """One row per distinct set with its first line and a number that follows the order of lines."""
+    sets = lines.groupBy("s1", "s2").agg(
+        F.min(F.struct(*ORDER)).alias("first"), *(F.first(c).alias(c) for c in ("n", "prefix", "b1", "b2", "least", "largest")))
+    sets = sets.select("first.*", "s1", "s2", "n", "prefix", "b1", "b2", "least", "largest")
+    return sets.orderBy(*ORDER).withColumn("id", F.monotonically_increasing_id())
 
 
 def _possible(x: str, y: str, percent: int) -> Column:
@@ -101,64 +106,97 @@ def _apart(n: Column, m: Column, percent: int) -> Column:
     return n + m - 2 * F.ceil((n + m) * percent / (100 + percent))
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, percent: int) -> Step:
     """The numbers ``x`` of sets that match their partner ``y``, compared word by word.
 
-    The words are taken from the texts again. A bit table of fixed size leaves out most documents that have no
-    candidate; the join decides.
+    The lines are taken from the texts again. A bit table of fixed size leaves out most lines that have no
+    candidate before they are shuffled; the join decides. Only lines with candidates are split into words.
     """
-    pairs = staged(pairs, "line-pairs")
-    numbers = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
-    places = staged(sets.join(numbers, "id").select(*ORDER, "id"), "line-places")
-    bit = F.pmod(F.xxhash64("d"), F.lit(BITS))
-    found = places.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 4).alias("at")).agg(
-        F.bit_or(F.expr("shiftleft(1, cast(bit % 4 as int))")).alias("bits")).toArrow()
-    held = bytearray(BITS // 4)
+    pairs = Step(pairs, "line-pairs")
+    numbers = pairs.df.select(F.col("x").alias("id")).union(pairs.df.select("y")).distinct()
+    places = Step(sets.select(*ORDER, "id").join(numbers, "id"), "line-places")
+    bit = F.pmod(F.xxhash64(*ORDER), F.lit(BITS))
+    found = places.df.select(bit.alias("bit")).groupBy(F.floor(F.col("bit") / 64).alias("at")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(bit % 64 as int))")).alias("bits")).toArrow()
+    held = [0] * (BITS // 64)
     for at, bits in zip(*(c.to_pylist() for c in found.columns), strict=True):
         held[at] = bits
-    d = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))), F.lit(BITS))
-    may = F.call_function("shiftright", _byte(bytes(held), F.floor(d / 4)), (d % 4).cast("int")).bitwiseAND(1) == 1
-    words = _lines(docs.where(may)).join(places, ORDER).dropDuplicates(["id"]).select("id", "words")
-    words = staged(words, "line-words")
-    both = pairs.join(words.select(F.col("id").alias("x"), F.col("words").alias("sx")), "x").join(
-        words.select(F.col("id").alias("y"), F.col("words").alias("sy")), "y")
+    may = F.getbit(F.get(_literal(held, "bigint"), F.floor(bit / 64).cast("int")), (bit % 64).cast("int")) == 1
+    lines = _lines(docs).where(may).join(places.df, ORDER).dropDuplicates(ORDER)
+    words = Step(lines.select("id", _words("t").alias("words")), "line-words")
+    both = pairs.df.join(words.df.select(F.col("id").alias("x"), F.col("words").alias("sx")), "x").join(
+        words.df.select(F.col("id").alias("y"), F.col("words").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
-    return both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent).select("x").distinct()
+    both = both.where(common * 100 >= (F.size("sx") + F.size("sy") - common) * percent)
+    matched = Step(both.select("x").distinct(), "line-matched")
+    for step in (pairs, places, words):
+        step.release()
+    return matched
+
+
+def _leaders(sets: DataFrame, percent: int) -> DataFrame:
+    """Each set ``x`` with the earliest set ``y`` of the same key."""
+    keys = sets.select("id", "n", "b1", "b2", F.explode(F.array("least", "largest")).alias("key"))
+    leads = keys.groupBy("key").agg(F.min(F.struct("id", "n", "b1", "b2")).alias("y"), F.max("id").alias("last"))
+    leads = leads.where("y.id != last").drop("last")
+    pairs = keys.alias("x").join(leads, "key").where((F.col("x.id") != F.col("y.id")) & _possible("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
 
 
-def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """All sets, and the numbers ``x`` of those that match an earlier one."""
+def _candidates(posted: DataFrame, percent: int) -> DataFrame:
+    """Unmatched sets ``x`` and earlier sets ``y`` with a word of their prefixes in common.
+
+    A list longer than ``BLOCK`` is dealt out: each of its sets to one task, each unmatched one to all of them. Words
+    that the sketch shows to be rare cannot have such a list.
+    """
+    rare = F.shiftright("word", 56) <= BLOCK.bit_length() - 1
+    often = posted.where(~rare)
+    lists = often.groupBy("word").count().where(F.col("count") > BLOCK)
+    often = often.join(lists.select("word", F.ceil(F.col("count") / BLOCK).cast("int").alias("deals")), "word", "left")
+    deals = F.coalesce("deals", F.lit(1))
+    one = F.lit(0)
+    y = often.withColumn("deal", F.pmod(F.xxhash64("id"), deals).cast("int")).drop("deals", "matched").unionByName(
+        posted.where(rare).withColumn("deal", one).drop("matched"))
+    x = often.where("not matched").withColumn("deal", F.explode(F.sequence(one, deals - 1))).drop("deals", "matched").unionByName(
+        posted.where(rare & ~F.col("matched")).withColumn("deal", one).drop("matched"))
+    x, y = x.alias("x"), y.alias("y")
+    n, m = F.col("x.n"), F.col("y.n")
+    common = (n + m - _apart(n, m, percent)) / 2
+    place = (n - F.col("x.place") >= common) & (m - F.col("y.place") >= common)
+    same = (F.col("x.word") == F.col("y.word")) & (F.col("x.deal") == F.col("y.deal"))
+    pairs = x.join(y, same & (F.col("x.id") > F.col("y.id")) & place & _possible("x", "y", percent))
+    return pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
+
+
+def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All lines with a word, all sets, and the numbers ``x`` of sets that match an earlier one."""
     docs = docs.select("doc_id", "text")
-    sets = _sets(docs, _frequency_table(docs), percent)
-    slim = sets.select("id", "n", "b1", "b2")
-    posted = sets.select("id", F.posexplode("prefix").alias("place", "word"))
-    several = posted.groupBy("word").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead != last")
-    lists = Staged(posted.join(several.select("word", "lead"), "word"), "line-lists")
-
-    votes = lists.df.where("id != lead").groupBy("id", "lead").count()
-    leaders = votes.groupBy("id").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    near = leaders.join(slim.alias("x"), "id").join(slim.withColumnRenamed("id", "lead").alias("y"), "lead")
-    near = near.where(_possible("x", "y", percent)).select(F.col("id").alias("x"), F.col("lead").alias("y"))
-    first = staged(_verified(near, docs, sets, percent), "line-matched")
-
-    known = slim.join(first.select(F.col("x").alias("id"), F.lit(True).alias("known")), "id", "left")
-    marked = staged(lists.df.select("word", "place", "id").join(known, "id"), "line-marked")
-    lists.release()
-    x, y = marked.where("known is null").drop("known").alias("x"), marked.drop("known").alias("y")
-    later = F.col("x.id") > F.col("y.id")
-    place = F.abs(F.col("x.place") - F.col("y.place")) <= _apart(F.col("x.n"), F.col("y.n"), percent)
-    pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & later & place & _possible("x", "y", percent))
-    pairs = pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
-    return sets, first.union(staged(_verified(pairs, docs, sets, percent), "line-matched"))
+    lines = Step(_measured(docs, _frequency_table(docs), percent), "lines").df
+    sets = Step(_sets(lines), "line-sets").df
+    first = _verified(_leaders(sets, percent), docs, sets, percent).df
+
+    known = first.select(F.col("x").alias("id"), F.lit(True).alias("matched"))
+    marked = Step(sets.select("id", "n", "b1", "b2", "prefix").join(known, "id", "left").withColumn(
+        "matched", F.coalesce("matched", F.lit(False))), "line-marked")
+    posted = marked.df.select("id", "n", "b1", "b2", "matched", F.posexplode("prefix").alias("place", "word"))
+    parts = [Step(_candidates(posted.where(F.pmod("word", F.lit(PORTIONS)) == part), percent), "line-candidates")
+             for part in range(PORTIONS)]
+    marked.release()
+    pairs = parts[0].df
+    for part in parts[1:]:
+        pairs = pairs.union(part.df)
+    second = _verified(pairs.distinct(), docs, sets, percent).df
+    for part in parts:
+        part.release()
+    return lines, sets, first.union(second)
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``d``, ``h`` (a document) and ``removed``, the sorted places of its lines that go; documents that lose none have no row."""
-    sets, matched = matched_sets(docs, percent)
+    lines, sets, matched = matched_sets(docs, percent)
     fate = matched.select(F.col("x").alias("id"), F.lit(True).alias("gone"))
     firsts = sets.select("id", "s1", "s2", F.struct(*ORDER).alias("first")).join(fate, "id", "left").drop("id")
-    lines = _named(_lines(docs)).select(*ORDER, "s1", "s2").distinct()
-    gone = lines.join(firsts, ["s1", "s2"]).where((F.struct(*ORDER) != F.col("first")) | F.col("gone"))
+    gone = lines.select(*ORDER, "s1", "s2").join(firsts, ["s1", "s2"]).where((F.struct(*ORDER) != F.col("first")) | F.col("gone"))
     return gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
 
 

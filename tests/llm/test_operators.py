@@ -161,7 +161,9 @@ def plain_lines(pairs, percent=80):
     return gone
 
 
-def test_lines_like_earlier_ones(spark):
+@pytest.mark.parametrize("block", [1 << 12, 2])
+def test_lines_like_earlier_ones(spark, monkeypatch, block):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     pick = random.Random(5)
     pairs = []
     for i in range(60):
