@@ -76,9 +76,11 @@ def _parity(words: str, shift: int) -> Column:
 
 def _measured(docs: DataFrame, table: list[int], percent: int) -> DataFrame:
     """One row per line with a word: two hashes that name its set, size, prefix, parity bits, and keys for leaders."""
-    rows = _lines(docs).select(*ORDER, _words("t").alias("words")).select(*ORDER, F.sort_array("words").alias("words"))
+    # tested on the text, since a test of the words would be pushed down and split every line twice
+    rows = _lines(docs).where(F.col("t").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.select(*ORDER, _words("t").alias("words")).select(*ORDER, F.sort_array("words").alias("words"))
     n = F.size("words")
-    return rows.where(n > 0).select(
+    return rows.select(
         *ORDER, F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(1), F.col("words")).alias("s2"), n.alias("n"),
         F.slice(_ranked(F.col("words"), table), 1, n - _shared(n, percent) + 1).alias("prefix"),
         _parity("words", 0).alias("b1"), _parity("words", 6).alias("b2"),
