@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import combinations
+from math import prod
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -269,16 +270,23 @@ def watermark_candidates(df: DataFrame, top: int = 5) -> DataFrame:
 
 
 #: One value in so many, chosen by its hash, is looked at before the full test: a repeat there already refutes a key.
-PROBED = 16
+PROBED = 64
+#: Where such a share is still large, one in so many is looked at before.
+PROBED_FIRST, LARGE_SHARE = 4096, 1 << 13
+#: Columns of at most about so many values are counted first; their groups merge before the shuffle.
+FEW = 1 << 16
+#: Tuples of a partition in the full test, and the share of all rows from which on one value counts as heavy.
+TESTED_TUPLES, HEAVY_SHARE = 1_000_000, 1 / 128
 Candidate = tuple[str, ...]
+Found = dict[Candidate, tuple[int, bool]]
 
 
-def _repeats(df: DataFrame, candidates: list[Candidate], probed_by: dict[Candidate, str] | None = None) -> dict[Candidate, tuple[int, bool]]:
+def _repeats(df: DataFrame, candidates: list[Candidate], one_in: int = 1, many: dict[str, int] | None = None) -> Found:
     """Of each candidate the number of different tuples, and whether none repeats; one scan and one shuffle for all.
 
     Every column is hashed once with each of two seeds, a tuple by the hashes of its columns; equal tuples
-    meet in a group of 128 bits, most of them before the shuffle. With ``probed_by`` a candidate sees only
-    some values of that column of its own. All copies of a tuple are then there or none, so a repeat is certain.
+    meet in a group of 128 bits, most of them before the shuffle. With ``one_in`` a candidate sees only a share of
+    the values of its column that has the most. All copies of a tuple are then there or none, so a repeat is certain.
     """
     if not candidates:
         return {}
@@ -288,15 +296,54 @@ def _repeats(df: DataFrame, candidates: list[Candidate], probed_by: dict[Candida
     sets: dict[str, list[str]] = {}
     for k, chosen in enumerate(candidates):
         x, y = (", ".join(f"{kind}{number[c]}" for c in chosen) for kind in "xy")
-        test = f"pmod(x{number[probed_by[chosen]]}, {PROBED}) = 0" if probed_by else "true"
+        test = "true" if one_in == 1 else f"pmod(x{number[max(chosen, key=lambda c: many[c])]}, {one_in}) = 0"
         sets.setdefault(test, []).append(f"named_struct('candidate', {k}, 'h1', xxhash64({x}), 'h2', xxhash64({y}))")
     nothing = "cast(array() as array<struct<candidate: int, h1: bigint, h2: bigint>>)"
     tuples = ", ".join(f"if({test}, array({', '.join(each)}), {nothing})" for test, each in sets.items())
-    groups = df.selectExpr(*hashes).selectExpr(f"inline(concat({tuples}))").groupBy("candidate", "h1", "h2").agg(F.expr("count(1) as n"))
+    hashed = df.selectExpr(*hashes).where(" or ".join(sets))
+    groups = hashed.selectExpr(f"inline(concat({tuples}))").groupBy("candidate", "h1", "h2").agg(F.expr("count(1) as n"))
     found = groups.groupBy("candidate").agg(F.expr("count(1) as tuples"), F.expr("max(n) = 1 as is_key")).collect()
     return {candidates[r["candidate"]]: (r["tuples"], r["is_key"]) for r in found}
 
 
+def _tested(df: DataFrame, candidates: list[Candidate], total: int, many: dict[str, int], one_in: int = 1) -> Found:
+    """As ``_repeats``, of a large table and without a shuffle of the tuples of each candidate.
+
+    Candidates share the column with the most values. The rows are dealt out by it once, with the columns
+    that those candidates have, and their tuples are grouped where the rows lie. Rows of a value that is so
+    frequent that it would burden one task go by their tuples instead.
+    """
+    if not candidates:
+        return {}
+    if total <= TESTED_TUPLES:
+        return _repeats(df, candidates, one_in, many)
+    shared: dict[str, list[Candidate]] = {}
+    for chosen in candidates:
+        shared.setdefault(max(chosen, key=lambda c: many[c]), []).append(chosen)
+    hashes = [F.xxhash64(column(w)) for w in shared]
+    row = df.agg(*[F.expr(f"approx_top_k(xxhash64({quoted(w)}), 128, 4096) as t{i}") for i, w in enumerate(shared)]).first()
+    found: Found = {}
+    for i, ((w, group), x) in enumerate(zip(shared.items(), hashes, strict=True)):
+        names = sorted({c for chosen in group for c in chosen})
+        rows = df.where(F.pmod(x, F.lit(one_in)) == 0).select(*[column(c) for c in names])
+        heavy = [t["item"] for t in row[f"t{i}"] if t["count"] > total * HEAVY_SHARE]
+        dealt = (rows.where(~x.isin(heavy)) if heavy else rows).repartition(
+            -(-total * len(group) // (one_in * TESTED_TUPLES)), column(w))
+        tuples = [F.struct(F.lit(k).alias("candidate"), F.xxhash64(*map(column, chosen)).alias("h1"),
+                           F.xxhash64(F.lit(1), *map(column, chosen)).alias("h2")) for k, chosen in enumerate(group)]
+        # grouped by the shared column too, so that nothing is dealt out again
+        groups = dealt.select(column(w).alias("shared"), F.inline(F.array(*tuples))).groupBy("shared", "candidate", "h1", "h2")
+        counts = groups.agg(F.expr("count(1) as n")).groupBy("candidate").agg(F.expr("count(1) as tuples"), F.expr("max(n) = 1 as is_key"))
+        there = {group[r["candidate"]]: (r["tuples"], r["is_key"]) for r in counts.collect()}
+        others = _repeats(rows.where(x.isin(heavy)), group) if heavy else {}
+        for chosen in there.keys() | others.keys():
+            (n, unique), (m, also) = there.get(chosen, (0, True)), others.get(chosen, (0, True))
+            found[chosen] = (n + m, unique and also)
+        del rows, dealt, groups, counts
+        df.sparkSession.sparkContext._jvm.System.gc()  # the rows that were dealt out may go
+    return found
+
+
 def _screened(df: DataFrame, candidates: list[Candidate]) -> tuple[int, list[int], dict[str, int]]:
     """Rows, the nulls of each candidate, and an estimate of each column's values, which decides cost only."""
     names = sorted({c for chosen in candidates for c in chosen})
@@ -308,10 +355,21 @@ def _screened(df: DataFrame, candidates: list[Candidate]) -> tuple[int, list[int
     return row["rows"], [row[f"n{i}"] for i in range(len(candidates))], many
 
 
-def _refuted(df: DataFrame, candidates: list[Candidate], many: dict[str, int]) -> set[Candidate]:
-    """Candidates for which two rows agree."""
-    widest = {chosen: max(chosen, key=lambda c: many[c]) for chosen in candidates}
-    return {c for c, (_, unique) in _repeats(df, candidates, widest).items() if not unique}
+def _refuted(df: DataFrame, candidates: list[Candidate], total: int, many: dict[str, int]) -> set[Candidate]:
+    """Candidates for which two rows agree, as far as a share of the rows shows it."""
+    first = PROBED_FIRST if total // PROBED > LARGE_SHARE else PROBED
+    refuted = {c for c, (_, unique) in _repeats(df, candidates, first, many).items() if not unique} if candidates else set()
+    left = [c for c in candidates if c not in refuted]
+    if left and first > PROBED:
+        refuted |= {c for c, (_, unique) in _tested(df, left, total, many, PROBED).items() if not unique}
+    return refuted
+
+
+def _too_few(df: DataFrame, names: list[str], total: int, many: dict[str, int]) -> tuple[Found, dict[str, int]]:
+    """The test of the columns with few values, and the most values that each column can have."""
+    few = [(c,) for c in names if many[c] <= FEW]
+    found = _repeats(df, few) if few else {}
+    return found, {c: found[(c,)][0] if (c,) in found else total for c in names}
 
 
 def key_candidates(df: DataFrame, given: list[list[str]] = ()) -> DataFrame:
@@ -323,8 +381,10 @@ def key_candidates(df: DataFrame, given: list[list[str]] = ()) -> DataFrame:
     candidates = [(f.name,) for f in df.schema if _orderable(f.dataType)] + [tuple(c) for c in given]
     total, nulls, many = _screened(df, candidates)
     filled = [c for c, n in zip(candidates, nulls, strict=True) if total and not n]
-    refuted = _refuted(df, filled, many)
-    tested = _repeats(df, [c for c in filled if c not in refuted])
+    tested, most = _too_few(df, sorted({c for chosen in filled for c in chosen}), total, many)
+    open_ = [c for c in filled if c not in tested and prod(most[n] for n in c) >= total]
+    refuted = _refuted(df, open_, total, many)
+    tested |= _tested(df, [c for c in open_ if c not in refuted], total, many)
     rows = [(", ".join(c), total, n, c in tested and tested[c][1]) for c, n in zip(candidates, nulls, strict=True)]
     return df.sparkSession.createDataFrame(rows, "key_columns string, total_rows bigint, null_rows bigint, is_key boolean")
 
@@ -332,27 +392,36 @@ def key_candidates(df: DataFrame, given: list[list[str]] = ()) -> DataFrame:
 def key_lattice(df: DataFrame, up_to: int = 3) -> DataFrame:
     """The smallest sets of up to so many columns that are unique and free of nulls.
 
-    The largest sets are probed first: what repeats there repeats in all subsets too, so most of the
-    lattice needs no test. Then each level is tested in one pass, without supersets of a key, which need
-    none, and without sets whose columns have too few values between them to tell all rows apart. At most
-    ``up_to`` + 2 scans serve all candidates; their number grows with the columns, not with the rows.
+    Columns of few values are counted first; sets whose columns have too few values between them to tell all
+    rows apart need no test. Of the others the largest are probed: what repeats there repeats in all subsets
+    too, so most of the lattice needs no test. Then each level is tested, without supersets of a key, which
+    need none. The number of scans grows with the columns, not with the rows.
     """
     names = [f.name for f in df.schema if _orderable(f.dataType)]
     total, nulls, many = _screened(df, [(c,) for c in names])
     filled = [c for c, n in zip(names, nulls, strict=True) if total and not n]
     up_to = min(up_to, len(filled))
-    refuted = [set(c) for c in _refuted(df, list(combinations(filled, up_to)), many)] if up_to else []
-    keys: list[set[str]] = []
-    values: dict[frozenset, int] = {}
+    known, most_of = _too_few(df, filled, total, many)
+    values = {frozenset(c): n for c, (n, _) in known.items()}
+    keys: list[set[str]] = [set(c) for c, (_, unique) in known.items() if unique and up_to]
+
+    def enough(c: Candidate) -> bool:
+        return prod(most_of[n] for n in c) >= total
+
+    def passed(c: Candidate) -> bool:
+        return any(key <= set(c) for key in keys)
+
+    wide = [c for c in combinations(filled, up_to) if enough(c) and not passed(c)] if up_to else []
+    refuted = [set(c) for c in _refuted(df, wide, total, many)]
     for size in range(1, up_to + 1):
         open_ = []
         for c in combinations(filled, size):
-            if not any(key < set(c) for key in keys) and not any(set(c) <= wide for wide in refuted):
+            if enough(c) and c not in known and not passed(c) and not any(set(c) <= wide for wide in refuted):
                 most = min((values[frozenset(c[:i])] * values[frozenset(c[i:])] for i in range(1, size)
                             if frozenset(c[:i]) in values and frozenset(c[i:]) in values), default=total)
                 if most >= total:
                     open_.append(c)
-        for c, (n, unique) in _repeats(df, open_).items():
+        for c, (n, unique) in _tested(df, open_, total, many).items():
             values[frozenset(c)] = n
             if unique:
                 keys.append(set(c))

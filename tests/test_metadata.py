@@ -182,6 +182,30 @@ def test_one_scan_serves_all_candidates(spark, monkeypatch):
     assert profile.key_lattice(df.limit(0)).isEmpty()
 
 
+def test_large_key_search_deals_rows_out_once(spark, monkeypatch):
+    """All rows go by a shared column, those of a frequent value by their tuples; few tuples are probed before."""
+    full = []
+    real = profile._repeats
+    monkeypatch.setattr(profile, "_repeats", lambda df, c, *rest: full.append((df.count(), len(c), *rest[:1])) or real(df, c, *rest))
+    for name, value in {"TESTED_TUPLES": 500, "FEW": 40, "LARGE_SHARE": 10, "PROBED_FIRST": 16, "PROBED": 4}.items():
+        monkeypatch.setattr(profile, name, value)
+    # half of the rows share a value of a, the column with the most values
+    df = spark.range(4000).selectExpr(
+        "if(id < 2000, -1, id) as a", "id % 2000 as b", "id % 1999 as c", "id % 30 as d", "if(id = 3, 5, id % 50) as e")
+    data = [tuple(r) for r in df.collect()]
+    keys = []
+    for size in (1, 2, 3):
+        for chosen in itertools.combinations(range(5), size):
+            if len({tuple(r[i] for i in chosen) for r in data}) == len(data) and not any(set(k) < set(chosen) for k in keys):
+                keys.append(chosen)
+    found = profile.key_lattice(df).collect()
+    assert sorted(r.key_columns for r in found) == sorted(", ".join("abcde"[i] for i in k) for k in keys) and keys
+    # with all rows only the columns of few values and a probe, the frequent value's rows apart
+    assert all(n < 4000 or rest == (16,) or tested <= 2 for n, tested, *rest in full) and any(n == 2000 for n, *_ in full)
+    assert {r.key_columns: r.is_key for r in profile.key_candidates(df, [["a", "b"], ["b", "c"], ["a", "c"]]).collect()} == {
+        **dict.fromkeys("abcde", False), "a, b": True, "b, c": True, "a, c": len({(r[0], r[2]) for r in data}) == 4000}
+
+
 def test_contract_ledger(spark):
     """Masks give the counts of the separate checks; rows are kept or set aside, never both; more rules than one word holds."""
     df = spark.createDataFrame(
