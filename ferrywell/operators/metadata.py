@@ -65,27 +65,71 @@ def schema_drift(old: DataFrame, new: DataFrame) -> DataFrame:
     return columns.unionByName(rows)
 
 
+#: Pairs that one task of the closure has, and pairs through one table from which on they are split over tasks.
+TASK_PAIRS, HUB_PAIRS = 200_000, 50_000
+
+
+def _through(pairs: DataFrame, further: DataFrame, n: int) -> DataFrame:
+    """(target, upstream) by way of each pair's upstream; tasks have a bounded number of the ``n`` pairs, whatever a table feeds.
+
+    What is upstream of a hub is repeated for each share of the hub's pairs.
+    """
+    hubs = pairs.groupBy("upstream").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HUB_PAIRS).select(
+        "upstream", F.ceil(F.col("n") / HUB_PAIRS).cast("int").alias("shares"))
+    hubs = F.broadcast(Staged(hubs, "hubs").df)
+    shares = F.coalesce("shares", F.lit(1))
+    left = pairs.join(hubs, "upstream", "left").select("upstream", "target", F.pmod(F.xxhash64("target"), shares).cast("int").alias("share"))
+    right = further.select(F.col("target").alias("upstream"), F.col("upstream").alias("further")).join(hubs, "upstream", "left").select(
+        "upstream", "further", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    parts = -(-n // TASK_PAIRS) or 1
+    met = left.repartition(parts, "upstream", "share").join(right.repartition(parts, "upstream", "share"), ["upstream", "share"])
+    return met.select("target", F.col("further").alias("upstream"))
+
+
 def lineage_closure(edges: DataFrame) -> DataFrame:
     """(target, upstream): every table that feeds a table, directly or through others.
 
-    Each round joins only the pairs that the last one found with all that are known. The shortest path
-    of a new pair begins with one of those, so the longest known path doubles with each round, and
+    Tables that feed nothing lie on no path between others. While they have most edges they are set aside,
+    and at the end they get what is upstream of their sources, in one join each time.
+
+    Among the others each round joins only the pairs that the last one found with all that are known. The
+    shortest path of a new pair begins with one of those, so the longest known path doubles with each round, and
     cycles end the search like anything else: they bring no new pair. What a round finds is written to
     the shared folder once and never again, so a lost executor repeats one round at most.
     """
-    def found(pairs: DataFrame) -> DataFrame:
-        return Staged(pairs, "lineage").df
-
-    newest = found(edges.select("target", F.col("source").alias("upstream")).distinct())
-    known = [newest]
-    while True:
+    def found(pairs: DataFrame, n: int) -> DataFrame:
+        return Staged(pairs.repartition(-(-n // TASK_PAIRS) or 1, "target", "upstream").distinct(), "lineage").df
+
+    newest = found(edges.select("target", F.col("source").alias("upstream")), edges.count())
+    n, leaves = newest.count(), []
+    while n:
+        feeding = newest.select(F.col("upstream").alias("target")).distinct()
+        inner = Staged(newest.join(feeding, "target", "left_semi"), "lineage").df
+        left = inner.count()
+        if left * 2 > n:
+            break
+        leaves.append((newest.join(feeding, "target", "left_anti"), n - left))
+        newest, n = inner, left
+    known, counts = [newest], [n]
+    while n:
         pairs = reduce(DataFrame.unionByName, known)
-        further = pairs.select(F.col("target").alias("upstream"), F.col("upstream").alias("further"))
-        longer = newest.join(further, "upstream").select("target", F.col("further").alias("upstream")).distinct()
-        newest = found(longer.join(pairs, ["target", "upstream"], "left_anti"))
-        if newest.isEmpty():
-            return pairs
+        all_known = sum(counts)
+        longer = Staged(_through(newest, pairs, all_known), "lineage").df
+        size = longer.count()
+        parts = -(-(size + all_known) // TASK_PAIRS) or 1
+        fresh = longer.repartition(parts, "target", "upstream").distinct()
+        newest = Staged(fresh.join(pairs.repartition(parts, "target", "upstream"), ["target", "upstream"], "left_anti"), "lineage").df
+        n = newest.count()
         known.append(newest)
+        counts.append(n)
+    pairs, total = reduce(DataFrame.unionByName, known), sum(counts)
+    for leaf, size in reversed(leaves):
+        leaf = Staged(leaf, "leaves").df
+        longer = Staged(_through(leaf, pairs, size + total), "lineage").df
+        size += longer.count()
+        layer = found(leaf.unionByName(longer), size)
+        pairs, total = pairs.unionByName(layer), total + size
+    return pairs
 
 
 def run_summary(runs: DataFrame) -> DataFrame:

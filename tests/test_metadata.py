@@ -275,6 +275,33 @@ def test_lineage_of_chain_diamond_and_cycle(spark):
     assert found == sorted([(t, s) for s, t in reach], key=repr)
 
 
+def test_lineage_through_hubs_and_layers(spark, monkeypatch):
+    """A hub's pairs are split over tasks; layers of tables that feed nothing come back with all that is upstream."""
+    for name, value in {"TASK_PAIRS": 100, "HUB_PAIRS": 20}.items():
+        monkeypatch.setattr(metadata, name, value)
+    edges = [("r", "hub"), ("hub", "v"), ("v", "hub"), ("w", "w")] + [("hub", f"c{i}") for i in range(90)]
+    edges += [(f"c{i % 90}", f"o{i}") for i in range(400)] + [("r", "o1"), ("o1", "z"), ("c3", "o3")]
+    up = {}
+    for s, t in edges:
+        up.setdefault(t, set()).add(s)
+
+    def reach(t):
+        seen, todo = set(), list(up[t])
+        while todo:
+            s = todo.pop()
+            if s not in seen:
+                seen.add(s)
+                todo += up.get(s, ())
+        return seen
+
+    df = spark.createDataFrame(edges, "source string, target string")
+    assert rows(metadata.lineage_closure(df)) == sorted([(t, s) for t in up for s in reach(t)], key=repr)
+    star = df.where("source = 'hub'").selectExpr("target", "source as upstream")
+    met = metadata._through(star, df.selectExpr("target", "source as upstream"), 500)
+    assert max(r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()) < 2 * 91
+    assert met.count() == 2 * 91 and metadata.lineage_closure(df.limit(0)).isEmpty()
+
+
 def test_run_summary_and_short_runs(spark):
     df = spark.sql(
         """select 1 as pipeline_id, 1 as run_id, timestamp_ntz '2024-01-01' as started_at, 'success' as status, 50L as rows_loaded, 0L as elapsed_seconds
