@@ -9,7 +9,7 @@ from ferrywell.operators import cdc, cells
 from ferrywell.plans.inputs import table
 from ferrywell.plans.registry import SHARED, query
 from ferrywell.session import new_folder
-from ferrywell.sinks.tables import export
+from ferrywell.sinks.tables import export, export_xml
 from ferrywell.sinks.versioned import VersionedTable
 from ferrywell.sources import files
 from ferrywell.streaming.streams import cdc_log_stream, cdc_stream, incremental_stream
@@ -76,7 +76,7 @@ def scan_parquet(spark, sf):
 def scan_xml(spark, sf):
     customers = table(spark, sf, "customer")
     path = new_folder(spark, "xml")
-    customers.write.option("rowTag", "row").option("rootTag", "rows").xml(path)
+    export_xml(customers, path, "row", "rows")
     return files.read_xml(spark, path, "row", customers.schema)
 
 

@@ -13,6 +13,15 @@ from ferrywell.operators.cleaning import COPIES, column
 from ferrywell.session import Staged
 from ferrywell.sinks.versioned import State, VersionedTable
 
+#: An XML file is read by one task, so it gets at most so many rows.
+XML_ROWS = 100_000
+
+
+def export_xml(df: DataFrame, path: str, row_tag: str, root_tag: str) -> None:
+    """Write each row as an element, in as many files as tasks need to share the reading."""
+    df.write.option("rowTag", row_tag).option("rootTag", root_tag).option("maxRecordsPerFile", XML_ROWS).xml(path)
+
+
 def export(df: DataFrame, path: str, fmt: str) -> None:
     """Write a result as csv with header, json (one record per line, nulls kept) or parquet.
 

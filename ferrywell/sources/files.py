@@ -192,7 +192,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_xml(spark: SparkSession, path: str, row_tag: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """Each element named ``row_tag`` is a row."""
+    """Each element named ``row_tag`` is a row. A file is read by one task; ``export_xml`` writes files of a bounded size."""
     reader = spark.read.option("rowTag", row_tag)
     return (reader.schema(schema) if schema is not None else reader).xml(path)
 

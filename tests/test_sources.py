@@ -5,6 +5,7 @@ import pytest
 
 from ferrywell.functions import text
 from ferrywell.session import new_folder
+from ferrywell.sinks import tables
 from ferrywell.sinks.tables import export, write_quarantine
 from ferrywell.sources import files, jdbc
 
@@ -85,6 +86,15 @@ def test_xml_rows(spark, tmp_path):
     assert rows(files.read_xml(spark, path, "row")) == [(1, "a"), (2, None)]
 
 
+def test_xml_of_one_task_is_read_by_several(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tables, "XML_ROWS", 100)
+    df = spark.range(950).selectExpr("id", "concat('<', id, '> & ') as t").coalesce(1)
+    tables.export_xml(df, str(tmp_path / "x"), "row", "rows")
+    read = files.read_xml(spark, str(tmp_path / "x"), "row", df.schema)
+    assert read.groupBy("_metadata.file_path").count().where("count <= 100").count() == 10
+    assert rows(read.select("id")) == rows(df.select("id"))
+
+
 def test_listing_reads_no_content(spark, tmp_path):
     (tmp_path / "deep").mkdir()
     write(tmp_path, "a.bin", "12345")
