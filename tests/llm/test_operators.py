@@ -292,6 +292,41 @@ def test_repeats_are_exact(spark, block):
     assert Counter(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == plain_repeats(pairs)
 
 
+def test_contexts_of_a_common_line_are_left_out_before_their_strings_are_dealt(spark):
+    """Nearly all contexts of a very frequent key share just the line that holds it."""
+    line, passage = prose(22, 30), prose(23, 150)
+    texts = [prose(200 + i, 90) + line + prose(300 + i, 90) for i in range(40)]
+    texts += [prose(400 + i, 90) + line + passage + prose(500 + i, 90) for i in range(2)]
+    rows = []
+    for text in texts:
+        raw = text.encode()
+        found = suffix_dedup.anchors(np.frombuffer(raw, np.uint8))
+        for key, context, pos, before, after in zip(found.key, found.context, found.pos, found.before, found.after, strict=True):
+            rows.append((int(key), int(context), int(before), bytearray(raw[pos - before:pos + after])))
+    hot = spark.createDataFrame(rows, suffix_dedup.CONTEXT).repartition(3)
+    left = {r.context for r in suffix_dedup._groups(hot).collect()}
+    assert 1 <= len(left) < len(rows) / 5
+    assert {r.context for r in suffix_dedup._dealt(hot).collect()} <= left
+
+
+def test_contexts_with_all_strings_of_a_group_in_common_are_compared_once(spark):
+    """Sixty texts hold one passage: few groups of its contexts are left to compare string by string."""
+    passage = prose(24, 120)
+    rows, texts = [], [prose(600 + i, 60) + passage + prose(700 + i, 60) for i in range(60)]
+    for text in texts:
+        raw = text.encode()
+        found = suffix_dedup.anchors(np.frombuffer(raw, np.uint8))
+        for key, context, pos, before, after in zip(found.key, found.context, found.pos, found.before, found.after, strict=True):
+            rows.append((int(key), int(context), int(before), bytearray(raw[pos - before:pos + after])))
+    hot = spark.createDataFrame(rows, suffix_dedup.CONTEXT).repartition(3)
+    groups = suffix_dedup._groups(hot).collect()
+    assert len(groups) >= 60 and sum(r.least <= r.most for r in groups) >= 60
+    assert sum(r.groups.bit_count() for r in groups) < 3 * len(groups)
+    found = suffix_dedup.measured(frame(spark, list(enumerate(texts))), suffix_dedup.Setting(block=1))
+    assert Counter(map(tuple, found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == plain_repeats(
+        list(enumerate(texts)))
+
+
 def test_long_texts_are_indexed_in_stretches(spark, monkeypatch):
     raw = np.frombuffer(prose(8, 9000).encode(), np.uint8)
     whole = suffix_dedup.anchors(raw)
