@@ -1,6 +1,6 @@
 """Token ids of a byte-level BPE vocabulary file, fast enough for whole corpora.
 
-Texts are cut where white space begins, which no token crosses; the few hundred thousand pieces
+For counting, texts are cut where white space begins, which no token crosses; the few hundred thousand pieces
 that fill most texts are then looked up, and only new ones are merged. The file is in the format
 of the ``tokenizers`` library, and the ids are the ones that library gives; ``load`` also gives
 the markers in a text (``added_tokens``) their own ids, as the library does by itself.
@@ -13,11 +13,14 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
 #: Unicode's white space, which the pre-tokenizer's pattern means; Python's own class has four signs more.
 WHITE = "\t-\r \x85\xa0  -     　"
 PIECE = re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 SAFE_CUT = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])")
+#: After a closing sign before white space; after a new line that a piece ends with.
+SENTENCE_END = re.compile(f"[.!?\n。](?:(?<!\n)(?=[{WHITE}]|\\Z)|(?<=\n)(?=[{WHITE}]?[^{WHITE}]|\\Z))")
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SEGMENT = 1 << 20
 #: Pieces a worker remembers, about 150 bytes each; beyond that it starts anew.
@@ -53,7 +56,9 @@ class ByteBpe:
         ranks = {bytes(letters[c] for c in token): i for token, i in vocabulary.items()}
         self._encode = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self._known: dict[str, bytes] = {}
-        self._closing: set[str] = set()  # the known pieces that end a sentence
+        self._sizes = [0] * (1 + max(vocabulary.values(), default=0))  # bytes of each token
+        for raw, i in ranks.items():
+            self._sizes[i] = len(raw)
         self._marker_ids: dict[str, bytes] = {}
         for token in spec["added_tokens"] if markers else []:
             if token["single_word"] or token["lstrip"] or token["rstrip"]:
@@ -87,11 +92,8 @@ class ByteBpe:
                 pass
             if len(known) > REMEMBERED:
                 known.clear()
-                self._closing.clear()
-            new = set(pieces).difference(known)
-            for piece in new:
+            for piece in set(pieces).difference(known):
                 known[piece] = array("I", self._encode(piece)).tobytes()
-            self._closing.update(piece for piece in new if piece[-1] in ".!?\n。")
             yield pieces, list(map(known.__getitem__, pieces))
 
     def count(self, text: str) -> int:
@@ -102,18 +104,41 @@ class ByteBpe:
         return b"".join(b"".join(ids) for _, ids in self._pieces(text))
 
     def ids_and_sentences(self, text: str):
-        """The ids, and the number of ids before the end of each sentence."""
+        """The ids, and the number of ids before the end of each sentence.
+
+        Whole stretches are merged at once: most pieces of a corpus are too rare for looking them up to pay.
+        Sentences end at bytes, which the tokens' lengths turn into numbers of tokens.
+        """
         import numpy as np
 
+        if not isinstance(self._sizes, np.ndarray):
+            self._sizes = np.array(self._sizes)
         parts, ends, before = [], [], 0
-        for pieces, ids in self._pieces(text):
-            lengths = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4 + before
-            last = np.fromiter(map(self._closing.__contains__, pieces), bool, len(pieces))
-            ends.append(lengths[last])
-            parts.append(b"".join(ids))
-            before = int(lengths[-1])
+        for stretch, marker in self._stretches(text):
+            raw = marker or array("I", self._encode(stretch)).tobytes()
+            at = [] if marker else [m.end() for m in SENTENCE_END.finditer(stretch)]
+            if at:
+                if not stretch.isascii():
+                    at = list(accumulate(len(stretch[a:b].encode()) for a, b in pairwise([0, *at])))
+                ends.append(np.searchsorted(np.cumsum(self._sizes[np.frombuffer(raw, "<u4")]), np.array(at)) + before + 1)
+            parts.append(raw)
+            before += len(raw) // 4
         return b"".join(parts), np.concatenate(ends) if ends else np.zeros(0, np.int64)
 
+    def _stretches(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """Stretches of bounded length, unless nothing can be cut, and markers with their ids."""
+        held = self._marker is not None and any(m in text for m in self._marker_ids)
+        for i, part in enumerate(self._marker.split(text) if held else [text]):
+            if i % 2:
+                yield part, self._marker_ids[part]
+                continue
+            at = 0
+            while at < len(part):
+                cut = None if len(part) - at <= SEGMENT else SAFE_CUT.search(part, at + SEGMENT)
+                end = cut.start() if cut else len(part)
+                yield part[at:end], b""
+                at = end
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> ByteBpe:

@@ -481,6 +481,23 @@ def test_ids_are_those_of_the_libraries(monkeypatch):
         assert vocabulary.decode(ids) == text.replace("▁", " ")
 
 
+def test_sentence_ends_without_pieces_looked_up(monkeypatch):
+    """The ends are those of the pieces, though no piece is looked up or remembered."""
+    monkeypatch.setattr(byte_bpe, "SEGMENT", 50)
+    for mine in (byte_bpe.ByteBpe(byte_bpe.default_path()), byte_bpe.ByteBpe(byte_bpe.default_path(), markers=True)):
+        for text in [*texts(), "One. Two!\n\nThree?\n \nFour。 5.6 x.\n", "a.\n", ".\n\n\n.", "é。\x85b <|endoftext|>\n.<|endoftext|>. x"]:
+            ids, ends = mine.ids_and_sentences(text)
+            assert not mine._known
+            wanted, before = [], 0
+            for pieces, found in mine._pieces(text):
+                for piece, raw in zip(pieces, found, strict=True):
+                    before += len(raw) // 4
+                    if piece[-1] in ".!?\n。" and raw not in mine._marker_ids.values():
+                        wanted.append(before)
+            assert ends.tolist() == wanted and ids == mine.ids(text)
+            mine._known.clear()
+
+
 def test_markers_have_their_own_ids(spark, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
