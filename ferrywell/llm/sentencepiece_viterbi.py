@@ -42,14 +42,15 @@ class Vocabulary:
         self.scores, self.ids, self.byte_ids = scores, ids, byte_ids
         self.longest = max(map(len, scores), default=1)
         self.unknown = min(scores.values(), default=0.0) - 10.0
-        self._step = {"bpe": self._step_bpe, "unigram": self._step_unigram}[kind]
+        self.segment = {"bpe": self._segment_bpe, "unigram": self._segment_unigram}[kind]
         self._pairs: dict[tuple[str, str], bool] = {}
         self._words: dict[str, bytes] = {}
         # a piece that merging does not give from its own characters never occurs
         self._merges = {p: m for p, (parts, m) in ((p, self._merging(p)) for p in scores) if parts == [p] or kind == "unigram"}
         lengths: dict[str, set[int]] = {}
         for piece in self._merges:
-            lengths.setdefault(piece[-2:], set()).add(len(piece))
+            if len(piece) > 2:
+                lengths.setdefault(piece[-3:], set()).add(len(piece))
         self._lengths = {tail: sorted(found, reverse=True) for tail, found in lengths.items()}
 
     @classmethod
@@ -99,23 +100,46 @@ class Vocabulary:
             else:
                 y, j = second[j][1], j + 1
 
-    def _step_bpe(self, word: str, end: int, states: list) -> tuple:
-        merges, pairs = self._merges, self._pairs
-        for length in self._lengths.get(word[max(0, end - 2):end], ()):
-            begin = end - length
-            if begin >= 0 and (piece := word[begin:end]) in merges:
-                if not begin:
-                    return piece, None
-                pair = states[begin][0], piece
-                apart = pairs.get(pair)
-                if apart is None:
-                    if len(pairs) > 4 * REMEMBERED:
-                        pairs.clear()
-                    apart = pairs[pair] = self._apart(*pair)
-                if apart:
-                    return piece, None
-        # nothing longer ends here, so the character stands alone
-        return word[end - 1:end], None
+    def _segment_bpe(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+        """The pieces of each distinct word; lengths of pieces are looked up by their last three characters."""
+        merges, pairs, lengths = self._merges, self._pairs, self._lengths
+        states, before = [""], ""  # the last piece of each prefix
+        for word in sorted(set(words)):
+            shared, size = 0, len(word)
+            for x, y in zip(before, word, strict=False):
+                if x != y:
+                    break
+                shared += 1
+            del states[shared + 1:]
+            for end in range(shared + 1, size + 1):
+                # if nothing longer ends here, the character stands alone
+                last = word[end - 1]
+                found = lengths.get(word[end - 3:end], ()) if end > 2 else ()
+                for length in (*found, 2) if end > 1 else ():
+                    begin = end - length
+                    if begin < 0:
+                        continue
+                    piece = word[begin:end]
+                    if piece not in merges:
+                        continue
+                    if begin:
+                        pair = states[begin], piece
+                        apart = pairs.get(pair)
+                        if apart is None:
+                            if len(pairs) > 4 * REMEMBERED:
+                                pairs.clear()
+                            apart = pairs[pair] = self._apart(*pair)
+                        if not apart:
+                            continue
+                    last = piece
+                    break
+                states.append(last)
+            pieces, end = [], size
+            while end:
+                pieces.append(states[end])
+                end -= len(pieces[-1])
+            before = word
+            yield word, pieces[::-1]
 
     def _step_unigram(self, word: str, end: int, states: list) -> tuple:
         best = None
@@ -128,7 +152,7 @@ class Vocabulary:
                 best = piece, states[begin][1] + score
         return best
 
-    def segment(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
+    def _segment_unigram(self, words: Iterable[str]) -> Iterator[tuple[str, list[str]]]:
         """The pieces of each distinct word."""
         states: list[tuple] = [("", 0.0)]
         before = ""
@@ -138,7 +162,7 @@ class Vocabulary:
                 shared += 1
             del states[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                states.append(self._step(word, end, states))
+                states.append(self._step_unigram(word, end, states))
             pieces, end = [], len(word)
             while end:
                 pieces.append(states[end][0])
@@ -154,7 +178,11 @@ class Vocabulary:
         if len(self._words) > REMEMBERED:
             self._words.clear()
         for word, pieces in self.segment(words):
-            self._words[word] = array("I", [i for p in pieces for i in self.piece_ids(p)]).tobytes()
+            try:
+                ids = list(map(self.ids.__getitem__, pieces))
+            except KeyError:
+                ids = [i for p in pieces for i in self.piece_ids(p)]
+            self._words[word] = array("I", ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as unsigned 32-bit integers, least byte first."""

@@ -498,6 +498,20 @@ def test_sentence_ends_without_pieces_looked_up(monkeypatch):
             mine._known.clear()
 
 
+def test_few_lengths_of_pieces_are_tried(monkeypatch):
+    """Lengths are told by three characters; words with common beginnings, unknown ones and forgotten pairs come out the same."""
+    import sentencepiece
+
+    path = sentencepiece_viterbi.default_path()
+    vocabulary = sentencepiece_viterbi.Vocabulary.from_file(path)
+    assert len(vocabulary._lengths) > len({piece[-2:] for piece in vocabulary._merges})
+    monkeypatch.setattr(sentencepiece_viterbi, "REMEMBERED", 3)
+    pieces = sentencepiece.SentencePieceProcessor(model_file=path)
+    words = [w[:k] for w in ("internationalisation", "interoperability", "ünïcödes", "中文字符", "aaaaaaaa", "🙂🙂a") for k in range(1, len(w) + 1)]
+    for word, ids in zip(words, vocabulary.encode(words), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == pieces.encode(word)
+
+
 def test_markers_have_their_own_ids(spark, monkeypatch):
     import public_tokenizers
     from tokenizers import Tokenizer
