@@ -7,7 +7,8 @@ one entry from the start. The rest follows from a global order of words, rare on
 * prefix: matching sets share one of the first ``n - ceil(t * n) + 1`` words of either;
 * length: the smaller set has at least ``t`` times the words of the larger one;
 * position: of the first shared word; what stands before it in either set is lost to the overlap;
-* parity bits: hashing all words to bits, sets differ in at least as many words as bits.
+* parity bits: hashing all words to 128 bits, sets differ in at least as many words as bits. (With 64 bits, lines from
+  about 140 words on would all pass: unrelated ones differ in 32 bits, and so many words may differ.)
 
 Near copies of one line come in groups, which must not become squares of pairs. So each set is
 first compared with the earliest set that has the same two least, or the same two largest, word hashes; only sets
@@ -69,9 +70,10 @@ def _shared(n: Column, percent: int) -> Column:
     return F.ceil(n * percent / 100).cast("int")
 
 
-def _parity(words: str, shift: int) -> Column:
+def _parity(words: str, half: int) -> Column:
+    """Either half of 128 bits: words of the other half add none."""
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda bits, word: bits.bitwiseXOR(
-        F.call_function("shiftleft", F.lit(1).cast("bigint"), F.shiftright(word, shift).bitwiseAND(63).cast("int"))))
+        F.call_function("shiftleft", F.shiftright(word, 6).bitwiseAND(1).bitwiseXOR(1 - half), word.bitwiseAND(63).cast("int"))))
 
 
 def _measured(docs: DataFrame, table: list[int], percent: int) -> DataFrame:
@@ -83,7 +85,7 @@ def _measured(docs: DataFrame, table: list[int], percent: int) -> DataFrame:
     return rows.select(
         *ORDER, F.xxhash64("words").alias("s1"), F.xxhash64(F.lit(1), F.col("words")).alias("s2"), n.alias("n"),
         F.slice(_ranked(F.col("words"), table), 1, n - _shared(n, percent) + 1).alias("prefix"),
-        _parity("words", 0).alias("b1"), _parity("words", 6).alias("b2"),
+        _parity("words", 0).alias("b1"), _parity("words", 1).alias("b2"),
         F.xxhash64(F.get("words", F.lit(0)), F.get("words", F.lit(1))).alias("least"),
         F.xxhash64(F.get("words", n - 1), F.get("words", n - 2)).alias("largest"))
 
@@ -99,7 +101,7 @@ def _sets(lines: DataFrame) -> DataFrame:
 def _possible(x: str, y: str, percent: int) -> Column:
     """Length and parity bits of two sets leave room for the threshold."""
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differ = F.greatest(*(F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in ("b1", "b2")))
+    differ = F.bit_count(F.col(f"{x}.b1").bitwiseXOR(F.col(f"{y}.b1"))) + F.bit_count(F.col(f"{x}.b2").bitwiseXOR(F.col(f"{y}.b2")))
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (differ <= _apart(n, m, percent))
 
 

@@ -161,6 +161,19 @@ def plain_lines(pairs, percent=80):
     return gone
 
 
+def test_long_lines_without_words_in_common_are_no_candidates(spark):
+    pick = random.Random(5)
+    pairs = [(i, " ".join(f"{pick.randrange(10 ** 9)}x{i}" for _ in range(160))) for i in range(40)]
+    pairs += [(100 + i, " ".join(t.split()[:-17] + [f"new{i}y{k}" for k in range(17)])) for i, t in pairs[:5]]
+    docs = frame(spark, pairs).select("doc_id", "text")
+    sets = line_dedup._sets(line_dedup._measured(docs, line_dedup._frequency_table(docs), 80))
+    rows = sets.select("d", "n", "b1", "b2").persist()
+    both = rows.alias("x").join(rows.alias("y"), (F.col("x.d") > F.col("y.d")) & line_dedup._possible("x", "y", 80))
+    found = {(r[0], r[1]) for r in both.select("x.d", "y.d").collect()}
+    assert found >= {(100 + i, i) for i in range(5)} and len(found) <= 10
+    rows.unpersist()
+
+
 @pytest.mark.parametrize("block", [1 << 12, 2])
 def test_lines_like_earlier_ones(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
