@@ -172,14 +172,15 @@ def _candidates(posted: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("x.id").alias("x"), F.col("y.id").alias("y")).distinct()
 
 
-def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All lines with a word, all sets, and the numbers ``x`` of sets that match an earlier one."""
+def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[Step, Step, list[Step]]:
+    """All lines with a word, all sets, and, in two parts, the numbers ``x`` of sets that match an earlier one."""
     docs = docs.select("doc_id", "text")
-    lines = Step(_measured(docs, _frequency_table(docs), percent), "lines").df
-    sets = Step(_sets(lines), "line-sets").df
-    first = _verified(_leaders(sets, percent), docs, sets, percent).df
+    lines = Step(_measured(docs, _frequency_table(docs), percent), "lines")
+    all_sets = Step(_sets(lines.df), "line-sets")
+    sets = all_sets.df
+    first = _verified(_leaders(sets, percent), docs, sets, percent)
 
-    known = first.select(F.col("x").alias("id"), F.lit(True).alias("matched"))
+    known = first.df.select(F.col("x").alias("id"), F.lit(True).alias("matched"))
     marked = Step(sets.select("id", "n", "b1", "b2", "prefix").join(known, "id", "left").withColumn(
         "matched", F.coalesce("matched", F.lit(False))), "line-marked")
     posted = marked.df.select("id", "n", "b1", "b2", "matched", F.posexplode("prefix").alias("place", "word"))
@@ -189,19 +190,22 @@ def matched_sets(docs: DataFrame, percent: int = 80) -> tuple[DataFrame, DataFra
     pairs = parts[0].df
     for part in parts[1:]:
         pairs = pairs.union(part.df)
-    second = _verified(pairs.distinct(), docs, sets, percent).df
+    second = _verified(pairs.distinct(), docs, sets, percent)
     for part in parts:
         part.release()
-    return lines, sets, first.union(second)
+    return lines, all_sets, [first, second]
 
 
 def removed_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``d``, ``h`` (a document) and ``removed``, the sorted places of its lines that go; documents that lose none have no row."""
     lines, sets, matched = matched_sets(docs, percent)
-    fate = matched.select(F.col("x").alias("id"), F.lit(True).alias("gone"))
-    firsts = sets.select("id", "s1", "s2", F.struct(*ORDER).alias("first")).join(fate, "id", "left").drop("id")
-    gone = lines.select(*ORDER, "s1", "s2").join(firsts, ["s1", "s2"]).where((F.struct(*ORDER) != F.col("first")) | F.col("gone"))
-    return gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    fate = matched[0].df.union(matched[1].df).select(F.col("x").alias("id"), F.lit(True).alias("gone"))
+    firsts = sets.df.select("id", "s1", "s2", F.struct(*ORDER).alias("first")).join(fate, "id", "left").drop("id")
+    gone = lines.df.select(*ORDER, "s1", "s2").join(firsts, ["s1", "s2"]).where((F.struct(*ORDER) != F.col("first")) | F.col("gone"))
+    removed = Step(gone.groupBy("d", "h").agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removed")
+    for step in (lines, sets, *matched):
+        step.release()
+    return removed.df
 
 
 def _with_removed(docs: DataFrame, percent: int) -> DataFrame:

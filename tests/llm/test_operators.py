@@ -17,7 +17,7 @@ from ferrywell.llm import (
 )
 from ferrywell.llm.components import connected_components
 from ferrywell.llm.exact_dedup import ExactDedup
-from ferrywell.session import new_folder
+from ferrywell.session import Folder, new_folder, shared_folder
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, words string, row string, key string, "
           "t string, spans string, s string, n bigint, d string, h string, ledger string, id string, maybe boolean")
@@ -161,6 +161,14 @@ def plain_lines(pairs, percent=80):
     return gone
 
 
+def test_only_the_removed_places_stay_on_disk(spark):
+    folder = Folder(spark, f"{shared_folder(spark)}/ferrywell")
+    before = set(folder.names())
+    found = line_dedup.removed_lines(frame(spark, [(1, "a b c\nd e f"), (2, "c b a"), (3, None)]).select("doc_id", "text"))
+    assert [n.rsplit("-", 1)[0] for n in set(folder.names()) - before] == ["line-removed"]
+    assert [(r.d, r.removed) for r in found.collect()] == [(2, [0])]
+
+
 def test_long_lines_without_words_in_common_are_no_candidates(spark):
     pick = random.Random(5)
     pairs = [(i, " ".join(f"{pick.randrange(10 ** 9)}x{i}" for _ in range(160))) for i in range(40)]
