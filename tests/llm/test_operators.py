@@ -182,6 +182,38 @@ def test_long_lines_without_words_in_common_are_no_candidates(spark):
     rows.unpersist()
 
 
+def line_pairs(seed=5, n=60):
+    pick = random.Random(seed)
+    pairs = []
+    for i in range(n):
+        base = [prose(pick.randrange(12), 1 + pick.randrange(14)).split() for _ in range(4)]
+        for words in base:
+            if pick.random() < 0.5:
+                words[pick.randrange(len(words))] = "new" + str(pick.randrange(9))
+        pairs.append((i, "\n".join(" ".join(w) for w in base)))
+    return pairs
+
+
+def test_words_with_one_number_lose_no_match(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PLACES", 3)
+    monkeypatch.setattr(line_dedup, "BUCKETS", 4)
+    pairs = line_pairs()
+    gone = plain_lines(pairs)
+    found = answer(line_dedup.decisions(frame(spark, pairs)), "removed", "n_removed")
+    assert {i: r for i, (r, _) in found.items()} == {i: gone.get(i, []) for i, _ in pairs}
+
+
+def test_both_sides_of_the_line_join_read_one_shuffle(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    rows = [(1, 5, 0, 0, [7, 8]), (-2, 5, 0, 0, [7, 9]), (3, 5, 0, 0, [7, 8])]  # the second set is matched already
+    marked = spark.createDataFrame(rows, "code bigint, n int, b1 bigint, b2 bigint, prefix array<int>")
+    found = line_dedup._candidates(marked.select("code", "n", "b1", "b2", F.posexplode("prefix").alias("place", "word")), 80)
+    assert {(r.x, r.y) for r in found.collect()} == {(2, 0), (2, 1)}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.mark.parametrize("block", [1 << 12, 2])
 def test_lines_like_earlier_ones(spark, monkeypatch, block):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
